@@ -7,13 +7,13 @@ otherwise shuffles on the cell, where adaptive execution may split a hot cell.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.geo import clip_to_box, geodesic_m, point_in_ring, ring_area, ring_bounds, world_to_pixel
+from furrow.functions.geo import (
+    geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first
 
@@ -30,7 +30,7 @@ def _levelled(polys: DataFrame, ring: str, base: float) -> DataFrame:
 
     A polygon then covers at most two cells per axis, however large it is.
     """
-    box = polys.withColumn("_box", ring_bounds(F.col(ring)))
+    box = polys.withColumn("_box", ring_bounds(F.col(ring))).withColumn("_edges", ring_edges(F.col(ring)))
     size = F.greatest(F.col("_box.x1") - F.col("_box.x0"), F.col("_box.y1") - F.col("_box.y0"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1e-300)) / base)).cast("int"))
     return box.withColumn("_level", level)
@@ -66,8 +66,8 @@ def pip_join(
     inside = near.where(
         F.col(x).between(F.col("_box.x0"), F.col("_box.x1"))
         & F.col(y).between(F.col("_box.y0"), F.col("_box.y1"))
-        & point_in_ring(F.col(x), F.col(y), F.col(ring)))
-    return inside.drop("_level", "_cx", "_cy", "_box")
+        & point_inside(F.col(x), F.col(y), F.col("_edges")))
+    return inside.drop("_level", "_cx", "_cy", "_box", "_edges")
 
 
 def pip_first(
@@ -83,31 +83,61 @@ def pip_first(
     return joined.select(*points.columns, *[F.col("_poly")[c].alias(c) for c in props])
 
 
+def box_pairs(
+    left: DataFrame, right: DataFrame, left_box: Sequence[str], right_box: Sequence[str],
+    on: Sequence[str] = (), base: float = 1e-4,
+) -> DataFrame:
+    """Pairs of boxes that touch or overlap, within equal ``on`` keys.
+
+    Boxes are (x0, y0, x1, y1) columns; the two sides share no other names.  A
+    box fills at most four cells of the level that fits it, and is also placed
+    on the coarser levels the other side uses; a pair is met once, on the
+    coarser of its two levels, in the cell of its lower-left common corner.
+    """
+
+    def level(box: Sequence[str]) -> Column:
+        x0, y0, x1, y1 = (F.col(c) for c in box)
+        size = F.greatest(x1 - x0, y1 - y0, F.lit(base))
+        return F.ceil(F.log2(size / base)).cast("int")
+
+    def place(df: DataFrame, box: Sequence[str], own: str, others: Column) -> DataFrame:
+        levels = F.array_union(F.array(F.col(own)), others)
+        placed = df.withColumn("_level", F.explode(levels)).where(F.col("_level") >= F.col(own))
+        for out, low, high in (("_cx", box[0], box[2]), ("_cy", box[1], box[3])):
+            placed = placed.withColumn(out, F.explode(F.sequence(
+                _cell(F.col(low), F.col("_level"), base), _cell(F.col(high), F.col("_level"), base))))
+        return placed
+
+    ls, rs = left.withColumn("_ll", level(left_box)), right.withColumn("_rl", level(right_box))
+    used = lambda df, name: df.select(F.collect_set(name)).scalar()
+    lp, rp = place(ls, left_box, "_ll", used(rs, "_rl")), place(rs, right_box, "_rl", used(ls, "_ll"))
+    lx0, ly0, lx1, ly1 = (F.col(c) for c in left_box)
+    rx0, ry0, rx1, ry1 = (F.col(c) for c in right_box)
+    return lp.join(rp, [*on, "_level", "_cx", "_cy"]).where(
+        (F.col("_level") == F.greatest("_ll", "_rl"))
+        & (F.col("_cx") == _cell(F.greatest(lx0, rx0), F.col("_level"), base))
+        & (F.col("_cy") == _cell(F.greatest(ly0, ry0), F.col("_level"), base))
+        & (lx0 <= rx1) & (lx1 >= rx0) & (ly0 <= ry1) & (ly1 >= ry0)
+    ).drop("_level", "_cx", "_cy", "_ll", "_rl")
+
+
 def max_overlap_join(
     images: DataFrame, polys: DataFrame, ids: Sequence[str], ordinal: str,
     box: Sequence[str] = ("x0", "y0", "x1", "y1"), ring: str = "ring", base: float = 1e-4,
 ) -> DataFrame:
     """Each footprint box with the polygon it covers most; nulls without overlap.
 
-    Equal areas go to the first polygon by ``ordinal``.  A pair meeting in
-    several cells counts once, in the cell of its lower-left common corner.
+    Equal areas go to the first polygon by ``ordinal``.
     """
-    x0, y0, x1, y1 = (F.col(c) for c in box)
     props = [c for c in polys.columns if c != ring]
-    levelled = _levelled(polys, ring, base)
-    cells = _gridded(levelled, base)
-    placed = images.select(*ids, *box).withColumn("_level", F.explode(_levels(levelled)))
-    for out, low, high in (("_cx", x0, x1), ("_cy", y0, y1)):
-        placed = placed.withColumn(out, F.explode(F.sequence(
-            _cell(low, F.col("_level"), base), _cell(high, F.col("_level"), base))))
-    near = placed.join(cells, ["_level", "_cx", "_cy"]).where(
-        (F.col("_cx") == _cell(F.greatest(x0, F.col("_box.x0")), F.col("_level"), base))
-        & (F.col("_cy") == _cell(F.greatest(y0, F.col("_box.y0")), F.col("_level"), base))
-        & (x0 <= F.col("_box.x1")) & (x1 >= F.col("_box.x0"))
-        & (y0 <= F.col("_box.y1")) & (y1 >= F.col("_box.y0")))
-    area = near.withColumn("overlap", ring_area(clip_to_box(F.col(ring), x0, y0, x1, y1)))
-    best = area.where(F.col("overlap") > 0).groupBy(*ids).agg(
-        F.min_by(F.struct(*props, "overlap"), F.struct(-F.col("overlap"), F.col(ordinal))).alias("_poly"))
+    bounded = polys.withColumn("_box", ring_bounds(F.col(ring))).select(
+        *props, ring_edges(F.col(ring)).alias("_edges"),
+        *[F.col(f"_box.{c}").alias(f"_p{c}") for c in ("x0", "y0", "x1", "y1")])
+    near = box_pairs(images.select(*ids, *box), bounded, box, ["_px0", "_py0", "_px1", "_py1"], base=base)
+    area = near.withColumn("overlap", overlap_area(F.col("_edges"), *[F.col(c) for c in box]))
+    best = area.groupBy(*ids).agg(
+        F.min_by(F.struct(*props, "overlap"), F.struct(-F.col("overlap"), F.col(ordinal))).alias("_poly")
+    ).where(F.col("_poly.overlap") > 0)
     joined = images.join(best, list(ids), "left")
     return joined.select(
         *images.columns, *[F.col("_poly")[c].alias(c) for c in [*props, "overlap"]])
@@ -188,16 +218,17 @@ def select_gcp_images(
 
 def match_borders(
     borders: DataFrame, images: DataFrame, image_order: str, max_m: float = 0.25,
-    max_latitude: float = 80.0,
 ) -> DataFrame:
     """Plot borders with the images nearest to their start and end.
 
     Nearest in degrees, as positions are stored; accepted when both ends lie
-    within ``max_m`` metres.  The grid reaches far enough, up to
-    ``max_latitude``, to hold the degree-nearest image whenever any image could
-    be accepted.  ``image_order`` becomes ``start_{}`` and ``end_{}``.
+    within ``max_m`` metres.  A cell is as wide as ``max_m`` at the border
+    farthest from the equator, so it holds the degree-nearest image whenever any
+    image could be accepted.  ``image_order`` becomes ``start_{}`` and ``end_{}``.
     """
-    reach = max_m / METRES_PER_DEGREE / math.cos(math.radians(max_latitude))
+    farthest = borders.select(F.least(F.lit(89.0), F.max(F.greatest(
+        F.abs("start_lat"), F.abs("end_lat"))))).scalar()
+    reach = F.lit(max_m / METRES_PER_DEGREE) / F.cos(F.radians(farthest))
     spots = keep_first(images.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
                        .select("lat", "lon", image_order), ["lat", "lon"], [image_order])
     cell = lambda c: F.floor(F.col(c) / reach)
@@ -215,7 +246,7 @@ def match_borders(
         F.struct("lat", "lon", "e_lat", "e_lon", image_order),
         F.struct(degrees, F.col(image_order))).alias("b"))
     close = best.withColumn("_m", geodesic_m(
-        F.col("b.e_lat"), F.col("b.e_lon"), F.col("b.lat"), F.col("b.lon"))).where(F.col("_m") <= max_m)
+        F.col("b.e_lat"), F.col("b.e_lon"), F.col("b.lat"), F.col("b.lon"), 4)).where(F.col("_m") <= max_m)
     pick = lambda end: F.max(F.when(F.col("end") == end, F.col(f"b.{image_order}")))
     both = close.groupBy("plot_index").agg(
         pick("start").alias(f"start_{image_order}"), pick("end").alias(f"end_{image_order}"))

@@ -50,8 +50,8 @@ def ordinal(
 
     ``order`` must be total for the result to be unique.  Rows are range-sorted,
     so a hot key spreads over many partitions; the partition sizes (one row per
-    partition) give the offsets.  The sorted rows are checkpointed because the
-    partition numbers must be the same in both uses.
+    partition) give the offsets.  The sorted rows are written to the shared
+    folder because the positions must be the same in both uses.
     """
     sort = [F.col(o) if isinstance(o, str) else o for o in order]
     keys = [F.col(k) for k in by] + sort
