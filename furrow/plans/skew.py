@@ -165,3 +165,27 @@ def carry(
 def time_bucket(ts: str, width: float) -> Column:
     """Number of the ``width``-wide bucket a numeric stamp falls into."""
     return F.floor(F.col(ts) / F.lit(width))
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, by: Sequence[str], shares: dict[str, float],
+) -> DataFrame:
+    """Exact quantiles per key, linear between neighbours, one column per share.
+
+    Values are range-sorted and only those at the wanted positions are gathered,
+    so neither a hot key nor many distinct values fill one task.
+    """
+    known = df.select(*by, value).where(F.col(value).isNotNull())
+    placed = ordinal(known, [value], by, "_k")
+    sizes = placed.groupBy(*by).agg((F.max("_k") + 1).alias("_n"))
+    spots = sizes.select(*by, "_n", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(share)).alias("at"))
+        for name, share in shares.items()])).alias("_s"))
+    wanted = spots.select(
+        *by, F.col("_s.name").alias("_name"), F.col("_s.at").alias("_at"),
+        F.explode(F.array_distinct(F.array(F.floor("_s.at"), F.ceil("_s.at")))).alias("_k"))
+    found = placed.join(wanted, [*by, "_k"]).groupBy(*by, "_name", "_at").agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    level = F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo"))
+    return found.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_name") == name, level)).alias(name) for name in shares])
