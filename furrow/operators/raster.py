@@ -9,11 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from furrow.functions.geo import ring_bounds, to_utm
 from furrow.functions.pixels import excess_green, hsv_leaf_mask, low_gain_fix, to_byte
@@ -136,18 +133,18 @@ def otsu_threshold(pixels: DataFrame, value: str = "exg", by: Sequence[str] = (R
         F.coalesce(F.min_by(F.col("_prev") + 1, "_cost"), F.lit(0)).cast("int").alias("threshold"))
 
 
-def vegetation_mask(pixels: DataFrame, tile: int = 256) -> DataFrame:
+def vegetation_mask(pixels: DataFrame) -> DataFrame:
     """Excess-green pixels above the Otsu threshold, holes closed, as ``mask``."""
     green = exg(pixels)
     marked = green.join(otsu_threshold(green), RASTER).withColumn(
         "mask", (F.col("exg") > F.col("threshold")).cast("int"))
-    return morph(marked.drop("threshold"), "close", square(2), tile)
+    return morph(marked.drop("threshold"), "close", square(2))
 
 
-def leaf_mask(pixels: DataFrame, tile: int = 256) -> DataFrame:
+def leaf_mask(pixels: DataFrame) -> DataFrame:
     """Leaf-coloured pixels opened by a diamond, as ``mask``."""
     marked = pixels.withColumn("mask", hsv_leaf_mask(F.col("r"), F.col("g"), F.col("b")).cast("int"))
-    return morph(marked, "open", diamond(3), tile)
+    return morph(marked, "open", diamond(3))
 
 
 def square(radius: int) -> list[tuple[int, int]]:
@@ -160,47 +157,28 @@ def diamond(radius: int) -> list[tuple[int, int]]:
 
 
 def morph(
-    pixels: DataFrame, kind: str, element: Sequence[tuple[int, int]], tile: int = 256,
-    mask: str = "mask",
+    pixels: DataFrame, kind: str, element: Sequence[tuple[int, int]], mask: str = "mask",
 ) -> DataFrame:
     """Close or open a 0/1 mask; positions outside the raster do not count.
 
-    Pixels are grouped into square tiles, each with a rim from its neighbours as
-    wide as two passes reach, so a group holds a bounded number of pixels.
+    Each pass is one aggregate: pixels that can change a neighbour (set ones when
+    growing, clear ones when shrinking) hand their value to the positions the
+    element covers, and every pixel hands it to itself.  Neighbours meet in the
+    map-side combine, so little more than the pixels themselves is shuffled.
     """
-    passes = {"close": ("dilate", "erode"), "open": ("erode", "dilate")}[kind]
-    rim = 2 * max(max(abs(i), abs(j)) for i, j in element)
-    spread = pixels.select(RASTER, "row", "col", F.col(mask).cast("int").alias("_m"))
-    for axis in ("row", "col"):
-        spread = spread.withColumn(f"_t{axis}", F.explode(F.sequence(
-            F.floor((F.col(axis) - rim) / tile), F.floor((F.col(axis) + rim) / tile))))
-    out = StructType([pixels.schema[RASTER], pixels.schema["row"], pixels.schema["col"],
-                      StructField("_new", IntegerType())])
-
-    def sweep(grid: np.ndarray, present: np.ndarray, step: str) -> np.ndarray:
-        height, width = grid.shape
-        blank = 0 if step == "dilate" else 1
-        pick = np.maximum if step == "dilate" else np.minimum
-        source = np.pad(np.where(present, grid, blank), rim, constant_values=blank)
-        result = np.full_like(grid, blank)
-        for i, j in element:
-            result = pick(result, source[rim + i:rim + i + height, rim + j:rim + j + width])
-        return result
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = group["row"].to_numpy(), group["col"].to_numpy()
-        home = (rows // tile == group["_trow"].iloc[0]) & (cols // tile == group["_tcol"].iloc[0])
-        r, c = rows - rows.min(), cols - cols.min()
-        grid, present = (np.zeros((r.max() + 1, c.max() + 1), t) for t in (np.int32, bool))
-        grid[r, c], present[r, c] = group["_m"].to_numpy(), True
-        for step in passes:
-            grid = sweep(grid, present, step)
-        return pd.DataFrame({
-            RASTER: group[RASTER][home], "row": group["row"][home], "col": group["col"][home],
-            "_new": grid[r[home], c[home]]})
-
-    swept = spread.groupBy(RASTER, "_trow", "_tcol").applyInPandas(run, out)
-    return pixels.join(swept, [RASTER, "row", "col"]).withColumn(mask, F.col("_new")).select(*pixels.columns)
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in element if i or j])
+    here = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    swept = pixels.select(RASTER, "row", "col", F.col(mask).cast("int").alias("_m"))
+    for active, pick in {"close": ((1, F.max), (0, F.min)), "open": ((0, F.min), (1, F.max))}[kind]:
+        reach = F.when(F.col("_m") == active, F.concat(here, offsets)).otherwise(here)
+        swept = swept.withColumn("_o", F.explode(reach)).groupBy(
+            RASTER, (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"),
+        ).agg(pick("_m").alias("_m"), F.max((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_own")).where(
+            "_own").drop("_own")
+    rest = [c for c in pixels.columns if c not in (RASTER, "row", "col", mask)]
+    if rest:
+        swept = pixels.drop(mask).join(swept, [RASTER, "row", "col"])
+    return swept.withColumnRenamed("_m", mask).select(*pixels.columns)
 
 
 # --- traits

@@ -132,7 +132,7 @@ WITH {LEAF_SQL}, o1 AS ({_diamond('l0', 'min')}), o2 AS ({_diamond('o1', 'max')}
 SELECT raster_id, row, col, m AS mask FROM o2
 """)
 def leaf_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaf_mask(pixels(spark, sf_dir), tile=4).select("raster_id", "row", "col", "mask")
+    return leaf_mask(pixels(spark, sf_dir)).select("raster_id", "row", "col", "mask")
 
 
 @work.query("crop_height", f"""
@@ -236,7 +236,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @work.query("mosaic_rotated")
 def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir).select("raster_id", "row", "col", "r", "g", "b")
-    angle = F.col("raster_id") % 12 * 0.2
+    angle = F.col("raster_id") % 7 * 0.1
     turned = shifted(spark, sf_dir).withColumn("a", 0.5 * F.cos(angle)).withColumn(
         "b", 0.5 * F.sin(angle)).withColumn("d", 0.5 * F.sin(angle)).withColumn("e", -0.5 * F.cos(angle))
     return mosaic(p, turned)
@@ -259,10 +259,10 @@ def reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Odd rasters lie half a pixel off the grid: their values are means of two neighbours.
 @work.query("resample_half_pixel", f"""
 WITH {PIXELS_SQL}
-SELECT raster_id, CAST(row AS BIGINT) AS out_row, CAST(col AS BIGINT) AS out_col, round(v, 6) AS v
+SELECT raster_id, CAST(row AS BIGINT) AS out_row, CAST(col AS BIGINT) AS out_col, round(v, 6) + 0.0 AS v
 FROM pixels WHERE raster_id % 2 = 0
 UNION ALL
-SELECT raster_id, CAST(row AS BIGINT), c, round(avg(v), 6)
+SELECT raster_id, CAST(row AS BIGINT), c, round(avg(v), 6) + 0.0
 FROM (SELECT *, unnest([col, col + 1]) AS c FROM pixels WHERE raster_id % 2 = 1) GROUP BY raster_id, row, c
 """)
 def half_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +271,7 @@ def half_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "e", F.lit(-1.0)).withColumn("c", F.col("raster_id") % 2 * 0.5).withColumn("f", F.lit(8.0))
     plain = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     out = reproject_raster(p, r, ["v"], plain, plain, 1.0)
-    return out.select("raster_id", "out_row", "out_col", F.round("v", 6).alias("v"))
+    return out.select("raster_id", "out_row", "out_col", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def affine_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +412,7 @@ WITH {PIXELS_SQL}, h AS (SELECT *, ['North', 'East', 'South', 'West'][raster_id
 SELECT raster_id, row AS from_row, col AS from_col,
        CASE heading WHEN 'North' THEN 7 - row WHEN 'East' THEN col WHEN 'West' THEN 7 - col ELSE row END AS row,
        CASE heading WHEN 'North' THEN 7 - col WHEN 'East' THEN 7 - row WHEN 'West' THEN row ELSE col END AS col,
-       round(CASE heading WHEN 'North' THEN v ELSE -v END + 60808200, 4) AS x, round(g + 426535000.0, 4) AS y
+       round(CASE heading WHEN 'North' THEN v ELSE -v END + 608.25, 6) AS x, round(g + 4265.5, 6) AS y
 FROM h
 """)
 def turned_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,10 +420,10 @@ def turned_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in ("North", "East", "South", "West")])
     heading = F.get(names, (F.col("raster_id") % 4).cast("int"))
     cloud = orient_cloud(heading, F.col("row"), F.col("col"), F.lit(8), F.lit(8), F.col("v"), F.col("g"),
-                         F.col("b"), F.lit(60808200.0), F.lit(426535000.0))
+                         F.col("b"), F.lit(608.25), F.lit(4265.5))
     return p.select("raster_id", F.col("row").alias("from_row"), F.col("col").alias("from_col"),
                     cloud.alias("c")).select(
-        "raster_id", "from_row", "from_col", "c.row", "c.col", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"))
+        "raster_id", "from_row", "from_col", "c.row", "c.col", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
 
 
 @work.query("thermal_window_in_visible", """

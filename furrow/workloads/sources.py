@@ -1,2 +1,251 @@
+"""Sources and sinks: table rows written out as field files or lines, and read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from furrow.plans.session import shared_folder
+from furrow.plans.storage import append_new, read_snapshot, write_snapshot
+from furrow.sources import files, sensors
 from furrow.workloads import Workload
+from furrow.workloads.spatial import plots
+from furrow.workloads.tables import TRACK_SQL, table, track
+
 work = Workload()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder every executor can reach."""
+    return f"{shared_folder(spark)}/furrow-files/{uuid.uuid4().hex}"
+
+
+# every 7th line carries a field too many, every 5th other line one too few
+@work.query("tolerant_csv_scan", """
+SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id % 7 <> 0
+""")
+def tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    line = F.concat_ws(",", k.cast("string"), "event_type", F.when(k % 5 != 0, F.format_string("%.2f", "value")),
+                       F.when(k % 7 == 0, F.lit("extra,extra")))
+    e.select(line.alias(" event_id , event_type,value ")).write.option("header", True).option(
+        "sep", "\x01").option("ignoreLeadingWhiteSpace", False).csv(path)
+    schema = StructType([StructField("event_id", LongType()), StructField("event_type", StringType()), StructField("value", DoubleType())])
+    return files.read_synced(spark, path, schema)
+
+
+@work.query("csv_integrity_report", """
+SELECT 3 AS columns, false AS columns_ok, count(*) AS lines, count(*) FILTER (event_id % 7 = 0) AS skipped FROM events
+""")
+def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    lines = e.select(F.concat_ws(",", k.cast("string"), "event_type", F.lit('"a,b"'), F.when(k % 7 == 0, F.lit("x"))).alias("value"))
+    return files.csv_integrity(lines, "id,type,text")
+
+
+@work.query("boundaries_round_trip", """
+SELECT p_partkey AS ordinal, p_brand AS "Plot", p_type AS "Label", CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 4 END AS points FROM part
+""")
+def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    p = plots(spark, sf_dir)
+    files.write_boundaries(p.select("ring", F.create_map(
+        F.lit("plot"), "plot", F.lit("accession"), "accession", F.lit("id"), F.col("ordinal").cast("string")).alias("props")), path)
+    read = files.normalize_props(files.parse_features(spark.read.text(path)))
+    return read.select(F.col("props")["id"].cast("long").alias("ordinal"), "Plot", "Label", F.size("ring").alias("points"))
+
+
+@work.query("gcp_list_round_trip", """
+SELECT p_partkey, p_retailprice AS "pointX", p_brand AS gcp_label FROM part
+""")
+def gcp_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    p = table(spark, sf_dir, "part").select(
+        F.lit(-121.5).alias("gcp_lon"), F.lit(38.5).alias("gcp_lat"), F.col("p_retailprice").alias("pointX"),
+        F.lit(2.5).alias("pointY"), F.col("p_partkey").cast("string").alias("image"), F.col("p_brand").alias("gcp_label"),
+        F.lit(4000).alias("naturalWidth"), F.lit(3000).alias("naturalHeight"))
+    files.write_gcp_list(p, path)
+    return files.read_gcp_list(spark, path).select(F.col("image").cast("long").alias("p_partkey"), "pointX", "gcp_label")
+
+
+@work.query("geo_position_lines", f"""
+WITH {TRACK_SQL}
+SELECT 'i' || event_id || '.jpg ' || user_id || '.5 ' || event_id || '.25 0 0 0 0 0 0' AS value FROM track WHERE value >= 2
+""")
+def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("Raw/i"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("image_path"),
+        (F.col("user_id") + 0.5).alias("lon"), F.when(F.col("value") >= 2, F.concat(F.col("event_id").cast("string"), F.lit(".25"))).alias("lat"),
+        F.lit(None).cast("double").alias("alt"))
+    return files.geo_lines(e)
+
+
+@work.query("gcp_location_table", "SELECT s_name AS label, s_acctbal AS lat, s_nationkey + 0.5::DOUBLE AS lon, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE 0 END AS altitude FROM supplier")
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, text = table(spark, sf_dir, "supplier"), lambda c: c.cast("string")
+    return files.gcp_locations(s.select(
+        F.col("s_name").alias("Label"), text(F.col("s_acctbal")).alias("Lat_dec"), text(F.col("s_nationkey") + 0.5).alias("Lon_dec"),
+        F.when(F.col("s_suppkey") % 2 == 0, text(F.col("s_acctbal"))).alias("Altitude")))
+
+
+@work.query("annotation_files", "SELECT label AS class, count(*) AS lines FROM (SELECT CAST(label AS VARCHAR) AS label FROM embeddings) GROUP BY 1")
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    table(spark, sf_dir, "embeddings").select(F.concat(F.col("label").cast("string"), F.lit(" 0.5 0.5 0.1 0.2"))).write.text(path)
+    return files.read_labels(spark, path).groupBy("class").agg(F.count("*").alias("lines"))
+
+
+@work.query("training_metrics_file", "SELECT CAST(event_id AS INTEGER) AS epoch, value AS map FROM events")
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    e = table(spark, sf_dir, "events")
+    e.select(F.concat(F.lit("   "), F.col("event_id").cast("string")).alias("   epoch"),
+             F.concat(F.lit("   "), F.format_string("%.2f", "value")).alias("  metrics/mAP50(B)")).write.option(
+        "header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return files.read_metrics(spark, path).select("epoch", F.col("`metrics/mAP50(B)`").alias("map"))
+
+
+@work.query("detection_lines", "SELECT event_id, value AS confidence, CAST(user_id AS INTEGER) AS plot_index, event_type AS class FROM events")
+def detection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.concat_ws(
+        ",", F.col("event_id").cast("string"), F.format_string("%.2f", "value"), F.col("user_id").cast("string"), "event_type").alias("value"))
+    out = files.parse_detections(e, ["image_file", "confidence", "plot_index", "class"])
+    return out.select(F.col("image_file").cast("long").alias("event_id"), "confidence", "plot_index", "class")
+
+
+@work.query("files_of_a_folder", "SELECT count(DISTINCT l_returnflag) AS folders, true AS found FROM lineitem")
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey").write.partitionBy("l_returnflag").parquet(path)
+    rows = files.scan_catalog(spark, path)
+    return rows.where(F.col("name").endswith(".parquet")).agg(
+        F.count_distinct("zone").alias("folders"), (F.min("length") > 0).alias("found"))
+
+
+@work.query("catalog_rows_from_paths", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Raw' ELSE 'Processed' END AS zone, o_orderstatus AS population, 'RGB' AS sensor
+FROM orders WHERE o_orderkey % 5 <> 0
+""")
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    name = F.concat(F.when(k % 5 == 0, ".").otherwise(""), k.cast("string"))
+    path = F.concat_ws("/", F.lit("/data"), F.when(k % 2 == 0, "Raw").otherwise("Processed"), F.lit("2024/exp/Davis"),
+                       "o_orderstatus", F.lit("2024-05-01/drone/RGB/Images"), name)
+    listed = o.select(path.alias("path"), name.alias("name"), F.lit(1).alias("length"), F.lit(None).cast("timestamp").alias("modified"))
+    return files.catalog_rows(listed, "/data").select(
+        F.col("name").cast("long").alias("o_orderkey"), "zone", "population", "sensor")
+
+
+@work.query("combined_logs", """
+SELECT conv_id, string_agg('=== ' || lpad(CAST(turn AS VARCHAR), 3, '0') || ' ===' || chr(10) || text, chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY 1
+""")
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("group"), F.concat(F.lit("logs/"), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("path"), "text")
+    return files.combined_logs(c).withColumnRenamed("group", "conv_id")
+
+
+@work.query("telemetry_messages", """
+SELECT event_id, CASE WHEN user_id % 4 <> 0 THEN value END AS lat, CAST(user_id % 7 AS INTEGER) AS status,
+       CASE WHEN user_id % 5 <> 0 THEN value END AS voltage, round(user_id / 100.0, 6) AS battery, value AS distance, value / 2 AS pitch
+FROM events
+""")
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, u, v = table(spark, sf_dir, "events"), F.col("user_id"), F.col("value")
+    m = e.select(
+        F.col("event_id").alias("timestamp"), F.when(u % 4 != 0, v).otherwise(0.0).alias("Lat"), (u % 7).cast("int").alias("Status"),
+        F.when(u % 5 != 0, v).otherwise(-1.0).alias("VoltR"), F.lit(-1.0).alias("Curr"), u.alias("RemPct"), v.alias("Dist"),
+        v.alias("Roll"), (v / 2).alias("Pitch"), F.lit(0.0).alias("Yaw"))
+    out = sensors.telemetry_gps(m).select("timestamp", "lat", "status")
+    for part in (sensors.telemetry_bat(m).select("timestamp", "voltage", F.round("battery_remaining", 6).alias("battery")),
+                 sensors.telemetry_rfnd(m), sensors.telemetry_att(m).select("timestamp", "pitch")):
+        out = out.join(part, "timestamp")
+    return out.withColumnRenamed("timestamp", "event_id")
+
+
+@work.query("gps_topic_conformed", """
+SELECT epoch_us(ts) AS stamp, CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS rel_pos_valid,
+       CASE WHEN user_id % 3 <> 0 THEN value END AS accuracy_north, NULL::DOUBLE AS accuracy_east FROM events
+""")
+def conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    raw = e.select(
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("stamp"),
+        F.when(u % 2 == 0, "True").otherwise("False").alias("rel_pos_valid"),
+        F.when(u % 3 != 0, F.col("value").cast("string")).otherwise("n/a").alias("accuracy_north"))
+    both = raw.unionByName(raw)
+    return sensors.conform_gps(both, "relposned").select("stamp", "rel_pos_valid", "accuracy_north", "accuracy_east")
+
+
+@work.query("camera_timestamps", """
+SELECT user_id AS sequence_num, max(epoch_us(ts)) FILTER (event_type = 'view') AS view, max(epoch_us(ts)) FILTER (event_type = 'click') AS click
+FROM events GROUP BY 1 HAVING view IS NOT NULL AND click IS NOT NULL
+""")
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("sequence_num"), F.col("event_type").alias("topic"), F.unix_micros(F.col("ts").cast("timestamp")).alias("stamp"))
+    return sensors.camera_timestamps(e, ["view", "click"])
+
+
+@work.query("camera_topics_report", """
+SELECT topic, coalesce(n, 0) AS stamps, n IS NOT NULL AS existing
+FROM (SELECT unnest(['view', 'click', 'thermal']) AS topic) LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ON event_type = topic
+""")
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"))
+    return sensors.topic_report(e, ["view", "click", "thermal"])
+
+
+@work.query("image_files_derived", """
+SELECT event_id, '/top/rgb-' || epoch_us(ts) || '.jpg' AS rgb, '/top/disparity-' || user_id || '.npy' AS disparity, value AS lat FROM events
+""")
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("/top/rgb"),
+        F.col("user_id").cast("double").alias("/top/disparity"), F.col("value").alias("latitude"))
+    out = sensors.derive_files(e, ["/top/rgb", "/top/disparity"])
+    return out.select("event_id", F.col("`/top/rgb_file`").alias("rgb"), F.col("`/top/disparity_file`").alias("disparity"), "lat")
+
+
+@work.query("exif_normalised", """
+SELECT event_id, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') || '.000000 +0000' WHEN user_id % 3 = 0 THEN 'tag' || event_id END AS time,
+       CASE WHEN user_id % 2 = 0 THEN CAST(epoch_us(ts) // 1000000 AS DOUBLE) END AS timestamp,
+       round(CASE WHEN user_id % 5 = 0 THEN -1 ELSE 1 END * (38 + 30 / 60.0 + value / 3600), 8) AS lat,
+       CAST(greatest(user_id, 80) AS INTEGER) AS w, CAST(least(user_id, 80) AS INTEGER) AS h
+FROM events
+""")
+def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    at = F.col("ts").cast("timestamp")
+    raw = e.select(
+        F.col("event_id").alias("image_path"), u.cast("int").alias("width"), F.lit(80).alias("height"),
+        F.create_map(F.lit(36867), F.lit(""), F.lit(306), F.when(u % 3 == 0, F.concat(F.lit("tag"), F.col("event_id").cast("string")))).alias("tags"),
+        F.array(F.lit(38.0), F.lit(30.0), F.col("value")).alias("gps_lat"), F.when(u % 5 == 0, "S").otherwise("N").alias("gps_lat_ref"),
+        F.array(F.lit(121.0), F.lit(0.0), F.lit(0.0)).alias("gps_lon"), F.lit("W").alias("gps_lon_ref"), F.lit(1.0).alias("gps_alt"),
+        F.when(u % 2 == 0, F.date_format(at, "yyyy:MM:dd")).alias("gps_date"), F.date_format(at, "HH:mm:ss").alias("gps_time"))
+    return sensors.normalize_exif(raw).select(
+        F.col("image_path").alias("event_id"), "time", "timestamp", F.round("lat", 8).alias("lat"),
+        F.col("naturalWidth").alias("w"), F.col("naturalHeight").alias("h"))
+
+
+@work.query("append_new_rows_only", "SELECT event_id, event_type FROM events")
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    append_new(path, e.where(F.col("event_type") != "view"), ["event_id"])
+    append_new(path, e.unionByName(e), ["event_id"])
+    return spark.read.parquet(path)
+
+
+@work.query("snapshot_versions", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    c = table(spark, sf_dir, "customer")
+    write_snapshot(c.where(F.col("c_acctbal") > 0), path)
+    write_snapshot(c.groupBy("c_nationkey").agg(F.count("*").alias("n")), path)
+    return read_snapshot(spark, path)
