@@ -17,12 +17,12 @@ from furrow.workloads.tables import TRACK_SQL, table, track
 work = Workload()
 
 # Every part is a plot: a box 6 columns wide for even keys, a triangle for odd ones.
-# Widths are in degrees around the field; neighbours overlap.
+# Neighbours overlap; the field grows with the number of plots, so their density stays.
 PLOTS_SQL = """
 plots AS (
   SELECT p_partkey AS ordinal, p_brand AS plot, p_type AS accession,
          CAST(-121.76 AS DOUBLE) + (p_partkey % 60) * CAST(1e-5 AS DOUBLE) + CAST(5e-7 AS DOUBLE) AS x0,
-         CAST(38.53 AS DOUBLE) + (p_partkey // 60 % 10) * CAST(4e-5 AS DOUBLE) + CAST(5e-9 AS DOUBLE) AS y0,
+         CAST(38.53 AS DOUBLE) + (p_partkey // 60) * CAST(4e-5 AS DOUBLE) + CAST(5e-9 AS DOUBLE) AS y0,
          p_size * CAST(1e-6 AS DOUBLE) AS w, p_size * CAST(2e-6 AS DOUBLE) AS h,
          p_partkey % 2 = 0 AS is_box
   FROM part
@@ -38,7 +38,7 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     x0 = F.lit(-121.76) + (key % 60) * 1e-5 + 5e-7
-    y0 = F.lit(38.53) + (F.floor(key / 60) % 10) * 4e-5 + 5e-9
+    y0 = F.lit(38.53) + F.floor(key / 60) * 4e-5 + 5e-9
     w, h = F.col("p_size") * 1e-6, F.col("p_size") * 2e-6
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     box = F.array(point(x0, y0), point(x0 + w, y0), point(x0 + w, y0 + h), point(x0, y0 + h), point(x0, y0))
@@ -125,7 +125,7 @@ def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 GCP_SQL = """
 gcps AS (
   SELECT s_suppkey AS ordinal, s_name AS label,
-         CAST(38.53 AS DOUBLE) + s_acctbal * CAST(1e-8 AS DOUBLE) AS lat,
+         CAST(38.53 AS DOUBLE) + s_suppkey * CAST(2e-6 AS DOUBLE) + s_acctbal * CAST(1e-10 AS DOUBLE) AS lat,
          CAST(-121.76 AS DOUBLE) + s_nationkey * CAST(2e-5 AS DOUBLE) AS lon
   FROM supplier
 )"""
@@ -141,7 +141,7 @@ def gcps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     return s.select(
         F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("label"),
-        (F.lit(38.53) + F.col("s_acctbal") * 1e-8).alias("lat"),
+        (F.lit(38.53) + F.col("s_suppkey") * 2e-6 + F.col("s_acctbal") * 1e-10).alias("lat"),
         (F.lit(-121.76) + F.col("s_nationkey") * 2e-5).alias("lon"))
 
 
