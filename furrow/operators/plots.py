@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.text import basename, export_name, is_labeled, plot_label, stem
 from furrow.operators.spatial import pip_join
+from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first, ordinal
 
 NO_PLOT = -1
@@ -41,7 +42,8 @@ def image_query(
     """
     inside = pip_join(images, areas, base=base)
     if middle_by is not None:
-        inside = middle_per_group(inside.drop("ring"), ["plot"], middle_by)
+        # written once: sorting by range reads its input twice
+        inside = middle_per_group(cut_lineage(inside.drop("ring")), ["plot"], middle_by)
     return inside.select("image_name", "label", "plot").orderBy("label")
 
 

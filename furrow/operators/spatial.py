@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.geo import (
-    geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
+    geodesic_m, local_distance_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first
 
@@ -186,16 +186,19 @@ def nearest_within(
     renamed = spots.select(*[F.col(c).alias(f"{prefix}{c}") for c in spots.columns])
     pairs = _near_pairs(left.select(*ids, lat, lon), renamed, radius_m, lat, lon,
                         f"{prefix}{lat}", f"{prefix}{lon}")
-    measured = pairs.withColumn(f"{prefix}distance", geodesic_m(
-        F.col(lat), F.col(lon), F.col(f"{prefix}{lat}"), F.col(f"{prefix}{lon}")))
-    found = [*renamed.columns, f"{prefix}distance"]
+    ends = [F.col(c) for c in (lat, lon, f"{prefix}{lat}", f"{prefix}{lon}")]
+    # close neighbours are ranked by the cheap distance; the exact one decides about the radius
+    close = radius_m <= 1000
+    ranked = pairs.withColumn("_m", (local_distance_m if close else geodesic_m)(*ends))
     best = (
-        measured.where(F.col(f"{prefix}distance") <= radius_m)
+        ranked.where(F.col("_m") <= radius_m * (1 + 1e-6))
         .groupBy(*ids)
-        .agg(F.min_by(F.struct(*found), F.struct(
-            f"{prefix}distance", *[f"{prefix}{o}" for o in order])).alias("_best"))
+        .agg(F.min_by(F.struct(*renamed.columns), F.struct(
+            "_m", *[f"{prefix}{o}" for o in order])).alias("_best"))
     )
-    return left.join(best, list(ids)).select(*left.columns, "_best.*")
+    found = left.join(best, list(ids)).select(*left.columns, "_best.*")
+    return found.withColumn(f"{prefix}distance", geodesic_m(*ends, 4 if close else 8)).where(
+        F.col(f"{prefix}distance") <= radius_m)
 
 
 def select_gcp_images(
