@@ -103,7 +103,9 @@ def stitch_progress(lines: DataFrame, by: Sequence[str], order: str) -> DataFram
         F.min_by("f", F.when(F.col("f").isNotNull(), F.col(order))).alias("total"),
         F.max("m").alias("matched"), F.max("s").alias("step"))
     steps = len(STITCH_STEPS)
-    share = F.least(F.lit(90), F.floor(F.try_divide("matched", "total") * 90))
+    # least() and greatest() pass over nulls: without both numbers there is no share
+    share = F.when(F.col("matched").isNotNull() & (F.col("total") > 0),
+                   F.least(F.lit(90), F.floor(F.col("matched") / F.col("total") * 90)))
     final = F.when(F.col("step") == steps - 1, 100).when(
         F.col("step").isNotNull(), 90 + F.floor(F.col("step") / steps * 10))
     return sums.select(*by, F.coalesce(F.greatest(final, share), F.lit(0)).cast("int").alias("progress"))

@@ -112,10 +112,10 @@ def plots_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STITCH = """
 WITH f AS (
-  SELECT user_id, min(user_id) AS total, max(CASE WHEN event_type = 'click' THEN event_id % 40 END) AS matched,
+  SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN user_id END AS total, max(CASE WHEN event_type = 'click' THEN event_id % 40 END) AS matched,
          max(CASE WHEN event_type = 'view' AND event_id % 50 < 9 THEN event_id % 50 END) AS step FROM events GROUP BY 1
 )
-SELECT user_id, CAST(coalesce(greatest(90 + floor(step * 1.0 / 10 * 10), least(90, floor(matched / CAST(total AS DOUBLE) * 90))), 0) AS INTEGER) AS progress FROM f
+SELECT user_id, CAST(coalesce(greatest(90 + floor(step * 1.0 / 10 * 10), CASE WHEN matched IS NOT NULL AND total > 0 THEN least(90, floor(matched / CAST(total AS DOUBLE) * 90)) END), 0) AS INTEGER) AS progress FROM f
 """
 
 
