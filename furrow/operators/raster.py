@@ -42,13 +42,15 @@ def raster_window(pixels: DataFrame, windows: DataFrame) -> DataFrame:
     return pairs.select("window_id", *pixels.columns)
 
 
-def plot_windows(boundaries: DataFrame, rasters: DataFrame, steps: int = 21) -> DataFrame:
-    """Buffered pixel window of each plot's bounding box on every raster.
+def plot_windows(
+    boundaries: DataFrame, rasters: DataFrame, on: Sequence[str], steps: int = 21,
+) -> DataFrame:
+    """Buffered pixel window of each plot's bounding box on its dataset's rasters.
 
     The box is projected along its edges (``steps`` points each) and grows by a
     tenth per side, at least 0.1 m.  Unknown plots, rings of fewer than four
     points and empty windows are left out.  ``rasters`` holds
-    ``raster_id, epsg, geotransform``.
+    ``raster_id, epsg, geotransform`` and, like the boundaries, the dataset keys ``on``.
     """
     known = boundaries.where(
         F.col("plot").isNotNull() & F.col("accession").isNotNull() & (F.size("ring") >= 4))
@@ -62,16 +64,16 @@ def plot_windows(boundaries: DataFrame, rasters: DataFrame, steps: int = 21) ->
         F.struct(b["x0"].alias("lon"), along(b["y0"], b["y1"], t).alias("lat")),
         F.struct(b["x1"].alias("lon"), along(b["y0"], b["y1"], t).alias("lat")))))
     # one row per edge point keeps the projection in generated code
-    points = boxed.select("plot", "accession", F.explode(edge).alias("_e")).join(
-        rasters.select(RASTER, "epsg", "geotransform"))
+    points = boxed.select(*on, "plot", "accession", F.explode(edge).alias("_e")).join(
+        rasters.select(*on, RASTER, "epsg", "geotransform"), list(on))
     metres = points.withColumn("_m", to_utm(F.col("_e.lon"), F.col("_e.lat"), F.col("epsg")))
-    bounds = metres.groupBy("plot", "accession", RASTER, "geotransform").agg(
+    bounds = metres.groupBy(*on, "plot", "accession", RASTER, "geotransform").agg(
         F.min("_m.x").alias("x0"), F.max("_m.x").alias("x1"), F.min("_m.y").alias("y0"),
         F.max("_m.y").alias("y1"))
     pad = lambda lo, hi: F.greatest(F.lit(0.1), (F.col(hi) - F.col(lo)) * 0.1)
     g = lambda i: F.get("geotransform", F.lit(i))
     return bounds.where((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))).select(
-        "plot", "accession", RASTER,
+        *on, "plot", "accession", RASTER,
         ((F.col("x0") - pad("x0", "x1") - g(0)) / g(1)).alias("col_off"),
         ((F.col("y1") + pad("y0", "y1") - g(3)) / g(5)).alias("row_off"),
         ((F.col("x1") - F.col("x0") + 2 * pad("x0", "x1")) / g(1)).alias("width"),

@@ -334,10 +334,13 @@ def box_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from furrow.workloads.spatial import plots
 
-    rasters = spark.range(1).select(
-        F.lit("field").alias("raster_id"), F.lit(32610).alias("epsg"),
+    # one orthomosaic per brand
+    rasters = table(spark, sf_dir, "part").select(F.col("p_brand").alias("field")).distinct().select(
+        "field", F.concat(F.lit("ortho-"), "field").alias("raster_id"), F.lit(32610).alias("epsg"),
         F.array(*[F.lit(float(v)) for v in (608000, 0.01, 0, 4265500, 0, -0.01)]).alias("geotransform"))
-    return plot_windows(plots(spark, sf_dir).withColumn("plot", F.col("ordinal").cast("string")), rasters)
+    areas = plots(spark, sf_dir).select(
+        F.col("plot").alias("field"), F.col("ordinal").cast("string").alias("plot"), "accession", "ring")
+    return plot_windows(areas, rasters, ["field"])
 
 
 # --- camera pixels

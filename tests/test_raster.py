@@ -120,3 +120,17 @@ def test_reprojection_keeps_a_constant_raster(spark):
     out = R.reproject_raster(px, rasters, ["v"], degrees, lambda x, y: to_utm(x, y, zone), 1e-5)
     values = [r["v"] for r in out.collect()]
     assert 25 <= len(values) <= 60 and values == pytest.approx([5.0] * len(values))
+
+
+def test_plot_windows_grow_by_a_tenth_and_skip_unknown_plots(spark):
+    schema = "field string, plot string, accession string, ring array<struct<x:double,y:double>>"
+    d = 1e-4
+    ring = [(-121.0, 38.5), (-121.0 + d, 38.5), (-121.0 + d, 38.5 + d), (-121.0, 38.5 + d), (-121.0, 38.5)]
+    areas = spark.createDataFrame([("f", "1", "a", ring), ("f", "2", None, ring), ("f", "3", "a", ring[:3]), ("g", "4", "a", ring)], schema)
+    x, y = spark.range(1).select(to_utm(F.lit(-121.0), F.lit(38.5))["x"], to_utm(F.lit(-121.0), F.lit(38.5))["y"]).first()
+    rasters = spark.createDataFrame([("f", "r", 32610, [x - 10, 0.1, 0.0, y + 50, 0.0, -0.1])], "field string, raster_id string, epsg int, geotransform array<double>")
+    out = R.plot_windows(areas, rasters, ["field"]).collect()
+    assert [r["plot"] for r in out] == ["1"]
+    w, h = out[0]["width"] * 0.1, out[0]["height"] * 0.1
+    assert w == pytest.approx(1.2 * 8.72, rel=0.05) and h == pytest.approx(1.2 * 11.1, rel=0.05)
+    assert out[0]["col_off"] * 0.1 == pytest.approx(10 - 0.1 * w / 1.2, abs=0.5)
