@@ -65,30 +65,38 @@ class _Chunk:
     def __init__(self, table: pa.Table, window: int, bits: int) -> None:
         self.window, self.gram, self.bits = window, max(1, window * 64 // 200), bits
         self.data, self.offsets = text.text_bytes(table["text"])
-        at, _ = text.window_starts(self.offsets, window)
-        anchor, value = self._anchors(at)
-        new = np.ones(len(at), bool)
+        parts = [self._anchors(lo) for lo in range(0, len(self.data), _SLICE)]
+        low, anchor, value, count = (np.concatenate(c) for c in zip(
+            (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)),
+            *parts))
+        # a run that reaches into the next slice comes in two pieces
+        new = np.ones(len(low), bool)
         new[1:] = anchor[1:] != anchor[:-1]
-        self.low = at[new]
-        self.anchor = anchor[new]
-        self.count = np.diff(np.append(np.flatnonzero(new), len(at)))
-        self.name = value[new] >> U64(32 - bits)
+        first = np.flatnonzero(new)
+        self.low, self.anchor = low[first], anchor[first]
+        self.count = np.add.reduceat(count, first) if len(first) else count
+        # anchors are minima, so their fingerprints are small: mixed again they spread evenly
+        self.name = text.mix(value[first]) >> U64(32 - bits)
         self.asked, self.inverse = np.unique(self.name, return_inverse=True)
 
-    def _anchors(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position and fingerprint of the anchor of the window at each start."""
+    def _anchors(self, lo: int) -> tuple[np.ndarray, ...]:
+        """Runs of windows that start in one slice: first start, anchor, its fingerprint, length."""
+        hi = min(lo + _SLICE, len(self.data))
+        first, last = np.searchsorted(self.offsets, [lo, hi], "right")
+        inside = np.zeros(hi - lo, bool)
+        for a, b in zip(self.offsets[first - 1:last], self.offsets[first:last + 1]):
+            inside[max(a - lo, 0):max(b - self.window + 1 - lo, 0)] = True
+        own = np.flatnonzero(inside)
+        grams = text.rolling(_SEEDS[0][self.data[lo:hi + self.window]], self.gram)
+        if not len(own):
+            return own, own, np.zeros(0, U64), own
+        keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=U64)
         reach = self.window - self.gram + 1
-        places, values = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-        for lo in range(0, len(self.data), _SLICE):
-            own = at[np.searchsorted(at, lo):np.searchsorted(at, lo + _SLICE)]
-            if not len(own):
-                continue
-            grams = text.rolling(_SEEDS[0][self.data[lo:lo + _SLICE + self.window]], self.gram)
-            keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=U64)
-            place = (_sliding_min(keys, reach)[own - lo] & _PLACE).astype(np.int64)
-            places.append(place + lo)
-            values.append(grams[place])
-        return np.concatenate(places), np.concatenate(values)
+        place = (_sliding_min(keys, reach)[own] & _PLACE).astype(np.int64)
+        new = np.ones(len(own), bool)
+        new[1:] = place[1:] != place[:-1]
+        at = np.flatnonzero(new)
+        return (own[at] + lo, place[at] + lo, grams[place[at]], np.diff(np.append(at, len(own))))
 
     def questions(self, chunk: int) -> pa.Table:
         counts = np.bincount(self.inverse, minlength=len(self.asked))
