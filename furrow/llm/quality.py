@@ -128,7 +128,7 @@ def fit(
     """
     n = len(grade)
     known = _telling(doc, slot, grade, grades, bits)[slot]
-    doc, slot, value = doc[known], slot[known], value[known]
+    doc, slot, value = doc[known], slot[known], value[known].astype(np.float64)
     cuts = np.searchsorted(doc, np.arange(n + 1))
     weights, seen = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
     share = np.cumsum(np.bincount(grade, minlength=grades))[:-1] + 0.5
@@ -194,14 +194,16 @@ def graded_sample(
                 "counts": pa.array([value[a:b].astype(np.float32).tobytes()
                                     for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
-    got = rows.mapInArrow(extract, "doc_id long, grade long, slots binary, counts binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["slots"]))
-    slots = [np.frombuffer(r["slots"], np.int32) for r in got]
-    doc = np.repeat(np.arange(len(got)), [len(s) for s in slots])
-    slot = np.concatenate([*slots, np.zeros(0, np.int32)]).astype(np.int64)
-    value = np.concatenate([*[np.frombuffer(r["counts"], np.float32) for r in got],
-                            np.zeros(0, np.float32)]).astype(np.float64)
-    return doc, slot, value, np.array([r["grade"] for r in got], np.int64)
+    got = rows.mapInArrow(extract, "doc_id long, grade long, slots binary, counts binary").withColumn(
+        "size", F.octet_length("slots")).toArrow().sort_by(
+        [("doc_id", "ascending"), ("size", "ascending")])
+    grade = np.array(got["grade"].to_pylist(), np.int64)
+    doc = np.repeat(np.arange(len(grade), dtype=np.int32),
+                    np.array(got["size"].to_pylist(), np.int64) // 4)
+    slot, value = (np.concatenate([np.zeros(0, kind), *[
+        np.frombuffer(raw.as_buffer(), kind) for raw in got[name]]])
+        for name, kind in (("slots", np.int32), ("counts", np.float32)))
+    return doc, slot, value, grade
 
 
 def train(
