@@ -191,7 +191,7 @@ def graded_sample(
                 "grade": table["grade"].combine_chunks().cast(pa.int64()),
                 "slots": pa.array([slot[a:b].astype(np.int32).tobytes()
                                    for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                "counts": pa.array([value[a:b].astype(np.float32).tobytes()
+                "counts": pa.array([value[a:b].astype(np.float16).tobytes()
                                     for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
     got = rows.mapInArrow(extract, "doc_id long, grade long, slots binary, counts binary").withColumn(
@@ -202,7 +202,7 @@ def graded_sample(
                     np.array(got["size"].to_pylist(), np.int64) // 4)
     slot, value = (np.concatenate([np.zeros(0, kind), *[
         np.frombuffer(raw.as_buffer(), kind) for raw in got[name]]])
-        for name, kind in (("slots", np.int32), ("counts", np.float32)))
+        for name, kind in (("slots", np.int32), ("counts", np.float16)))
     return doc, slot, value, grade
 
 
