@@ -281,19 +281,19 @@ def point_inside(x: Column, y: Column, edges: Column) -> Column:
     """True strictly inside the ring with these edges: points on an edge are outside.
 
     One pass: an edge counts 1 when a ray to the right crosses it (its y span is
-    half-open) and a large amount when the point lies on it.
+    half-open) and sets a bit beyond any number of edges when the point lies on it.
     """
-    on_edge = 1 << 20
+    on_edge = F.lit(1 << 40)
 
     def weight(total: Column, e: Column) -> Column:
         cross = (e["qx"] - e["px"]) * (y - e["py"]) - (e["qy"] - e["py"]) * (x - e["px"])
         touches = (cross == 0) & x.between(F.least(e["px"], e["qx"]), F.greatest(e["px"], e["qx"])) & (
             y.between(F.least(e["py"], e["qy"]), F.greatest(e["py"], e["qy"])))
         crosses = ((e["py"] > y) != (e["qy"] > y)) & ((cross > 0) == (e["qy"] > e["py"]))
-        return F.when(crosses, total + F.when(cross == 0, on_edge).otherwise(1)).when(
-            touches, total + on_edge).otherwise(total)
+        return F.when(crosses & (cross != 0), total + 1).when(
+            crosses | touches, total.bitwiseOR(on_edge)).otherwise(total)
 
-    total = F.aggregate(edges, F.lit(0), weight)
+    total = F.aggregate(edges, F.lit(0).cast("long"), weight)
     return F.when(total < on_edge, total % 2 == 1).otherwise(False)
 
 

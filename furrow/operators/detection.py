@@ -18,8 +18,9 @@ from furrow.functions.boxes import (
 from furrow.functions.text import mask_count, norm_label
 from furrow.operators.plots import labeled_plots, q
 from furrow.operators.spatial import box_pairs
+from furrow.plans.graph import components
 from furrow.plans.session import cut_lineage
-from furrow.plans.skew import keep_first, ordinal, same
+from furrow.plans.skew import keep_first, ordinal
 
 log = logging.getLogger(__name__)
 
@@ -121,10 +122,12 @@ def nms(
     """Greedy suppression per group: best score first, overlap >= threshold goes.
 
     ``box`` are corner expressions; ``offset`` widens both extents.  ``ids`` name
-    a row within its group and break ties of the score.  Groups of at most
-    ``small_group`` boxes (the count is checked) are decided inside one row;
-    larger ones in rounds over grid cells, where no group is ever in one task.
-    Both give the greedy result.
+    a row within its group and break ties of the score; null scores rank first.
+    A null in ``by`` or ``ids`` is a value like any other; a box without one of
+    its corners, or without an extent, suppresses nothing and stays.  Groups of
+    at most ``small_group`` boxes (the count is checked) are decided inside one
+    row, larger ones over grid cells.  The choice is one of cost: both give the
+    same rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -132,40 +135,38 @@ def nms(
     corners = F.struct(
         x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
         (x2 + offset).cast("double").alias("x2"), (y2 + offset).cast("double").alias("y2"))
+    # texts that are never null stand for the group and the row in every join
     rows = df.withColumn("_box", corners).withColumn(
-        "_rank", F.struct((-F.col(score)).alias("score"), *ids))
-    large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > small_group)
+        "_rank", F.struct((-F.col(score)).alias("score"), *ids)).withColumn(
+        "_by", F.to_json(F.struct(F.lit(0).alias("_"), *by))).withColumn("_id", F.to_json(F.struct(*ids)))
+    large = rows.groupBy("_by").agg(F.count("*").alias("_n")).where(F.col("_n") > small_group)
     if not by:
-        kept = _rounds(rows, by, ids, threshold)
+        kept = _rounds(rows, threshold)
     elif large.isEmpty():
-        return _small_groups(rows, by, threshold).select(*df.columns)
+        return _small_groups(rows, threshold).select(*df.columns)
     else:
-        keys = large.select(*[F.col(k).alias(f"_g_{k}") for k in by])
-        hot = same([F.col(k) for k in by], [F.col(f"_g_{k}") for k in by])
-        kept = _small_groups(rows.join(keys, hot, "left_anti"), by, threshold).unionByName(
-            _rounds(rows.join(keys, hot, "left_semi"), by, ids, threshold))
+        kept = _small_groups(rows.join(large, "_by", "left_anti"), threshold).unionByName(
+            _rounds(rows.join(large, "_by", "left_semi"), threshold))
     return kept.select(*df.columns)
 
 
-def _small_groups(rows: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
+def _small_groups(rows: DataFrame, threshold: float) -> DataFrame:
     """Greedy pass over the sorted array of a bounded group."""
-    rest = [c for c in rows.columns if c not in by and c not in ("_rank", "_box")]
+    rest = [c for c in rows.columns if c not in ("_by", "_rank", "_box")]
     item = F.struct("_rank", "_box", F.struct(*rest).alias("_row"))
-    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    groups = rows.groupBy("_by").agg(F.array_sort(F.collect_list(item)).alias("_all"))
     empty = F.slice("_all", 1, 0)
     keep = F.aggregate("_all", empty, lambda kept, b: F.when(
         F.exists(kept, lambda k: _overlap(k["_box"], b["_box"]) >= threshold), kept
     ).otherwise(F.concat(kept, F.array(b))))
-    return groups.select(*by, F.explode(keep).alias("_b")).select(*by, "_b._rank", "_b._box", "_b._row.*")
+    return groups.select("_by", F.explode(keep).alias("_b")).select("_by", "_b._rank", "_b._box", "_b._row.*")
 
 
 # boxes in one cell beyond which pairs are not listed
 CROWD = 1000
 
 
-def _rounds(
-    rows: DataFrame, by: Sequence[str], ids: Sequence[str], threshold: float,
-) -> DataFrame:
+def _rounds(rows: DataFrame, threshold: float) -> DataFrame:
     """Greedy suppression of groups of any size.
 
     Boxes that suppress each other have similar extents and nearby centres, so
@@ -175,12 +176,13 @@ def _rounds(
     boxes that rank first in all their cells are kept, since nothing open can
     precede them, and the others are compared with the at most one winner of
     each of their cells.  Once every cell is small (its size is checked), the
-    conflicts are listed once and resolved in rounds: a box without an open
-    conflict of better rank is kept, its conflicts go.
+    conflicts are listed once, and each connected set of them is resolved in the
+    order of rank in one go, so a long chain of boxes costs no further jobs.
     """
-    keys = [*by, *ids]
+    by = ["_by"]
+    keys = ["_by", "_id"]
     w, h = F.col("_box.x2") - F.col("_box.x1"), F.col("_box.y2") - F.col("_box.y1")
-    empty = (w <= 0) | (h <= 0)
+    empty = F.coalesce((w <= 0) | (h <= 0), F.lit(True))
     flat, solid = rows.where(empty), rows.where(~empty)
     # boxes at the same place: only the best one can stay
     narrow = keep_first(solid.select(*keys, "_box", "_rank"), [*by, "_box"], ["_rank"])
@@ -239,23 +241,26 @@ def _rounds(
         & (F.col("_cx") == at("x")) & (F.col("_cy") == at("y"))
         & (_overlap(own, other_box) >= threshold))
     edges = cut_lineage(conflicts.select(F.col("_r").alias("better"), F.col("_r2").alias("worse")))
-    # boxes outside every conflict stay; the rounds only see the others
-    waiting = open_boxes.select("_r")
-    lost_all: list[DataFrame] = []
-    while not edges.isEmpty():
-        blocked = edges.select(F.col("worse").alias("better")).distinct()
-        first = edges.select("better").distinct().join(blocked, "better", "left_anti")
-        lost = cut_lineage(edges.join(first, "better", "left_semi").select("worse").distinct())
-        lost_all.append(lost.select(F.col("worse").alias("_r")))
-        edges = cut_lineage(
-            edges.join(lost, "worse", "left_anti")
-            .join(lost.select(F.col("worse").alias("better")), "better", "left_anti"))
-    kept = waiting if not lost_all else waiting.join(reduce(DataFrame.union, lost_all), "_r", "left_anti")
+    # boxes outside every conflict stay
+    joined = components(edges.select(F.col("worse").alias("a"), F.col("better").alias("b")))
+    sets = edges.join(joined.withColumnRenamed("node", "better"), "better", "left").withColumn(
+        "root", F.coalesce("root", "better"))
+    lost = sets.groupBy("root").applyInPandas(_lost_in_order, "_r long")
+    kept = open_boxes.select("_r").join(lost, "_r", "left_anti")
     kept = reduce(DataFrame.union, won, kept)
     stay = ranked.join(kept, "_r", "left_semi").select(*keys)
     return flat.unionByName(solid.join(stay, keys, "left_semi").select(*flat.columns))
 
 
+def _lost_in_order(edges: pd.DataFrame) -> pd.DataFrame:
+    """Boxes that a kept box of better rank suppresses, within one connected set of conflicts."""
+    lost: set[int] = set()
+    for better, worse in sorted(zip(edges["better"], edges["worse"])):
+        if better not in lost:  # every conflict that could remove it has been seen
+            lost.add(worse)
+    return pd.DataFrame({"_r": sorted(lost)}, dtype="int64")
+
+
 def nms_xywh(df: DataFrame, by: Sequence[str], ids: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """Suppression of centre-form detections by ``confidence``."""
     half_w, half_h = F.col("width") / 2, F.col("height") / 2

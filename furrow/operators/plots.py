@@ -66,8 +66,8 @@ def plot_data(synced: DataFrame, borders: DataFrame, image: str, order: str) ->
     out = first.withColumnRenamed(image, "image_name").withColumn("has_plot_metadata", F.lit(named))
     if not named:
         return out
-    return out.join(borders.select("plot_index", "Plot", "Accession").dropDuplicates(["plot_index"]),
-                    "plot_index", "left")
+    known = keep_first(borders.select("plot_index", "Plot", "Accession"), ["plot_index"], ["Plot", "Accession"])
+    return out.join(known, "plot_index", "left")
 
 
 def max_plot_index(synced: DataFrame) -> DataFrame:
@@ -100,7 +100,8 @@ def with_plot_labels(df: DataFrame, borders: DataFrame) -> DataFrame:
     """Left join to the borders of real plots for ``plot_label`` and ``accession``."""
     known = borders.where(F.col("plot_index") > 0).select(
         "plot_index", F.col("Plot").alias("plot_label"), F.col("Accession").alias("accession"))
-    return df.join(known.dropDuplicates(["plot_index"]), "plot_index", "left")
+    known = keep_first(known, ["plot_index"], ["plot_label", "accession"])
+    return df.join(known, "plot_index", "left")
 
 
 def export_names(borders: DataFrame) -> DataFrame:
@@ -354,7 +355,7 @@ def merge_detections(existing: DataFrame, traits: DataFrame) -> DataFrame:
     counts = [c for c in traits.columns if "/" in c or "Total_Detections_" in c]
     new = traits.select("plot", *[q(c).alias(f"_new{i}") for i, c in enumerate(counts)],
                         F.lit(True).alias("_hit"))
-    new = keep_first(new, ["plot"], [F.lit(0)]) if not counts else new.dropDuplicates(["plot"])
+    new = keep_first(new, ["plot"], [f"_new{i}" for i in range(len(counts))] or [F.lit(0)])
     joined = existing.join(new, "plot", "left")
     out = [q(c) for c in existing.columns if c not in counts]
     for i, c in enumerate(counts):

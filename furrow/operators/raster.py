@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from furrow.functions.geo import ring_bounds, to_utm
 from furrow.functions.pixels import excess_green, hsv_leaf_mask, low_gain_fix, to_byte
 from furrow.operators.spatial import box_pairs
-from furrow.plans.skew import exact_quantiles
+from furrow.plans.skew import exact_quantiles, keep_first
 
 RASTER = "raster_id"
 
@@ -86,8 +86,8 @@ def plot_windows(
 
 def apply_calibration(meta: DataFrame, calibration: DataFrame) -> DataFrame:
     """Camera constants PlanckR1 and PlanckO replaced where the serial is calibrated."""
-    known = calibration.select(F.col("SN").alias("CameraSerialNumber"), "PR1", "PO").dropDuplicates(
-        ["CameraSerialNumber"])
+    known = calibration.select(F.col("SN").alias("CameraSerialNumber"), "PR1", "PO")
+    known = keep_first(known, ["CameraSerialNumber"], ["PR1", "PO"])
     return meta.join(known, "CameraSerialNumber", "left").withColumn(
         "PlanckR1", F.coalesce("PR1", "PlanckR1")).withColumn(
         "PlanckO", F.coalesce("PO", "PlanckO")).drop("PR1", "PO")
@@ -333,10 +333,10 @@ def _corners(rasters: DataFrame) -> DataFrame:
         corner(F.lit(0), F.lit(0)), corner(w, F.lit(0)), corner(w, h), corner(F.lit(0), h))).alias("_p"))
 
 
-def mosaic_grid(rasters: DataFrame, max_dimension: int = 5000) -> DataFrame:
+def mosaic_grid(rasters: DataFrame, max_dimension: int | None = None) -> DataFrame:
     """Common grid: union of all bounds at the finest pixel size, one row.
 
-    A grid wider or higher than ``max_dimension`` gets coarser pixels instead.
+    With ``max_dimension``, a wider or higher grid gets coarser pixels instead.
     """
     tiny = 1e-10
     size = lambda n: F.col(f"_hi_{n}") - F.col(f"_lo_{n}")
@@ -350,10 +350,11 @@ def mosaic_grid(rasters: DataFrame, max_dimension: int = 5000) -> DataFrame:
         F.min("_lo_x").alias("x0"), F.max("_hi_x").alias("x1"), F.min("_lo_y").alias("y0"),
         F.max("_hi_y").alias("y1"), F.min(pixel).alias("px"))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    big = ((w / F.col("px")).cast("int") > max_dimension) | ((h / F.col("px")).cast("int") > max_dimension)
-    fitted = whole.withColumn("px", F.when(
-        big, F.greatest(w / max_dimension, h / max_dimension, F.col("px"))).otherwise(F.col("px")))
-    sized = fitted.withColumn("width", (w / F.col("px")).cast("int")).withColumn(
+    if max_dimension is not None:
+        big = F.greatest((w / F.col("px")).cast("long"), (h / F.col("px")).cast("long")) > max_dimension
+        whole = whole.withColumn("px", F.when(
+            big, F.greatest(w / max_dimension, h / max_dimension, F.col("px"))).otherwise(F.col("px")))
+    sized = whole.withColumn("width", (w / F.col("px")).cast("int")).withColumn(
         "height", (h / F.col("px")).cast("int"))
     return sized.select(F.struct(
         "x0", "y1", (w / F.col("width")).alias("xres"), (h / F.col("height")).alias("yres"),
@@ -367,7 +368,7 @@ def _with_affine(pixels: DataFrame, rasters: DataFrame) -> DataFrame:
 
 def mosaic(
     pixels: DataFrame, rasters: DataFrame, bands: Sequence[str] = ("r", "g", "b"),
-    max_dimension: int = 5000, background: int = 255,
+    max_dimension: int | None = None, background: int = 255,
 ) -> DataFrame:
     """Rotated rasters merged on one grid: per band, the last non-zero value stays.
 

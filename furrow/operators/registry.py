@@ -43,16 +43,17 @@ def facet(catalog: DataFrame, level: str, **keys: str) -> DataFrame:
 def children(catalog: DataFrame, path: str, column: str = "path") -> DataFrame:
     """Names directly below a folder, and whether each is a folder itself."""
     prefix = path.strip("/") + "/" if path.strip("/") else ""
-    rest = F.split(F.substring(F.col(column), len(prefix) + 1, 1 << 20), "/")
+    rest = F.split(F.call_function("substring", F.col(column), F.lit(len(prefix) + 1)), "/")
     return catalog.where(F.startswith(F.col(column), F.lit(prefix))).select(
         F.get(rest, F.lit(0)).alias("name"), (F.size(rest) > 1).alias("folder")
     ).groupBy("name").agg(F.max("folder").alias("is_directory")).orderBy("name")
 
 
-def tree(catalog: DataFrame, column: str = "path", depth: int = 9) -> DataFrame:
-    """Every folder down to ``depth``, with its parent and number of files below."""
+def tree(catalog: DataFrame, column: str = "path", depth: int | None = None) -> DataFrame:
+    """Every folder, down to ``depth`` if given, with its parent and number of files below."""
     parts = F.split(F.col(column), "/")
-    levels = F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts) - 1))
+    folders = F.size(parts) - 1
+    levels = F.sequence(F.lit(1), folders if depth is None else F.least(F.lit(depth), folders))
     inside = catalog.where(F.size(parts) > 1).select(parts.alias("_p"), F.explode(levels).alias("depth"))
     path = lambda n: F.array_join(F.slice("_p", 1, n), "/")
     return inside.groupBy(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.geo import (
-    geodesic_m, local_distance_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
+    FLATTENING, SEMI_MAJOR, geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first
 
@@ -146,31 +146,33 @@ def max_overlap_join(
 def _near_pairs(
     left: DataFrame, right: DataFrame, radius_m: float, l_lat: str, l_lon: str, r_lat: str, r_lon: str,
 ) -> DataFrame:
-    """Pairs whose bands and cells are neighbours, a superset of those within the radius.
+    """Pairs at most ``radius_m`` apart in a straight line, a superset of those within the radius.
 
-    Latitude bands are one radius high; within a band the cells are one radius
-    wide at the band's poleward edge.  Right rows also appear 360 degrees away
-    so that cells meet across the date line.
+    Positions are taken in space, where neither the poles nor the date line are
+    special: cells are cubes as wide as the radius, and right rows also lie in
+    the 26 around theirs.  The straight line is never longer than the geodesic.
     """
-    high = radius_m / METRES_PER_DEGREE
-    edge = lambda band: F.least(F.lit(89.9), F.greatest(F.abs(band * high), F.abs((band + 1) * high)))
-    width = lambda band: F.lit(high) / F.cos(F.radians(edge(band)))
-    spots = (
-        right.where(F.col(r_lat).isNotNull() & F.col(r_lon).isNotNull())
-        .withColumn("_band", F.explode(F.sequence(
-            F.floor(F.col(r_lat) / high) - 1, F.floor(F.col(r_lat) / high) + 1)))
-        .withColumn("_w", width(F.col("_band")))
-        .withColumn("_at", F.explode(F.array(
-            F.col(r_lon), F.col(r_lon) - 360, F.col(r_lon) + 360)))
-        .where(F.abs("_at") <= 180 + F.col("_w"))
-        .withColumn("_cell", F.explode(F.sequence(
-            F.floor(F.col("_at") / F.col("_w")) - 1, F.floor(F.col("_at") / F.col("_w")) + 1)))
-        .drop("_w", "_at")
-    )
-    band = F.floor(F.col(l_lat) / high)
-    placed = left.where(F.col(l_lat).isNotNull() & F.col(l_lon).isNotNull()).withColumn(
-        "_band", band).withColumn("_cell", F.floor(F.col(l_lon) / width(band)))
-    return placed.join(spots, ["_band", "_cell"]).drop("_band", "_cell")
+    e2 = FLATTENING * (2 - FLATTENING)
+
+    def placed(df: DataFrame, lat: str, lon: str, side: str) -> DataFrame:
+        up, along = F.radians(lat), F.radians(lon)
+        bend = F.lit(SEMI_MAJOR) / F.sqrt(1 - e2 * F.sin(up) * F.sin(up))
+        place = {"x": bend * F.cos(up) * F.cos(along), "y": bend * F.cos(up) * F.sin(along),
+                 "z": bend * (1 - e2) * F.sin(up)}
+        return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns(
+            {f"_{side}{c}": v for c, v in place.items()})
+
+    axes = ("x", "y", "z")
+    cell = lambda c: F.floor(F.col(c) / radius_m)
+    spots = placed(right, r_lat, r_lon, "r")
+    for c in axes:
+        spots = spots.withColumn(f"_c{c}", F.explode(F.sequence(cell(f"_r{c}") - 1, cell(f"_r{c}") + 1)))
+    rows = placed(left, l_lat, l_lon, "l").withColumns({f"_c{c}": cell(f"_l{c}") for c in axes})
+    gaps = [F.col(f"_l{c}") - F.col(f"_r{c}") for c in axes]
+    # positions in metres carry rounding of about 1e-9
+    line = F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2])
+    return rows.join(spots, [f"_c{c}" for c in axes]).where(line <= radius_m + 1e-6).drop(
+        *[f"_{side}{c}" for side in "clr" for c in axes])
 
 
 def nearest_within(
@@ -187,18 +189,15 @@ def nearest_within(
     pairs = _near_pairs(left.select(*ids, lat, lon), renamed, radius_m, lat, lon,
                         f"{prefix}{lat}", f"{prefix}{lon}")
     ends = [F.col(c) for c in (lat, lon, f"{prefix}{lat}", f"{prefix}{lon}")]
-    # close neighbours are ranked by the cheap distance; the exact one decides about the radius
-    close = radius_m <= 1000
-    ranked = pairs.withColumn("_m", (local_distance_m if close else geodesic_m)(*ends))
+    ranked = pairs.withColumn("_m", geodesic_m(*ends))
     best = (
-        ranked.where(F.col("_m") <= radius_m * (1 + 1e-6))
+        ranked.where(F.col("_m") <= radius_m)
         .groupBy(*ids)
         .agg(F.min_by(F.struct(*renamed.columns), F.struct(
             "_m", *[f"{prefix}{o}" for o in order])).alias("_best"))
     )
     found = left.join(best, list(ids)).select(*left.columns, "_best.*")
-    return found.withColumn(f"{prefix}distance", geodesic_m(*ends, 4 if close else 8)).where(
-        F.col(f"{prefix}distance") <= radius_m)
+    return found.withColumn(f"{prefix}distance", geodesic_m(*ends))
 
 
 def select_gcp_images(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.plans.skew import keep_first
+
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     jvm = spark.sparkContext._jvm
@@ -52,16 +52,23 @@ def anti_new(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFr
     return new.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """Whether the folder exists and holds more than markers and unfinished work."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(root)) and any(
+        not status.getPath().getName().startswith(("_", ".")) for status in fs.listStatus(root))
+
+
 def append_new(target: str, batch: DataFrame, keys: Sequence[str]) -> None:
     """Append the rows whose key the Parquet table at ``target`` does not hold yet.
 
     Running the same batch twice adds nothing the second time.
     """
     spark = batch.sparkSession
-    batch = batch.dropDuplicates(list(keys))
-    try:
-        existing = spark.read.parquet(target)
-    except (AnalysisException, Py4JJavaError):
-        existing = None
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns]))
+    batch = keep_first(batch, list(keys), [rest])
+    # only a missing table counts as new; a table that can't be read raises
+    existing = spark.read.parquet(target) if _has_files(spark, target) else None
     fresh = batch if existing is None else anti_new(batch, existing, keys)
     fresh.select(*[F.col(f"`{c}`") for c in batch.columns]).write.mode("append").parquet(target)

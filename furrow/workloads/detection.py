@@ -39,10 +39,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # greedy suppression as a fold over the sorted boxes of a group
-def _greedy(by: str, threshold: float) -> str:
+CENTRE = "'x1': x - width / 2, 'y1': y - height / 2, 'x2': x + width / 2, 'y2': y + height / 2"
+
+
+def _greedy(by: str, threshold: float, corners: str = CENTRE) -> str:
     return f"""
 sorted AS (
-  SELECT {by}, list({{'x1': x - width / 2, 'y1': y - height / 2, 'x2': x + width / 2, 'y2': y + height / 2,
+  SELECT {by}, list({{{corners},
                       'k': [l_orderkey, l_linenumber, l_partkey], 'p': l_extendedprice}}
               ORDER BY -confidence, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS all_boxes
   FROM boxes GROUP BY {by}
@@ -80,7 +83,14 @@ def suppress_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_brand", "l_orderkey", "l_partkey", "l_extendedprice")
 
 
-@work.query("suppress_in_batches")
+@work.query("suppress_in_batches", f"""
+WITH {BOXES_SQL.replace('boxes AS', 'plain AS')}, boxes AS (SELECT *, (row_number() OVER (
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) // 1000 AS batch FROM plain),
+{_greedy('batch', 0.7, "'x1': x / 10, 'y1': y / 10, 'x2': (x + width) / 10 + 1, 'y2': (y + height) / 10 + 1, 'line': l_linenumber")},
+e AS (SELECT unnest(kept) AS b FROM kept)
+SELECT b.k[1] AS l_orderkey, b.line AS l_linenumber, b.k[3] AS l_partkey, b.p AS l_extendedprice FROM e
+"""
+)
 def suppress_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir).select(
         *IDS, F.col("confidence").alias("score"), (F.col("x") / 10).alias("x1"), (F.col("y") / 10).alias("y1"),

@@ -24,10 +24,9 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 > 0, F.col("value") / 17).alias("yaw"))
 
 
-# the small offset keeps exact ties away from the last digit, where the engines round differently
 @work.query("gps_quality_means", """
-SELECT l_suppkey, round(avg(l_quantity) + 1.23e-8, 6) AS avg_heading_accuracy, round(avg(l_tax) + 1.23e-8, 6) AS avg_speed_accuracy,
-       round(avg(l_discount) + 1.23e-8, 6) AS avg_horizontal_accuracy, round(avg(l_linenumber) + 1.23e-8, 6) AS avg_vertical_accuracy
+SELECT l_suppkey, round(avg(l_quantity), 9) AS avg_heading_accuracy, round(avg(l_tax), 9) AS avg_speed_accuracy,
+       round(avg(l_discount), 9) AS avg_horizontal_accuracy, round(avg(l_linenumber), 9) AS avg_vertical_accuracy
 FROM lineitem GROUP BY 1
 """)
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", F.col("l_quantity").alias("heading_accuracy"), F.col("l_tax").alias("speed_accuracy"),
         F.col("l_discount").alias("horizontal_accuracy"), F.col("l_linenumber").alias("vertical_accuracy"))
     out = T.gps_quality(li, "pvt", ["l_suppkey"])
-    return out.select("l_suppkey", *[F.round(F.col(c) + 1.23e-8, 6).alias(c) for c in out.columns[1:]])
+    return out.select("l_suppkey", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
 @work.query("altitude_source_summary", """

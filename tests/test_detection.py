@@ -114,3 +114,30 @@ def test_result_file_preference(spark):
     assert pick(names, "segmentation") == names[2]
     assert pick(names, "detection") == names[1]
     assert pick(names[:2], "segmentation") == names[0]
+
+
+@pytest.mark.parametrize("n", [500, 600])
+def test_nulls_count_the_same_in_small_and_large_groups(spark, n):
+    box = "array(double(x), double(y), double(x) + 1, double(y) + 1)"
+    apart = spark.range(n).selectExpr("id", "id % 30 * 5 AS x", "id DIV 30 * 5 AS y").selectExpr(
+        "id", "if(id >= 0, null, 1) AS image", f"{box} AS b", "double(id) AS score")
+    # half of the boxes lack a corner, and every box comes twice
+    rows = apart.selectExpr("id", "image", "b[0] AS x1", "b[1] AS y1", "if(id % 2 = 0, null, b[2]) AS x2", "b[3] AS y2", "score")
+    twice = rows.unionByName(rows.withColumn("id", F.col("id") + n))
+    out = D.nms(twice, ["image"], tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), "score", ["id"]).collect()
+    assert sum(r["x2"] is None for r in out) == 2 * ((n + 1) // 2)
+    assert sorted(r["id"] for r in out if r["x2"] is not None) == list(range(1, n, 2))
+
+
+def test_a_chain_of_boxes_costs_few_tables(spark, monkeypatch):
+    from furrow.plans import graph
+
+    written = []
+    for module in (D, graph):
+        cut = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, cut=cut: written.append(1) or cut(df))
+    n = 1000
+    chain = spark.range(n).selectExpr("0 AS g", "id", "id * 0.3D AS x1", "0D AS y1", "id * 0.3D + 1 AS x2", "1D AS y2", "-double(id) AS score")
+    out = D.nms(chain, ["g"], tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), "score", ["id"], 0.5).collect()
+    assert sorted(r["id"] for r in out) == list(range(0, n, 2))
+    assert len(written) <= 20

@@ -134,3 +134,10 @@ def test_plot_windows_grow_by_a_tenth_and_skip_unknown_plots(spark):
     w, h = out[0]["width"] * 0.1, out[0]["height"] * 0.1
     assert w == pytest.approx(1.2 * 8.72, rel=0.05) and h == pytest.approx(1.2 * 11.1, rel=0.05)
     assert out[0]["col_off"] * 0.1 == pytest.approx(10 - 0.1 * w / 1.2, abs=0.5)
+
+
+def test_mosaic_keeps_its_resolution(spark):
+    wide = spark.createDataFrame([(0, 0, 9000, 10, 1.0, 0.0, 0.0, 0.0, -1.0, 10.0)],
+                                 "raster_id int, plot_order int, width int, height int, a double, b double, c double, d double, e double, f double")
+    assert R.mosaic_grid(wide).first()["grid"]["width"] == 9000
+    assert R.mosaic_grid(wide, 5000).first()["grid"]["width"] == 5000

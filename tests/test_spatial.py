@@ -108,3 +108,12 @@ def test_later_intervals_overwrite(spark, collect):
     assert [r[1] for r in collect(out.select("row", "plot_index"), "row")] == [-1, 11, 11, 11, 22, 22, 22, 22, -1, -1]
     assert [r[1] for r in collect(out.select("row", "d"), "row")][3:6] == ["up", None, None]
     assert interval_join(rows.select("row"), spans.select("a", "b", "o"), "row", "a", "b", 2).count() == 5 + 4 + 5
+
+
+def test_neighbours_at_the_pole_and_across_the_date_line(spark):
+    left = spark.createDataFrame([(1, 89.99, 10.0), (2, 89.999, -170.0), (3, 10.0, 179.99999), (4, -89.99999, 0.0), (5, None, 1.0)],
+                                 "id int, lat double, lon double")
+    right = spark.createDataFrame([(0, "a", 89.99, 10.09), (1, "b", 89.999, -169.1), (2, "c", 10.0, -179.99999),
+                                   (3, "d", -89.99999, 180.0), (4, "e", 0.0, 0.0)], "ordinal int, label string, lat double, lon double")
+    out = {r["id"]: r["r_label"] for r in nearest_within(left, right, 2.6, ["id"], ["ordinal"]).collect()}
+    assert out == {1: "a", 2: "b", 3: "c", 4: "d"}

@@ -165,3 +165,18 @@ def test_progress_jobs_batch_equals_stream(spark, tmp_path, collect):
 def test_upload_is_complete_with_all_parts(spark):
     parts = spark.createDataFrame([("a", 0, 2), ("a", 1, 2), ("a", 1, 2), ("b", 0, 2), ("b", 7, 2)], "file_identifier string, chunk_index int, total_chunks int")
     assert {r["file_identifier"]: r["complete"] for r in jobs.upload_status(parts).collect()} == {"a": True, "b": False}
+
+
+def test_append_to_a_table_that_cannot_be_read_raises(spark, tmp_path):
+    target = tmp_path / "t"
+    target.mkdir()
+    (target / "part-00000.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        append_new(str(target), spark.createDataFrame([(1, "a")], "k int, v string"), ["k"])
+    assert [p.name for p in target.iterdir() if p.name.startswith("part")] == ["part-00000.parquet"]
+
+
+def test_folders_of_any_depth(spark):
+    path = "/".join("abcdefghijkl") + "/x.jpg"
+    rows = spark.createDataFrame([(path,)], "path string")
+    assert R.tree(rows).count() == 12 and R.tree(rows, depth=9).count() == 9
