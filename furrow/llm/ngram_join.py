@@ -9,7 +9,7 @@ shingles first, so that two linked sets share a shingle within a short prefix:
    occur nowhere else links with nothing and is settled there;
 2. equal sets collapse to one class, so copies cost one row;
 3. classes that share a shingle of their prefixes fall into one candidate
-   cluster (``graph.components``; no pairs are formed);
+   cluster (``components``; no pairs are formed);
 4. within a cluster the ordered sets go into a prefix tree.  A probe walks it
    with the overlap counted so far, shared by all sets below a node, and leaves
    a subtree when the lengths that remain can't reach the threshold, or when
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm import exchange, text
-from furrow.llm.graph import components
+from furrow.plans.graph import components
 from furrow.llm.text import U64
 from furrow.plans.session import cut_lineage
 
