@@ -141,7 +141,7 @@ def stream_asof(
     ``on`` is a timestamp on both sides.  An interval join with watermarks keeps
     only rows that can still match; the nearest is picked when the watermark has
     passed the left row.  Ties go to the earlier row, rows later than the
-    watermark are dropped, and left rows without a match do not come back.
+    watermark are dropped, and left rows without a match come back with nulls.
     """
     renamed = right.withWatermark(on, watermark).select(
         *[F.col(c).alias(f"{prefix}{c}") for c in right.columns])
@@ -149,7 +149,7 @@ def stream_asof(
     near = left.withWatermark(on, watermark).join(
         renamed,
         (F.col(f"{prefix}{on}") >= F.col(on) - interval) & (F.col(f"{prefix}{on}") <= F.col(on) + interval)
-        & _same_keys(by, prefix))
+        & _same_keys(by, prefix), "left")
     gap = F.abs(F.unix_micros(on) - F.unix_micros(f"{prefix}{on}"))
     found = [c for c in renamed.columns if c not in [f"{prefix}{k}" for k in by]]
     best = near.groupBy(*by, left_id, on).agg(F.min_by(

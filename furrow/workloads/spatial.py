@@ -101,25 +101,34 @@ def images_in_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_query(images, areas)
 
 
-# Footprints from events; plots are boxes only, so the overlap is a rectangle in SQL.
+# integral of a height held between 0 and {top}, over a side on which it falls from {v} to 0
+HELD_SQL = ("(CASE WHEN {v} <= 0 THEN 0 WHEN {v} < {top} THEN {v} * {v} / 2 "
+            "ELSE {top} * {top} / 2 + {top} * ({v} - {top}) END)")
+
+
+# Footprints from events; under a triangle's long side the height falls along x.
 @work.query("max_overlap_plot", f"""
-WITH {TRACK_SQL}, {PLOTS_SQL}, o AS (
-  SELECT event_id, ordinal,
-         (least(lon + 3e-6, x0 + w) - greatest(lon, x0)) * 1e6
-           * (least(lat + 5e-6, y0 + h) - greatest(lat, y0)) * 1e6 AS area
+WITH {TRACK_SQL}, {PLOTS_SQL}, near AS (
+  SELECT event_id, ordinal, is_box, w * 1e6 AS w, h * 1e6 AS h,
+         (greatest(lon, x0) - x0) * 1e6 AS a, (least(lon + 3e-6, x0 + w) - x0) * 1e6 AS b,
+         (greatest(lat, y0) - y0) * 1e6 AS c, (least(lat + 5e-6, y0 + h) - y0) * 1e6 AS d
   FROM track, plots
-  WHERE is_box AND lon < x0 + w AND lon + CAST(3e-6 AS DOUBLE) > x0
+  WHERE lon < x0 + w AND lon + CAST(3e-6 AS DOUBLE) > x0
     AND lat < y0 + h AND lat + CAST(5e-6 AS DOUBLE) > y0
+), o AS (
+  SELECT event_id, ordinal, CASE WHEN is_box THEN (b - a) * (d - c)
+         ELSE w / h * ({HELD_SQL.format(v="(h - h / w * a - c)", top="(d - c)")}
+                       - {HELD_SQL.format(v="(h - h / w * b - c)", top="(d - c)")}) END AS area FROM near
 ), best AS (SELECT event_id, max(area) AS area FROM o GROUP BY event_id)
-SELECT event_id, round(coalesce(area, 0), 3) AS overlap FROM events LEFT JOIN best USING (event_id)
+SELECT event_id, round(coalesce(area, 0), 5) AS overlap FROM events LEFT JOIN best USING (event_id)
 """)
 def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = track(spark, sf_dir).select(
         "event_id", F.col("lon").alias("x0"), F.col("lat").alias("y0"),
         (F.col("lon") + 3e-6).alias("x1"), (F.col("lat") + 5e-6).alias("y1"))
-    areas = plots(spark, sf_dir).where(F.col("ordinal") % 2 == 0).select("ordinal", "ring")
+    areas = plots(spark, sf_dir).select("ordinal", "ring")
     out = max_overlap_join(images, areas, ["event_id"], "ordinal")
-    return out.select("event_id", F.round(F.coalesce(F.col("overlap") * 1e12, F.lit(0.0)), 3).alias("overlap"))
+    return out.select("event_id", F.round(F.coalesce(F.col("overlap") * 1e12, F.lit(0.0)), 5).alias("overlap"))
 
 
 GCP_SQL = """
@@ -152,12 +161,12 @@ _GAP = METRES_SQL.format(lat1="t.lat", lon1="t.lon", lat2="g.lat", lon2="g.lon")
 WITH {TRACK_SQL}, {GCP_SQL}, d AS (
   SELECT event_id, g.ordinal, g.label, {_GAP} AS m FROM track t, gcps g
 )
-SELECT event_id, round(min(m), 4) AS distance FROM d WHERE m <= 2.0 GROUP BY event_id
+SELECT event_id, round(min(m), 4) AS distance, arg_min(label, m) AS label FROM d WHERE m <= 2.0 GROUP BY event_id
 """)
 def nearest_gcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = track(spark, sf_dir).select("event_id", "lat", "lon")
     out = nearest_within(images, gcps(spark, sf_dir), 2.0, ["event_id"], ["ordinal"])
-    return out.select("event_id", F.round("r_distance", 4).alias("distance"))
+    return out.select("event_id", F.round("r_distance", 4).alias("distance"), F.col("r_label").alias("label"))
 
 
 @work.query("gcp_image_selection", f"""
@@ -298,13 +307,14 @@ def heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 @work.query("border_line_to_quad", f"""
 WITH {BORDER_SQL}
 SELECT plot_index,
-       round(start_lon - CAST(1e-5 AS DOUBLE), 9) AS x1, round(start_lat + CAST(1e-5 AS DOUBLE), 9) AS y2,
-       round(end_lon + CAST(1e-5 AS DOUBLE), 9) AS x3, round(end_lat - CAST(1e-5 AS DOUBLE), 9) AS y4
+       round(start_lon - CAST(1e-5 AS DOUBLE), 9) AS x1, round(start_lat - CAST(1e-5 AS DOUBLE), 9) AS y1,
+       round(start_lon + CAST(1e-5 AS DOUBLE), 9) AS x2, round(start_lat + CAST(1e-5 AS DOUBLE), 9) AS y2,
+       round(end_lon + CAST(1e-5 AS DOUBLE), 9) AS x3, round(end_lat + CAST(1e-5 AS DOUBLE), 9) AS y3,
+       round(end_lon - CAST(1e-5 AS DOUBLE), 9) AS x4, round(end_lat - CAST(1e-5 AS DOUBLE), 9) AS y4
 FROM borders
 """)
 def quad(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = borders(spark, sf_dir).withColumn("q", line_to_quad(
         F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat")))
     at = lambda i, axis: F.round(F.get("q", F.lit(i))[axis], 9)
-    return b.select("plot_index", at(0, "x").alias("x1"), at(1, "y").alias("y2"),
-                    at(2, "x").alias("x3"), at(3, "y").alias("y4"))
+    return b.select("plot_index", *[at(i, c).alias(f"{c}{i + 1}") for i in range(4) for c in ("x", "y")])

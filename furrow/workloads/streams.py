@@ -50,10 +50,11 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @work.query("stream_asof_nearest", f"""
 WITH {TRACK_SQL}, n AS (
   SELECT l.event_id, l.stamp, arg_min(r.event_id, (abs(r.stamp - l.stamp), r.stamp, r.event_id)) AS matched_id
-  FROM track l JOIN track r ON l.user_id = r.user_id AND abs(r.stamp - l.stamp) <= 3600000000
-  WHERE l.event_type = 'view' AND r.event_type = 'click' GROUP BY ALL
+  FROM track l LEFT JOIN (SELECT * FROM track WHERE event_type = 'click') r
+    ON l.user_id = r.user_id AND abs(r.stamp - l.stamp) <= 3600000000
+  WHERE l.event_type = 'view' GROUP BY ALL
 )
-SELECT event_id, matched_id FROM n
+SELECT event_id, coalesce(matched_id, -1) AS matched_id FROM n
 """)
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
@@ -70,7 +71,7 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
         availableNow=True).format("parquet").start(f"{path}/out")
     job.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out").where(F.col("event_id") >= 0).select(
-        "event_id", F.col("r_event_id").alias("matched_id"))
+        "event_id", F.coalesce("r_event_id", F.lit(-1).cast("long")).alias("matched_id"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:

@@ -50,13 +50,13 @@ def alt_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @work.query("attitude_summary", """
 SELECT count(*) FILTER (user_id % 3 > 0 AND user_id % 4 > 0) AS complete, count(*) AS records,
-       round(max(value / 11) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS max_roll,
-       round(avg(value / 13) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS avg_pitch,
-       round(min(value / 17) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS min_yaw FROM events
+       round(min(value / 11) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS min_roll, round(max(value / 11) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS max_roll, round(avg(value / 11) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS avg_roll,
+       round(min(value / 13) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS min_pitch, round(max(value / 13) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS max_pitch, round(avg(value / 13) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS avg_pitch,
+       round(min(value / 17) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS min_yaw, round(max(value / 17) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS max_yaw, round(avg(value / 17) FILTER (user_id % 3 > 0 AND user_id % 4 > 0), 6) AS avg_yaw FROM events
 """)
 def attitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.attitude_summary(telemetry(spark, sf_dir))
-    return s.select("complete", "records", *[F.round(c, 6).alias(c) for c in ("max_roll", "avg_pitch", "min_yaw")])
+    return s.select("complete", "records", *[F.round(c, 6).alias(c) for c in s.columns[2:]])
 
 
 @work.query("flight_summary", """
