@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.geo import (
-    FLATTENING, SEMI_MAJOR, geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
+    FLATTENING, SEMI_MAJOR, SEMI_MINOR, geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first
 
@@ -146,7 +146,7 @@ def max_overlap_join(
 def _near_pairs(
     left: DataFrame, right: DataFrame, radius_m: float, l_lat: str, l_lon: str, r_lat: str, r_lon: str,
 ) -> DataFrame:
-    """Pairs at most ``radius_m`` apart in a straight line, a superset of those within the radius.
+    """Pairs with their straight ``_line`` of at most ``radius_m``, a superset of those within the radius.
 
     Positions are taken in space, where neither the poles nor the date line are
     special: cells are cubes as wide as the radius, and right rows also lie in
@@ -171,8 +171,8 @@ def _near_pairs(
     gaps = [F.col(f"_l{c}") - F.col(f"_r{c}") for c in axes]
     # positions in metres carry rounding of about 1e-9
     line = F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2])
-    return rows.join(spots, [f"_c{c}" for c in axes]).where(line <= radius_m + 1e-6).drop(
-        *[f"_{side}{c}" for side in "clr" for c in axes])
+    return rows.join(spots, [f"_c{c}" for c in axes]).withColumn("_line", line).where(
+        F.col("_line") <= radius_m + 1e-6).drop(*[f"_{side}{c}" for side in "clr" for c in axes])
 
 
 def nearest_within(
@@ -189,7 +189,12 @@ def nearest_within(
     pairs = _near_pairs(left.select(*ids, lat, lon), renamed, radius_m, lat, lon,
                         f"{prefix}{lat}", f"{prefix}{lon}")
     ends = [F.col(c) for c in (lat, lon, f"{prefix}{lat}", f"{prefix}{lon}")]
-    ranked = pairs.withColumn("_m", geodesic_m(*ends))
+    # a geodesic exceeds its chord c by less than c * (c / R)**2 / 6, with R the least radius of
+    # curvature, so only rows whose chord comes that close to the least can be nearest
+    spare = 1 + (radius_m * SEMI_MAJOR / SEMI_MINOR**2) ** 2 / 6
+    least = F.min("_line").over(Window.partitionBy(*ids))
+    ranked = pairs.withColumn("_least", least).where(
+        F.col("_line") <= F.col("_least") * spare + 1e-6).withColumn("_m", geodesic_m(*ends))
     best = (
         ranked.where(F.col("_m") <= radius_m)
         .groupBy(*ids)
