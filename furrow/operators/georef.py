@@ -2,7 +2,7 @@
 
 Everything about a track is an aggregate per plot.  The numbers that depend on
 row order come from the first and last row by stamp and, for the path length,
-from the previous position carried across time buckets.
+from the previous position carried along the track.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.geo import rotated_affine, to_utm, utm_epsg
-from furrow.plans.skew import carry, keep_first, same, time_bucket
+from furrow.plans.skew import carry, keep_first, same
 
 # Fixed values of the georeferencing.
 ANGLE_LIMIT_DEG = 30.0
@@ -89,15 +89,14 @@ def axis_extents(
         (F.col("v_min") - v_pad).alias("v_min"), (F.col("v_max") + v_pad).alias("v_max"), "v_std")
 
 
-def track_length(tracks: DataFrame, by: Sequence[str], order: str, bucket: float) -> DataFrame:
+def track_length(tracks: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Direct and path length, and mean and deviation of the point spacing.
 
-    ``order`` is numeric; rows at one stamp count once.  ``bucket`` is the width
-    of the stamp buckets a track is cut into.
+    Rows at one stamp count once.
     """
     points = keep_first(tracks.select(*by, order, "x", "y"), [*by, order], ["x", "y"])
     points = points.withColumn("_here", F.struct("x", "y"))
-    stepped = carry(points, by, order, time_bucket(order, bucket), {"_prev": "_here"})
+    stepped = carry(points, by, order, {"_prev": "_here"})
     step = F.sqrt(F.pow(F.col("x") - F.col("_prev.x"), F.lit(2))
                   + F.pow(F.col("y") - F.col("_prev.y"), F.lit(2)))
     sums = stepped.withColumn("_step", step).groupBy(*by).agg(
@@ -182,7 +181,7 @@ def track_direction(tracks: DataFrame, by: Sequence[str], order: str) -> DataFra
 
 
 def georeference_plots(
-    tracks: DataFrame, images: DataFrame, by: Sequence[str], order: str, bucket: float,
+    tracks: DataFrame, images: DataFrame, by: Sequence[str], order: str,
     strategy: str = "fixed", prefer: str = "direct", offset_x: float = 0.0, offset_y: float = 0.0,
 ) -> DataFrame:
     """Affine of each plot's stitched image from its GPS track.
@@ -194,7 +193,7 @@ def georeference_plots(
     plane = plane.withColumn("x", F.col("x") + offset_x).withColumn("y", F.col("y") + offset_y)
     headings = track_heading(plane, by, order)
     spans = axis_extents(plane, headings, by)
-    lengths = track_length(plane, by, order, bucket)
+    lengths = track_length(plane, by, order)
     turns = track_direction(plane, by, order)
     zone = plane.groupBy(*by).agg(F.first("epsg").alias("epsg"))
     per_plot = headings.select(*by, "theta", "cx", "cy")

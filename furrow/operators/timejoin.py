@@ -1,11 +1,9 @@
 """Joins along time: nearest, interpolated, many streams at once.
 
-All of them work on distinct instants.  Rows that share a key and a stamp get
-the same match, so the left side is reduced to its distinct (key, stamp) pairs
-and the right side to its first row per pair before anything is sorted: copies
-collapse in the map-side aggregate.  Each key is then cut into time buckets
-(see ``carry``), and the match goes back to the full left rows by an equi-join
-that adaptive execution may split.
+Left and right rows travel together, cut into ranges of (key, stamp) (see
+``carry``), so a match needs no join back to the left rows.  The right side is
+reduced to its first row per key and stamp before: copies collapse in the
+map-side aggregate.  Left rows without a stamp match nothing.
 """
 
 from __future__ import annotations
@@ -15,46 +13,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.plans.skew import carry, keep_first, same, time_bucket
+from furrow.plans.skew import carry, keep_first, same
 
 
-def _instants(
+def _fields(columns: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in columns])
+
+
+def _timeline(
     left: DataFrame, rights: Sequence[DataFrame], on: str, by: Sequence[str],
     orders: Sequence[Sequence[str]],
 ) -> DataFrame:
-    """One row per (key, stamp): ``_left`` and the first right row of each stream."""
-    keys = [*by, on]
-    parts = []
+    """Left rows as ``_row`` and, of each stream, the first right row per stamp as ``_r{i}``."""
+    both = left.select(*by, on, _fields(left.columns).alias("_row"))
     for i, (right, order) in enumerate(zip(rights, orders)):
         rest = [c for c in right.columns if c not in by]
-        parts.append(
-            keep_first(right.where(F.col(on).isNotNull()), keys, order or rest)
-            .select(*keys, F.lit(False).alias("_left"),
-                    F.struct(*[F.col(f"`{c}`") for c in rest]).alias(f"_r{i}")))
-    both = left.select(*keys).where(F.col(on).isNotNull()).distinct().withColumn(
-        "_left", F.lit(True))
-    for part in parts:
-        both = both.unionByName(part, allowMissingColumns=True)
-    return both.groupBy(*keys).agg(
-        F.max("_left").alias("_left"),
-        *[F.first(f"_r{i}", ignorenulls=True).alias(f"_r{i}") for i in range(len(rights))])
-
-
-def _nearest(on: str, same_instant: str, before: str, after: str) -> Column:
-    """Right row closest to the instant; the earlier of two equally close ones."""
-    gap_before = F.col(on) - F.col(before)[on]
-    gap_after = F.col(after)[on] - F.col(on)
-    return F.when(F.col(same_instant).isNotNull(), F.col(same_instant)).when(
-        F.col(after).isNull() | (gap_before <= gap_after), F.col(before)).otherwise(F.col(after))
+        first = keep_first(right.where(F.col(on).isNotNull()), [*by, on], order or rest)
+        both = both.unionByName(
+            first.select(*by, on, _fields(rest).alias(f"_r{i}")), allowMissingColumns=True)
+    return both
 
 
-def _attach(left: DataFrame, matched: DataFrame, on: str, by: Sequence[str], how: str) -> DataFrame:
-    keys = [*by, on]
-    renamed = matched.select(*[F.col(k).alias(f"_m_{k}") for k in keys],
-                             *[c for c in matched.columns if c not in keys])
-    condition = same([F.col(k) for k in by], [F.col(f"_m_{k}") for k in by]) & (
-        F.col(on) == F.col(f"_m_{on}"))
-    return left.join(renamed, condition, how).drop(*[f"_m_{k}" for k in keys])
+def _left_rows(found: DataFrame, left: DataFrame, *more: Column) -> DataFrame:
+    """The columns of the left rows, and ``more``."""
+    return found.where(F.col("_row").isNotNull()).select(
+        *[F.col("_row")[c].alias(c) for c in left.columns], *more)
+
+
+def _nearest(on: str, before: str, after: str) -> Column:
+    """Right row closest to the stamp; the earlier of two equally close ones."""
+    gap_before = F.col(on) - F.col(before)[on]
+    gap_after = F.col(after)[on] - F.col(on)
+    return F.when(F.col(on).isNotNull(), F.when(
+        F.col(after).isNull() | (gap_before <= gap_after), F.col(before)).otherwise(F.col(after)))
 
 
 def asof_nearest(
@@ -63,7 +54,6 @@ def asof_nearest(
     on: str,
     by: Sequence[str] = (),
     tolerance: float | None = None,
-    bucket: float | None = None,
     order: Sequence[str] = (),
     prefix: str = "r_",
     how: str = "left",
@@ -73,26 +63,22 @@ def asof_nearest(
     ``on`` is numeric.  The bound is inclusive, ties go to the earlier row, and
     of several right rows at one stamp the first in ``order`` counts.  Right
     columns come back with ``prefix``, the signed gap as ``{prefix}gap``.
-    ``bucket`` is the width of the time buckets a key is cut into; it is never
-    taken smaller than the tolerance.
+    ``how`` is ``left`` or ``inner``.
     """
-    if bucket is None and tolerance is None:
-        raise ValueError("give a tolerance or a bucket width")
-    width = max(v for v in (bucket, tolerance) if v is not None)
-    instants = _instants(left, [right], on, by, [order])
+    if how not in ("left", "inner"):
+        raise ValueError("how is left or inner")
     found = carry(
-        instants, by, on, time_bucket(on, width),
-        {"_before": "_r0"}, {"_after": "_r0"}, reach_one_bucket=tolerance is not None,
-    ).where("_left").withColumn("_match", _nearest(on, "_r0", "_before", "_after"))
+        _timeline(left, [right], on, by, [order]), by, on, {"_before": "_r0"}, {"_after": "_r0"},
+    ).withColumn("_match", _nearest(on, "_before", "_after"))
     gap = F.col("_match")[on] - F.col(on)
     if tolerance is not None:
         found = found.withColumn("_match", F.when(F.abs(gap) <= tolerance, F.col("_match")))
+    if how == "inner":
+        found = found.where(F.col("_match").isNotNull())
     rest = [c for c in right.columns if c not in by]
-    matched = found.where(F.col("_match").isNotNull()).select(
-        *by, on,
-        *[F.col("_match")[c].alias(f"{prefix}{c}") for c in rest],
+    return _left_rows(
+        found, left, *[F.col("_match")[c].alias(f"{prefix}{c}") for c in rest],
         gap.alias(f"{prefix}gap"))
-    return _attach(left, matched, on, by, how)
 
 
 def update_from_nearest(
@@ -114,46 +100,27 @@ def update_from_nearest(
 
 def interp_join(
     left: DataFrame, right: DataFrame, on: str, cols: Sequence[str], by: Sequence[str] = (),
-    bucket: float | None = None, order: Sequence[str] = (),
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Right columns interpolated linearly at the left stamps.
 
     Outside the right range the two outermost samples are extended; with fewer
-    than two samples the result is null.  ``bucket`` is the width of the time
-    buckets in units of ``on``; give one that holds a few thousand right rows.
+    than two samples the result is null.
     """
-    if bucket is None:
-        raise ValueError("give a bucket width")
-    samples = keep_first(
-        right.select(*by, on, *[c for c in dict.fromkeys([*cols, *order])]).where(
-            F.col(on).isNotNull()),
-        [*by, on], order or list(cols),
-    ).withColumn("_here", F.struct(on, *cols))
-    linked = carry(samples, by, on, time_bucket(on, bucket), {"_prev": "_here"}, {"_next": "_here"})
-    pairs = linked.select(*by, on, "_here", "_prev", "_next")
-    both = (
-        left.select(*by, on).where(F.col(on).isNotNull()).distinct()
-        .withColumn("_left", F.lit(True))
-        .unionByName(pairs.select(*by, on, F.lit(False).alias("_left"),
-                                  F.struct("_here", "_prev", "_next").alias("_s")),
-                     allowMissingColumns=True)
-        .groupBy(*by, on)
-        .agg(F.max("_left").alias("_left"), F.first("_s", ignorenulls=True).alias("_s"))
-    )
-    found = carry(both, by, on, time_bucket(on, bucket), {"_b": "_s"}, {"_a": "_s"}).where("_left")
-    after = F.coalesce("_s", "_a")
-    # between two samples; before the first; after the last
-    low = F.when(F.col("_b").isNotNull() & after.isNotNull(), F.col("_b")["_here"]).when(
-        after.isNotNull(), after["_here"]).otherwise(F.col("_b")["_prev"])
-    high = F.when(F.col("_b").isNotNull() & after.isNotNull(), after["_here"]).when(
-        after.isNotNull(), after["_next"]).otherwise(F.col("_b")["_here"])
-    found = found.select(*by, on, low.alias("_low"), high.alias("_high"))
+    samples = right.select(*by, on, *dict.fromkeys([*cols, *order]))
+    found = carry(
+        _timeline(left, [samples], on, by, [order or list(cols)]), by, on,
+        {"_b": "_r0"}, {"_a": "_r0"}, depth=2)
+    # after the last sample; before the first; between two
+    low = F.when(F.col("_a").isNull(), F.col("_b_2")).when(
+        F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_b"))
+    high = F.when(F.col("_a").isNull(), F.col("_b")).when(
+        F.col("_b").isNull(), F.col("_a_2")).otherwise(F.col("_a"))
+    found = found.withColumn("_low", low).withColumn("_high", high)
     slope = lambda c: (F.col("_high")[c] - F.col("_low")[c]) / (
         F.col("_high")[on] - F.col("_low")[on])
-    matched = found.select(
-        *by, on,
-        *[(slope(c) * (F.col(on) - F.col("_low")[on]) + F.col("_low")[c]).alias(c) for c in cols])
-    return _attach(left, matched, on, by, "left")
+    return _left_rows(found, left, *[
+        (slope(c) * (F.col(on) - F.col("_low")[on]) + F.col("_low")[c]).alias(c) for c in cols])
 
 
 def mean_period(df: DataFrame, on: str, by: Sequence[str] = ()) -> DataFrame:
@@ -167,7 +134,6 @@ def sync_streams(
     on: str,
     by: Sequence[str] = (),
     threshold: float | str | None = "mean_period",
-    bucket: float | None = None,
     orders: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
     """Rows of the first stream with the nearest row of every other stream.
@@ -175,22 +141,17 @@ def sync_streams(
     Rows without a match in some stream are dropped.  ``threshold`` is a largest
     gap, ``"mean_period"`` for the mean period of the first stream per key, or
     None for no bound.  Columns of stream ``i`` get the prefix ``s{i}_``.
-    All streams are matched in one pass over the union of their instants.
+    All streams are matched in one pass over the union of their rows.
     """
-    if bucket is None:
-        raise ValueError("give a bucket width")
     first, others = streams[0], list(streams[1:])
-    orders = orders or [()] * len(others)
-    instants = _instants(first, others, on, by, orders)
     n = range(len(others))
     found = carry(
-        instants, by, on, time_bucket(on, bucket),
+        _timeline(first, others, on, by, orders or [()] * len(others)), by, on,
         {f"_b{i}": f"_r{i}" for i in n}, {f"_a{i}": f"_r{i}" for i in n},
-    ).where("_left")
-    for i in n:
-        found = found.withColumn(f"_m{i}", _nearest(on, f"_r{i}", f"_b{i}", f"_a{i}"))
+    ).where(F.col("_row").isNotNull())
     keep = F.lit(True)
     for i in n:
+        found = found.withColumn(f"_m{i}", _nearest(on, f"_b{i}", f"_a{i}"))
         keep = keep & F.col(f"_m{i}").isNotNull()
     if threshold == "mean_period":
         found = _attach_period(found, mean_period(first, on, by), by)
@@ -200,11 +161,10 @@ def sync_streams(
     if bound is not None:
         for i in n:
             keep = keep & (F.abs(F.col(f"_m{i}")[on] - F.col(on)) <= bound)
-    matched = found.where(keep).select(
-        *by, on,
+    return _left_rows(
+        found.where(keep), first,
         *[F.col(f"_m{i}")[c].alias(f"s{i + 1}_{c}")
           for i in n for c in others[i].columns if c not in by])
-    return _attach(first, matched, on, by, "inner")
 
 
 def _attach_period(df: DataFrame, periods: DataFrame, by: Sequence[str]) -> DataFrame:

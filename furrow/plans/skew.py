@@ -1,8 +1,8 @@
 """Order-dependent building blocks that stay balanced under hot keys.
 
 A window partitioned by a key alone puts every row of that key into one task.
-The functions here split a key further, by range or by a bucket of its order
-column, and pass only small summaries across the splits.
+The functions here split a key further, by ranges of its order column, and
+pass only small summaries across the splits.
 """
 
 from __future__ import annotations
@@ -89,82 +89,87 @@ def carry(
     df: DataFrame,
     by: Sequence[str],
     ts: str,
-    bucket: Column,
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
-    reach_one_bucket: bool = False,
+    depth: int = 1,
 ) -> DataFrame:
-    """Last non-null value before each row and first non-null value after it.
-
-    ``previous`` and ``following`` map an output column to the nullable column
-    it carries; the current row is never its own match.  ``ts`` must be unique
-    within ``by``.  Each key is cut into time buckets: windows run inside one
-    (key, bucket), and only the first and last value of each bucket travels
-    between buckets.  With ``reach_one_bucket`` values from further than the
-    neighbouring bucket are not needed and the summary needs no per-key window.
+    """Nearest non-null values before and after each row, per key, in the order of ``ts``.
+
+    ``previous`` and ``following`` map an output column to the nullable column it
+    carries; a row is never its own match.  With ``depth=2`` the value beyond the
+    nearest one comes along as ``{output}_2``.  Per key and carried column the
+    stamps of non-null values must be unique; at one stamp rows with a value
+    come before rows without any, and rows without a stamp come first of all.
+
+    Rows are cut into ranges of (key, stamp), so neither a hot key nor a crowded
+    stretch of time fills one task.  A key that crosses a range border needs the
+    values next to it: of each range at most ``depth`` values per key, column and
+    end are copied to the ranges that look for them.  The cut is written to the
+    shared folder because it must be the same in all its uses.
     """
     previous, following = previous or {}, following or {}
-    sources = sorted(set(previous.values()) | set(following.values()))
-    keys = [F.col(k) for k in by]
-    rows = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket")
-    up = inside.orderBy(F.col(ts).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    down = inside.orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    scanned = rows
-    for out, src in previous.items():
-        scanned = scanned.withColumn(out, F.last(src, ignorenulls=True).over(up))
-    for out, src in following.items():
-        scanned = scanned.withColumn(out, F.last(src, ignorenulls=True).over(down))
-
-    edges = []
-    for i, src in enumerate(sources):
-        when_set = F.when(F.col(src).isNotNull(), F.col(ts))
-        edges += [F.max_by(src, when_set).alias(f"_hi{i}"), F.min_by(src, when_set).alias(f"_lo{i}")]
-    summary = rows.groupBy(*keys, "_bucket").agg(*edges)
-    if reach_one_bucket:
-        shifted = [
-            summary.select(
-                *keys,
-                (F.col("_bucket") + step).alias("_bucket"),
-                *[(F.col(f"_hi{i}") if step == 1 else F.lit(None)).alias(f"_in_hi{i}")
-                  for i in range(len(sources))],
-                *[(F.col(f"_lo{i}") if step == -1 else F.lit(None)).alias(f"_in_lo{i}")
-                  for i in range(len(sources))],
-            )
-            for step in (1, -1)
-        ]
-        both = shifted[0].unionByName(shifted[1])
-        carried = both.groupBy(*keys, "_bucket").agg(
-            *[F.first(f"_in_{e}{i}", ignorenulls=True).alias(f"_in_{e}{i}")
-              for i in range(len(sources)) for e in ("hi", "lo")])
-    else:
-        across = Window.partitionBy(*keys)
-        over_up = across.orderBy(F.col("_bucket").asc()).rowsBetween(Window.unboundedPreceding, -1)
-        over_down = across.orderBy(F.col("_bucket").desc()).rowsBetween(
-            Window.unboundedPreceding, -1)
-        carried = summary.select(
-            *keys, "_bucket",
-            *[F.last(f"_hi{i}", ignorenulls=True).over(over_up).alias(f"_in_hi{i}")
-              for i in range(len(sources))],
-            *[F.last(f"_lo{i}", ignorenulls=True).over(over_down).alias(f"_in_lo{i}")
-              for i in range(len(sources))],
-        )
-    renamed = carried.select(
-        *[F.col(k).alias(f"_k_{k}") for k in by], F.col("_bucket").alias("_k_bucket"),
-        *[c for c in carried.columns if c.startswith("_in_")])
-    on = same([*keys, F.col("_bucket")],
-              [*[F.col(f"_k_{k}") for k in by], F.col("_k_bucket")])
-    joined = scanned.join(renamed, on, "left")
-    for out, src in previous.items():
-        joined = joined.withColumn(out, F.coalesce(out, f"_in_hi{sources.index(src)}"))
-    for out, src in following.items():
-        joined = joined.withColumn(out, F.coalesce(out, f"_in_lo{sources.index(src)}"))
-    return joined.select(*df.columns, *previous, *following)
-
-
-def time_bucket(ts: str, width: float) -> Column:
-    """Number of the ``width``-wide bucket a numeric stamp falls into."""
-    return F.floor(F.col(ts) / F.lit(width))
+    sources = sorted({*previous.values(), *following.values()})
+    given = reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in sources])
+    # spreads rows of one stamp; maps can't be hashed
+    ties = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    placed = cut_lineage(
+        df.withColumn("_given", given)
+        .repartitionByRange(*by, ts, F.col("_given").desc(), F.xxhash64(*[f"`{c}`" for c in ties]))
+        .withColumn("_part", F.spark_partition_id()))
+    rows = placed.withColumn("_copy", F.lit(False)).unionByName(
+        _border_values(placed, by, ts, sources, depth), allowMissingColumns=True)
+
+    inside = Window.partitionBy("_part", *by)
+    up = inside.orderBy(F.col(ts).asc(), F.col("_given").desc())
+    down = inside.orderBy(F.col(ts).desc(), F.col("_given").asc())
+    for outputs, order in ((previous, up), (following, down)):
+        past = order.rowsBetween(Window.unboundedPreceding, -1)
+        for out, src in outputs.items():
+            rows = rows.withColumn(out, F.last(src, ignorenulls=True).over(past))
+            if depth == 2:
+                pair = F.when(F.col(src).isNotNull(), F.struct(
+                    F.col(src).alias("near"), F.col(out).alias("far")))
+                rows = rows.withColumn("_pair", pair).withColumn(
+                    f"{out}_2", F.last("_pair", ignorenulls=True).over(past)["far"])
+    names = [n for out in (*previous, *following) for n in ([out, f"{out}_2"] if depth == 2 else [out])]
+    return rows.where(~F.col("_copy")).select(*[f"`{c}`" for c in df.columns], *names)
+
+
+def _border_values(
+    placed: DataFrame, by: Sequence[str], ts: str, sources: Sequence[str], depth: int,
+) -> DataFrame:
+    """Copies of values for the ranges that look for them beyond their border.
+
+    The last ``depth`` values of a range serve the ranges after it until ``depth``
+    later values have come, and the first ones the ranges before it likewise.
+    """
+    key = [F.col(k) for k in by] or [F.lit(0)]
+    spans = placed.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key)]).agg(
+        F.min("_part").alias("_lo"), F.max("_part").alias("_hi")).where("_lo < _hi")
+    # only keys that cross a border: fewer than there are ranges, whatever the data
+    kinds = F.array_compact(F.array(*[
+        F.when(F.col(s).isNotNull(), F.lit(i)) for i, s in enumerate(sources)]))
+    values = (
+        placed.where("_given")
+        .join(F.broadcast(spans), same(key, [F.col(f"_k{i}") for i in range(len(key))]))
+        .select(*by, ts, *sources, "_part", "_lo", "_hi", F.explode(kinds).alias("_kind")))
+    inside = Window.partitionBy("_part", *by, "_kind")
+    at_end = F.row_number().over(inside.orderBy(F.col(ts).desc())) <= depth
+    at_start = F.row_number().over(inside.orderBy(F.col(ts).asc())) <= depth
+    ends = values.withColumn("_end", at_end).withColumn("_start", at_start).withColumn(
+        "_forward", F.explode(F.array_compact(F.array(
+            F.when(F.col("_end"), F.lit(True)), F.when(F.col("_start"), F.lit(False))))))
+    line = Window.partitionBy(*by, "_kind", "_forward").orderBy("_part", ts)
+    ends = ends.select(
+        "*", F.when(F.col("_forward"), F.col("_part") + 1).otherwise(
+            F.coalesce(F.lag("_part", depth).over(line), "_lo")).alias("_from"),
+        F.when(F.col("_forward"), F.coalesce(F.lead("_part", depth).over(line), "_hi")).otherwise(
+            F.col("_part") - 1).alias("_to"))
+    served = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to"))
+    return ends.select(
+        *by, ts, F.explode(served).alias("_part"), F.lit(True).alias("_given"),
+        F.lit(True).alias("_copy"),
+        *[F.when(F.col("_kind") == i, F.col(s)).alias(s) for i, s in enumerate(sources)])
 
 
 def exact_quantiles(

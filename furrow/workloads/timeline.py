@@ -57,7 +57,7 @@ def asof_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["event_id", "user_id", "stamp"]
     out = asof_nearest(
         kind(spark, sf_dir, "purchase").select(*cols), kind(spark, sf_dir, "view").select(*cols),
-        "stamp", ["user_id"], bucket=DAY, order=["event_id"])
+        "stamp", ["user_id"], order=["event_id"])
     return out.select("event_id", F.coalesce("r_event_id", F.lit(-1)).alias("matched_id"),
                       F.col("r_gap").cast("double").alias("gap"))
 
@@ -129,7 +129,7 @@ FROM idx LEFT JOIN o a ON a.user_id = idx.user_id AND a.k = idx.lo AND idx.n > 1
 def interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = kind(spark, sf_dir, "view").select("event_id", "user_id", "stamp")
     gps = kind(spark, sf_dir, "click").select("event_id", "user_id", "stamp", "value")
-    out = interp_join(images, gps, "stamp", ["value"], ["user_id"], bucket=DAY, order=["event_id"])
+    out = interp_join(images, gps, "stamp", ["value"], ["user_id"], order=["event_id"])
     return out.select("event_id", F.round("value", 6).alias("value"))
 
 
@@ -154,7 +154,7 @@ def sync_mean_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["event_id", "user_id", "stamp"]
     out = sync_streams(
         [kind(spark, sf_dir, k).select(*cols) for k in ("view", "click", "purchase")],
-        "stamp", ["user_id"], "mean_period", bucket=DAY, orders=[["event_id"], ["event_id"]])
+        "stamp", ["user_id"], "mean_period", orders=[["event_id"], ["event_id"]])
     return out.select("event_id", F.col("s1_event_id").alias("click_id"),
                       F.col("s2_event_id").alias("purchase_id"))
 
@@ -164,7 +164,7 @@ def sync_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["event_id", "user_id", "stamp"]
     out = sync_streams(
         [kind(spark, sf_dir, k).select(*cols) for k in ("view", "click", "purchase")],
-        "stamp", ["user_id"], None, bucket=DAY, orders=[["event_id"], ["event_id"]])
+        "stamp", ["user_id"], None, orders=[["event_id"], ["event_id"]])
     return out.select("event_id", F.col("s1_event_id").alias("click_id"),
                       F.col("s2_event_id").alias("purchase_id"))
 

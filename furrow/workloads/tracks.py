@@ -86,7 +86,7 @@ SELECT user_id, round(direct, 5) AS direct, round(path, 5) AS path,
        round(mean_spacing, 5) AS mean_spacing, round(std_spacing, 5) AS std_spacing FROM len
 """)
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = track_length(plane(spark, sf_dir), ["user_id"], "stamp", DAY)
+    out = track_length(plane(spark, sf_dir), ["user_id"], "stamp")
     return out.select("user_id", *[F.round(c, 5).alias(c) for c in (
         "direct", "path", "mean_spacing", "std_spacing")])
 
@@ -140,7 +140,7 @@ FROM ext JOIN len USING (user_id)
 def length_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = plane(spark, sf_dir)
     e = axis_extents(p, track_heading(p, ["user_id"], "stamp"), ["user_id"])
-    both = e.join(track_length(p, ["user_id"], "stamp", DAY), "user_id")
+    both = e.join(track_length(p, ["user_id"], "stamp"), "user_id")
     args = (F.col("u_max") - F.col("u_min"), F.col("direct"), F.col("path"))
     return both.select("user_id", F.round(corrected_length(*args), 5).alias("direct"),
                        F.round(corrected_length(*args, "path"), 5).alias("by_path"),
@@ -152,7 +152,7 @@ def georeferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = track(spark, sf_dir)
     images = t.groupBy("user_id").agg(
         (F.count("*") * 40).alias("width"), F.lit(600).alias("height"))
-    return georeference_plots(t, images, ["user_id"], "stamp", DAY)
+    return georeference_plots(t, images, ["user_id"], "stamp")
 
 
 @work.query("tracks_in_plane_zone", f"""

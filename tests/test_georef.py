@@ -38,7 +38,7 @@ def test_heading_points_ahead_and_falls_back_to_the_line(spark):
 
 def test_path_and_spacing(spark):
     data = [(1, 0, 0.0, 0.0), (1, 100, 3.0, 4.0), (1, 250, 3.0, 5.0), (2, 7, 1.0, 1.0)]
-    out = {r["plot"]: r for r in G.track_length(spark.createDataFrame(data, SCHEMA), ["plot"], "t", 60).collect()}
+    out = {r["plot"]: r for r in G.track_length(spark.createDataFrame(data, SCHEMA), ["plot"], "t").collect()}
     assert out[1]["path"] == pytest.approx(6.0) and out[1]["direct"] == pytest.approx(math.hypot(3, 5))
     assert out[1]["mean_spacing"] == pytest.approx(3.0) and out[1]["std_spacing"] == pytest.approx(2.0)
     assert out[2]["path"] == 0.0 and out[2]["mean_spacing"] is None
@@ -48,7 +48,7 @@ def test_straight_track_georeference(spark):
     metre = 1 / 111_000
     tracks = spark.createDataFrame([(1, i, 38.5 + i * metre, -121.0) for i in range(21)], "plot int, t long, lat double, lon double")
     images = spark.createDataFrame([(1, 2000, 100)], "plot int, width int, height int")
-    r = G.georeference_plots(tracks, images, ["plot"], "t", 8).first()
+    r = G.georeference_plots(tracks, images, ["plot"], "t").first()
     assert r["rover_direction"] == "NORTH" and r["stitch_direction"] == "UP" and r["epsg"] == 32610
     assert r["width_m"] == pytest.approx(20.0, rel=2e-3) and r["height_m"] == pytest.approx(1.0)
     assert r["px"] == pytest.approx(r["width_m"] / 2000) and r["py"] == pytest.approx(0.01)

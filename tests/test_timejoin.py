@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.operators.timejoin import asof_nearest, interp_join, sync_streams, update_from_nearest
-from furrow.plans.skew import carry, exact_quantiles, ordinal, time_bucket
+from furrow.plans.skew import carry, exact_quantiles, ordinal
 
 
 def brute(left, right, tol):
@@ -16,15 +16,27 @@ def brute(left, right, tol):
     return out
 
 
-@pytest.mark.parametrize("tol,bucket", [(5, None), (5, 50), (None, 7), (None, 1000), (0, 3)])
-def test_asof_equals_brute_force_with_a_hot_key(spark, tol, bucket):
+@pytest.fixture(params=[1, 3, 40])
+def ranges(spark, request):
+    """Number of ranges a carry cuts into, without merging small ones."""
+    before = {k: spark.conf.get(k) for k in (
+        "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("tol", [5, None, 0])
+def test_asof_equals_brute_force_with_a_hot_key(spark, ranges, tol):
     rng = random.Random(1)
     key = lambda: "hot" if rng.random() < 0.5 else rng.choice("abc")
     left = [(i, key(), rng.randrange(400)) for i in range(400)]
     right = [(i, key(), rng.randrange(400)) for i in range(200)]
     ldf = spark.createDataFrame(left, "lid int, k string, t long")
     rdf = spark.createDataFrame(right, "rid int, k string, t long")
-    out = asof_nearest(ldf, rdf, "t", ["k"], tol, bucket, order=["rid"])
+    out = asof_nearest(ldf, rdf, "t", ["k"], tol, order=["rid"])
     assert {r["lid"]: r["r_rid"] for r in out.collect()} == brute(left, right, tol)
 
 
@@ -55,41 +67,69 @@ def test_update_keeps_values_where_the_match_is_null(spark):
     assert tuple(out[1])[2:] == (2.0, 2.0, 2.0)
 
 
-@pytest.mark.parametrize("bucket", [1, 10, 1000])
-def test_interpolation_extends_both_ends(spark, bucket):
+def test_interpolation_extends_both_ends(spark, ranges):
     right = spark.createDataFrame([(10.0, 1.0), (20.0, 3.0), (40.0, 1.0)], "t double, v double")
     stamps = [0.0, 10.0, 15.0, 20.0, 30.0, 40.0, 50.0]
     left = spark.createDataFrame([(t,) for t in stamps], "t double")
-    out = {r["t"]: r["v"] for r in interp_join(left, right, "t", ["v"], bucket=bucket).collect()}
+    out = {r["t"]: r["v"] for r in interp_join(left, right, "t", ["v"]).collect()}
     assert [out[t] for t in stamps] == [-1.0, 1.0, 2.0, 3.0, 2.0, 1.0, 0.0]
 
 
 def test_a_single_sample_cannot_be_interpolated(spark):
     right = spark.createDataFrame([(10.0, 1.0)], "t double, v double")
     left = spark.createDataFrame([(5.0,), (10.0,)], "t double")
-    assert [r["v"] for r in interp_join(left, right, "t", ["v"], bucket=10).collect()] == [None, None]
+    assert [r["v"] for r in interp_join(left, right, "t", ["v"]).collect()] == [None, None]
 
 
 def test_sync_drops_rows_without_partner(spark):
     first = spark.createDataFrame([(0,), (10,), (20,), (100,)], "t long")
     second = spark.createDataFrame([(1, "a"), (12, "b"), (23, "c")], "t long, n string")
     third = spark.createDataFrame([(0, "x"), (21, "y")], "t long, n string")
-    out = sync_streams([first, second, third], "t", threshold=5, bucket=10)
+    out = sync_streams([first, second, third], "t", threshold=5)
     assert sorted((r["t"], r["s1_n"], r["s2_n"]) for r in out.collect()) == [(0, "a", "x"), (20, "c", "y")]
-    free = sync_streams([first, second, third], "t", threshold=None, bucket=10)
+    free = sync_streams([first, second, third], "t", threshold=None)
     assert sorted((r["t"], r["s1_n"], r["s2_n"]) for r in free.collect()) == [
         (0, "a", "x"), (10, "b", "x"), (20, "c", "y"), (100, "c", "y")]
-    period = sync_streams([first, second], "t", bucket=10)
+    period = sync_streams([first, second], "t")
     assert period.count() == 3
 
 
-def test_carry_across_empty_buckets(spark, collect):
+def test_carry_across_ranges_without_values(spark, collect, ranges):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 50, None), ("k", 99, "z"), ("j", 5, None)], "k string, t long, v string")
-    out = carry(df, ["k"], "t", time_bucket("t", 10), {"p": "v"}, {"n": "v"})
+    out = carry(df, ["k"], "t", {"p": "v"}, {"n": "v"})
     assert collect(out.select("k", "t", "p", "n"), "k", "t") == [
         ("j", 5, None, None), ("k", 1, None, "z"), ("k", 50, "a", "z"), ("k", 99, "a", None)]
 
 
+def test_carry_two_deep_and_several_columns_equals_brute_force(spark, ranges):
+    rng = random.Random(4)
+    stamps = {k: rng.sample(range(900), n) for k, n in (("hot", 300), ("a", 40), (None, 60))}
+    data = [(k, t, t if rng.random() < 0.1 else None, -t if rng.random() < 0.3 else None)
+            for k, own in stamps.items() for t in own]
+    df = spark.createDataFrame(data, "k string, t long, v long, w long")
+    out = carry(df, ["k"], "t", {"pv": "v", "pw": "w"}, {"nv": "v"}, depth=2).collect()
+    assert len(out) == len(data)
+    deep = lambda found: tuple([*found, None, None][:2])
+    for r in out:
+        own = sorted(d for d in data if d[0] == r["k"])
+        before, after = [d for d in own[::-1] if d[1] < r["t"]], [d for d in own if d[1] > r["t"]]
+        assert (r["pv"], r["pv_2"]) == deep([d[2] for d in before if d[2] is not None])
+        assert (r["pw"], r["pw_2"]) == deep([d[3] for d in before if d[3] is not None])
+        assert (r["nv"], r["nv_2"]) == deep([d[2] for d in after if d[2] is not None])
+
+
+def test_rows_without_stamp_or_key(spark, ranges):
+    left = spark.createDataFrame([(1, None, 5), (2, "k", None), (3, None, None), (4, "k", 7)], "lid int, k string, t long")
+    right = spark.createDataFrame([(1, None, 4), (2, "k", 9), (3, "k", None)], "rid int, k string, t long")
+    out = asof_nearest(left, right, "t", ["k"], order=["rid"])
+    assert {r["lid"]: r["r_rid"] for r in out.collect()} == {1: 1, 2: None, 3: None, 4: 2}
+    inner = asof_nearest(left, right, "t", ["k"], order=["rid"], how="inner")
+    assert sorted(r["lid"] for r in inner.collect()) == [1, 4]
+    empty = asof_nearest(left, right.limit(0), "t", ["k"], order=["rid"])
+    assert sorted((r["lid"], r["r_rid"]) for r in empty.collect()) == [(i, None) for i in (1, 2, 3, 4)]
+    assert asof_nearest(left.limit(0), right, "t", ["k"], order=["rid"]).count() == 0
+
+
 def test_ordinals_with_a_hot_key(spark):
     rng = random.Random(2)
     data = [(i, "hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", rng.randrange(50)) for i in range(3000)]
