@@ -1,8 +1,8 @@
 """Rasters as pixel tables: masks, traits, overviews, mosaics.
 
 A pixel table holds ``raster_id, row, col`` and band columns.  Numbers that
-describe a whole raster are aggregates joined back to the pixels, never windows
-over the raster, so one huge raster spreads over many tasks.
+describe a whole raster are aggregates, never windows over the raster, and go
+back to the pixels block by block, so one huge raster spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -15,15 +15,36 @@ from pyspark.sql import functions as F
 from furrow.functions.geo import ring_bounds, to_utm
 from furrow.functions.pixels import excess_green, hsv_leaf_mask, low_gain_fix, to_byte
 from furrow.operators.spatial import box_pairs
+from furrow.plans.session import cut_lineage
 from furrow.plans.skew import exact_quantiles, keep_first
 
 RASTER = "raster_id"
 
+# side of the blocks that numbers of a raster are handed out by
+BLOCK = 256
+
 # Depth below the camera that still counts as canopy, the floor, and
 # the area of a pixel.
 CANOPY_BELOW, FLOOR, PIXEL_AREA = -60, -170, 0.00667
 
 
+def with_raster(pixels: DataFrame, per: DataFrame, row: str = "row", col: str = "col") -> DataFrame:
+    """Pixels with the columns of ``per``, a table of one row per raster.
+
+    The numbers are first copied to every block of the raster, so the join that
+    meets the pixels has a key of at most ``BLOCK`` squared rows; pixels without a
+    position are cut by their content instead.
+    """
+    if row in pixels.columns and col in pixels.columns:
+        block = [F.floor(F.col(row) / BLOCK), F.floor(F.col(col) / BLOCK)]
+    else:
+        block = [F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pixels.columns]), F.lit(BLOCK))]
+    names = [f"_block{i}" for i in range(len(block))]
+    placed = pixels.withColumns(dict(zip(names, block)))
+    handed = placed.select(RASTER, *names).distinct().join(per, RASTER)
+    return placed.join(handed, [RASTER, *names]).drop(*names)
+
+
 def raster_pixels(tiles: DataFrame, size: int, bands: Sequence[str]) -> DataFrame:
     """Pixels of square tiles ``raster_id, tile_row, tile_col`` with row-major band arrays."""
     zipped = F.arrays_zip(*[F.col(b) for b in bands])
@@ -96,7 +117,7 @@ def apply_calibration(meta: DataFrame, calibration: DataFrame) -> DataFrame:
 def fix_raw_thermal(pixels: DataFrame, raw: str = "raw") -> DataFrame:
     """Counts rescaled in rasters whose largest count marks them as low gain."""
     top = pixels.groupBy(RASTER).agg(F.max(raw).alias("_max"))
-    return pixels.join(top, RASTER).withColumn(raw, low_gain_fix(F.col(raw), F.col("_max"))).drop("_max")
+    return with_raster(pixels, top).withColumn(raw, low_gain_fix(F.col(raw), F.col("_max"))).drop("_max")
 
 
 # --- vegetation mask
@@ -106,7 +127,7 @@ def exg(pixels: DataFrame) -> DataFrame:
     """Excess green per pixel, stretched to 0..255 per raster, as ``exg``."""
     index = excess_green(F.col("r"), F.col("g"), F.col("b"))
     ends = pixels.groupBy(RASTER).agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"))
-    return pixels.join(ends, RASTER).withColumn(
+    return with_raster(pixels, ends).withColumn(
         "exg", to_byte(index, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -138,7 +159,7 @@ def otsu_threshold(pixels: DataFrame, value: str = "exg", by: Sequence[str] = (R
 def vegetation_mask(pixels: DataFrame) -> DataFrame:
     """Excess-green pixels above the Otsu threshold, holes closed, as ``mask``."""
     green = exg(pixels)
-    marked = green.join(otsu_threshold(green), RASTER).withColumn(
+    marked = with_raster(green, otsu_threshold(green)).withColumn(
         "mask", (F.col("exg") > F.col("threshold")).cast("int"))
     return morph(marked.drop("threshold"), "close", square(2))
 
@@ -209,9 +230,9 @@ def drone_traits(pixels: DataFrame, plots: DataFrame, thermal: bool = False) ->
     """Trait row per plot: centre of its box, vegetation, height and temperature.
 
     ``pixels`` carry r, g, b, dem (and celsius); ``plots`` carry raster_id, ring
-    and the plot's properties.
+    and the plot's properties.  The mask is written once for all traits.
     """
-    marked = vegetation_mask(pixels)
+    marked = cut_lineage(vegetation_mask(pixels))
     out = plots.withColumn("_b", ring_bounds(F.col("ring"))).withColumn(
         "lon", (F.col("_b.x0") + F.col("_b.x1")) / 2).withColumn(
         "lat", (F.col("_b.y0") + F.col("_b.y1")) / 2).drop("_b")
@@ -363,7 +384,7 @@ def mosaic_grid(rasters: DataFrame, max_dimension: int | None = None) -> DataFra
 
 def _with_affine(pixels: DataFrame, rasters: DataFrame) -> DataFrame:
     terms = ("a", "b", "c", "d", "e", "f", "width", "height")
-    return pixels.join(rasters.select(RASTER, F.struct(*terms).alias("_raster")), RASTER)
+    return with_raster(pixels, rasters.select(RASTER, F.struct(*terms).alias("_raster")))
 
 
 def mosaic(
@@ -377,7 +398,7 @@ def mosaic(
     """
     grid = mosaic_grid(rasters, max_dimension).select("grid").scalar()
     samples = scatter(_with_affine(pixels, rasters), bands, grid)
-    ordered = samples.join(rasters.select(RASTER, "plot_order"), RASTER)
+    ordered = with_raster(samples, rasters.select(RASTER, "plot_order"), "out_row", "out_col")
     rounded = {b: F.floor(F.col(b) + 0.5).cast("int") for b in bands}
     return ordered.groupBy("out_row", "out_col").agg(*[
         F.coalesce(F.max_by(v, F.when(v != 0, F.col("plot_order"))), F.lit(background)).alias(b)
