@@ -157,8 +157,11 @@ def otsu_threshold(pixels: DataFrame, value: str = "exg", by: Sequence[str] = (R
 
 
 def vegetation_mask(pixels: DataFrame) -> DataFrame:
-    """Excess-green pixels above the Otsu threshold, holes closed, as ``mask``."""
-    green = exg(pixels)
+    """Excess-green pixels above the Otsu threshold, holes closed, as ``mask``.
+
+    The index is written once: threshold, mask and closing all read it.
+    """
+    green = cut_lineage(exg(pixels))
     marked = with_raster(green, otsu_threshold(green)).withColumn(
         "mask", (F.col("exg") > F.col("threshold")).cast("int"))
     return morph(marked.drop("threshold"), "close", square(2))
