@@ -15,7 +15,8 @@ from furrow.operators.raster import (
     reproject_raster, vegetation_fraction, vegetation_mask)
 from furrow.operators.spatial import nearest_pixel
 from furrow.workloads import Workload
-from furrow.workloads.tables import table
+from furrow.workloads.spatial import PLOTS_SQL, plots
+from furrow.workloads.tables import table, utm_sql
 
 work = Workload()
 
@@ -233,7 +234,46 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic(p, shifted(spark, sf_dir))
 
 
-@work.query("mosaic_rotated")
+# Every cell near a raster looks back at it: the four pixels around weigh in.
+@work.query("mosaic_rotated", f"""
+WITH {PIXELS_SQL}, turn AS (SELECT vec_id, vec_id % 7 * 0.1::DOUBLE AS t FROM embeddings), r AS (
+  SELECT vec_id AS raster_id, 0.5 * cos(t) AS a, 0.5 * sin(t) AS b, vec_id % 25 * 2.0::DOUBLE AS c,
+         0.5 * sin(t) AS d, -0.5 * cos(t) AS e, vec_id % 7 * 1.5::DOUBLE + 4 AS f FROM turn
+), corner AS (
+  SELECT *, a * i + b * j + c AS x, d * i + e * j + f AS y
+  FROM r, (SELECT unnest([0, 8]) AS i), (SELECT unnest([0, 8]) AS j)
+), ends AS (
+  SELECT raster_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM corner GROUP BY raster_id
+), g0 AS (
+  SELECT min(x0) AS gx, max(x1) AS hx, min(y0) AS ly, max(y1) AS gy,
+         (SELECT min(least(abs(a), abs(e))) FROM r) AS px FROM ends
+), g AS (
+  SELECT gx, gy, CAST(trunc((hx - gx) / px) AS BIGINT) AS w, CAST(trunc((gy - ly) / px) AS BIGINT) AS h,
+         (hx - gx) / trunc((hx - gx) / px) AS sx, (gy - ly) / trunc((gy - ly) / px) AS sy FROM g0
+), spot AS (
+  SELECT raster_id, q.c AS out_col, p.c AS out_row, gx + (q.c + 0.5::DOUBLE) * sx AS x, gy - (p.c + 0.5::DOUBLE) * sy AS y
+  FROM ends, g, (SELECT unnest(range(0, w)) AS c FROM g) q, (SELECT unnest(range(0, h)) AS c FROM g) p
+  WHERE gx + (q.c + 0.5::DOUBLE) * sx BETWEEN x0 - 1 AND x1 + 1 AND gy - (p.c + 0.5::DOUBLE) * sy BETWEEN y0 - 1 AND y1 + 1
+), back AS (
+  SELECT raster_id, out_col, out_row, ((x - c) * e - (y - f) * b) / (a * e - b * d) AS u,
+         ((y - f) * a - (x - c) * d) / (a * e - b * d) AS v FROM spot JOIN r USING (raster_id)
+), near AS (
+  SELECT *, CAST(floor(u - 0.5::DOUBLE) AS INTEGER) + i AS col, CAST(floor(v - 0.5::DOUBLE) AS INTEGER) + j AS row
+  FROM back, range(0, 2) s(i), range(0, 2) t(j) WHERE u BETWEEN 0 AND 8 AND v BETWEEN 0 AND 8
+), weighed AS (
+  SELECT n.raster_id, out_row, out_col, p.r, p.g, p.b,
+         greatest(0, 1 - abs(u - n.col - 0.5::DOUBLE)) * greatest(0, 1 - abs(n.v - n.row - 0.5::DOUBLE)) AS k
+  FROM near n JOIN pixels p ON p.raster_id = n.raster_id AND p.row = n.row AND p.col = n.col
+), mean AS (
+  SELECT raster_id, out_row, out_col, CAST(floor(sum(k * r) / sum(k) + 0.5::DOUBLE) AS INTEGER) AS r,
+         CAST(floor(sum(k * g) / sum(k) + 0.5::DOUBLE) AS INTEGER) AS g,
+         CAST(floor(sum(k * b) / sum(k) + 0.5::DOUBLE) AS INTEGER) AS b
+  FROM weighed WHERE k > 0 GROUP BY ALL
+)
+SELECT out_row, out_col, coalesce(arg_max(r, raster_id) FILTER (r <> 0), 255) AS r,
+       coalesce(arg_max(g, raster_id) FILTER (g <> 0), 255) AS g, coalesce(arg_max(b, raster_id) FILTER (b <> 0), 255) AS b
+FROM mean GROUP BY ALL
+""")
 def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir).select("raster_id", "row", "col", "r", "g", "b")
     angle = F.col("raster_id") % 7 * 0.1
@@ -330,17 +370,28 @@ def box_window(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1000), F.lit(800)).alias("w")).select("event_id", "w.*")
 
 
-@work.query("plot_crop_windows")
+@work.query("plot_crop_windows", f"""
+WITH {PLOTS_SQL}, edge AS (
+  SELECT ordinal, plot AS field, accession, unnest([
+    {{'lon': x0 + w * i / 20.0::DOUBLE, 'lat': y0}}, {{'lon': x0 + w * i / 20.0::DOUBLE, 'lat': y0 + h}},
+    {{'lon': x0, 'lat': y0 + h * i / 20.0::DOUBLE}}, {{'lon': x0 + w, 'lat': y0 + h * i / 20.0::DOUBLE}}]) AS p
+  FROM plots, range(0, 21) t(i)
+), {utm_sql('flat', 'edge', 'p.lon', 'p.lat')}, box AS (
+  SELECT field, ordinal, accession, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM flat GROUP BY ALL
+), pad AS (SELECT *, greatest(0.1::DOUBLE, (x1 - x0) * 0.1) AS px, greatest(0.1::DOUBLE, (y1 - y0) * 0.1) AS py FROM box)
+SELECT field, CAST(ordinal AS VARCHAR) AS plot, accession, 'ortho-' || field AS raster_id,
+       round((x0 - px - 608000) / 0.01::DOUBLE, 2) AS col_off, round((4265500 - y1 - py) / 0.01::DOUBLE, 2) AS row_off,
+       round((x1 - x0 + 2 * px) / 0.01::DOUBLE, 2) AS width, round((y1 - y0 + 2 * py) / 0.01::DOUBLE, 2) AS height FROM pad
+""")
 def crop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from furrow.workloads.spatial import plots
-
     # one orthomosaic per brand
     rasters = table(spark, sf_dir, "part").select(F.col("p_brand").alias("field")).distinct().select(
         "field", F.concat(F.lit("ortho-"), "field").alias("raster_id"), F.lit(32610).alias("epsg"),
         F.array(*[F.lit(float(v)) for v in (608000, 0.01, 0, 4265500, 0, -0.01)]).alias("geotransform"))
     areas = plots(spark, sf_dir).select(
         F.col("plot").alias("field"), F.col("ordinal").cast("string").alias("plot"), "accession", "ring")
-    return plot_windows(areas, rasters, ["field"])
+    out = plot_windows(areas, rasters, ["field"])
+    return out.withColumns({n: F.round(n, 2) for n in ("col_off", "row_off", "width", "height")})
 
 
 # --- camera pixels

@@ -35,3 +35,33 @@ track AS (
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+
+
+# the projection in SQL: the published series of the transverse Mercator plane in powers of n
+_F = 1 / 298.257223563
+_N = _F / (2 - _F)
+_SCALE = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_FORWARD = [
+    _N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3 + 41 / 180 * _N**4,
+    13 / 48 * _N**2 - 3 / 5 * _N**3 + 557 / 1440 * _N**4,
+    61 / 240 * _N**3 - 103 / 140 * _N**4,
+    49561 / 161280 * _N**4,
+]
+
+
+def utm_sql(name: str, source: str, lon: str = "lon", lat: str = "lat", meridian: int = -123) -> str:
+    """CTEs up to ``name``: the rows of ``source`` with ``x``, ``y`` in a northern zone."""
+    number = lambda v: f"CAST('{v!r}' AS DOUBLE)"
+    c = number(2 * _N**0.5 / (1 + _N))
+    terms = lambda outer, inner: " + ".join(
+        f"{number(a)} * {outer}({2 * j} * xi_) * {inner}({2 * j} * eta_)" for j, a in enumerate(_FORWARD, 1))
+    return f"""
+{name}_1 AS (SELECT *, radians({lat}) AS phi_, radians({lon} - ({meridian})) AS lam_ FROM {source}),
+{name}_2 AS (SELECT *, sinh(atanh(sin(phi_)) - {c} * atanh({c} * sin(phi_))) AS t_ FROM {name}_1),
+{name}_3 AS (SELECT *, atan2(t_, cos(lam_)) AS xi_, atanh(sin(lam_) / sqrt(1 + t_ * t_)) AS eta_ FROM {name}_2),
+{name} AS (
+  SELECT * EXCLUDE (phi_, lam_, t_, xi_, eta_),
+         500000 + {number(_SCALE)} * (eta_ + {terms('cos', 'sinh')}) AS x,
+         {number(_SCALE)} * (xi_ + {terms('sin', 'cosh')}) AS y
+  FROM {name}_3
+)"""

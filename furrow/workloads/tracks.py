@@ -9,7 +9,7 @@ from furrow.operators.georef import (
     apply_affine, axis_extents, corrected_length, cross_track, fit_affine, georeference_plots,
     to_plane, track_direction, track_heading, track_length)
 from furrow.workloads import Workload
-from furrow.workloads.tables import DAY, TRACK_SQL, table, track
+from furrow.workloads.tables import DAY, TRACK_SQL, table, track, utm_sql
 
 work = Workload()
 
@@ -147,20 +147,50 @@ def length_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round(corrected_length(*args, "pca"), 5).alias("by_axis"))
 
 
-@work.query("georeferenced_plots")
+# the steps above over projected positions
+_AFTER_PLANE = lambda sql: sql.split(", shape AS (", 1)[1]
+
+
+@work.query("georeferenced_plots", f"""
+WITH {TRACK_SQL}, {utm_sql('flat', 'track')},
+plane AS (SELECT user_id, stamp, lat, lon, x, y FROM flat), shape AS ({_AFTER_PLANE(_EXTENT_SQL)},
+s AS ({_LENGTH_SQL.split('), s AS (', 1)[1]}, img AS (
+  SELECT user_id, count(*) * 40 AS width, 600 AS height, arg_max(lat, stamp) - arg_min(lat, stamp) AS dlat,
+         arg_max(lon, stamp) - arg_min(lon, stamp) AS dlon FROM plane GROUP BY user_id
+), laid AS (
+  SELECT *, (u0 + u1) / 2 - direct / 2 AS u, greatest(v1 - v0, 1) AS tall,
+         CASE WHEN v1 - v0 < 1 THEN (v0 + v1) / 2 + CAST(0.5 AS DOUBLE) ELSE v1 END AS top,
+         direct / width AS px_, cos(theta + pi()) AS co, sin(theta + pi()) AS si
+  FROM head JOIN ext USING (user_id) JOIN len USING (user_id) JOIN img USING (user_id)
+)
+SELECT user_id, 32610 AS epsg, round(theta, 6) AS theta, round(direct, 5) AS width_m, round(tall, 5) AS height_m,
+       round(px_, 8) AS px, round(tall / height, 8) AS py,
+       CASE WHEN abs(dlat) > abs(dlon) THEN CASE WHEN dlat > 0 THEN 'NORTH' ELSE 'SOUTH' END
+            WHEN dlon > 0 THEN 'EAST' ELSE 'WEST' END AS rover_direction,
+       CASE WHEN abs(lx - fx) > abs(ly - fy) THEN CASE WHEN lx > fx THEN 'RIGHT' ELSE 'LEFT' END
+            WHEN ly > fy THEN 'UP' ELSE 'DOWN' END AS stitch_direction,
+       round(px_ * co, 8) + 0.0 AS a, round(tall / height * si, 8) + 0.0 AS b, round(cx + u * co - top * si, 4) AS c,
+       round(px_ * si, 8) + 0.0 AS d, round(-(tall / height) * co, 8) + 0.0 AS e,
+       round(cy + u * si + top * co, 4) AS f
+FROM laid
+""")
 def georeferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = track(spark, sf_dir)
     images = t.groupBy("user_id").agg(
         (F.count("*") * 40).alias("width"), F.lit(600).alias("height"))
-    return georeference_plots(t, images, ["user_id"], "stamp")
+    out = georeference_plots(t, images, ["user_id"], "stamp")
+    digits = {"theta": 6, "width_m": 5, "height_m": 5, "c": 4, "f": 4}
+    digits |= dict.fromkeys(["px", "py", "a", "b", "d", "e"], 8)
+    return out.withColumns({n: F.round(n, k) + 0.0 for n, k in digits.items()})
 
 
 @work.query("tracks_in_plane_zone", f"""
-WITH {TRACK_SQL}
-SELECT event_id, 32610 AS epsg FROM track
+WITH {TRACK_SQL}, {utm_sql('flat', 'track')}
+SELECT event_id, 32610 AS epsg, round(x, 3) AS x, round(y, 3) AS y FROM flat
 """)
 def plane_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_plane(track(spark, sf_dir), ["user_id"]).select("event_id", "epsg")
+    return to_plane(track(spark, sf_dir), ["user_id"]).select(
+        "event_id", "epsg", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 FIT_SQL = """
