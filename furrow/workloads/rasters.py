@@ -16,7 +16,7 @@ from furrow.operators.raster import (
 from furrow.operators.spatial import nearest_pixel
 from furrow.workloads import Workload
 from furrow.workloads.spatial import PLOTS_SQL, plots
-from furrow.workloads.tables import table, utm_sql
+from furrow.workloads.tables import degrees_sql, table, utm_sql
 
 work = Workload()
 
@@ -282,7 +282,33 @@ def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic(p, turned)
 
 
-@work.query("reproject_utm_to_degrees")
+@work.query("reproject_utm_to_degrees", f"""
+WITH {PIXELS_SQL}, r AS (
+  SELECT vec_id AS raster_id, vec_id % 25 * 2.0::DOUBLE + 608082 AS c, vec_id % 7 * 1.5::DOUBLE + 4 + 4265350 AS f
+  FROM embeddings
+), corner AS (
+  SELECT *, c + i * 0.5::DOUBLE AS x, f - j * 0.5::DOUBLE AS y
+  FROM r, (SELECT unnest([0, 8]) AS i), (SELECT unnest([0, 8]) AS j)
+), {degrees_sql('placed', 'corner')}, ends AS (
+  SELECT raster_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM placed GROUP BY raster_id
+), g AS (SELECT min(x0) AS gx, max(y1) AS gy, 5e-6::DOUBLE AS res FROM ends), spot AS (
+  SELECT raster_id, out_col, out_row, gx + (out_col + 0.5::DOUBLE) * res AS lon, gy - (out_row + 0.5::DOUBLE) * res AS lat
+  FROM (
+    SELECT *, unnest(range(greatest(0, CAST(floor((gy - y1) / res) AS BIGINT) - 1), CAST(floor((gy - y0) / res) AS BIGINT) + 2)) AS out_row
+    FROM (
+      SELECT *, unnest(range(greatest(0, CAST(floor((x0 - gx) / res) AS BIGINT) - 1), CAST(floor((x1 - gx) / res) AS BIGINT) + 2)) AS out_col
+      FROM ends, g))
+), {utm_sql('back', 'spot')}, near AS (
+  SELECT raster_id, out_col, out_row, (x - c) * 2 AS u, (f - y) * 2 AS v,
+         CAST(floor((x - c) * 2 - 0.5::DOUBLE) AS INTEGER) + i AS col, CAST(floor((f - y) * 2 - 0.5::DOUBLE) AS INTEGER) + j AS row
+  FROM back JOIN r USING (raster_id), range(0, 2) s(i), range(0, 2) t(j)
+), weighed AS (
+  SELECT n.*, p.v AS value, greatest(0, 1 - abs(u - n.col - 0.5::DOUBLE)) * greatest(0, 1 - abs(n.v - n.row - 0.5::DOUBLE)) AS k
+  FROM near n JOIN pixels p ON p.raster_id = n.raster_id AND p.row = n.row AND p.col = n.col
+  WHERE u BETWEEN 0 AND 8 AND n.v BETWEEN 0 AND 8
+)
+SELECT raster_id, out_row, out_col, round(sum(k * value) / sum(k), 3) + 0.0 AS v FROM weighed WHERE k > 0 GROUP BY ALL
+""")
 def reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir).select("raster_id", "row", "col", "v")
     r = shifted(spark, sf_dir).withColumn("c", F.col("c") + 608082.0).withColumn(
@@ -293,7 +319,8 @@ def reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = from_utm(x, y, zone)
         return F.struct(at["lon"].alias("x"), at["lat"].alias("y"))
 
-    return reproject_raster(p, r, ["v"], to_degrees, lambda x, y: to_utm(x, y, zone), 5e-6)
+    out = reproject_raster(p, r, ["v"], to_degrees, lambda x, y: to_utm(x, y, zone), 5e-6)
+    return out.withColumn("v", F.round("v", 3) + 0.0)
 
 
 # Odd rasters lie half a pixel off the grid: their values are means of two neighbours.

@@ -47,11 +47,27 @@ _FORWARD = [
     61 / 240 * _N**3 - 103 / 140 * _N**4,
     49561 / 161280 * _N**4,
 ]
+_INVERSE = [
+    _N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3 - 1 / 360 * _N**4,
+    1 / 48 * _N**2 + 1 / 15 * _N**3 - 437 / 1440 * _N**4,
+    17 / 480 * _N**3 - 37 / 840 * _N**4,
+    4397 / 161280 * _N**4,
+]
+_LATITUDE = [
+    2 * _N - 2 / 3 * _N**2 - 2 * _N**3 + 116 / 45 * _N**4,
+    7 / 3 * _N**2 - 8 / 5 * _N**3 - 227 / 45 * _N**4,
+    56 / 15 * _N**3 - 136 / 35 * _N**4,
+    4279 / 630 * _N**4,
+]
+
+
+def _number(v: float) -> str:
+    return f"CAST('{v!r}' AS DOUBLE)"
 
 
 def utm_sql(name: str, source: str, lon: str = "lon", lat: str = "lat", meridian: int = -123) -> str:
     """CTEs up to ``name``: the rows of ``source`` with ``x``, ``y`` in a northern zone."""
-    number = lambda v: f"CAST('{v!r}' AS DOUBLE)"
+    number = _number
     c = number(2 * _N**0.5 / (1 + _N))
     terms = lambda outer, inner: " + ".join(
         f"{number(a)} * {outer}({2 * j} * xi_) * {inner}({2 * j} * eta_)" for j, a in enumerate(_FORWARD, 1))
@@ -65,3 +81,21 @@ def utm_sql(name: str, source: str, lon: str = "lon", lat: str = "lat", meridian
          {number(_SCALE)} * (xi_ + {terms('sin', 'cosh')}) AS y
   FROM {name}_3
 )"""
+
+
+def degrees_sql(name: str, source: str, x: str = "x", y: str = "y", meridian: int = -123) -> str:
+    """CTEs up to ``name``: the rows of ``source`` with ``lon``, ``lat`` of a northern zone's position."""
+    terms = lambda outer, inner: " + ".join(
+        f"{_number(b)} * {outer}({2 * j} * xi_) * {inner}({2 * j} * eta_)" for j, b in enumerate(_INVERSE, 1))
+    climb = " + ".join(f"{_number(d)} * sin({2 * j} * chi_)" for j, d in enumerate(_LATITUDE, 1))
+    return f"""
+{name}_1 AS (SELECT *, {y} / {_number(_SCALE)} AS xi_, ({x} - 500000) / {_number(_SCALE)} AS eta_ FROM {source}),
+{name}_2 AS (
+  SELECT *, xi_ - ({terms('sin', 'cosh')}) AS xo_, eta_ - ({terms('cos', 'sinh')}) AS eo_ FROM {name}_1
+),
+{name}_3 AS (SELECT *, asin(sin(xo_) / cosh(eo_)) AS chi_ FROM {name}_2),
+{name} AS (
+  SELECT * EXCLUDE (xi_, eta_, xo_, eo_, chi_), degrees(atan2(sinh(eo_), cos(xo_))) + ({meridian}) AS lon,
+         degrees(chi_ + {climb}) AS lat
+  FROM {name}_3
+)"""
