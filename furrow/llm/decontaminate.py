@@ -14,15 +14,17 @@ grouped by length, and a group samples only the places its shortest item fills.
 Every candidate is verified by the exact edit distance between the item and the
 best place in the window, at most ``ratio`` of the item's length.
 
-Windows are embedded where triples of consecutive words of an item occur, at
-the start they imply, and compared with that item: embedding each window of a
-corpus for each length would cost thousands of steps per word.  Two different triples
-(one, if the item has three words) within ``BAND`` words of a common alignment are
-asked for; an item of n words with e changed ones keeps n - 2 - 3e of them.
+Windows are embedded where pairs of words of an item occur, one to three words
+apart, at the byte they imply as the start, and compared with that item:
+embedding each window of a corpus for each length would cost thousands of steps
+per word.  All pairs of an occurrence imply starts within twice the allowed
+edits; two different pairs that close are asked for (one, if the item has fewer than
+``SURE_WORDS`` words), and one for each ``WORDS_A_PAIR`` words of the item.  What an occurrence must keep of the item's substrings of
+``GRAM`` bytes is counted next, which loses none: an edit touches ``GRAM`` of them.
 
 Items travel in shards of bounded size; each shard is one scan of the documents
-without a shuffle of text.  Items with fewer words than a triple are looked up
-as a whole.
+without a shuffle of text.  Items of one word are looked up as a whole.
+Hits are worked on for at most ``HITS`` at a time, or for one document.
 
 Defined cases: null and empty texts match nothing; items without a word are
 skipped; repeated items match each on its own; repeated rows and rows with one
@@ -43,13 +45,18 @@ from pyspark.sql import functions as F
 from furrow.llm import text
 from furrow.llm.text import U64
 
-SEED_WORDS = 3
+SEED_WORDS = 2
+GAPS = (1, 2, 3)
+SURE_WORDS = 8
+WORDS_A_PAIR = 10
 RATIO = 0.15
 RECALL = 0.95
 SAMPLED = 3
-AGREE = 0.3
+AGREE = 0.2
 WALKS = 4
-BAND = 8
+GRAM = 4
+SLOT_BITS = 14
+HITS = 1 << 20
 SHARD_BYTES = 8 << 20
 
 RESULT = "doc_id long, item_id long, distance long, item_chars long, word_at long"
@@ -73,6 +80,15 @@ def walk_bits(steps: int, seed: int) -> np.ndarray:
     return (text.mix(cells) & U64(1)).astype(np.int64).reshape(steps, 256)
 
 
+def pair_seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, first word and text of every two words ``GAPS`` apart."""
+    parts = []
+    for gap in GAPS:
+        at, owner = text.window_starts(first, gap + 1)
+        parts.append((text.mix(words[at] * U64(2 * gap + 1) + text.mix(words[at + gap])), at, owner))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 def embed(rows: np.ndarray, walk: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The embedding of zero-padded byte rows at the sampled steps (ascending, distinct)."""
     n, width = rows.shape
@@ -113,17 +129,29 @@ def _padded(texts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(joined, np.uint8).reshape(len(texts), width)
 
 
-def _words_after(
-    raw: bytes, starts: np.ndarray, ends: np.ndarray, word: int, stop: int, size: int,
-) -> bytes:
-    """Words from ``word`` on, before ``stop``, that reach ``size`` bytes, joined by one space."""
-    last = min(int(np.searchsorted(starts, starts[word] + size, "left")), stop)
-    own = b" ".join(raw[starts[word]:ends[last - 1]].split())
-    while len(own) < size and last < stop:
-        more = min(int(np.searchsorted(starts, starts[last] + size - len(own), "left")), stop)
-        own = own + b" " + b" ".join(raw[starts[last]:ends[more - 1]].split())
-        last = more
-    return own
+def squeezed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words, each followed by one space, and where each begins; the last entry is the end."""
+    sizes = ends - starts
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    own = data[~text.SPACE[data]]
+    out[np.arange(len(own)) + np.repeat(np.arange(len(sizes)), sizes)] = own
+    return out, begin
+
+
+def gram_slots(data: np.ndarray) -> np.ndarray:
+    """A slot for the ``GRAM`` bytes at each position, zeros beyond the end."""
+    wide = np.concatenate([data, np.zeros(GRAM, np.uint8)]).astype(np.uint32)
+    value = np.zeros(len(data), np.uint32)
+    for k in range(GRAM):
+        value |= wide[k:k + len(data)] << np.uint32(8 * k)
+    return ((value * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)).astype(np.uint16)
+
+
+def _spread(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions low to low + size - 1 of every row, and the row of each."""
+    row = np.repeat(np.arange(len(low)), size)
+    return np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low[row], row
 
 
 @dataclass
@@ -142,21 +170,17 @@ class ItemIndex:
                                 / math.log(1 - self.agree ** self.sampled))
         data, starts, ends, first = normal_words(pa.array([t for _, t in self.items], pa.large_string()))
         words = text.span_hashes(data, starts, ends, _TABLE)
-        raw = data.tobytes()
-        self.texts, self.words = [], []
-        grams, where = [], []
-        for i in range(len(self.items)):
-            lo, hi = int(first[i]), int(first[i + 1])
-            own = b" ".join([raw[a:b] for a, b in zip(starts[lo:hi], ends[lo:hi])])
-            self.texts.append(np.frombuffer(own, np.uint8))
-            self.words.append(hi - lo)
-            if hi - lo >= SEED_WORDS:
-                seeds = text.rolling(words[lo:hi], SEED_WORDS)
-                grams.append(seeds)
-                where.append(np.stack([np.full(len(seeds), i), np.arange(len(seeds))], axis=1))
-        order = np.argsort(np.concatenate([*grams, np.zeros(0, U64)]), kind="stable")
-        self.grams = np.concatenate([*grams, np.zeros(0, U64)])[order]
-        self.where = np.concatenate([*where, np.zeros((0, 2), np.int64)])[order]
+        self.data, begin = squeezed(data, starts, ends)
+        self.low = begin[first[:-1]]
+        self.size = np.maximum(begin[first[1:]] - 1 - self.low, 0)
+        self.limit = np.floor(self.size * self.ratio).astype(np.int64)
+        self.slots = gram_slots(self.data)
+        self.texts = [self.data[a:a + n] for a, n in zip(self.low, self.size)]
+        self.words = np.diff(first)
+        grams, at, owner = pair_seeds(words, first)
+        order = np.argsort(grams, kind="stable")
+        self.grams = grams[order]
+        self.where = np.stack([owner, begin[at] - self.low[owner]], axis=1)[order]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.grams >> U64(44)).astype(np.int64)] = True
         # items of few words are looked up whole, by a fingerprint per number of words
@@ -181,8 +205,12 @@ class ItemIndex:
             rng = np.random.default_rng(least)
             steps = max(2 * least, self.sampled)
             places = np.sort(rng.permutation(steps)[:self.sampled * per_walk])
-            slots = rng.permutation(len(places))
-            slots = slots[:len(slots) // self.sampled * self.sampled].reshape(-1, self.sampled)
+            # an item too short for tables of their own places has tables that share them
+            slots = np.concatenate([rng.permutation(len(places)) for _ in range(
+                -(-self.sampled * per_walk // (len(places) // self.sampled * self.sampled)))])
+            slots = np.concatenate([
+                turn[:len(turn) // self.sampled * self.sampled].reshape(-1, self.sampled)
+                for turn in slots.reshape(-1, len(places))])[:per_walk]
             width = max(len(self.texts[i]) for i in own)
             rows = _padded([self.texts[i].tobytes() for i in own], width)
             for walk, signs in enumerate(self.signs):
@@ -190,42 +218,96 @@ class ItemIndex:
             self.group[own] = len(self.groups)
             self.groups.append((width, steps, places, slots))
 
-    def starts(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, start word) that enough shared triples imply."""
-        at, doc = text.window_starts(first, SEED_WORDS)
-        seeds = text.rolling(words, SEED_WORDS)[at] if len(at) else np.zeros(0, U64)
+    def starts(self, words: np.ndarray, first: np.ndarray, begin: np.ndarray):
+        """Distinct (document, item, start byte) that enough shared pairs imply, in bounded parts."""
+        seeds, at, doc = pair_seeds(words, first)
         near = np.flatnonzero(self.filter[(seeds >> U64(44)).astype(np.int64)])
+        near = near[np.argsort(at[near], kind="stable")]
         lo = np.searchsorted(self.grams, seeds[near], "left")
         many = np.searchsorted(self.grams, seeds[near], "right") - lo
-        hit = np.repeat(near, many)
-        entry = np.arange(len(hit)) + np.repeat(lo - (np.cumsum(many) - many), many)
+        at, doc, total = at[near], doc[near], np.concatenate([[0], np.cumsum(many)])
+        done = 0
+        while done < len(near):
+            upto = int(np.searchsorted(total, total[done] + HITS, "right")) - 1
+            # whole documents, one at least
+            stop = int(np.searchsorted(doc, doc[upto], "left")) if upto < len(near) else upto
+            if stop <= done:
+                stop = int(np.searchsorted(doc, doc[done], "right"))
+            own = slice(done, stop)
+            yield self._starts(lo[own], many[own], at[own], doc[own], begin)
+            done = stop
+
+    def _starts(self, lo, many, at, doc, begin) -> np.ndarray:
+        entry, hit = _spread(lo, many)
         item, offset = self.where[entry].T
-        # one number per hit, ordered by document, item and alignment
-        reach = len(words) + int(offset.max(initial=0)) + 2 * BAND + 1
-        line = (doc[hit] * len(self.items) + item) * reach + at[hit] - offset + reach - len(words)
+        # one number per hit, ordered by document, item and implied start
+        most = 2 * int(self.limit.max(initial=0))
+        before = int(self.size.max(initial=0))
+        reach = int(begin[-1]) + before + most + 1
+        line = (doc[hit] * len(self.items) + item) * reach + begin[at[hit]] - offset + before
         order = np.argsort(line, kind="stable")
-        line, seed = line[order], np.repeat(lo, many)[order]
-        # the nearest hits before and after that come from another triple
+        line, seed = line[order], lo[hit][order]
+        band = 2 * self.limit[item[order]]
+        # the nearest hits before and after that come from another pair
         edge = np.flatnonzero(np.diff(seed, prepend=-1, append=-1))
         run = np.searchsorted(edge, np.arange(len(line)), "right") - 1
-        far = np.concatenate([[-BAND - 1], line, [2 * line[-1] + BAND + 1 if len(line) else 0]])
-        other = np.minimum(far[edge[run + 1] + 1] - line, line - far[edge[run]]) <= BAND
+        far = np.concatenate([[-most - 1], line, [line[-1] + 2 * most + 1 if len(line) else 0]])
+        other = np.minimum(far[edge[run + 1] + 1] - line, line - far[edge[run]]) <= band
+        enough = other | (self.words[item[order]] < SURE_WORDS)
+        line = line[enough]
+        band, words = band[enough], self.words[item[order][enough]]
+        # all hits of an occurrence lie within a band after its first
+        stop = np.searchsorted(line, line + band, "right")
+        full = stop - np.arange(len(line)) >= words // WORDS_A_PAIR
+        cover = np.bincount(np.flatnonzero(full), minlength=len(line) + 1)
+        cover -= np.bincount(stop[full], minlength=len(line) + 1)
+        line = np.unique(line[np.cumsum(cover[:-1]) > 0])
         owner = line // reach
-        enough = other | (np.array(self.words)[owner % len(self.items)] == SEED_WORDS)
-        line = np.unique(line[enough])
-        owner = line // reach
-        doc, item = owner // len(self.items), owner % len(self.items)
-        begin = line - owner * reach - reach + len(words)
-        return np.unique(np.stack([doc, item, np.maximum(begin, first[:-1][doc])]), axis=1)
-
-    def _collide(self, windows: list[bytes], item: np.ndarray) -> np.ndarray:
-        """Whether a window and its item share a bucket of a hash table."""
+        return np.stack([owner // len(self.items), owner % len(self.items),
+                         line - owner * reach - before])
+
+    def _likely(self, found: np.ndarray, slots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The starts around which enough of the item's substrings occur."""
+        doc, item, start = found
+        if not len(doc):
+            return found
+        new = np.ones(len(doc), bool)
+        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (
+            np.diff(start) > 2 * self.limit[item[1:]])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(doc)) - 1
+        doc, item, limit = doc[head], item[head], self.limit[item[head]]
+        a = np.maximum(start[head] - limit, low[doc])
+        b = np.minimum(start[tail] + self.size[item] + 2 * limit, high[doc])
+        grams = np.maximum(self.size[item] - GRAM + 1, 0)
+        asked = grams - GRAM * limit
+        good = asked <= 0
+        room = np.concatenate([[0], np.cumsum(np.maximum(b - a, 0) + grams + (1 << SLOT_BITS))])
+        done = 0
+        while done < len(head):
+            stop = max(int(np.searchsorted(room, room[done] + (8 << 20), "right")) - 1, done + 1)
+            k = slice(done, stop)
+            seen = np.zeros((stop - done) << SLOT_BITS, bool)
+            where, row = _spread(a[k], np.maximum(b[k] - a[k], 0))
+            seen[(row << SLOT_BITS) + slots[where]] = True
+            where, row = _spread(self.low[item[k]], grams[k])
+            shared = np.bincount(row[seen[(row << SLOT_BITS) + self.slots[where]]],
+                                 minlength=stop - done)
+            good[k] |= shared >= asked[k]
+            done = stop
+        return found[:, good[np.cumsum(new) - 1]]
+
+    def _collide(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether a window equals its item or shares a bucket of a hash table with it."""
         out = np.zeros(len(item), bool)
         for g, (width, steps, places, slots) in enumerate(self.groups):
             own = np.flatnonzero(self.group[item] == g)
             if not len(own):
                 continue
-            rows = _padded([windows[k][:width] for k in own], width)
+            at = start[own, None] + np.arange(width)
+            rows = np.where(at < end[own, None], data[np.minimum(at, len(data) - 1)], 0)
+            known = _padded([self.texts[i].tobytes() for i in item[own]], width)
+            out[own] = ((rows == known) | (known == 0)).all(axis=1)
             for walk, known in enumerate(self.signs):
                 signs = embed(rows, walk_bits(steps, 7 + walk), places)
                 agree = signs == np.stack([known[i] for i in item[own]])
@@ -243,30 +325,38 @@ class ItemIndex:
             for k in np.flatnonzero(np.isin(prints, np.array(list(table), U64))):
                 for item in table[int(prints[k])]:
                     found.setdefault((int(doc[k]), item), (0, int(at[k] - first[doc[k]])))
-        raw = data.tobytes()
-        doc, item, begin = self.starts(words, first)
-        for lo in range(0, len(doc), 1 << 12):
-            d, i, b = (x[lo:lo + (1 << 12)] for x in (doc, item, begin))
-            sizes = np.array([len(self.texts[k]) for k in i], np.int64)
-            limits = np.floor(sizes * self.ratio).astype(np.int64)
-            windows = [_words_after(raw, starts, ends, w, int(first[k + 1]), n + m)
-                       for k, w, n, m in zip(d, b, sizes, limits)]
+        data, begin = squeezed(data, starts, ends)
+        low, high = begin[first[:-1]], np.maximum(begin[first[1:]] - 1, 0)
+        raw, slots = data.tobytes(), gram_slots(data)
+        for part in self.starts(words, first, begin):
+            self._verify(self._likely(part, slots, low, high), data, raw, begin, first, low, high, found)
+        return found
+
+    def _verify(self, part, data, raw, begin, first, low, high, found) -> None:
+        for lo in range(0, part.shape[1], 1 << 12):
+            d, i, s = part[:, lo:lo + (1 << 12)]
             rest = []
-            for k in np.flatnonzero(self._collide(windows, i)):
-                before = raw[max(int(starts[b[k]]) - int(limits[k]), int(starts[first[d[k]]])):
-                             int(starts[b[k]])]
-                around = b" ".join(before.split() + [windows[k]])
-                key, own = (int(d[k]), int(i[k])), self.texts[i[k]].tobytes()
-                if own in around:
-                    best = (0, int(b[k] - first[d[k]]))
+            hits = np.flatnonzero(self._collide(data, np.maximum(s, low[d]), high[d], i))
+            for d, i, s in zip(d[hits].tolist(), i[hits].tolist(), s[hits].tolist()):
+                limit = int(self.limit[i])
+                a, b = max(s - limit, int(low[d])), min(s + int(self.size[i]) + 2 * limit, int(high[d]))
+                own, key = self.texts[i].tobytes(), (d, i)
+                if (at := (b" " + raw[a:b] + b" ").find(b" " + own + b" ")) >= 0:
+                    at = int(np.searchsorted(begin, a + at, "left"))
+                    best = (0, at - int(first[d]))
                     found[key] = min(found.get(key, best), best)
+                elif rest and rest[-1][0] == key and s - rest[-1][1] <= 2 * limit:
+                    rest[-1][3] = b  # starts of one occurrence are verified together
                 else:
-                    rest.append((key, own, around, int(limits[k]), int(b[k] - first[d[k]])))
-            for key, own, around, limit, word in rest:
-                if found.get(key, (1, 0))[0] and (
-                        distance := edit_distance_within(own, around)) <= limit:
-                    found[key] = min(found.get(key, (distance, word)), (distance, word))
-        return found
+                    rest.append([key, s, a, b])
+            for key, s, a, b in rest:
+                if not found.get(key, (1, 0))[0]:
+                    continue
+                distance = edit_distance_within(self.texts[key[1]].tobytes(), raw[a:b])
+                if distance <= self.limit[key[1]]:
+                    at = int(np.searchsorted(begin, max(s, int(low[key[0]])), "right")) - 1
+                    best = (distance, at - int(first[key[0]]))
+                    found[key] = min(found.get(key, best), best)
 
 
 def contaminated(

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import html_text, pii, quality
+from furrow.llm import decontaminate, html_text, pii, quality
 from furrow.llm.decontaminate import ItemIndex, contaminated, edit_distance_within
 from furrow.llm.pii import base_spans, describe, find_personal_data, sanitise
 
@@ -110,6 +110,35 @@ def test_recall_of_edited_items():
     assert found >= 0.95 * tried
 
 
+@pytest.mark.parametrize("low, high", [(14, 26), (26, 60)])
+def test_recall_up_to_the_ratio(low, high):
+    rnd, words, _ = items_and_hosts()
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(low, high)))) for i in range(150)]
+    index = ItemIndex(items)
+    for share in (0.1, 0.12, 0.15):
+        texts, within = [], set()
+        for i, value in items:
+            chars = list(value)
+            for _ in range(int(len(chars) * share)):
+                at = rnd.randrange(len(chars))
+                chars[at:at + 1] = rnd.choice([[], ["q"], [chars[at], "z"]])
+            before, after = (" ".join(rnd.choice(words) for _ in range(50)) for _ in range(2))
+            texts.append(" ".join(f"{before} {''.join(chars)} {after}".split()))
+            if edit_distance_within(value.encode(), texts[-1].encode()) <= int(len(value) * 0.15):
+                within.add((i, i))
+        got = index.matches(pa.array(texts))
+        assert len(within) >= 120
+        assert len(within & set(got)) >= (0.95 if share < 0.15 else 0.9) * len(within)
+
+
+def test_hits_are_worked_on_in_parts(monkeypatch):
+    _, words, items = items_and_hosts()
+    texts = pa.array([" ".join(words[:50]) + " " + value for _, value in items] + ["", None] + [items[0][1]] * 3)
+    whole = ItemIndex(items).matches(texts)
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    assert ItemIndex(items).matches(texts) == whole and len(whole) == len(items) + 3
+
+
 def test_contaminated_documents(spark, documents):
     _, words, items = items_and_hosts()
     loud = items[0][1].upper().replace(" ", ", ")
