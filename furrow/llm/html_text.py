@@ -12,7 +12,10 @@ the one with the largest density sum is the main subtree.
 
 Elements that are never article text (scripts, menus, forms, sidebars, adverts,
 notices, reader comments, ...) are left out before counting, by element, role
-and the words of class and id.  If the subtree lies within the only article or
+and the words of class and id.  Such a word may also stand on a wrapper of the
+whole page (has-sidebar, header-and-content), so an element named by one alone
+stays if it holds the page's article, or most of the text around it while
+little lies outside all named elements; its densities then decide.  If the subtree lies within the only article or
 main element, or that lies within the subtree, the element itself is taken, so
 short paragraphs and headings stay.
 
@@ -73,7 +76,8 @@ ENDS_PARAGRAPH = BLOCK - frozenset("br button caption td th tr tbody thead tfoot
 _MARK = re.compile(
     r"<!--|<!\[CDATA\[|<[!?]|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)"
     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# every attribute is read with its value, so that words in other values name nothing
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>][^\s\"'=/>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -81,11 +85,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """Element with its pieces of text and child elements in page order."""
 
-    __slots__ = ("tag", "parent", "parts", "left_out", "chars", "tags", "link_chars", "link_tags",
+    __slots__ = ("tag", "parent", "parts", "left_out", "named", "chars", "tags", "link_chars", "link_tags",
                  "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, left_out: bool) -> None:
         self.tag, self.parent, self.left_out = tag, parent, left_out
+        self.named = False
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -104,18 +109,55 @@ def _is_left_out(tag: str, attributes: str, parent: Node) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "role" and value.lower() in LEFT_OUT_ROLES:
             return True
         if name == "style" and _HIDDEN.search(value):
             return True
-        if name in ("class", "id") and tag not in ("article", "main") and any(
-                w.lower() in LEFT_OUT_WORDS for w in _WORD.findall(value)):
-            return True
     return False
 
 
+def _is_named(tag: str, attributes: str) -> bool:
+    """Whether class or id has a word for what surrounds an article."""
+    return bool(attributes) and tag not in ("html", "body", "article", "main") and any(
+        name.lower() in ("class", "id") and any(w.lower() in LEFT_OUT_WORDS for w in _WORD.findall(value))
+        for name, value in _ATTRIBUTE.findall(attributes))
+
+
+def _leave_out_named(root: Node) -> None:
+    """Leaves out the named elements that neither hold the article nor most of the text."""
+    order, linked = [root], [False]
+    for node, inside in zip(order, linked):  # grows while it runs
+        for part in node.parts:
+            if not isinstance(part, str) and not part.left_out:
+                order.append(part)
+                linked.append(inside or part.tag == "a")
+    if not any(node.named for node in order):
+        return
+    # characters outside links: all, those in no named element, those of the largest article
+    free, plain, article = {}, {}, {}
+    for node, inside in zip(reversed(order), reversed(linked)):
+        own = 0 if inside else sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        below = [p for p in node.parts if not isinstance(p, str) and not p.left_out]
+        free[node] = own + sum(free[p] for p in below)
+        plain[node] = own + sum(plain[p] for p in below if not p.named)
+        article[node] = free[node] if node.tag in ("article", "main") else max(
+            (article[p] for p in below), default=0)
+    around = {root: root}
+    for node in order[1:]:
+        if node.parent not in around:
+            continue
+        outer = around[node.parent]
+        if not node.named:
+            around[node] = outer
+        elif 2 * article[node] >= max(article[root], plain[outer], 1) or (
+                free[node] and 2 * free[node] >= free[outer] and 5 * plain[outer] <= free[node]):
+            around[node] = node
+        else:
+            node.left_out = True
+
+
 def parse(page: str) -> Node:
     """Tree of the page; elements that are left out keep their place but no content."""
     root = node = Node("html", None, False)
@@ -146,6 +188,7 @@ def parse(page: str) -> Node:
                 end = re.compile(rf"</{tag}\b", re.I).search(page, at)
                 node.parts.append(page[at:end.start() if end else size])
                 at = end.start() if end else size
+    _leave_out_named(root)
     return root
 
 
@@ -181,6 +224,7 @@ def _open(node: Node, tag: str, attributes: str) -> Node:
     if tag in ("html", "body") and node.tag == "html" and tag == "html":
         return node
     child = Node(tag, node, _is_left_out(tag, attributes, node))
+    child.named = not child.left_out and _is_named(tag, attributes)
     node.parts.append(child)
     return node if tag in VOID or attributes.endswith("/") and tag in VOID else child
 

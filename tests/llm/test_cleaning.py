@@ -208,6 +208,43 @@ def test_article_of_a_page():
     assert html_text.extract(PAGE) == "Ti­tle & more First para graph with <tags> Second link one two a b"
 
 
+PROSE = "A long enough sentence of the article that anyone would like to read, and one more. "
+AROUND = '<nav>Home</nav><div class="sidebar"><p>Weather today</p></div>'
+
+
+@pytest.mark.parametrize("name", ['class="layout has-sidebar"', 'class="no-sidebar"', "class=with-menu",
+                                  'class="social-science"', 'id="header-and-content"'])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrapper_with_the_name_of_a_part(name, tag):
+    page = (f"<body><p>Site</p><div {name}>{AROUND}<{tag}><p>{PROSE * 3}</p><p>{PROSE * 2}</p></{tag}>"
+            '<div class="comments"><p>First! What a great read, thank you so much.</p></div></div></body>')
+    assert html_text.extract(page).split() == (PROSE * 5).split()
+
+
+def test_long_comments_beside_a_short_article():
+    for tag in ("article", "div"):
+        page = (f"<body><{tag}><p>{PROSE * 3}</p></{tag}><div id='comments'>"
+                + f"<article class='comment'><p>{'I do not agree. ' * 5}</p></article>" * 9 + "</div></body>")
+        assert html_text.extract(page).split() == (PROSE * 3).split()
+
+
+@pytest.mark.parametrize("attributes", [
+    'href="/hidden-falls"', 'href="x?id=ad"', "href=x?class=ad", 'title="hidden gems"', 'data-hidden="1"',
+    'data-id="ad"', 'title="style=display:none"'])
+def test_words_in_other_attributes_hide_nothing(attributes):
+    page = f"<body><article><p>{PROSE}</p><p>See <a {attributes}>the falls</a> there.</p></article></body>"
+    assert html_text.extract(page).endswith("See the falls there.")
+    page = f"<body><article><p {attributes}>{PROSE}</p></article></body>"
+    assert html_text.extract(page) == PROSE.strip()
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'title="x" HIDDEN=""', "aria-hidden=true", 'style="display: none"',
+                                        "data-x='1' class='ad box'", 'id="cookieBar"', "role=search"])
+def test_own_attributes_hide(attributes):
+    page = f"<body><article><p>{PROSE}</p><p {attributes}>Not to be read.</p></article></body>"
+    assert html_text.extract(page) == PROSE.strip()
+
+
 def test_page_without_article_element():
     page = ("<body><div><a href=1>Home</a> <a href=2>About</a></div><div class=content><p>" + "A long paragraph of words. " * 5
             + "<p>Short.<p>" + "Another one that goes on. " * 5 + "</div><div><a href=3>Imprint</a></div>")
