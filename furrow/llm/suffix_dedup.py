@@ -18,7 +18,11 @@ order.  A window has a copy exactly if a neighbour's value reaches 200.
 Shards larger than memory: the tuples are cut into buckets by anchor, their
 number grows with the text, and Spark's shuffle keeps them on disk and brings
 them bucket by bucket; equal runs of a chunk go once.  No deeper recursion is
-needed because no comparison goes beyond 200 bytes.
+needed because no comparison goes beyond 200 bytes.  An anchor with more than
+``HOT`` runs could still outgrow its bucket, so its windows go one by one, those
+equal in a chunk once, to buckets of their own fingerprints: only equal windows
+meet there, and no more of them than there are chunks.  They are compared by 96
+and more bits, as the runs of a chunk are.
 
 Defined cases: null text counts as empty; texts shorter than a window stay
 whole; copies inside one document count, also overlapping ones; repeated rows
@@ -40,6 +44,7 @@ from furrow.llm import exchange, text
 from furrow.llm.text import U64
 
 WINDOW = 200
+HOT = 1 << 14
 
 _SEEDS = (text.byte_table(31), text.byte_table(32))
 _SLICE = 1 << 19
@@ -101,11 +106,11 @@ class _Chunk:
     def questions(self, chunk: int) -> pa.Table:
         counts = np.bincount(self.inverse, minlength=len(self.asked))
         return exchange.questions(chunk, self.asked, self.bits,
-                                  [np.minimum(counts, 2).astype(np.uint8)])
+                                  [np.minimum(counts, 0xFFFF).astype(np.uint16)])
 
-    def runs(self, recurs: np.ndarray) -> None:
+    def runs(self, levels: np.ndarray) -> None:
         """Distinct texts of the runs whose anchor recurs, ordered by anchor and content."""
-        own = recurs[self.inverse] > 0
+        own = levels[self.inverse] > 0
         self.run_low, self.run_count = self.low[own], self.count[own]
         left = self.anchor[own] - self.run_low
         name = self.name[own]
@@ -125,30 +130,67 @@ class _Chunk:
         self.names, self.lows, self.ends = name[first], self.run_low[first], ends[first]
         self.lefts, self.counts = left[first], self.run_count[first]
         self.many = np.bincount(self.group, minlength=len(first)) > 1
+        self.hot = levels[self.inverse][own][first] > 1
+        self._windows()
+
+    def _windows(self) -> None:
+        """Distinct windows of the runs with a hot anchor, ordered by fingerprint."""
+        lows, counts = self.lows[self.hot], self.counts[self.hot]
+        run = np.repeat(np.arange(len(lows)), counts)
+        start = lows[run] + np.arange(len(run)) - (np.cumsum(counts) - counts)[run]
+        place = np.argsort(start)
+        start = start[place]
+        prints = [text.span_hashes(self.data, start, start + self.window, seed) for seed in _SEEDS]
+        name = prints[0] >> U64(32 - self.bits)
+        order = np.lexsort((prints[1], name))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(name[order]) != 0) | (np.diff(prints[1][order]) != 0)
+        first = order[new]
+        self.window_names, self.window_prints = name[first], prints[1][first]
+        # which of the distinct windows each window of a hot run is
+        self.window_group = np.empty(len(order), np.int64)
+        self.window_group[place[order]] = np.cumsum(new) - 1
+        self.window_many = np.bincount(
+            self.window_group, weights=1 + self.many[self.hot][run], minlength=len(first)) > 1
 
     def run_questions(self, chunk: int) -> pa.Table:
-        cuts = np.searchsorted(self.names, np.arange((1 << self.bits) + 1, dtype=U64) << U64(32))
+        """Runs to the buckets of their anchors, windows of hot anchors to those that follow."""
+        cold = np.flatnonzero(~self.hot)
+        names = self.names[cold]
+        cuts = np.searchsorted(names, np.arange((1 << self.bits) + 1, dtype=U64) << U64(32))
         rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
-        raw, spans = self.data.tobytes(), list(zip(self.lows.tolist(), self.ends.tolist()))
-        low = (self.names & U64(0xFFFFFFFF)).astype(np.uint32)
-        shape = np.stack([self.lefts, self.counts, self.many]).astype(np.uint8)
-        return pa.table({
+        raw, spans = self.data.tobytes(), list(zip(self.lows[cold].tolist(), self.ends[cold].tolist()))
+        low = (names & U64(0xFFFFFFFF)).astype(np.uint32)
+        shape = np.stack([self.lefts, self.counts, self.many]).astype(np.uint8)[:, cold]
+        runs = pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int64()),
             "chunk": pa.array([chunk] * len(rows), pa.int64()),
             "keys": pa.array([text.pack_sorted(low[lo:hi]) for _, lo, hi in rows], pa.binary()),
             "extra": pa.array([shape[:, lo:hi].tobytes() + b"".join(
                 [raw[a:b] for a, b in spans[lo:hi]]) for _, lo, hi in rows], pa.binary()),
         }, schema=exchange._ASK)
+        windows = exchange.questions(chunk, self.window_names, self.bits,
+                                     [self.window_prints, self.window_many.astype(np.uint8)])
+        return pa.concat_tables([runs, windows.set_column(
+            0, "bucket", pc.add(windows["bucket"], 1 << self.bits))])
 
     def removed(self, answers: pa.Table) -> np.ndarray:
         """Bytes under a window that has a copy."""
         parts = []
-        cuts = np.searchsorted(self.names, np.arange((1 << self.bits) + 1, dtype=U64) << U64(32))
-        sizes = np.concatenate([[0], np.cumsum(self.counts)])
-        for bucket, raw in sorted(zip(answers["bucket"].to_pylist(), answers["answer"].to_pylist())):
+        cold = ~self.hot
+        cuts = np.searchsorted(self.names[cold], np.arange((1 << self.bits) + 1, dtype=U64) << U64(32))
+        sizes = np.concatenate([[0], np.cumsum(self.counts[cold])])
+        of_window = pc.greater_equal(answers["bucket"], 1 << self.bits)
+        of_run = answers.filter(pc.invert(of_window))
+        for bucket, raw in sorted(zip(of_run["bucket"].to_pylist(), of_run["answer"].to_pylist())):
             n = int(sizes[cuts[bucket + 1]] - sizes[cuts[bucket]])
             parts.append(np.unpackbits(np.frombuffer(raw, np.uint8), count=n))
-        found = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        windows = exchange.gathered(answers.filter(of_window), np.uint8)
+        sizes = np.concatenate([[0], np.cumsum(self.counts)])
+        found = np.zeros(int(sizes[-1]), np.uint8)
+        hot = np.repeat(self.hot, self.counts)
+        found[~hot] = np.concatenate([np.zeros(0, np.uint8), *parts])
+        found[hot] = windows[self.window_group]
         total = int(self.run_count.sum())
         run = np.repeat(np.arange(len(self.run_count)), self.run_count)
         step = np.arange(total) - (np.cumsum(self.run_count) - self.run_count)[run]
@@ -160,13 +202,33 @@ class _Chunk:
         return np.cumsum(steps[:-1]) > 0
 
 
-def _recurring(table: pa.Table) -> pa.Table:
-    """Which anchors of a bucket occur twice or more."""
+def _recurring(hot: int):
+    def find(table: pa.Table) -> pa.Table:
+        """Which anchors of a bucket occur twice or more (1), and more than ``hot`` times (2)."""
+        keys = [text.unpack_sorted(raw, np.uint32) for raw in table["keys"].to_pylist()]
+        counts = np.concatenate([text.from_planes(raw, np.uint16) for raw in table["extra"].to_pylist()])
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, weights=counts)
+        level = ((total > 1) * (1 + (total > hot))).astype(np.uint8)
+        return exchange.answers(table, [len(k) for k in keys], level[inverse])
+
+    return find
+
+
+def _equal(table: pa.Table) -> pa.Table:
+    """Which windows of a bucket occur twice or more."""
     keys = [text.unpack_sorted(raw, np.uint32) for raw in table["keys"].to_pylist()]
-    counts = np.frombuffer(b"".join(table["extra"].to_pylist()), np.uint8)
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    often = np.bincount(inverse, weights=counts) > 1
-    return exchange.answers(table, [len(k) for k in keys], often[inverse].astype(np.uint8))
+    sizes, extra = [len(k) for k in keys], table["extra"].to_pylist()
+    prints = np.concatenate([text.from_planes(raw[:8 * n], U64) for raw, n in zip(extra, sizes)])
+    many = np.frombuffer(b"".join([raw[8 * n:] for raw, n in zip(extra, sizes)]), np.uint8)
+    keys = np.concatenate(keys)
+    order = np.lexsort((prints, keys))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(keys[order]) != 0) | (np.diff(prints[order]) != 0)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    often = np.bincount(group, weights=1 + many) > 1
+    return exchange.answers(table, sizes, often[group].astype(np.uint8))
 
 
 class _RangeMinimum:
@@ -236,8 +298,10 @@ def induced_copies(
     return flags
 
 
-def _copies(window: int):
+def _copies(window: int, bits: int):
     def find(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= 1 << bits:
+            return _equal(table)
         runs, shapes, sizes = [], [], []
         for raw, extra in zip(table["keys"].to_pylist(), table["extra"].to_pylist()):
             n = len(raw) // 4
@@ -284,12 +348,15 @@ def _result(chunk: _Chunk, ids: pa.Array, gone: np.ndarray, texts: bool) -> pa.T
     })
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+def remove_repeated_bytes(
+    docs: DataFrame, window: int = WINDOW, texts: bool = True, hot: int = HOT,
+) -> DataFrame:
     """Removes every byte under a ``window``-byte string that also starts anywhere else.
 
     Takes doc_id and text; returns one row per document with its bytes, removed
     bytes, maximal removed runs and a digest of what stays and, with ``texts``,
-    the remaining bytes and the runs.
+    the remaining bytes and the runs.  Windows of an anchor with more than ``hot``
+    runs are compared one by one.
     """
     if not 2 <= window <= 250:
         raise ValueError("the window must be 2 to 250 bytes")
@@ -313,8 +380,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, texts: bool = T
         return _result(chunk, left["doc_id"].combine_chunks(), gone, texts)
 
     anchors = chunks.groupBy("chunk").applyInArrow(ask, exchange.ASK).groupBy(
-        "bucket").applyInArrow(_recurring, exchange.ANSWER)
+        "bucket").applyInArrow(_recurring(hot), exchange.ANSWER)
     copies = chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(
-        send, exchange.ASK).groupBy("bucket").applyInArrow(_copies(window), exchange.ANSWER)
+        send, exchange.ASK).groupBy("bucket").applyInArrow(_copies(window, bits), exchange.ANSWER)
     both = anchors.withColumn("kind", F.lit(1)).unionByName(copies.withColumn("kind", F.lit(2)))
     return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, RESULT)

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from furrow.llm import ngram_join, suffix_dedup
+from furrow.llm import exchange, ngram_join, suffix_dedup
 from furrow.plans.graph import components
 from furrow.llm.ngram_join import PrefixTree, near_duplicates
 from furrow.llm.substring_dedup import remove_repeated_windows
@@ -68,6 +68,30 @@ def test_repeated_bytes(documents, corpus, window):
     assert all(digest(bytes(r["kept"])) == r["kept_sha256"] for r in got)
 
 
+@pytest.mark.parametrize("hot", [0, 4])
+def test_hot_anchors_give_the_same(documents, corpus, hot):
+    line = "This line of a licence stands in every third document, whatever else it says. "
+    rows = [(i, t if t is None or n % 3 else f"{t[:len(t) // 2]} {line}{t[len(t) // 2:]}")
+            for n, (i, t) in enumerate(corpus)]
+    got = remove_repeated_bytes(documents(rows), 100, hot=hot).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == bytes_by_hand(rows, 100)
+
+
+def test_a_hot_anchor_is_spread_over_buckets():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    line = "".join(rng.choice(list("abcdefgh"), 180))
+    texts = ["".join(rng.choice(list("xyz"), 300)) + line + "".join(rng.choice(list("xyz"), 300))
+             for _ in range(200)]
+    chunk = suffix_dedup._Chunk(pa.table({"text": texts}), 200, 4)
+    asked = suffix_dedup._recurring(100)(chunk.questions(0))
+    chunk.runs(exchange.gathered(asked, np.uint8))
+    assert chunk.hot.any()
+    sent = [len(raw) for raw in chunk.run_questions(0)["extra"].to_pylist()]
+    assert len(sent) >= 16 and max(sent) < 2 * sum(sent) / 16
+
+
 def test_runs_are_the_same_across_slices(monkeypatch):
     import pyarrow as pa
 
