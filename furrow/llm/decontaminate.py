@@ -47,7 +47,7 @@ from furrow.llm.text import U64
 
 SEED_WORDS = 2
 GAPS = (1, 2, 3)
-SURE_WORDS = 8
+SURE_WORDS = 16
 WORDS_A_PAIR = 10
 RATIO = 0.15
 RECALL = 0.95

@@ -131,6 +131,20 @@ def test_recall_up_to_the_ratio(low, high):
         assert len(within & set(got)) >= (0.95 if share < 0.15 else 0.9) * len(within)
 
 
+def test_short_items_survive_a_changed_word():
+    items = [(3, "erste zweite dritte"), (4, "quelle brunnen wasser eimer"),
+             (6, "north eastern harbour lights burning tonight")]
+    texts = ["vor erste zweite dritze nach", "ein quelle brunsen wasser eimer mehr",
+             "the north eastern hazbour lights burning tonight again"]
+    got = ItemIndex(items).matches(pa.array(texts))
+    assert {k: v[0] for k, v in got.items()} == {(0, 0): 1, (1, 1): 1, (2, 2): 1}
+
+
+def test_short_items_get_all_their_tables():
+    index = ItemIndex([(1, "abc def ghi jkl mno")])
+    assert all(len(slots) * 4 >= index.tables for _, _, _, slots in index.groups)
+
+
 def test_hits_are_worked_on_in_parts(monkeypatch):
     _, words, items = items_and_hosts()
     texts = pa.array([" ".join(words[:50]) + " " + value for _, value in items] + ["", None] + [items[0][1]] * 3)
