@@ -121,7 +121,7 @@ def render_incrementally(template: Template, turns: list[Turn]) -> Rendered:
 
 
 def format_turns(
-    conversations: DataFrame, template: Template = plain_template, context: int | None = 0,
+    conversations: DataFrame, template: Template = plain_template, context: int | None = None,
     trained: tuple[str, ...] = TRAINED, piece: int = PIECE,
 ) -> DataFrame:
     """One row per turn: conv_id, place in the conversation, role, the turn's part of the

@@ -40,7 +40,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
         [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], given.schema)
-    return chat.digests(chat.format_turns(given.union(extra)), chat.parse_turn, chat.unescape)
+    # plain_template renders a turn the same whatever precedes it, so no turns are carried
+    turns = chat.format_turns(given.union(extra), chat.plain_template, context=0)
+    return chat.digests(turns, chat.parse_turn, chat.unescape)
 
 
 WINDOWS_SQL = """

@@ -62,6 +62,23 @@ def test_context_carries_over_pieces(spark):
         assert "".join(r["part"] for r in got) == whole
 
 
+def test_rewriting_is_seen_beyond_a_piece(spark):
+    def opened(given):
+        return "<start>" * bool(given) + "".join(f"<{r}>{x}" for r, x in given)
+
+    def last_thought(given):  # thoughts stay only after the last user turn
+        last = max((i for i, t in enumerate(given) if t[0] == "user"), default=0)
+        return "".join(f"<{r}>{x if i > last or r == 'user' else x[:2]}" for i, (r, x) in enumerate(given))
+
+    rows = [(1, k, "user" if k in (0, chat.PIECE) else "assistant", f"t{k:03d}") for k in range(chat.PIECE + 8)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_turns(table, opened).orderBy("place").collect()
+    assert "".join(r["part"] for r in got) == opened([(r, x) for _, _, r, x in rows])
+    assert not any(r["rewritten"] for r in got)
+    got = chat.format_turns(table, last_thought).orderBy("place").collect()
+    assert [r["rewritten"] for r in got] == [False] + [True] * (chat.PIECE + 7)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 1)
                                   for i, v in rows], "vec_id long, embedding array<float>, shard int")
