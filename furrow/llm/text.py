@@ -84,6 +84,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_codes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+) -> tuple[np.ndarray, pa.Array]:
+    """A number for each span, equal where the bytes are equal, and the distinct spans in that order.
+
+    Spans are in order and do not overlap.
+    """
+    compact, borders = compacted(data, starts, ends)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(borders), pa.py_buffer(compact)]).dictionary_encode()
+    return spans.indices.to_numpy(zero_copy_only=False).astype(np.int64), spans.dictionary
+
+
+def compacted(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The spans' bytes end to end and their n + 1 borders."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    return data[inside], np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+
+
 def span_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray,
 ) -> np.ndarray:
