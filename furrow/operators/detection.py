@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import logging
-import math
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType, DoubleType, IntegerType, StringType, StructField, StructType)
@@ -18,8 +16,7 @@ from furrow.functions.boxes import (
 from furrow.functions.text import mask_count, norm_label
 from furrow.operators.plots import labeled_plots, q
 from furrow.operators.spatial import box_pairs
-from furrow.plans.graph import components
-from furrow.plans.session import cut_lineage
+from furrow.operators.suppression import nms
 from furrow.plans.skew import keep_first, ordinal
 
 log = logging.getLogger(__name__)
@@ -107,160 +104,6 @@ def detect(
 # --- non-maximum suppression
 
 
-def _overlap(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
-    """Overlap ratio of two structs (or dicts) with x1, y1, x2, y2; 0 for empty boxes."""
-    w = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])
-    h = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
-    area = lambda c: (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
-    return F.when((w <= 0) | (h <= 0), 0.0).otherwise(w * h / (area(a) + area(b) - w * h))
-
-
-def nms(
-    df: DataFrame, by: Sequence[str], box: Sequence[Column], score: str, ids: Sequence[str],
-    threshold: float = 0.5, offset: float = 0.0, small_group: int = 512,
-) -> DataFrame:
-    """Greedy suppression per group: best score first, overlap >= threshold goes.
-
-    ``box`` are corner expressions; ``offset`` widens both extents.  ``ids`` name
-    a row within its group and break ties of the score; null scores rank first.
-    A null in ``by`` or ``ids`` is a value like any other; a box without one of
-    its corners, or without an extent, suppresses nothing and stays.  Groups of
-    at most ``small_group`` boxes (the count is checked) are decided inside one
-    row, larger ones over grid cells.  The choice is one of cost: both give the
-    same rows.
-    """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must lie in (0, 1]")
-    x1, y1, x2, y2 = box
-    corners = F.struct(
-        x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
-        (x2 + offset).cast("double").alias("x2"), (y2 + offset).cast("double").alias("y2"))
-    # texts that are never null stand for the group and the row in every join
-    rows = df.withColumn("_box", corners).withColumn(
-        "_rank", F.struct((-F.col(score)).alias("score"), *ids)).withColumn(
-        "_by", F.to_json(F.struct(F.lit(0).alias("_"), *by))).withColumn("_id", F.to_json(F.struct(*ids)))
-    large = rows.groupBy("_by").agg(F.count("*").alias("_n")).where(F.col("_n") > small_group)
-    if not by:
-        kept = _rounds(rows, threshold)
-    elif large.isEmpty():
-        return _small_groups(rows, threshold).select(*df.columns)
-    else:
-        kept = _small_groups(rows.join(large, "_by", "left_anti"), threshold).unionByName(
-            _rounds(rows.join(large, "_by", "left_semi"), threshold))
-    return kept.select(*df.columns)
-
-
-def _small_groups(rows: DataFrame, threshold: float) -> DataFrame:
-    """Greedy pass over the sorted array of a bounded group."""
-    rest = [c for c in rows.columns if c not in ("_by", "_rank", "_box")]
-    item = F.struct("_rank", "_box", F.struct(*rest).alias("_row"))
-    groups = rows.groupBy("_by").agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    empty = F.slice("_all", 1, 0)
-    keep = F.aggregate("_all", empty, lambda kept, b: F.when(
-        F.exists(kept, lambda k: _overlap(k["_box"], b["_box"]) >= threshold), kept
-    ).otherwise(F.concat(kept, F.array(b))))
-    return groups.select("_by", F.explode(keep).alias("_b")).select("_by", "_b._rank", "_b._box", "_b._row.*")
-
-
-# boxes in one cell beyond which pairs are not listed
-CROWD = 1000
-
-
-def _rounds(rows: DataFrame, threshold: float) -> DataFrame:
-    """Greedy suppression of groups of any size.
-
-    Boxes that suppress each other have similar extents and nearby centres, so
-    each box is placed on a few cells such that any such pair shares one.
-
-    While some cell holds more than ``CROWD`` open boxes, no pairs are listed:
-    boxes that rank first in all their cells are kept, since nothing open can
-    precede them, and the others are compared with the at most one winner of
-    each of their cells.  Once every cell is small (its size is checked), the
-    conflicts are listed once, and each connected set of them is resolved in the
-    order of rank in one go, so a long chain of boxes costs no further jobs.
-    """
-    by = ["_by"]
-    keys = ["_by", "_id"]
-    w, h = F.col("_box.x2") - F.col("_box.x1"), F.col("_box.y2") - F.col("_box.y1")
-    empty = F.coalesce((w <= 0) | (h <= 0), F.lit(True))
-    flat, solid = rows.where(empty), rows.where(~empty)
-    # boxes at the same place: only the best one can stay
-    narrow = keep_first(solid.select(*keys, "_box", "_rank"), [*by, "_box"], ["_rank"])
-    # one long stands for both the rank and the row
-    corners = ("x1", "y1", "x2", "y2")
-    ranked = cut_lineage(ordinal(narrow, ["_rank", *by], name="_r").select(
-        *keys, *[F.col(f"_box.{c}").alias(f"_{c}") for c in corners], "_r"))
-    flat_box = [f"_{c}" for c in corners]
-    own = {c: F.col(f"_{c}") for c in corners}
-    other_box = {c: F.col(f"_{c}2") for c in corners}
-    seconds = [F.col(c).alias(f"{c}2") for c in flat_box]
-    steps = math.ceil(math.log2(1 / threshold))
-    half = (1 - threshold) / 2 * (1 + 1e-9) + 1e-12
-
-    def place(df: DataFrame) -> DataFrame:
-        for axis, low, high in (("x", "x1", "x2"), ("y", "y1", "y2")):
-            size = F.col(f"_{high}") - F.col(f"_{low}")
-            middle = (F.col(f"_{high}") + F.col(f"_{low}")) / 2
-            df = df.withColumn(f"_o{axis}", F.floor(F.log2(size)).cast("int")).withColumn(
-                f"_f{axis}", middle - size * half).withColumn(f"_t{axis}", middle + size * half)
-            df = df.withColumn(f"_l{axis}", F.explode(F.sequence(
-                F.col(f"_o{axis}"), F.col(f"_o{axis}") + steps)))
-            cell = F.pow(F.lit(2.0), F.col(f"_l{axis}") + 1)
-            df = df.withColumn(f"_c{axis}", F.explode(F.sequence(
-                F.floor(F.col(f"_f{axis}") / cell), F.floor(F.col(f"_t{axis}") / cell))))
-        return df
-
-    cell = [*by, "_lx", "_ly", "_cx", "_cy"]
-    won: list[DataFrame] = []
-    open_boxes = ranked.select(*by, "_r", *flat_box)
-    while True:
-        placed = place(open_boxes)
-        tops = placed.groupBy(*cell).agg(F.min("_r").alias("_top"), F.count("*").alias("_n"))
-        if tops.where(F.col("_n") > CROWD).isEmpty():
-            break
-        wins = placed.join(tops, cell).groupBy("_r").agg(
-            F.min(F.col("_top") == F.col("_r")).alias("_wins"))
-        state = open_boxes.join(wins, "_r")
-        winners = place(state.where("_wins")).select(*cell, *seconds)
-        lost = place(state.where(~F.col("_wins"))).join(winners, cell).where(
-            _overlap(other_box, own) >= threshold).select(
-            "_r").distinct().withColumn("_lost", F.lit(True))
-        state = cut_lineage(state.join(lost, "_r", "left"))
-        won.append(state.where("_wins").select("_r"))
-        open_boxes = state.where(~F.col("_wins") & F.col("_lost").isNull()).select(*open_boxes.columns)
-
-    sides = ["_r", *flat_box, "_ox", "_oy", "_fx", "_fy"]
-    near = placed.select(*cell, *sides)
-    other = near.select(*cell, *[F.col(c).alias(f"{c}2") for c in sides])
-    at = lambda axis: F.floor(F.greatest(f"_f{axis}", f"_f{axis}2")
-                              / F.pow(F.lit(2.0), F.col(f"_l{axis}") + 1))
-    # a pair is met once: on the coarser level, in the cell of its first common point
-    conflicts = near.join(other, cell).where(
-        (F.col("_r") < F.col("_r2"))
-        & (F.col("_lx") == F.greatest("_ox", "_ox2")) & (F.col("_ly") == F.greatest("_oy", "_oy2"))
-        & (F.col("_cx") == at("x")) & (F.col("_cy") == at("y"))
-        & (_overlap(own, other_box) >= threshold))
-    edges = cut_lineage(conflicts.select(F.col("_r").alias("better"), F.col("_r2").alias("worse")))
-    # boxes outside every conflict stay
-    joined = components(edges.select(F.col("worse").alias("a"), F.col("better").alias("b")))
-    sets = edges.join(joined.withColumnRenamed("node", "better"), "better", "left").withColumn(
-        "root", F.coalesce("root", "better"))
-    lost = sets.groupBy("root").applyInPandas(_lost_in_order, "_r long")
-    kept = open_boxes.select("_r").join(lost, "_r", "left_anti")
-    kept = reduce(DataFrame.union, won, kept)
-    stay = ranked.join(kept, "_r", "left_semi").select(*keys)
-    return flat.unionByName(solid.join(stay, keys, "left_semi").select(*flat.columns))
-
-
-def _lost_in_order(edges: pd.DataFrame) -> pd.DataFrame:
-    """Boxes that a kept box of better rank suppresses, within one connected set of conflicts."""
-    lost: set[int] = set()
-    for better, worse in sorted(zip(edges["better"], edges["worse"])):
-        if better not in lost:  # every conflict that could remove it has been seen
-            lost.add(worse)
-    return pd.DataFrame({"_r": sorted(lost)}, dtype="int64")
-
-
 def nms_xywh(df: DataFrame, by: Sequence[str], ids: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """Suppression of centre-form detections by ``confidence``."""
     half_w, half_h = F.col("width") / 2, F.col("height") / 2
@@ -281,8 +124,7 @@ def nms_batches(
     if batch_rows is None:
         return nms(df, [], box, "score", ids, threshold, offset)
     batched = ordinal(df, order, name="_k").withColumn("_batch", F.floor(F.col("_k") / batch_rows))
-    return nms(batched, ["_batch"], box, "score", ids, threshold, offset,
-               small_group=batch_rows).select(*df.columns)
+    return nms(batched, ["_batch"], box, "score", ids, threshold, offset).select(*df.columns)
 
 
 # --- plant boxes

@@ -42,20 +42,35 @@ def frame(spark, boxes):
     return spark.createDataFrame([tuple(float(v) if i > 0 else v for i, v in enumerate(b)) for b in boxes], SCHEMA)
 
 
-@pytest.mark.parametrize("threshold,small,crowd", [(0.5, 1000, 1000), (0.3, 1, 1000), (0.8, 60, 1000), (0.5, 1, 25)])
-def test_every_path_is_greedy(spark, monkeypatch, threshold, small, crowd):
-    monkeypatch.setattr(D, "CROWD", crowd)
-    groups = {"a": make(150, 8), "b": make(40, 9, 12)}
+@pytest.mark.parametrize("threshold,head,tile", [(0.5, 256, 1000), (0.3, 6, 20), (0.8, 4, 50)])
+def test_rounds_and_tiles_are_greedy(spark, threshold, head, tile):
+    groups = {"a": make(150, 8), "b": make(40, 9, 12), "c": make(60, 10, 3)}
     data = None
     for g, boxes in groups.items():
         part = frame(spark, boxes).withColumn("g", F.lit(g))
         data = part if data is None else data.unionByName(part)
-    out = D.nms(data, ["g"], corners(), "score", ["id"], threshold, small_group=small)
+    out = D.nms(data, ["g"], corners(), "score", ["id"], threshold, head=head, tile=tile)
     got = {g: {r["id"] for r in out.collect() if r["g"] == g} for g in groups}
     assert got == {g: greedy(b, threshold) for g, b in groups.items()}
     assert out.columns == data.columns
 
 
+@pytest.mark.parametrize("n", [20, 600])
+def test_a_box_without_finite_corners_stays_and_removes_nothing(spark, n):
+    nan, inf = float("nan"), float("inf")
+    apart = [(i, 0.5, 3.0 * i, 0.0, 3.0 * i + 1, 1.0) for i in range(n)]
+    odd = [(-1, 0.9, nan, 0.0, 1.0, 1.0), (-2, 0.9, 0.0, 0.0, inf, 1.0), (-3, 0.9, -inf, -inf, inf, inf),
+           (-4, nan, 0.0, 0.0, 1.0, 1.0), (-5, 0.9, None, 0.0, 1.0, 1.0), (-6, 0.9, 2.0, 0.0, 1.0, 1.0)]
+    out = D.nms(spark.createDataFrame(apart + odd, SCHEMA), [], corners(), "score", ["id"])
+    assert {r["id"] for r in out.collect()} == set(range(n)) | {-1, -2, -3, -5, -6}
+
+
+def test_a_dense_image_lists_few_pairs(spark):
+    boxes = make(3000, 11, 6)
+    out = D.nms(frame(spark, boxes), [], corners(), "score", ["id"], 0.4)
+    assert {r["id"] for r in out.collect()} == greedy(boxes, 0.4)
+
+
 def test_threshold_is_inclusive_and_copies_collapse(spark):
     boxes = [(1, 0.9, 0, 0, 2, 1), (2, 0.8, 1, 0, 2, 1), (3, 0.9, 0, 0, 2, 1), (4, 0.1, 5, 5, 5, 6), (5, 0.1, 5, 5, 5, 6)]
     for by, df in (([], frame(spark, boxes)), (["g"], frame(spark, boxes).withColumn("g", F.lit(1)))):
@@ -129,15 +144,37 @@ def test_nulls_count_the_same_in_small_and_large_groups(spark, n):
     assert sorted(r["id"] for r in out if r["x2"] is not None) == list(range(1, n, 2))
 
 
-def test_a_chain_of_boxes_costs_few_tables(spark, monkeypatch):
-    from furrow.plans import graph
+@pytest.mark.parametrize("n,tile", [(1000, 40), (100_000, 5000)])
+def test_a_chain_of_boxes_costs_few_tables(spark, monkeypatch, n, tile):
+    from furrow.operators import suppression
+    from furrow.plans import greedy as plan
 
     written = []
-    for module in (D, graph):
+    for module in (suppression, plan):
         cut = module.cut_lineage
         monkeypatch.setattr(module, "cut_lineage", lambda df, cut=cut: written.append(1) or cut(df))
-    n = 1000
     chain = spark.range(n).selectExpr("0 AS g", "id", "id * 0.3D AS x1", "0D AS y1", "id * 0.3D + 1 AS x2", "1D AS y2", "-double(id) AS score")
-    out = D.nms(chain, ["g"], tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), "score", ["id"], 0.5).collect()
+    out = D.nms(chain, ["g"], tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), "score", ["id"], 0.5, tile=tile).collect()
     assert sorted(r["id"] for r in out) == list(range(0, n, 2))
-    assert len(written) <= 20
+    assert len(written) <= 9
+
+
+def test_statements_of_tiles_are_the_greedy_choice():
+    from furrow.plans.greedy import settle
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        n = rnd.randrange(2, 30)
+        edges = {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(rnd.randrange(1, 60))}
+        kept = []
+        for i in range(n):
+            kept.append(not any(kept[a] for a, b in edges if b == i))
+        follows = {b for _, b in edges}
+        rows = [(b, a if a in follows else None, True) for a, b in edges]
+        found = {node: value for node, value, _, _ in settle(rows)}
+        assert found == {b: kept[b] for b in follows}
+        # a tile that sees the upper half only leaves statements that hold
+        for node, value, other, same in settle([r for r in rows if r[0] >= n // 2]):
+            assert (value is None) or value == kept[node]
+            if value is None:
+                assert not kept[node] or kept[other] != same
