@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.geo import ring_bounds, to_utm
 from furrow.functions.pixels import excess_green, hsv_leaf_mask, low_gain_fix, to_byte
+from furrow.operators.morphology import diamond, morph, square
 from furrow.operators.spatial import box_pairs
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import exact_quantiles, keep_first
@@ -173,40 +174,6 @@ def leaf_mask(pixels: DataFrame) -> DataFrame:
     return morph(marked, "open", diamond(3))
 
 
-def square(radius: int) -> list[tuple[int, int]]:
-    span = range(-radius, radius + 1)
-    return [(i, j) for i in span for j in span]
-
-
-def diamond(radius: int) -> list[tuple[int, int]]:
-    return [(i, j) for i, j in square(radius) if abs(i) + abs(j) <= radius]
-
-
-def morph(
-    pixels: DataFrame, kind: str, element: Sequence[tuple[int, int]], mask: str = "mask",
-) -> DataFrame:
-    """Close or open a 0/1 mask; positions outside the raster do not count.
-
-    Each pass is one aggregate: pixels that can change a neighbour (set ones when
-    growing, clear ones when shrinking) hand their value to the positions the
-    element covers, and every pixel hands it to itself.  Neighbours meet in the
-    map-side combine, so little more than the pixels themselves is shuffled.
-    """
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in element if i or j])
-    here = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    swept = pixels.select(RASTER, "row", "col", F.col(mask).cast("int").alias("_m"))
-    for active, pick in {"close": ((1, F.max), (0, F.min)), "open": ((0, F.min), (1, F.max))}[kind]:
-        reach = F.when(F.col("_m") == active, F.concat(here, offsets)).otherwise(here)
-        swept = swept.withColumn("_o", F.explode(reach)).groupBy(
-            RASTER, (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"),
-        ).agg(pick("_m").alias("_m"), F.max((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_own")).where(
-            "_own").drop("_own")
-    rest = [c for c in pixels.columns if c not in (RASTER, "row", "col", mask)]
-    if rest:
-        swept = pixels.drop(mask).join(swept, [RASTER, "row", "col"])
-    return swept.withColumnRenamed("_m", mask).select(*pixels.columns)
-
-
 # --- traits
 
 
@@ -229,19 +196,71 @@ def canopy_temp(pixels: DataFrame, celsius: str = "celsius") -> DataFrame:
     return pixels.groupBy(RASTER).agg(F.round(F.avg(used), 2).alias("Avg_Temp_C"))
 
 
-def drone_traits(pixels: DataFrame, plots: DataFrame, thermal: bool = False) -> DataFrame:
+def resample(pixels: DataFrame, onto: DataFrame, bands: Sequence[str], whole: bool = True) -> DataFrame:
+    """Rows of the grid ``onto`` with the bands of another grid of the same rasters, bilinear.
+
+    Both grids cover the same ground, ``onto`` with as many rows and columns as it
+    has.  Pixel centres are matched, places beyond the outermost centres take the
+    border's value, and ``whole`` rounds to integers, halves up.  Each place asks
+    for its up to four neighbours: a join on their position, so only the pixels
+    that count are met, and the places meet again under their own.  A band is null
+    where one of these is missing; rasters without pixels are left out.
+    """
+    size = lambda df, name: df.groupBy(RASTER).agg(
+        *[(F.max(c) + 1).alias(f"_{name}_{c}") for c in ("row", "col")])
+    grids = size(pixels, "from").join(size(onto, "to"), RASTER)
+    places = with_raster(onto.select(RASTER, "row", "col").distinct(), grids)
+    for c in ("row", "col"):
+        exact = (F.col(c) + 0.5) * (F.col(f"_from_{c}") / F.col(f"_to_{c}")) - 0.5
+        low = F.floor(exact)
+        edge = F.col(f"_from_{c}") - 1
+        places = places.withColumn(f"_{c}", F.least(F.greatest(low, F.lit(0)), edge).cast("int")).withColumn(
+            f"_f{c}", F.when((low < 0) | (low >= edge), 0.0).otherwise(exact - low))
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    used = F.filter(corners, lambda k: ((k["i"] == 0) | (F.col("_frow") > 0)) & ((k["j"] == 0) | (F.col("_fcol") > 0)))
+    asked = places.withColumn("_k", F.explode(used)).select(
+        RASTER, F.col("row").alias("_to_row"), F.col("col").alias("_to_col"), "_frow", "_fcol", "_k",
+        (F.col("_row") + F.col("_k.i")).alias("row"), (F.col("_col") + F.col("_k.j")).alias("col"))
+    met = asked.join(pixels.select(RASTER, "row", "col", *bands), [RASTER, "row", "col"], "left")
+    at = lambda band, i, j: F.max(F.when((F.col("_k.i") == i) & (F.col("_k.j") == j), F.col(band)))
+
+    def blend(band: str) -> Column:
+        fx, fy = F.col("_fcol"), F.col("_frow")
+        row = lambda i: F.when(fx > 0, at(band, i, 0) * (1 - fx) + at(band, i, 1) * fx).otherwise(at(band, i, 0))
+        value = F.when(fy > 0, row(0) * (1 - fy) + row(1) * fy).otherwise(row(0))
+        return (F.floor(value + 0.5).cast("int") if whole else value).alias(band)
+
+    return met.groupBy(RASTER, "_to_row", "_to_col", "_frow", "_fcol").agg(
+        *[blend(b) for b in bands]).select(
+        RASTER, F.col("_to_row").alias("row"), F.col("_to_col").alias("col"), *bands)
+
+
+def on_grid(pixels: DataFrame, onto: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Pixels of ``onto`` with further bands, resampled from another grid."""
+    return onto.join(resample(pixels, onto, bands), [RASTER, "row", "col"])
+
+
+def drone_traits(
+    pixels: DataFrame, plots: DataFrame, thermal: bool | DataFrame = False, dem: DataFrame | None = None,
+) -> DataFrame:
     """Trait row per plot: centre of its box, vegetation, height and temperature.
 
-    ``pixels`` carry r, g, b, dem (and celsius); ``plots`` carry raster_id, ring
-    and the plot's properties.  The mask is written once for all traits.
+    ``pixels`` carry r, g, b; ``plots`` carry raster_id, ring and the plot's
+    properties.  ``dem`` are pixels of a grid of its own with a band ``dem``: the
+    colours are brought to that grid before the mask is made, and the mask to the
+    grid of ``thermal`` (band ``celsius``).  Without ``dem`` the heights stand
+    with the colours, and temperatures, with ``thermal=True``, as well.  The mask
+    is written once for all traits.
     """
+    if dem is not None:
+        pixels = on_grid(pixels, dem, ["r", "g", "b"])
     marked = cut_lineage(vegetation_mask(pixels))
     out = plots.withColumn("_b", ring_bounds(F.col("ring"))).withColumn(
         "lon", (F.col("_b.x0") + F.col("_b.x1")) / 2).withColumn(
         "lat", (F.col("_b.y0") + F.col("_b.y1")) / 2).drop("_b")
     parts = [vegetation_fraction(marked), crop_height(marked)]
-    if thermal:
-        parts.append(canopy_temp(marked))
+    if thermal is not False:
+        parts.append(canopy_temp(marked if thermal is True else on_grid(marked, thermal, ["mask"])))
     for part in parts:
         out = out.join(part, RASTER)
     return out

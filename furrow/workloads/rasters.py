@@ -177,6 +177,60 @@ def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("Height_95p_meters", 3).alias("Height_95p_meters"))
 
 
+def _bilinear(source: str, target: str, height: str, width: str, size: tuple[int, int], bands: list[str]) -> str:
+    """Bands of an 8 x 8 grid (or ``size``) on the places of another one, halves rounded up."""
+    y, x = f"(row + 0.5) * ({size[0]} / {height}::DOUBLE) - 0.5", f"(col + 0.5) * ({size[1]} / {width}::DOUBLE) - 0.5"
+    pick = lambda b, i, j: f"max(s.{b}) FILTER (s.row = least(y0 + {i}, {size[0] - 1}) AND s.col = least(x0 + {j}, {size[1] - 1}))"
+    line = lambda b, i: (f"(CASE WHEN fx > 0 THEN {pick(b, i, 0)} * (1 - fx) + {pick(b, i, 1)} * fx ELSE {pick(b, i, 0)} END)")
+    blend = lambda b: (f"floor((CASE WHEN fy > 0 THEN {line(b, 0)} * (1 - fy) + {line(b, 1)} * fy ELSE {line(b, 0)} END) + 0.5)::INTEGER AS {b}")
+    return f"""
+  SELECT p.raster_id, p.row, p.col, {', '.join(blend(b) for b in bands)}
+  FROM (SELECT raster_id, row, col, greatest(floor({y}), 0)::INTEGER AS y0, greatest(floor({x}), 0)::INTEGER AS x0,
+      CASE WHEN {y} < 0 OR floor({y}) >= {size[0] - 1} THEN 0 ELSE {y} - floor({y}) END AS fy,
+      CASE WHEN {x} < 0 OR floor({x}) >= {size[1] - 1} THEN 0 ELSE {x} - floor({x}) END AS fx FROM {target}) p
+  JOIN {source} s ON s.raster_id = p.raster_id AND s.row BETWEEN y0 AND y0 + 1 AND s.col BETWEEN x0 AND x0 + 1
+  GROUP BY p.raster_id, p.row, p.col, fx, fy"""
+
+
+# 8 x 8 colours, 5 x 6 heights, 4 x 3 temperatures
+GRIDS_SQL = f"""{PIXELS_SQL.replace('pixels AS (', 'colours AS (')}, heights AS (
+  SELECT vec_id AS raster_id, CAST(i // 6 AS INTEGER) AS row, CAST(i % 6 AS INTEGER) AS col,
+         CAST(embedding[i * 2 + 1] AS DOUBLE) AS dem FROM embeddings, range(0, 30) t(i)
+), warmth AS (
+  SELECT vec_id AS raster_id, CAST(i // 3 AS INTEGER) AS row, CAST(i % 3 AS INTEGER) AS col,
+         (29000 + (i * 53 + vec_id * 17) % 900) / 100.0::DOUBLE - 273.15::DOUBLE AS celsius
+  FROM embeddings, range(0, 12) t(i)
+), pixels AS ({_bilinear('colours', 'heights', '5', '6', (8, 8), ['r', 'g', 'b'])})"""
+
+
+@work.query("drone_traits_across_grids", f"""
+WITH {MASK_SQL.replace(PIXELS_SQL, GRIDS_SQL)}, tall AS (SELECT raster_id, avg(m) AS share,
+    quantile_cont(dem, 0.95) FILTER (m = 1 AND dem <> 0) - quantile_cont(dem, 0.05) FILTER (m = 1 AND dem <> 0) AS h
+  FROM m2 JOIN heights USING (raster_id, row, col) GROUP BY raster_id),
+marked AS ({_bilinear('m2', 'warmth', '4', '3', (5, 6), ['m'])}),
+warm AS (SELECT raster_id, avg(celsius) FILTER (m = 1 AND celsius <> 0) AS c
+  FROM warmth JOIN marked USING (raster_id, row, col) GROUP BY raster_id)
+SELECT raster_id, round(share, 4) AS "Vegetation_Fraction", round(round(coalesce(h, 0), 4), 3) AS "Height_95p_meters",
+       round(c, 2) AS "Avg_Temp_C" FROM tall JOIN warm USING (raster_id)
+""")
+def traits_across_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = table(spark, sf_dir, "embeddings")
+    cells = lambda n: F.posexplode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i", "_")
+    spot = lambda width: [F.col("vec_id").alias("raster_id"), F.floor(F.col("i") / width).cast("int").alias("row"),
+                          (F.col("i") % width).cast("int").alias("col")]
+    dem = vec.select("vec_id", "embedding", cells(30)).select(
+        *spot(6), F.element_at("embedding", F.col("i") * 2 + 1).cast("double").alias("dem"))
+    thermal = vec.select("vec_id", cells(12)).select(
+        *spot(3), centikelvin_to_c(29000 + (F.col("i") * 53 + F.col("vec_id") * 17) % 900).alias("celsius"))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    x = F.col("vec_id") * 2
+    plots = vec.select(F.col("vec_id").alias("raster_id"),
+                       F.array(point(x, 0), point(x + 3, 0), point(x + 3, 2), point(x, 0)).alias("ring"))
+    out = drone_traits(pixels(spark, sf_dir).select("raster_id", "row", "col", "r", "g", "b"), plots, thermal, dem)
+    return out.select("raster_id", "Vegetation_Fraction", F.round("Height_95p_meters", 3).alias("Height_95p_meters"),
+                      "Avg_Temp_C")
+
+
 @work.query("box_height_and_area", f"""
 WITH {PIXELS_SQL}, z AS (SELECT *, -300 + r * 2.0 AS z, b % 3 > 0 AS leaf FROM pixels)
 SELECT raster_id, CAST(k AS INTEGER) AS box_id, round(avg(z + 170), 4) AS height, round(count(z) * CAST(0.00667 AS DOUBLE), 6) AS area

@@ -141,3 +141,60 @@ def test_mosaic_keeps_its_resolution(spark):
                                  "raster_id int, plot_order int, width int, height int, a double, b double, c double, d double, e double, f double")
     assert R.mosaic_grid(wide).first()["grid"]["width"] == 9000
     assert R.mosaic_grid(wide, 5000).first()["grid"]["width"] == 5000
+
+
+@pytest.mark.parametrize("kind,element,tile", [("close", R.square(2), 5), ("open", R.diamond(3), 4), ("close", R.square(5), 7), ("open", R.square(1), 256)])
+def test_morphology_across_tiles_with_holes_and_nulls(spark, kind, element, tile):
+    rng = np.random.default_rng(3)
+    img = rng.random((31, 19)) < (0.15 if kind == "close" else 0.9)
+    hole = rng.random(img.shape) < 0.1
+    null = rng.random(img.shape) < 0.05
+    value = {(r, c): None if null[r, c] else int(img[r, c])
+             for r in range(31) for c in range(19) if not hole[r, c]}
+    want = value
+    for pick in (max, min) if kind == "close" else (min, max):
+        step = {}
+        for r, c in want:
+            near = [want[r + i, c + j] for i, j in element if want.get((r + i, c + j)) is not None]
+            step[r, c] = pick(near) if near else None
+        want = step
+    rows = [(key, r + 100, c - 7, m, f"{r}/{c}") for key in ("a", "b") for (r, c), m in value.items()]
+    df = spark.createDataFrame(rows, "raster_id string, row int, col int, mask int, _br_note string")
+    out = {(x["raster_id"], x["row"] - 100, x["col"] + 7): (x["mask"], x["_br_note"])
+           for x in R.morph(df, kind, element, tile=tile).collect()}
+    assert out == {(k, r, c): (m, f"{r}/{c}") for k in ("a", "b") for (r, c), m in want.items()}
+    assert R.morph(df.limit(0), kind, element).collect() == []
+
+
+def bilinear(img, rows, cols):
+    out = np.zeros((rows, cols))
+    for r in range(rows):
+        for c in range(cols):
+            y, x = (r + 0.5) * (img.shape[0] / rows) - 0.5, (c + 0.5) * (img.shape[1] / cols) - 0.5
+            y, x = min(max(y, 0), img.shape[0] - 1), min(max(x, 0), img.shape[1] - 1)
+            y0, x0 = int(y), int(x)
+            y1, x1 = min(y0 + 1, img.shape[0] - 1), min(x0 + 1, img.shape[1] - 1)
+            fy, fx = y - y0, x - x0
+            out[r, c] = (img[y0, x0] * (1 - fx) + img[y0, x1] * fx) * (1 - fy) + (img[y1, x0] * (1 - fx) + img[y1, x1] * fx) * fy
+    return out
+
+
+@pytest.mark.parametrize("shape", [(3, 4), (9, 14), (20, 1), (11, 7)])
+def test_resampling_between_grids(spark, shape):
+    rng = np.random.default_rng(4)
+    images = {1: rng.integers(0, 256, (11, 7)), 2: rng.integers(0, 256, (1, 5))}
+    onto = table(spark, {k: np.zeros(shape, int) for k in (1, 2, 3)}, "z")
+    src = table(spark, images)
+    smooth = {(r["raster_id"], r["row"], r["col"]): r["v"] for r in R.resample(src, onto, ["v"], whole=False).collect()}
+    whole = {(r["raster_id"], r["row"], r["col"]): r["v"] for r in R.resample(src, onto, ["v"]).collect()}
+    assert len(smooth) == 2 * shape[0] * shape[1] == len(whole)
+    for k, img in images.items():
+        for (r, c), v in np.ndenumerate(bilinear(img, *shape)):
+            assert smooth[k, r, c] == pytest.approx(v, abs=1e-9)
+            assert whole[k, r, c] == np.floor(smooth[k, r, c] + 0.5)
+
+
+def test_a_missing_neighbour_gives_null(spark):
+    src = table(spark, {1: np.arange(16).reshape(4, 4)}).where("NOT (row = 0 AND col = 0)")
+    out = {(r["row"], r["col"]): r["v"] for r in R.resample(src, table(spark, {1: np.zeros((2, 2), int)}, "z"), ["v"]).collect()}
+    assert out == {(0, 0): None, (0, 1): 5, (1, 0): 11, (1, 1): 13}
