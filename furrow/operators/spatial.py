@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.geo import (
     FLATTENING, SEMI_MAJOR, SEMI_MINOR, geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
+from furrow.plans.greedy import serial_choice
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first
 
@@ -229,32 +230,34 @@ def match_borders(
     """Plot borders with the images nearest to their start and end.
 
     Nearest in degrees, as positions are stored; accepted when both ends lie
-    within ``max_m`` metres.  A cell is as wide as ``max_m`` at the border
-    farthest from the equator, so it holds the degree-nearest image whenever any
-    image could be accepted.  ``image_order`` becomes ``start_{}`` and ``end_{}``.
+    within ``max_m`` metres.  Images within ``max_m`` are found in space, at any
+    latitude; the nearest of these in degrees counts unless some image beyond
+    ``max_m`` is nearer still, which is looked up on grid cells as wide as that
+    distance.  ``image_order`` becomes ``start_{}`` and ``end_{}``.
     """
-    farthest = borders.select(F.least(F.lit(89.0), F.max(F.greatest(
-        F.abs("start_lat"), F.abs("end_lat"))))).scalar()
-    reach = F.lit(max_m / METRES_PER_DEGREE) / F.cos(F.radians(farthest))
     spots = keep_first(images.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
                        .select("lat", "lon", image_order), ["lat", "lon"], [image_order])
-    cell = lambda c: F.floor(F.col(c) / reach)
-    spots = spots.withColumn("_cy", cell("lat")).withColumn("_cx", cell("lon"))
     ends = borders.select("plot_index", F.explode(F.array(*[
         F.struct(F.lit(end).alias("end"), F.col(f"{end}_lat").alias("e_lat"),
                  F.col(f"{end}_lon").alias("e_lon")) for end in ("start", "end")])).alias("_e")
     ).select("plot_index", "_e.*")
-    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    near = ends.withColumn("_cy", around("e_lat")).withColumn("_cx", around("e_lon")).join(
-        spots, ["_cy", "_cx"])
     degrees = (F.pow(F.col("lat") - F.col("e_lat"), F.lit(2))
                + F.pow(F.col("lon") - F.col("e_lon"), F.lit(2)))
-    best = near.groupBy("plot_index", "end").agg(F.min_by(
-        F.struct("lat", "lon", "e_lat", "e_lon", image_order),
-        F.struct(degrees, F.col(image_order))).alias("b"))
-    close = best.withColumn("_m", geodesic_m(
-        F.col("b.e_lat"), F.col("b.e_lon"), F.col("b.lat"), F.col("b.lon"), 4)).where(F.col("_m") <= max_m)
-    pick = lambda end: F.max(F.when(F.col("end") == end, F.col(f"b.{image_order}")))
+    near = _near_pairs(ends, spots, max_m, "e_lat", "e_lon", "lat", "lon").where(
+        geodesic_m(F.col("e_lat"), F.col("e_lon"), F.col("lat"), F.col("lon"), 4) <= max_m)
+    base = max_m / METRES_PER_DEGREE
+    best = cut_lineage(near.withColumn("_rank", F.struct(degrees.alias("d"), F.col(image_order).alias("o"))).groupBy(
+        "plot_index", "end", "e_lat", "e_lon").agg(F.min("_rank").alias("_best")).withColumn(
+        "_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sqrt("_best.d"), F.lit(base)) / base)).cast("int"))))
+    cell = lambda c: _cell(F.col(c), F.col("_level"), base)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    asked = best.withColumn("_cy", around("e_lat")).withColumn("_cx", around("e_lon"))
+    placed = spots.withColumn("_level", F.explode(_levels(best))).withColumn(
+        "_cy", cell("lat")).withColumn("_cx", cell("lon"))
+    nearer = asked.join(placed, ["_level", "_cy", "_cx"]).where(
+        F.struct(degrees.alias("d"), F.col(image_order).alias("o")) < F.col("_best"))
+    close = best.join(nearer.select("plot_index", "end").distinct(), ["plot_index", "end"], "left_anti")
+    pick = lambda end: F.max(F.when(F.col("end") == end, F.col("_best.o")))
     both = close.groupBy("plot_index").agg(
         pick("start").alias(f"start_{image_order}"), pick("end").alias(f"end_{image_order}"))
     return borders.join(both.na.drop(), "plot_index")
@@ -266,32 +269,21 @@ def associate_plots(
 ) -> DataFrame:
     """One boundary per plot and one plot per boundary key ``{plot}_{accession}``.
 
-    Plots choose in the order they were first seen (``seen``); each takes the
-    first boundary by ``ordinal`` that contains its centre and whose key is
-    still free.  All plots propose at once and every key keeps its earliest
-    proposer; the others propose again, until nothing changes.  That settles on
-    the same pairs as choosing one after the other, and polygons that do not
-    overlap need a single round.
+    Plots choose in the order they were first seen (``seen``, then plot_index);
+    each takes the first boundary by ``ordinal`` that contains its centre and
+    whose key is still free.  The choice is settled tile by tile
+    (``plans.greedy``), so neither long chains of overlapping boundaries nor a
+    key with very many plots cost further jobs or fill a task.
     """
     key = F.concat_ws("_", F.coalesce(F.col("plot").cast("string"), F.lit("None")),
                       F.coalesce(F.col("accession").cast("string"), F.lit("None")))
     hits = pip_join(centers.select("plot_index", seen, "lon", "lat"), boundaries, base=base)
-    open_pairs = cut_lineage(
-        hits.withColumn("boundary_key", key).groupBy("plot_index", "boundary_key").agg(
-            F.min(seen).alias(seen), F.min_by(F.struct("plot", "accession", ordinal), ordinal).alias("b"))
-        .select("plot_index", "boundary_key", seen, "b.*"))
-    while True:
-        choice = open_pairs.groupBy("plot_index").agg(F.min_by(
-            F.struct("boundary_key", seen, "plot", "accession"), ordinal).alias("c")
-        ).select("plot_index", "c.*")
-        holders = choice.groupBy("boundary_key").agg(F.min(seen).alias("_holder"))
-        refused = cut_lineage(
-            choice.join(holders, "boundary_key").where(F.col(seen) > F.col("_holder"))
-            .select("plot_index", "boundary_key"))
-        if refused.isEmpty():
-            return choice.select("plot_index", "boundary_key", "plot", "accession")
-        open_pairs = cut_lineage(
-            open_pairs.join(refused, ["plot_index", "boundary_key"], "left_anti"))
+    offers = hits.withColumn("boundary_key", key).groupBy("plot_index", "boundary_key", "lon", "lat").agg(
+        F.min(seen).alias(seen), F.min_by(F.struct("plot", "accession", ordinal), ordinal).alias("b")).select(
+        "plot_index", "boundary_key", "lon", "lat", seen, "b.*")
+    taken = serial_choice(offers, "plot_index", "boundary_key",
+                          [seen, "plot_index", ordinal, "boundary_key"], ["lon", "lat"])
+    return taken.select("plot_index", "boundary_key", "plot", "accession")
 
 
 def nearest_pixel(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.plans.session import cut_lineage
+from furrow.plans.skew import carry, ordinal
 
 # edges a tile may hold
 TILE = 200_000
@@ -59,27 +60,26 @@ def settle(edges: Sequence[tuple[int, int | None, bool]]) -> Iterator[tuple]:
             yield node, None, other, same
 
 
-def dropped(edges: DataFrame, near: Sequence[str], tile: int = TILE) -> DataFrame:
-    """``node`` of every node that a kept one of smaller number excludes.
+def resolved(statements: DataFrame, near: Sequence[str], tile: int = TILE) -> DataFrame:
+    """``node`` and ``kept`` of every node with statements (node, other, same).
 
-    ``edges`` holds (better, worse), better < worse, and the columns ``near``, the
-    same for all edges of a ``worse``, whose order brings neighbours together.
-    A node is kept if no kept node excludes it.
+    A node is kept if none of its statements holds: "``other`` is kept" if
+    ``same``, its opposite if not.  Others have smaller numbers than the node and
+    are kept if they have no statement of their own.  The columns ``near`` are the
+    same in all statements of a node, and their order brings neighbours together.
 
-    Edges are cut into tiles along ``near``.  Inside a tile nodes are settled one
-    by one in a single pass; a chain that enters from another tile shrinks to one
-    statement about the node it starts from.  Nodes that no one else refers to are
-    set aside, so a chain over many tiles is a chain of as many nodes in the next
-    round, and the number of rounds grows with the logarithm of its length to the
-    base of a tile.  No connected set of conflicts has to fit into a task.
+    Statements are cut into tiles along ``near``.  Inside a tile nodes are settled
+    one by one in a single pass; a chain that enters from another tile shrinks to
+    one statement about the node it starts from.  Nodes that no one else refers to
+    are set aside, so a chain over many tiles is a chain of as many nodes in the
+    next round, and the number of rounds grows with the logarithm of its length to
+    the base of a tile.  No connected set has to fit into a task.
     """
-    spark = edges.sparkSession
-    given = edges.select(*near, F.col("worse").alias("node"), F.col("better").alias("other"))
-    # a node that nothing precedes is kept
+    spark = statements.sparkSession
+    given = statements.select(*near, "node", "other", "same")
     follows = given.select(F.col("node").alias("other"), F.lit(True).alias("follows")).distinct()
     open_edges = cut_lineage(given.join(follows, "other", "left").select(
-        *near, "node", F.when(F.col("follows"), F.col("other")).alias("other"),
-        F.lit(True).alias("same")))
+        *near, "node", F.when(F.col("follows"), F.col("other")).alias("other"), "same"))
 
     def solve(batches):
         rows = []
@@ -116,4 +116,44 @@ def dropped(edges: DataFrame, near: Sequence[str], tile: int = TILE) -> DataFram
         facts = rest.join(settled.select(F.col("node").alias("other"), F.col("kept").alias("fact")), "other")
         late = facts.groupBy("node").agg((~F.max(F.col("fact") == F.col("same"))).alias("kept"))
         settled = cut_lineage(settled.union(late))
-    return settled.where(~F.col("kept")).select("node")
+    return settled
+
+
+def dropped(edges: DataFrame, near: Sequence[str], tile: int = TILE) -> DataFrame:
+    """``node`` of every node that a kept one of smaller number excludes.
+
+    ``edges`` holds (better, worse), better < worse, and the columns ``near`` of
+    the worse one.  A node is kept if no kept node excludes it.
+    """
+    found = resolved(edges.select(*near, F.col("worse").alias("node"), F.col("better").alias("other"),
+                                  F.lit(True).alias("same")), near, tile)
+    return found.where(~F.col("kept")).select("node")
+
+
+def serial_choice(
+    offers: DataFrame, who: str, what: str, order: Sequence[str], near: Sequence[str], tile: int = TILE,
+) -> DataFrame:
+    """Offers (``who``, ``what``) taken one after the other in ``order``, each side once.
+
+    An offer is taken if neither of its sides stands in an offer taken before it.
+    With offers of one ``who`` next to each other in the order this is the choice
+    of everyone in turn among what is still free.  An offer knows whether its side
+    is free from the offer of that side before it, so there are five statements
+    for each offer, however many share a side; ``order`` must be total.
+    """
+    placed = cut_lineage(ordinal(offers, order, name="_n"))
+    chained = carry(placed.withColumn("_own", F.col("_n")), [who], "_n", previous={"_who": "_own"})
+    chained = cut_lineage(carry(chained, [what], "_n", previous={"_what": "_own"}))
+    # three nodes for each offer: who is free, what is free, the offer is taken
+    number = lambda c, kind: F.col(c) * 3 + kind
+    statement = lambda node, other, same, given: F.when(
+        F.col(given).isNotNull(), F.struct(node.alias("node"), other.alias("other"), F.lit(same).alias("same")))
+    rows = []
+    for kind, before in ((0, "_who"), (1, "_what")):
+        rows += [statement(number("_n", 2), number("_n", kind), False, before),
+                 statement(number("_n", kind), number(before, kind), False, before),
+                 statement(number("_n", kind), number(before, 2), True, before)]
+    told = chained.withColumn("_s", F.explode(F.array_compact(F.array(*rows)))).select(*near, "_s.*")
+    lost = resolved(told, near, tile).where("NOT kept AND node % 3 = 2").select(
+        F.expr("node div 3").alias("_n"))
+    return placed.join(lost, "_n", "left_anti").drop("_n")

@@ -261,6 +261,40 @@ def associate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return associate_plots(centers, cells).select("plot_index", "boundary_key", "plot")
 
 
+# Boundaries three columns wide that overlap their neighbours: plots compete for them.
+@work.query("associate_plots_overlapping", f"""
+WITH {TRACK_SQL}, centers AS (
+  SELECT user_id AS plot_index, min(event_id) AS seen, avg(lon) AS lon, avg(lat) AS lat
+  FROM track GROUP BY user_id
+), cells AS (
+  SELECT c_custkey AS ordinal, 'c' || c_custkey // 2 AS plot,
+         CAST(-121.76 AS DOUBLE) + c_custkey % 400 * CAST(3e-6 AS DOUBLE) AS x0 FROM customer
+), hit AS (
+  SELECT c.plot_index, min(c.seen) AS seen, b.plot || '_None' AS k, min(b.ordinal) AS ordinal
+  FROM centers c JOIN cells b ON c.lon > b.x0 AND c.lon < b.x0 + CAST(9e-6 AS DOUBLE)
+   AND c.lat > CAST(38.529 AS DOUBLE) AND c.lat < CAST(38.531 AS DOUBLE) GROUP BY c.plot_index, k
+), turns AS (
+  SELECT seen, plot_index AS p, list(k ORDER BY ordinal, k) AS ks FROM hit GROUP BY ALL
+), settled AS (
+  SELECT list_reduce(list({{p: p, ks: ks}} ORDER BY seen, p), lambda done, turn: list_append(done, {{p: turn.p,
+      ks: list_filter(turn.ks, lambda k: NOT list_contains(list_transform(done, lambda d: d.ks[1]), k))[1:1]}}),
+    list({{p: p, ks: ks}} ORDER BY seen, p)[1:0]) AS done FROM turns
+)
+SELECT d.p AS plot_index, d.ks[1] AS boundary_key FROM (SELECT unnest(done) AS d FROM settled) WHERE len(d.ks) > 0
+""")
+def associate_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centers = track(spark, sf_dir).groupBy(F.col("user_id").alias("plot_index")).agg(
+        F.min("event_id").alias("seen"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    x0 = F.lit(-121.76) + F.col("c_custkey") % 400 * 3e-6
+    point = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
+    cells = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("ordinal"), F.concat(F.lit("c"), F.expr("c_custkey div 2")).alias("plot"),
+        F.lit(None).cast("string").alias("accession"),
+        F.array(point(x0, 38.529), point(x0 + 9e-6, 38.529), point(x0 + 9e-6, 38.531),
+                point(x0, 38.531), point(x0, 38.529)).alias("ring"))
+    return associate_plots(centers, cells).select("plot_index", "boundary_key")
+
+
 @work.query("geodesic_distance", f"""
 WITH {TRACK_SQL}
 SELECT event_id, round({METRES_SQL.format(lat1='38.53', lon1='-121.7598', lat2='lat', lon2='lon')}, 4) AS metres

@@ -8,6 +8,7 @@ from furrow.operators.intervals import assign_intervals, interval_join
 from furrow.operators.spatial import (
     associate_plots, box_pairs, match_borders, max_overlap_join, nearest_pixel, nearest_within, pip_first,
     pip_join, select_gcp_images)
+from furrow.plans.greedy import serial_choice
 
 POLYS = "ordinal int, plot string, accession string, ring array<struct<x:double,y:double>>"
 
@@ -117,3 +118,47 @@ def test_neighbours_at_the_pole_and_across_the_date_line(spark):
                                    (3, "d", -89.99999, 180.0), (4, "e", 0.0, 0.0)], "ordinal int, label string, lat double, lon double")
     out = {r["id"]: r["r_label"] for r in nearest_within(left, right, 2.6, ["id"], ["ordinal"]).collect()}
     assert out == {1: "a", 2: "b", 3: "c", 4: "d"}
+
+
+def test_a_chain_of_plots_and_a_crowded_key(spark):
+    # plot i lies in boundaries i and i + 1 and takes i: whoever comes first is served first
+    n = 3000
+    offers = [(i, f"k{j}", i + 1, j) for i in range(n) for j in (i, i + 1)]
+    offers += [(n + i, "crowd", n + 1 + i, n + 9) for i in range(500)] + [(n + 3, "spare", n + 4, n + 10)]
+    # the last plot is seen first and takes the key its neighbour wants, and so on down the chain
+    offers = [(p, k, -s if p < n else s, -o if p < n else o) for p, k, s, o in offers]
+    df = spark.createDataFrame(offers, "who int, what string, seen int, place int")
+    got = {(r["who"], r["what"]) for r in serial_choice(df, "who", "what", ["seen", "who", "place", "what"], ["who"], tile=700).collect()}
+    free, want = set(), set()
+    turns = {}
+    for p, k, s, o in offers:
+        turns.setdefault((s, p), []).append((o, k))
+    for (_, p), ks in sorted(turns.items()):
+        for _, k in sorted(ks):
+            if k not in free:
+                free.add(k)
+                want.add((p, k))
+                break
+    assert got == want and len(want) > n
+
+
+@pytest.mark.parametrize("lat", [0.0, 88.0, 89.99, 89.9999999, -89.99])
+def test_borders_at_any_latitude(spark, lat):
+    metre = 1 / 111_694 if abs(lat) > 80 else 1 / 110_574
+    wide = 1 / (111_320 * math.cos(math.radians(lat)))
+    images = [(0, lat, 10.0), (1, lat, 10.0 + 5 * wide if 5 * wide < 100 else 170.0)]
+    ends = [(1, lat - math.copysign(0.1, lat) * metre, 10.0, lat, images[1][2] + 0.1 * wide if wide < 100 else 170.0),
+            (2, lat, 10.0, lat - math.copysign(2, lat) * metre, images[1][2])]
+    got = match_borders(spark.createDataFrame(ends, "plot_index int, start_lat double, start_lon double, end_lat double, end_lon double"),
+                        spark.createDataFrame(images, "row int, lat double, lon double"), "row").collect()
+    assert [(r["plot_index"], r["start_row"], r["end_row"]) for r in got] == [(1, 0, 1)]
+
+
+def test_an_image_beyond_reach_that_is_nearer_in_degrees_wins(spark):
+    # 60 degrees of longitude are centimetres here, and 2e-5 degrees of latitude two metres
+    lat = 89.9999999
+    images = spark.createDataFrame([(0, lat, 60.0), (1, lat - 2e-5, 0.0)], "row int, lat double, lon double")
+    border = [(1, lat, 0.0, lat, 0.0)]
+    schema = "plot_index int, start_lat double, start_lon double, end_lat double, end_lon double"
+    assert match_borders(spark.createDataFrame(border, schema), images.where("row = 0"), "row").count() == 1
+    assert match_borders(spark.createDataFrame(border, schema), images, "row").count() == 0
