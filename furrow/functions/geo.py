@@ -277,6 +277,45 @@ def ring_bounds(ring: Column) -> Column:
         F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def signed_area(ring: Column) -> Column:
+    """Area of a closed ring, positive when it runs counter-clockwise."""
+    x0, y0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
+    return F.aggregate(ring_edges(ring), F.lit(0.0), lambda acc, e: acc + (
+        (e["px"] - x0) * (e["qy"] - y0) - (e["qx"] - x0) * (e["py"] - y0))) / 2
+
+
+def oriented(ring: Column, outer: Column) -> Column:
+    """The ring counter-clockwise if ``outer``, else clockwise."""
+    return F.when((signed_area(ring) < 0) == outer, F.reverse(ring)).otherwise(ring)
+
+
+def rings_edges(rings: Column) -> Column:
+    """Edges of all rings of a shape: outer rings counter-clockwise, holes clockwise.
+
+    With these, ``point_inside`` counts crossings over all rings, so a point in a
+    hole is outside, and ``overlap_area`` takes the holes off.
+    """
+    return F.flatten(F.transform(rings, ring_edges))
+
+
+def rings_bounds(rings: Column) -> Column:
+    """``struct<x0, y0, x1, y1>`` of all rings."""
+    return ring_bounds(F.flatten(rings))
+
+
+def shape_parts(rings: Column) -> Column:
+    """Rings of a shape by part: an outer ring and the holes that follow it."""
+    empty = F.slice(F.array(rings), 1, 0)
+
+    def add(parts: Column, ring: Column) -> Column:
+        last = F.element_at(parts, -1)
+        grown = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(last, F.array(ring))))
+        return F.when((signed_area(ring) < 0) & (F.size(parts) > 0), grown).otherwise(
+            F.concat(parts, F.array(F.array(ring))))
+
+    return F.aggregate(rings, empty, add)
+
+
 def point_inside(x: Column, y: Column, edges: Column) -> Column:
     """True strictly inside the ring with these edges: points on an edge are outside.
 
@@ -304,10 +343,7 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Unsigned area by the shoelace sum, taken relative to the first point."""
-    x0, y0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
-    twice = F.aggregate(ring_edges(ring), F.lit(0.0), lambda acc, e: acc + (
-        (e["px"] - x0) * (e["qy"] - y0) - (e["qx"] - x0) * (e["py"] - y0)))
-    return F.abs(twice) / 2
+    return F.abs(signed_area(ring))
 
 
 def overlap_area(edges: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

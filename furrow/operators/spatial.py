@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.geo import (
-    FLATTENING, SEMI_MAJOR, SEMI_MINOR, geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges, world_to_pixel)
+    FLATTENING, SEMI_MAJOR, SEMI_MINOR, geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges,
+    rings_bounds, rings_edges, world_to_pixel)
 from furrow.plans.greedy import serial_choice
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first
@@ -26,12 +27,20 @@ def _cell(value: Column, level: Column, base: float) -> Column:
     return F.floor(value / (F.lit(base) * F.pow(F.lit(2.0), level)))
 
 
+def _shape(polys: DataFrame, ring: str) -> tuple[Column, Column]:
+    """Bounds and edges of a column of rings, or of shapes of several rings each."""
+    several = polys.schema[ring].dataType.elementType.typeName() == "array"
+    return ((rings_bounds(F.col(ring)), rings_edges(F.col(ring))) if several else
+            (ring_bounds(F.col(ring)), ring_edges(F.col(ring))))
+
+
 def _levelled(polys: DataFrame, ring: str, base: float) -> DataFrame:
     """Polygons on the grid level whose cells are at least as wide as they are.
 
     A polygon then covers at most two cells per axis, however large it is.
     """
-    box = polys.withColumn("_box", ring_bounds(F.col(ring))).withColumn("_edges", ring_edges(F.col(ring)))
+    bounds, edges = _shape(polys, ring)
+    box = polys.withColumn("_box", bounds).withColumn("_edges", edges)
     size = F.greatest(F.col("_box.x1") - F.col("_box.x0"), F.col("_box.y1") - F.col("_box.y0"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1e-300)) / base)).cast("int"))
     return box.withColumn("_level", level)
@@ -55,6 +64,8 @@ def pip_join(
 ) -> DataFrame:
     """Points with every polygon they lie strictly within.
 
+    ``ring`` holds closed rings, or arrays of rings (outer ones counter-clockwise,
+    holes clockwise): a point in a hole or on its edge is outside.
     ``base`` is the cell width of the finest grid level, in the units of the
     coordinates; about the size of the smaller polygons is best.
     """
@@ -131,8 +142,9 @@ def max_overlap_join(
     Equal areas go to the first polygon by ``ordinal``.
     """
     props = [c for c in polys.columns if c != ring]
-    bounded = polys.withColumn("_box", ring_bounds(F.col(ring))).select(
-        *props, ring_edges(F.col(ring)).alias("_edges"),
+    bounds, edges = _shape(polys, ring)
+    bounded = polys.withColumn("_box", bounds).select(
+        *props, edges.alias("_edges"),
         *[F.col(f"_box.{c}").alias(f"_p{c}") for c in ("x0", "y0", "x1", "y1")])
     near = box_pairs(images.select(*ids, *box), bounded, box, ["_px0", "_py0", "_px1", "_py1"], base=base)
     area = near.withColumn("overlap", overlap_area(F.col("_edges"), *[F.col(c) for c in box]))

@@ -7,12 +7,15 @@ the number of files to Spark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from furrow.functions.geo import oriented, shape_parts
 from furrow.operators.detection import first_candidate
 from furrow.operators.plots import q
 
@@ -101,29 +104,60 @@ ALIASES = {
     "Label": ["Label", "accession"],
 }
 
-_FEATURE = (
-    "struct<type:string,properties:map<string,string>,"
-    "geometry:struct<type:string,coordinates:array<array<array<double>>>>>")
+# coordinates stay text until the geometry's type tells their depth
+_FEATURE = ("struct<type:string,properties:map<string,string>,"
+            "geometry:struct<type:string,coordinates:string>>")
+_PART = "array<array<array<double>>>"
 
 
-def _ring(geometry: Column) -> Column:
-    outer = F.get(geometry["coordinates"], F.lit(0))
-    return F.when(geometry["type"] == "Polygon", F.transform(outer, lambda p: F.struct(
-        F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+def _parts(geometry: Column) -> Column:
+    """Rings of points by part, of a Polygon or MultiPolygon; null for others."""
+    text = geometry["coordinates"]
+    parts = F.when(geometry["type"] == "Polygon", F.array(F.from_json(text, _PART))).when(
+        geometry["type"] == "MultiPolygon", F.from_json(text, f"array<{_PART}>"))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    return F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
+
+
+def _boundary(feature: Column) -> list[Column]:
+    """``props``, the outer ``ring`` of a Polygon and all ``rings`` of the shape.
+
+    Of ``rings`` the outer ones run counter-clockwise and holes clockwise,
+    whichever way the file has them.
+    """
+    parts = _parts(feature["geometry"])
+    outer = F.get(F.get(parts, F.lit(0)), F.lit(0))
+    return [feature["properties"].alias("props"),
+            F.when(feature["geometry"]["type"] == "Polygon", outer).alias("ring"),
+            F.flatten(F.transform(parts, lambda part: F.transform(
+                part, lambda ring, i: oriented(ring, i == 0)))).alias("rings")]
 
 
 def parse_features(lines: DataFrame) -> DataFrame:
-    """Boundaries from one GeoJSON feature per line: ``props`` and outer ``ring``."""
-    f = F.from_json("value", _FEATURE)
+    """Boundaries from lines of one GeoJSON feature each: ``props``, ``ring`` and ``rings``.
+
+    A comma behind a feature is fine, and lines that hold none, such as those
+    around the features of a collection, are skipped.
+    """
+    f = F.from_json(F.regexp_replace("value", r",\s*$", ""), _FEATURE)
     return lines.select(f.alias("_f")).where(F.col("_f.geometry").isNotNull()).select(
-        F.col("_f.properties").alias("props"), _ring(F.col("_f.geometry")).alias("ring"))
+        *_boundary(F.col("_f")))
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """Boundaries from FeatureCollection files: ``props``, ``ring`` and file order ``ordinal``."""
+    """Boundaries from FeatureCollection files of any layout, with their file order ``ordinal``.
+
+    A file is one document and is read by one task; ``read_feature_lines`` splits
+    files that have a feature per line.
+    """
     whole = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
     return whole.select(F.posexplode("features").alias("ordinal", "_f")).select(
-        "ordinal", F.col("_f.properties").alias("props"), _ring(F.col("_f.geometry")).alias("ring"))
+        "ordinal", *_boundary(F.col("_f")))
+
+
+def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Boundaries from collections written with one feature per line; large files are split."""
+    return parse_features(spark.read.text(path))
 
 
 def normalize_props(boundaries: DataFrame) -> DataFrame:
@@ -134,17 +168,42 @@ def normalize_props(boundaries: DataFrame) -> DataFrame:
 
 
 def feature_lines(boundaries: DataFrame) -> DataFrame:
-    """One GeoJSON feature per line."""
-    points = F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
-    feature = F.struct(
-        F.lit("Feature").alias("type"), F.col("props").alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), points.alias("coordinates")).alias("geometry"))
-    return boundaries.select(F.to_json(feature).alias("value"))
+    """One GeoJSON feature per line, from ``rings`` (Polygon or MultiPolygon) or else ``ring``."""
+    rings = F.col("rings") if "rings" in boundaries.columns else F.array("ring")
+    parts = F.transform(shape_parts(rings) if "rings" in boundaries.columns else F.array(rings),
+                        lambda part: F.transform(part, lambda ring: F.transform(
+                            ring, lambda p: F.array(p["x"], p["y"]))))
+    shape = boundaries.select("props", parts.alias("_parts"))
+    kind = F.when(F.size("_parts") == 1, F.concat(
+        F.lit('"Polygon","coordinates":'), F.to_json(F.get("_parts", F.lit(0))))).otherwise(
+        F.concat(F.lit('"MultiPolygon","coordinates":'), F.to_json("_parts")))
+    return shape.select(F.concat(
+        F.lit('{"type":"Feature","properties":'), F.coalesce(F.to_json("props"), F.lit("null")),
+        F.lit(',"geometry":{"type":'), kind, F.lit("}}")).alias("value"))
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a part file as one document: a head, features with commas between, a foot."""
+    lines = lambda column: pa.RecordBatch.from_arrays([column], ["value"])
+    yield lines(pa.array(['{"type":"FeatureCollection","features":[']))
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(0).cast(pa.string())
+        if held is not None:
+            yield lines(pa.array([held + ","]))
+        held = column[-1].as_py()
+        yield lines(pc.binary_join_element_wise(column[:-1], ",", ""))
+    yield lines(pa.array([held, "]}"] if held is not None else ["]}"]))
 
 
 def write_boundaries(boundaries: DataFrame, path: str) -> None:
-    """Boundaries as files of one feature per line."""
-    feature_lines(boundaries).write.mode("overwrite").text(path)
+    """Boundaries as files that are a FeatureCollection each, one feature per line.
+
+    ``read_boundaries`` and ``read_feature_lines`` read them back.
+    """
+    feature_lines(boundaries).mapInArrow(_framed, "value string").write.mode("overwrite").text(path)
 
 
 # --- ground control points

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from furrow.operators.spatial import pip_join
 from furrow.plans.session import shared_folder
 from furrow.plans.storage import append_new, read_snapshot, write_snapshot
 from furrow.sources import files, sensors
 from furrow.workloads import Workload
-from furrow.workloads.spatial import plots
+from furrow.workloads.spatial import PLOTS_SQL, plots
 from furrow.workloads.tables import TRACK_SQL, table, track
 
 work = Workload()
@@ -59,6 +60,35 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("props")["id"].cast("long").alias("ordinal"), "Plot", "Label", F.size("ring").alias("points"))
 
 
+# even plots are boxes with a hole, odd ones two boxes apart
+@work.query("points_in_shapes_with_holes", f"""
+WITH {TRACK_SQL}, {PLOTS_SQL}
+SELECT event_id, ordinal FROM track JOIN plots ON lon > x0 AND lon < x0 + w AND lat > y0 AND lat < y0 + h
+WHERE CASE WHEN is_box THEN NOT (lon >= x0 + w * 0.25::DOUBLE AND lon <= x0 + w * 0.75::DOUBLE AND lat >= y0 + h * 0.25::DOUBLE AND lat <= y0 + h * 0.75::DOUBLE)
+           ELSE lon < x0 + w * 0.25::DOUBLE OR lon > x0 + w * 0.75::DOUBLE END
+""")
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    k = F.col("p_partkey")
+    placed = table(spark, sf_dir, "part").select(
+        k, ((F.lit(-121.76) + k % 60 * 1e-5) + 5e-7).alias("x"), ((F.lit(38.53) + F.floor(k / 60) * 4e-5) + 5e-9).alias("y"),
+        (F.col("p_size") * 1e-6).alias("w"), (F.col("p_size") * 2e-6).alias("h"))
+
+    def box(left: float, right: float, low: float, high: float):
+        at = lambda i, j: F.struct((F.col("x") + F.col("w") * i if i else F.col("x")).alias("x"),
+                                   (F.col("y") + F.col("h") * j if j else F.col("y")).alias("y"))
+        return F.array(at(left, low), at(right, low), at(right, high), at(left, high), at(left, low))
+
+    rings = F.when(k % 2 == 0, F.array(box(0, 1, 0, 1), F.reverse(box(0.25, 0.75, 0.25, 0.75)))).otherwise(
+        F.array(box(0, 0.25, 0, 1), box(0.75, 1, 0, 1)))
+    files.write_boundaries(placed.select(rings.alias("rings"), F.create_map(F.lit("id"), k.cast("string")).alias("props")), path)
+    read = files.read_boundaries(spark, path).select(F.col("props")["id"].cast("long").alias("ordinal"), "rings")
+    lines = files.read_feature_lines(spark, path).select(F.col("props")["id"].cast("long").alias("ordinal"), "rings")
+    points = track(spark, sf_dir).select("event_id", "lon", "lat")
+    # either reader gives the same shapes
+    return pip_join(points, read.intersect(lines), ring="rings").select("event_id", "ordinal")
+
+
 @work.query("gcp_list_round_trip", """
 SELECT p_partkey, p_retailprice AS "pointX", p_brand AS gcp_label FROM part
 """)

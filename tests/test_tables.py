@@ -6,6 +6,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from furrow.operators import plots as P
 from furrow.operators import registry as R
+from furrow.operators.spatial import max_overlap_join, pip_join
 from furrow.operators.traits import plot_traits
 from furrow.plans.storage import append_new, read_snapshot, write_snapshot
 from furrow.sources import files, sensors
@@ -118,6 +119,31 @@ def test_feature_collection(spark, tmp_path):
     assert [(r["Plot"], r["Tier"], r["Label"], len(r["ring"])) for r in out] == [("7", "2", "A", 4), ("8", "3", None, 4)]
 
 
+def test_shapes_of_several_rings_round_trip(spark, tmp_path):
+    ring = lambda x, y, side: [[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]
+    shapes = {  # outer rings and holes in either direction
+        "hole": ("Polygon", [ring(0, 0, 9)[::-1], ring(3, 3, 3)]),
+        "two": ("MultiPolygon", [[ring(20, 0, 2)], [ring(30, 0, 9)[::-1], ring(31, 1, 2), ring(35, 5, 2)[::-1]]]),
+        "plain": ("Polygon", [ring(50, 0, 1)]), "point": ("Point", [1, 2])}
+    doc = {"type": "FeatureCollection", "features": [
+        {"properties": {"id": k}, "type": "Feature", "geometry": {"coordinates": c, "type": t}} for k, (t, c) in shapes.items()]}
+    (tmp_path / "in.geojson").write_text(json.dumps(doc, indent=2))
+    read = files.read_boundaries(spark, str(tmp_path / "in.geojson")).where("rings IS NOT NULL")
+    files.write_boundaries(read.drop("ordinal").repartition(2), str(tmp_path / "out"))
+    for part in (tmp_path / "out").glob("part-*"):
+        features = json.loads(part.read_text())["features"]
+        assert {f["properties"]["id"]: f["geometry"]["type"] for f in features}.items() <= {"hole": "Polygon", "two": "MultiPolygon", "plain": "Polygon"}.items()
+    key = lambda df: sorted((r["props"]["id"], r["rings"]) for r in df.collect())
+    assert key(read) == key(files.read_boundaries(spark, str(tmp_path / "out"))) == key(files.read_feature_lines(spark, str(tmp_path / "out")))
+    places = {(1, 1): "hole", (4, 4): None, (3, 4): None, (0, 5): None, (21, 1): "two", (25, 1): None, (32, 2): None, (34, 4): "two", (36, 6): None, (50.5, 0.5): "plain"}
+    points = spark.createDataFrame([(float(x), float(y)) for x, y in places], "lon double, lat double")
+    inside = pip_join(points, read.select(F.col("props")["id"].alias("id"), "rings"), ring="rings", base=1.0).collect()
+    assert {(r["lon"], r["lat"]): r["id"] for r in inside} == {k: v for k, v in places.items() if v}
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 9.0), (2, 30.0, 0.0, 34.0, 4.0)], "image int, x0 double, y0 double, x1 double, y1 double")
+    best = max_overlap_join(boxes, read.select(F.col("props")["id"].alias("id"), "rings"), ["image"], "id", ring="rings", base=1.0)
+    assert {r["image"]: (r["id"], r["overlap"]) for r in best.collect()} == {1: ("hole", 72.0), 2: ("two", 12.0)}
+
+
 def test_gcp_list_file_has_its_crs_line(spark, tmp_path):
     pts = spark.createDataFrame([(-121.5, 38.5, 1.5, 2.5, "a.jpg", "g1", 4000, 3000)], "gcp_lon double, gcp_lat double, pointX double, pointY double, image string, gcp_label string, naturalWidth int, naturalHeight int")
     files.write_gcp_list(pts, str(tmp_path / "g"))
