@@ -365,7 +365,9 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, distance, item_chars and word_at for every item found in a document.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text.
+    ``docs`` has doc_id and text, ``items`` item_id and text.  Items without an id
+    are looked for like any other; a document has one row with a null item_id for
+    all of them, that of the closest.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"),
@@ -377,8 +379,8 @@ def contaminated(
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
         # one shard holds shard_bytes of items on average, so this collect is bounded
-        index = ItemIndex(sorted((r["item_id"], r["text"]) for r in own.where(
-            "item_id IS NOT NULL").collect()), ratio, recall, sampled, agree)
+        index = ItemIndex(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda item: (
+            item[0] is None, item[0] or 0, item[1])), ratio, recall, sampled, agree)
         if not any(index.words):
             continue
         shipped = spark.sparkContext.broadcast(index)

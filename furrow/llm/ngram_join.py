@@ -44,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 75  # per cent
 BLOCK = 1024
 
-_TABLE = text.byte_table(21)
+_SEED = 21
 _PIECE = 48
 
 SETS = ("doc_id long, n_shingles long, class binary, prefix array<long>, "
@@ -62,7 +62,8 @@ class _Sets:
         data, offsets = text.text_bytes(table["text"])
         data = text.LOWER[data]
         starts, ends, first = text.word_spans(data, offsets)
-        words = text.span_hashes(data, starts, ends, _TABLE)
+        codes, distinct = text.word_codes(data, starts, ends)
+        words = text.hashed(distinct, _SEED)[codes]
         at, doc = text.window_starts(first, size)
         values = text.rolling(words, size)[at] if len(at) else np.zeros(0, U64)
         counts = np.diff(first)

@@ -173,6 +173,7 @@ def graded_sample(
 ) -> tuple[np.ndarray, ...]:
     """Features and grades of at most ``sample`` graded documents, chosen by a hash of the id.
 
+    Where several rows have a chosen id, the least of their texts stands for it.
     ``part`` restricts the rated rows, for instance to those not held out.
     """
     rated = graded.where("doc_id IS NOT NULL AND grade IS NOT NULL")
@@ -180,7 +181,8 @@ def graded_sample(
     chosen = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(
         F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(sample)
     # the bound of the broadcast is ``sample`` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
+        F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for table in text.slices(batches):

@@ -33,7 +33,7 @@ from furrow.llm.text import U64
 
 WINDOW = 50
 _LAST = np.iinfo(np.int64).max
-_SEEDS = (text.byte_table(11), text.byte_table(12))
+_SEEDS = (11, 12)
 
 RESULT = ("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, "
           "spans array<struct<start:long,end:long>>")
@@ -49,7 +49,8 @@ class _Chunk:
                             np.asarray(ids.fill_null(0), dtype=np.int64))
         self.data, self.offsets = text.text_bytes(table["text"])
         self.starts, self.ends, self.first = text.word_spans(self.data, self.offsets)
-        self.words = text.span_hashes(self.data, self.starts, self.ends, _SEEDS[0])
+        self.codes, self.distinct = text.word_codes(self.data, self.starts, self.ends)
+        self.words = text.hashed(self.distinct, _SEEDS[0])[self.codes]
         self.at, self.doc = text.window_starts(self.first, self.block)
         self.probe = text.rolling(self.words, self.block)[self.at] >> U64(32 - bits)
         self.ids_asked, self.inverse = np.unique(self.probe, return_inverse=True)
@@ -72,7 +73,7 @@ class _Chunk:
         at, doc = text.window_starts(self.first, self.window)
         near = seen[at + self.window - self.block + 1] > seen[at]
         self.full_at, self.full_doc = at[near], doc[near]
-        other = text.span_hashes(self.data, self.starts, self.ends, _SEEDS[1])
+        other = text.hashed(self.distinct, _SEEDS[1])[self.codes]
         high = text.rolling(self.words, self.window)[self.full_at]
         low = text.rolling(other, self.window)[self.full_at]
         # the leading bits name the bucket, the rest and the second fingerprint are compared

@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C17  # odd, 3 modulo 4
@@ -97,6 +98,17 @@ def word_codes(
     return spans.indices.to_numpy(zero_copy_only=False).astype(np.int64), spans.dictionary
 
 
+def hashed(words: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit hash of each distinct word.
+
+    Unlike ``span_hashes`` no polynomial: there are words, such as a Thue-Morse
+    string of two letters and its complement, that agree under every polynomial
+    modulo 2**64 once they have some thousand letters.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w, seed) for w in words.to_pylist()), U64, len(words))
+
+
 def compacted(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +123,7 @@ def compacted(
 def span_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray,
 ) -> np.ndarray:
-    """Fingerprint of each span; spans are in order and do not overlap."""
+    """Fingerprint of each span, for spans of up to some hundred bytes; starts and ends ascend."""
     out = np.empty(len(starts), U64)
     first = 0
     while first < len(starts):

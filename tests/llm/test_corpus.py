@@ -169,6 +169,35 @@ def test_pipeline_is_its_stages_over_all_rows(spark):
     assert 0 < kept.count() < docs.count()
 
 
+def test_stages_decide_by_row(spark, tmp_path, documents):
+    words = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, words(1)), (None, words(1)), (None, words(1) + " more"), (5, words(1)), (None, words(2)),
+            (None, words(2) + " end"), (7, words(3)), (7, words(4)), (8, words(4)), (9, None), (10, ""),
+            (None, None), (11, words(5)), (11, words(5))]
+    got = sorted(map(str, ((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(
+        spark, documents(rows), SF).collect())))
+    singles = [(5, words(1)), (7, words(3)), (7, words(4)), (9, None), (10, ""), (None, None), (11, words(5))]
+    either = [sorted(map(str, [*singles, (None, words(2) + tail)])) for tail in ("", " end")]
+    assert got in either
+
+    spark.createDataFrame([(1, words(3)), (None, words(2))], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.no_benchmark(spark, documents(rows), str(tmp_path)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(
+        str(r) for r in rows if r[1] is None or not r[1].startswith((words(2), words(3))))
+    empty = documents([])
+    for stage in (corpus_pipeline.one_of_each_group, corpus_pipeline.no_benchmark, corpus_pipeline.no_personal_data):
+        out = stage(spark, empty, SF)
+        assert out.columns == empty.columns and out.collect() == []
+
+
+def test_a_rated_id_that_repeats_is_gathered_once(spark):
+    docs = spark.range(500).selectExpr("if(id < 400, 1, id) AS doc_id", "concat('text ', id % 3) AS text")
+    graded = spark.createDataFrame([(1, 2), (450, 1)], "doc_id long, grade int")
+    *_, grade = quality.graded_sample(docs, graded)
+    assert grade.tolist() == [2, 1]
+
+
 def test_graded_labels(spark):
     table = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     assert [r["grade"] for r in grades(table).orderBy("doc_id").collect()] == [2, 1, 0, None]
@@ -176,5 +205,5 @@ def test_graded_labels(spark):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert quality.SAMPLE == 12_000

@@ -176,3 +176,19 @@ def test_empty_tables(documents):
     assert sorted(map(tuple, near_duplicates(blank).collect())) == [(1, 0, 1), (2, 0, 2)]
     assert [r["n_bytes"] for r in remove_repeated_bytes(blank).collect()] == [0, 0]
     assert ngram_join.THRESHOLD == 75
+
+
+def thue_morse(length, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(length))
+
+
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_long_words_that_agree_under_polynomials_stay_apart(documents, length):
+    one, two = thue_morse(length), thue_morse(length, "ba")
+    same = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join(same + [one])), (2, " ".join(same + [two])), (3, one), (4, two), (5, one + " ")]
+    got = remove_repeated_windows(documents(rows)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == dict.fromkeys(range(1, 6), 0)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(rows)).collect()}
+    # the first two share 45 of 47 shingles of five words
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
