@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.plans.skew import keep_first
+from furrow.plans.skew import keep_first, same
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -49,7 +50,7 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
 
 def anti_new(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``."""
-    return new.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+    return new.join(existing.select(*keys), list(keys), "left_anti")
 
 
 def _has_files(spark: SparkSession, path: str) -> bool:
@@ -60,15 +61,43 @@ def _has_files(spark: SparkSession, path: str) -> bool:
         not status.getPath().getName().startswith(("_", ".")) for status in fs.listStatus(root))
 
 
-def append_new(target: str, batch: DataFrame, keys: Sequence[str]) -> None:
+def stored_keys(
+    target: str, batch: DataFrame, keys: Sequence[str], partition_by: Sequence[str] = (),
+) -> DataFrame:
+    """Keys of the table at ``target`` that ``batch`` could hold, from its partitions if there are any.
+
+    The partitions a batch touches are few (its days, say), so the driver names
+    them and the scan leaves the others out.
+    """
+    stored = batch.sparkSession.read.parquet(target)
+    if not partition_by:
+        return stored.select(*keys)
+    touched = batch.select(*partition_by).distinct().collect()
+    match = [reduce(lambda a, b: a & b, [
+        F.col(c).isNull() if row[c] is None else F.col(c) == F.lit(row[c]).cast(batch.schema[c].dataType)
+        for c in partition_by]) for row in touched]
+    return stored.where(reduce(lambda a, b: a | b, match, F.lit(False))).select(*keys)
+
+
+def append_new(
+    target: str, batch: DataFrame, keys: Sequence[str], partition_by: Sequence[str] = (),
+) -> None:
     """Append the rows whose key the Parquet table at ``target`` does not hold yet.
 
-    Running the same batch twice adds nothing the second time.
+    Running the same batch twice adds nothing the second time.  ``partition_by``
+    lays the table out by columns that are the same for equal keys (the day of a
+    stamp, a dataset): then a batch reads the keys of the partitions it touches,
+    however large the table has grown.  Without it all stored keys are read.
     """
     spark = batch.sparkSession
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns]))
     batch = keep_first(batch, list(keys), [rest])
     # only a missing table counts as new; a table that can't be read raises
-    existing = spark.read.parquet(target) if _has_files(spark, target) else None
-    fresh = batch if existing is None else anti_new(batch, existing, keys)
-    fresh.select(*[F.col(f"`{c}`") for c in batch.columns]).write.mode("append").parquet(target)
+    fresh = batch
+    if _has_files(spark, target):
+        stored = stored_keys(target, batch, keys, partition_by).toDF(*[f"_stored_{k}" for k in keys])
+        # a null in a key is a value like any other
+        fresh = batch.join(stored, same(
+            [F.col(f"`{k}`") for k in keys], [F.col(f"`_stored_{k}`") for k in keys]), "left_anti")
+    fresh.select(*[F.col(f"`{c}`") for c in batch.columns]).write.mode("append").partitionBy(
+        *partition_by).parquet(target)

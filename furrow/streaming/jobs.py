@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -174,12 +175,16 @@ def fresh_rows(stream: DataFrame, on: str, keys: Sequence[str], watermark: str)
 
 def start_ingest(
     stream: DataFrame, target: str, checkpoint: str, on: str, keys: Sequence[str],
-    watermark: str = "1 hour",
+    watermark: str = "1 hour", partition_by: Sequence[str] = (),
 ) -> DataStreamWriter:
-    """Append a stream to a Parquet table, each key once; repeated batches add nothing."""
+    """Append a stream to a Parquet table, each key once; repeated batches add nothing.
+
+    With ``partition_by``, columns that follow from the key such as its day, a
+    batch reads the keys of the partitions it touches only.
+    """
     deduped = fresh_rows(stream, on, keys, watermark)
     return deduped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: append_new(target, batch, keys))
+        lambda batch, _: append_new(target, batch, keys, partition_by))
 
 
 def start_snapshots(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
@@ -205,6 +210,51 @@ def start_catalog(
         processingTime=f"{STALE_SECONDS} seconds")
 
 
+REFRESHED = "path string, stamp long, event string"
+
+
+def catalog_refreshes(
+    requests: DataFrame, stale: int = STALE_SECONDS, retention: int = RETENTION_SECONDS,
+) -> DataFrame:
+    """What a catalogue does with requests to refresh a path (``path, ts``), a stream with a watermark on ``ts``.
+
+    A request counts as ``refreshed`` unless the path was refreshed less than
+    ``stale`` seconds before; a path is forgotten, ``expired``, when the watermark
+    has passed its last refresh by ``retention`` seconds.  ``stamp`` is the time
+    of the event in microseconds.  The state is one number per path, and timers
+    take it away, so it does not grow with the stream.
+    """
+    second = 1_000_000
+
+    def follow(key, batches, state):
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"path": [key[0]], "stamp": [last + retention * second], "event": ["expired"]})
+            return
+        last = state.get[0] if state.exists else None
+        done = []
+        for stamp in sorted({int(s) for rows in batches for s in rows["stamp"]}):
+            if last is None or stamp - last >= stale * second:
+                last = stamp
+                done.append(stamp)
+        state.update((last,))
+        state.setTimeoutTimestamp((last + retention * second) // 1000)
+        yield pd.DataFrame({"path": [key[0]] * len(done), "stamp": done, "event": ["refreshed"] * len(done)})
+
+    known = requests.where(F.col("path").isNotNull() & F.col("ts").isNotNull())
+    return known.withColumn("stamp", F.unix_micros("ts")).groupBy("path").applyInPandasWithState(
+        follow, REFRESHED, "last long", "append", "EventTimeTimeout")
+
+
+def start_refreshes(
+    requests: DataFrame, target: str, checkpoint: str, watermark: str = "0 seconds", **limits: int,
+) -> DataStreamWriter:
+    """Refreshes and expiries of a stream of requests, appended to a Parquet table exactly once."""
+    told = catalog_refreshes(requests.withWatermark("ts", watermark), **limits)
+    return told.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+
+
 def known_files(listed: DataFrame, now: Column, retention: int = RETENTION_SECONDS) -> DataFrame:
     """Latest row per file, and whether its listing is still within retention."""
     newest = listed.groupBy("path").agg(F.max("modified").alias("modified"))

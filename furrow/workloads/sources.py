@@ -272,6 +272,15 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@work.query("append_by_partition", "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def appended_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"))
+    for batch in (e.where("event_type <> 'view'"), e.where("event_type = 'view'").unionByName(e), e.limit(0)):
+        append_new(path, batch, ["event_id", "day"], ["day"])
+    return spark.read.schema(e.schema).parquet(path)
+
+
 @work.query("snapshot_versions", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)

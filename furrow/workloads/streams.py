@@ -157,3 +157,27 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
         F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("modified"))
     return jobs.known_files(e, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("path", "current")
+
+
+# the first run sees the requests up to a stamp, the second the rest: timers span both
+@work.query("catalog_refreshes_in_two_runs", """
+WITH requests AS (SELECT user_id AS path, epoch_us(ts) AS stamp, (SELECT quantile_disc(epoch_us(ts), 0.6) FROM events) AS cut,
+    (SELECT max(epoch_us(ts)) FROM events) AS last FROM events),
+asked AS (SELECT path, cut, last, list(DISTINCT stamp ORDER BY stamp) AS stamps FROM requests GROUP BY ALL),
+done AS (SELECT path, cut, last, list_reduce(stamps, lambda kept, s: CASE
+    WHEN len(kept) = 0 OR s - kept[-1] >= 6 * 3600000000 THEN list_append(kept, s) ELSE kept END, stamps[1:0]) AS kept FROM asked),
+ends AS (SELECT path, list_max(list_filter(kept, lambda s: s <= cut)) + 86400000000 AS stamp, cut AS passed FROM done
+  UNION ALL SELECT path, list_max(kept) + 86400000000, last FROM done)
+SELECT path, unnest(kept) AS stamp, 'refreshed' AS event FROM done
+UNION ALL SELECT DISTINCT path, stamp, 'expired' FROM ends WHERE stamp // 1000 < passed // 1000
+""")
+def refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    limit = F.lit(int(e.select(F.expr("percentile_disc(0.6) WITHIN GROUP (ORDER BY unix_micros(ts))")).first()[0]))
+    for part in (F.unix_micros("ts") <= limit, F.unix_micros("ts") > limit):
+        e.where(part).write.mode("append").parquet(f"{path}/requests")
+        requests = spark.readStream.schema(e.schema).parquet(f"{path}/requests")
+        jobs.start_refreshes(requests, f"{path}/out", f"{path}/state", stale=6 * 3600, retention=86400).trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.schema(jobs.REFRESHED).parquet(f"{path}/out").select(F.col("path").cast("long").alias("path"), "stamp", "event")

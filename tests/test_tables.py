@@ -8,7 +8,7 @@ from furrow.operators import plots as P
 from furrow.operators import registry as R
 from furrow.operators.spatial import max_overlap_join, pip_join
 from furrow.operators.traits import plot_traits
-from furrow.plans.storage import append_new, read_snapshot, write_snapshot
+from furrow.plans.storage import append_new, read_snapshot, stored_keys, write_snapshot
 from furrow.sources import files, sensors
 from furrow.streaming import jobs
 
@@ -202,6 +202,21 @@ def test_append_to_a_table_that_cannot_be_read_raises(spark, tmp_path):
     assert [p.name for p in target.iterdir() if p.name.startswith("part")] == ["part-00000.parquet"]
 
 
+def test_a_batch_reads_the_partitions_it_touches(spark, tmp_path):
+    target = str(tmp_path / "t")
+    day = lambda d, ids: spark.createDataFrame([(i, d, "x") for i in ids], "k int, day string, v string")
+    for d in ("a", "b", None):
+        append_new(target, day(d, range(4)), ["k", "day"], ["day"])
+    append_new(target, day("b", range(2, 6)).unionByName(day(None, [3, 9])).unionByName(day("c", [1])), ["k", "day"], ["day"])
+    got = spark.read.parquet(target).groupBy("day").count().collect()
+    assert {r["day"]: r["count"] for r in got} == {"a": 4, "b": 6, None: 5, "c": 1}
+    stored = stored_keys(target, day("b", [1]).unionByName(day(None, [1])), ["k", "day"], ["day"])
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((day" in plan and "ReadSchema: struct<k:int>" in plan
+    assert {r["day"] for r in stored.collect()} == {"b", None}
+    assert stored_keys(target, day("b", []), ["k", "day"], ["day"]).collect() == []
+
+
 def test_folders_of_any_depth(spark):
     path = "/".join("abcdefghijkl") + "/x.jpg"
     rows = spark.createDataFrame([(path,)], "path string")
