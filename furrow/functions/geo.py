@@ -242,6 +242,21 @@ def gsd_from_intrinsics(cameras: Column, height: Column, width_px: Column, heigh
     return (height / focal(0) + height / focal(4)) / 2.0
 
 
+# Fixed value: focal lengths of the camera matrix that stands for a missing one.
+DEFAULT_FOCAL = 1000.0
+
+
+def gsd_from_matrix(matrix: Column, height: Column) -> Column:
+    """Ground sample distance from a single 3 x 3 camera matrix, in rows; the default one if null.
+
+    Null where the matrix has no focal lengths, or they are zero.
+    """
+    focal = lambda i: F.when(matrix.isNull(), F.lit(DEFAULT_FOCAL)).otherwise(
+        F.get(F.get(matrix, F.lit(i)), F.lit(i)))
+    share = lambda i: F.when(focal(i) != 0, height / focal(i))
+    return (share(0) + share(1)) / 2.0
+
+
 def rotated_affine(
     u_min: Column, v_max: Column, theta: Column, px: Column, py: Column, cx: Column, cy: Column
 ) -> Column:

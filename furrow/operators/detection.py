@@ -56,6 +56,10 @@ PREDICTION = StructType([
     StructField("class", StringType()), StructField("confidence", DoubleType()),
     StructField("x", DoubleType()), StructField("y", DoubleType()),
     StructField("width", DoubleType()), StructField("height", DoubleType()),
+    StructField("points", ArrayType(StructType([
+        StructField("x", DoubleType()), StructField("y", DoubleType())]))),
+    StructField("segments", ArrayType(ArrayType(DoubleType()))),
+    StructField("model_id", StringType()), StructField("model_version", StringType()),
     StructField("error", StringType()),
 ])
 
@@ -64,13 +68,16 @@ Detector = Callable[[pd.DataFrame], list[list[dict]]]
 
 def detect(
     tiles: DataFrame, make_detector: Callable[[], Detector], keys: Sequence[str],
-    confidence: float = 0.5,
+    confidence: float = 0.5, model_id: str | None = None, masks: bool = True,
 ) -> DataFrame:
     """Run a user-supplied detector over Arrow batches of tiles.
 
     ``make_detector`` is called once per task and returns a function from a
-    batch to one list of predictions per row.  A failing batch is retried row by
-    row; a row that still fails comes back with ``error`` set.
+    batch to one list of predictions per row.  A prediction names class,
+    confidence and centre box, and may carry a mask in tile pixels as ``points``
+    (dicts of x and y) or else ``segments`` (pairs), and the ``model_version``
+    that made it; ``model_id`` goes on every row.  A failing batch is retried row
+    by row; a row that still fails comes back with ``error`` set.
     """
     schema = StructType([tiles.schema[k] for k in keys] + PREDICTION.fields)
     names = [f.name for f in schema.fields]
@@ -88,13 +95,22 @@ def detect(
                 log.warning("detector failed: %s", failure)
                 return [f"{type(failure).__name__}: {failure}"]
 
+        def told(prediction: dict) -> dict:
+            row = dict.fromkeys(fields) | {k: v for k, v in prediction.items() if k in fields}
+            points = row["points"] if masks else None
+            segments = None if points or not masks else row["segments"]
+            version = row["model_version"]
+            return row | {
+                "points": points or None, "segments": [list(map(float, s)) for s in segments] if segments else None,
+                "model_id": model_id or row["model_id"], "model_version": None if version is None else str(version)}
+
         for batch in batches:
             out = []
             for key, found in zip(batch[list(keys)].itertuples(index=False, name=None), attempt(batch)):
                 if isinstance(found, str):
                     out.append((*key, *[None] * len(fields), found))
                     continue
-                out += [(*key, *[p.get(f) for f in fields], None)
+                out += [(*key, *[told(p)[f] for f in fields], None)
                         for p in found if p.get("confidence", 0) >= confidence]
             yield pd.DataFrame(out, columns=names)
 
@@ -170,6 +186,16 @@ def count_in_regions(
 # --- counts
 
 
+def _matched(detections: DataFrame, plots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled plots (all when none is) and their detections, both with ``_label``."""
+    known = labeled_plots(plots).withColumn("_label", norm_label(F.col("plot")))
+    usable = detections.where(
+        F.col("plot_label").isNotNull() & F.col("accession").isNotNull()).withColumn(
+        "_label", norm_label(F.col("plot_label")))
+    matched = usable.join(known.select("_label").distinct(), "_label", "left_semi")
+    return known, matched
+
+
 def trait_counts(
     detections: DataFrame, plots: DataFrame, model_id: str | None = None,
     classes: Sequence[str] | None = None,
@@ -178,13 +204,10 @@ def trait_counts(
 
     Counts go to the labelled plots (all plots when none is labelled), matched
     on the normalised plot label; plots without detections count 0.  Without a
-    model id the columns carry the class name alone.
+    model id the columns carry the class name alone.  Without ``classes`` Spark's
+    pivot lists them first, up to its own limit; ``trait_count_maps`` has none.
     """
-    known = labeled_plots(plots).withColumn("_label", norm_label(F.col("plot")))
-    usable = detections.where(
-        F.col("plot_label").isNotNull() & F.col("accession").isNotNull()).withColumn(
-        "_label", norm_label(F.col("plot_label")))
-    matched = usable.join(known.select("_label").distinct(), "_label", "left_semi")
+    known, matched = _matched(detections, plots)
     pivot = matched.groupBy("_label").pivot("class", list(classes) if classes else None).agg(F.count(F.lit(1)))
     names = [c for c in pivot.columns if c != "_label"]
     head = f"{model_id}/" if model_id else ""
@@ -193,6 +216,25 @@ def trait_counts(
     return joined.drop("_label")
 
 
+def trait_count_maps(
+    detections: DataFrame, plots: DataFrame, model_id: str | None = None,
+) -> DataFrame:
+    """Detections per plot as a map from ``{model_id}/{class}`` to their number.
+
+    The form of ``trait_counts`` for any number of classes: nothing is listed on
+    the driver.  A plot without detections has an empty map; the map of a plot
+    holds the classes seen there.
+    """
+    known, matched = _matched(detections, plots)
+    head = f"{model_id}/" if model_id else ""
+    per = matched.groupBy("_label", F.concat(F.lit(head), F.col("class")).alias("_class")).agg(
+        F.count(F.lit(1)).alias("_n")).where("_class IS NOT NULL")
+    maps = per.groupBy("_label").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("_class", "_n")))).alias("counts"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return known.join(maps, "_label", "left").withColumn("counts", F.coalesce("counts", none)).drop("_label")
+
+
 def label_summary(detections: DataFrame) -> DataFrame:
     """Detections per class."""
     return detections.groupBy("class").agg(F.count("*").alias("count"))

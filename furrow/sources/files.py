@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -18,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from furrow.functions.geo import oriented, shape_parts
 from furrow.operators.detection import first_candidate
 from furrow.operators.plots import q
+from furrow.plans.skew import ordinal
 
 # Fixed value: columns a full synced table has.
 SYNCED_COLUMNS = 33
@@ -75,16 +77,32 @@ def parse_detections(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     return lines.select(F.from_csv("value", schema).alias("_r")).select("_r.*")
 
 
+# columns of a result file that are not text
+_KINDS = {**dict.fromkeys(("confidence", "x", "y", "width", "height"), "double"), "plot_index": "int"}
+_MASKS = {"points": "array<struct<x:double,y:double>>", "segments": "array<array<double>>"}
+
+
+def result_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Results below a folder: ``path`` and ``name``, of single files as of folders of part files."""
+    whole = F.regexp_replace("path", r"/part-[^/]*$", "")
+    return scan_files(spark, folder, "*.csv").select(whole.alias("path")).distinct().select(
+        "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+
+
 def read_detections(spark: SparkSession, folder: str, task: str, stem: str = "_predictions") -> DataFrame:
-    """Detections of the result file that fits a task.
+    """Detections of the result that fits a task, with numbers and masks in their types.
 
-    The folder's file names are few and are looked at on the driver.
+    The folder's results are few, and the one name is looked at on the driver;
+    the rows are read once, as the types are fixed.
     """
-    listed = scan_files(spark, folder, "*.csv").select(F.lit("").alias("folder"), "path", "name")
-    chosen = first_candidate(listed, stem, task).first()
+    chosen = first_candidate(
+        result_files(spark, folder).select(F.lit("").alias("folder"), "path", "name"), stem, task).first()
     if chosen is None:
         raise FileNotFoundError(f"no detections under {folder}")
-    return spark.read.option("header", True).option("inferSchema", True).option("escape", '"').csv(chosen["path"])
+    rows = spark.read.option("header", True).option("escape", '"').csv(chosen["path"])
+    typed = lambda c: (F.from_json(q(c), _MASKS[c]) if c in _MASKS
+                       else q(c).try_cast(_KINDS[c]) if c in _KINDS else q(c))
+    return rows.select(*[typed(c).alias(c) for c in rows.columns])
 
 
 def write_detections(detections: DataFrame, path: str) -> None:
@@ -243,13 +261,19 @@ def geo_lines(images: DataFrame) -> DataFrame:
 
 
 def _write_with_crs(lines: DataFrame, path: str) -> None:
-    """Lines in one file behind the CRS line: the readers of these lists expect one file.
+    """Lines in order behind the CRS line: the part files, one after the other, are the list.
 
-    The lists hold hand-picked points or one flight's images.
+    A range sort deals the lines, so a long list is written by many tasks; a short
+    one is a single file.
     """
-    head = lines.sparkSession.range(1).select(F.lit(0).alias("_k"), F.lit(CRS).alias("value"))
-    both = head.unionByName(lines.select(F.lit(1).alias("_k"), "value"))
-    both.coalesce(1).sortWithinPartitions("_k", "value").select("value").write.mode("overwrite").text(path)
+    def headed(batches):
+        if TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([CRS])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
+
+    ordered = lines.repartitionByRange("value").sortWithinPartitions("value")
+    ordered.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 
 
 def write_gcp_list(points: DataFrame, path: str) -> None:
@@ -291,13 +315,34 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("path")))
 
 
+def _headed() -> Column:
+    """A log's text behind a header with its file name."""
+    return F.concat(F.lit("=== "), F.regexp_extract("path", r"([^/]*)$", 1), F.lit(" ===\n"), "text")
+
+
+def combined_log_rows(logs: DataFrame) -> DataFrame:
+    """Logs of each group behind a header each: ``group, position, text``, position from 0 in file order.
+
+    The form of ``combined_logs`` for groups of any size: no group is gathered.
+    """
+    return ordinal(logs.select("group", "path", _headed().alias("text")), ["path"], ["group"], "position").select(
+        "group", "position", "text")
+
+
+def write_combined_logs(logs: DataFrame, path: str) -> None:
+    """Combined logs as text, a folder ``group=...`` each, whose part files in order are the view."""
+    told = logs.select("group", "path", _headed().alias("text"))
+    told.repartitionByRange("group", "path").sortWithinPartitions("group", "path").select(
+        "group", F.col("text").alias("value")).write.mode("overwrite").partitionBy("group").text(path)
+
+
 def combined_logs(logs: DataFrame) -> DataFrame:
     """One text per group of logs: a header with the file name, then its text, in file order.
 
-    ``logs`` holds ``group, path, text``.  A group is the plots of one run.
+    ``logs`` holds ``group, path, text``.  A group is the plots of one run, and its
+    text has to fit into a row; ``combined_log_rows`` has no such bound.
     """
-    entry = F.struct("path", F.concat(
-        F.lit("=== "), F.regexp_extract("path", r"([^/]*)$", 1), F.lit(" ===\n"), "text").alias("text"))
+    entry = F.struct("path", _headed().alias("text"))
     return logs.groupBy("group").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(entry)), lambda e: e["text"]), "\n").alias("text"))
 

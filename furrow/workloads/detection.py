@@ -10,7 +10,8 @@ from furrow.functions.boxes import (
     box_hits_region, box_to_utm, class_name, file_stamp, iou_corners, iou_xywh)
 from furrow.operators.detection import (
     boxes_to_utm, clean_detections, count_in_regions, detect, first_candidate, label_summary,
-    lift_boxes, nms, nms_batches, nms_xywh, plot_overlay, run_catalog, tile_grid, trait_counts)
+    lift_boxes, nms, nms_batches, nms_xywh, plot_overlay, run_catalog, tile_grid,
+    trait_count_maps, trait_counts)
 from furrow.workloads import Workload
 from furrow.workloads.tables import table
 
@@ -182,6 +183,41 @@ def detect_and_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift_boxes(found).select("page_id", "crop_id", "confidence", "x", "y")
 
 
+class _MaskDetector:
+    """Stand-in model with a mask per box: points on even pages, segments on odd ones."""
+
+    def __call__(self, batch: pd.DataFrame) -> list[list[dict]]:
+        out = []
+        for page, crop in zip(batch["page_id"], batch["crop_id"]):
+            box = {"class": "leaf", "confidence": float((page * 7 + crop * 3) % 10) / 10, "x": 100.0, "y": 50.0,
+                   "width": 20.0, "height": 10.0, "model_version": int(page % 3) or None}
+            mask = [{"x": float(page % 50), "y": 1.5}, {"x": 3.0, "y": float(crop)}]
+            segments = [[p["x"] + 1, p["y"]] for p in mask]
+            out.append([box | ({"points": mask, "segments": segments} if page % 2 == 0 else {"segments": segments})])
+        return out
+
+
+@work.query("detect_masks_and_model", f"""
+WITH {IMAGES_SQL}, xs AS (
+  SELECT page_id, width, height, unnest({_axis('width')}) AS x_offset FROM images
+), xy AS (SELECT *, unnest({_axis('height')}) AS y_offset FROM xs),
+t AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y_offset, x_offset) - 1 AS crop_id FROM xy)
+SELECT page_id, CAST(crop_id AS INTEGER) AS crop_id, 'leaves' AS model_id, CAST(nullif(page_id % 3, 0) AS VARCHAR) AS model_version,
+       CASE WHEN page_id % 2 = 0 THEN CAST(page_id % 50 + x_offset AS DOUBLE) END AS first_point_x,
+       CASE WHEN page_id % 2 = 0 THEN CAST(crop_id + y_offset AS DOUBLE) END AS last_point_y,
+       CASE WHEN page_id % 2 = 1 THEN CAST(page_id % 50 + 1 + x_offset AS DOUBLE) END AS first_segment_x, 2 AS vertices
+FROM t WHERE (page_id * 7 + crop_id * 3) % 10 >= 5
+""")
+def detect_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = tile_grid(images(spark, sf_dir))
+    found = lift_boxes(detect(grid, _MaskDetector, ["page_id", "crop_id", "x_offset", "y_offset"], model_id="leaves"))
+    return found.select(
+        "page_id", "crop_id", "model_id", "model_version", F.get("points", F.lit(0))["x"].alias("first_point_x"),
+        F.get("points", F.lit(1))["y"].alias("last_point_y"),
+        F.get(F.get("segments", F.lit(0)), F.lit(0)).alias("first_segment_x"),
+        F.coalesce(F.size("points"), F.size("segments")).alias("vertices"))
+
+
 @work.query("mask_points_lifted", """
 SELECT event_id, round(value + user_id, 6) AS first_x, round(value * 2 + 7, 6) AS first_y,
        round(value * 3 + user_id, 6) AS segment_x
@@ -295,6 +331,20 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trait_counts(detections(spark, sf_dir), plots, "m")
 
 
+@work.query("class_counts_as_map", """
+SELECT plot, accession, coalesce(string_agg('m/' || class || '=' || n, ',' ORDER BY class) FILTER (n > 0), '') AS counts FROM (
+  SELECT c_custkey AS plot, c_mktsegment AS accession, event_type AS class, count(event_id) AS n
+  FROM customer LEFT JOIN events ON user_id = c_custkey AND value > 1 WHERE c_mktsegment <> 'MACHINERY' GROUP BY ALL)
+GROUP BY plot, accession
+""")
+def count_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plots = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("plot"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "Unknown").otherwise(F.col("c_mktsegment")).alias("accession"))
+    return trait_count_maps(detections(spark, sf_dir), plots, "m").withColumn("counts", F.array_join(F.transform(
+        F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
 @work.query("detections_per_class", "SELECT event_type AS class, count(*) AS count FROM events GROUP BY 1")
 def per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_summary(detections(spark, sf_dir))

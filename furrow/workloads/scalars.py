@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import clock, text
-from furrow.functions.geo import gsd_from_intrinsics, pixel_to_world, rotated_affine, world_to_pixel
+from furrow.functions.geo import (
+    gsd_from_intrinsics, gsd_from_matrix, pixel_to_world, rotated_affine, world_to_pixel)
 from furrow.operators.plots import labeled_plots
 from furrow.operators.traits import choose_altitude
 from furrow.workloads import Workload
@@ -203,6 +204,19 @@ def gsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(gsd_from_intrinsics(cameras, F.col("value"), width, F.lit(9)), 8).alias("gsd"))
 
 
+@work.query("ground_sample_distance_of_a_matrix", """
+SELECT event_id, round(CASE user_id % 3 WHEN 0 THEN value / 1000 WHEN 1 THEN (value / (800 + user_id) + value / 810) / 2 END, 8) AS gsd
+FROM events
+""")
+def gsd_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    row = lambda *v: F.array(*[(x if not isinstance(x, int) else F.lit(x)).cast("double") for x in v])
+    matrix = F.when(u % 3 == 1, F.array(row(800 + u, 0, 960), row(0, 810, 540), row(0, 0, 1))).when(
+        u % 3 == 2, F.array(row(0, 0, 1)))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.round(gsd_from_matrix(matrix, F.col("value")), 8).alias("gsd"))
+
+
 @work.query("rotated_affine_terms", """
 WITH t AS (SELECT event_id, value / 100 + pi() AS q, user_id / 10.0 AS u FROM events)
 SELECT event_id, round(0.02 * cos(q), 8) AS a, round(0.03 * sin(q), 8) AS b, round(500 - u * cos(q) - 2 * sin(q), 6) AS c,

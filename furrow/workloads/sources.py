@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from furrow.operators.spatial import pip_join
 from furrow.plans.session import shared_folder
+from furrow.plans.skew import ordinal
 from furrow.plans.storage import append_new, read_snapshot, write_snapshot
 from furrow.sources import files, sensors
 from furrow.workloads import Workload
@@ -147,6 +148,46 @@ def detection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("image_file").cast("long").alias("event_id"), "confidence", "plot_index", "class")
 
 
+# results of two tasks, one with masks, and a general one
+@work.query("detection_files_by_task", """
+SELECT event_id, 'detection' AS task, value AS confidence, event_type AS class, NULL::DOUBLE AS mask_x FROM events
+UNION ALL SELECT event_id, 'segmentation', value / 2, event_type || ', "x"', value + 0.5::DOUBLE FROM events
+""")
+def detection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    rows = e.select(F.col("event_id").cast("string").alias("image_file"), F.col("event_type").alias("class"), v.alias("confidence"))
+    files.write_detections(rows, f"{path}/run_predictions_detection.csv")
+    files.write_detections(e.select(
+        F.col("event_id").cast("string").alias("image_file"), F.concat("event_type", F.lit(', "x"')).alias("class"), (v / 2).alias("confidence"),
+        F.array(F.struct((v + 0.5).alias("x"), v.alias("y"))).alias("points")), f"{path}/run_predictions_segmentation.csv")
+    files.write_detections(rows.limit(0), f"{path}/run_predictions.csv")
+    read = lambda task: files.read_detections(spark, path, task)
+    out = read("detection").select("*", F.lit("detection").alias("task"), F.lit(None).cast("double").alias("mask_x"))
+    both = out.unionByName(read("segmentation").select(
+        "*", F.lit("segmentation").alias("task"), F.get("points", F.lit(0))["x"].alias("mask_x")).drop("points"))
+    return both.select(F.col("image_file").cast("long").alias("event_id"), "task", "confidence", "class", "mask_x")
+
+
+# the list as its part files have it, one after the other
+@work.query("position_list_in_order", """
+SELECT row_number() OVER (ORDER BY k, value) - 1 AS position, value FROM (
+  SELECT 0 AS k, 'EPSG:4326' AS value
+  UNION ALL SELECT 1, 'i' || lpad(CAST(event_id AS VARCHAR), 9, '0') || '.jpg ' || user_id || '.5 ' || event_id || '.25 0 0 0 0 0 0' FROM events)
+""")
+def position_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    name = F.format_string("Raw/i%09d.jpg", "event_id")
+    files.write_geo(table(spark, sf_dir, "events").select(
+        name.alias("image_path"), (F.col("user_id") + 0.5).alias("lon"),
+        F.concat(F.col("event_id").cast("string"), F.lit(".25")).alias("lat"), F.lit(None).cast("double").alias("alt")), path)
+    # lines are found at their place by part file and by offset within it
+    read = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+    return ordinal(read, ["file", "block", "line"], name="position").select("position", "value")
+
+
 @work.query("files_of_a_folder", "SELECT count(DISTINCT l_returnflag) AS folders, true AS found FROM lineitem")
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
@@ -180,6 +221,16 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.combined_logs(c).withColumnRenamed("group", "conv_id")
 
 
+@work.query("combined_log_rows", """
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+       '=== ' || lpad(CAST(turn AS VARCHAR), 3, '0') || ' ===' || chr(10) || text AS text FROM conversations
+""")
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("group"), F.concat(F.lit("logs/"), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("path"), "text")
+    return files.combined_log_rows(c).withColumnRenamed("group", "conv_id")
+
+
 @work.query("telemetry_messages", """
 SELECT event_id, CASE WHEN user_id % 4 <> 0 THEN value END AS lat, CAST(user_id % 7 AS INTEGER) AS status,
        CASE WHEN user_id % 5 <> 0 THEN value END AS voltage, round(user_id / 100.0, 6) AS battery, value AS distance, value / 2 AS pitch

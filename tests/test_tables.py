@@ -152,6 +152,29 @@ def test_gcp_list_file_has_its_crs_line(spark, tmp_path):
     assert files.read_gcp_list(spark, str(tmp_path / "g")).collect() == pts.select(*files.read_gcp_list(spark, str(tmp_path / "g")).columns).collect()
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_long_lists_are_part_files_in_order(spark, tmp_path, n):
+    images = spark.range(n).selectExpr("concat('x/', lpad(id, 6, '0')) AS image_path", "double(id) AS lon", "1D AS lat", "0D AS alt")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_geo(images, str(tmp_path / "geo"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = sorted((tmp_path / "geo").glob("part-*"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert lines == ["EPSG:4326"] + [f"{i:06d} {float(i)} 1.0 0.0 0 0 0 0 0" for i in range(n)]
+    assert n < 5000 or len(parts) > 1
+
+
+def test_combined_logs_as_text_files(spark, tmp_path):
+    logs = spark.createDataFrame([("g", f"d/{i:02d}.log", f"line {i}") for i in (3, 1, 2)] + [("h", "d/a.log", "x")], "group string, path string, text string")
+    files.write_combined_logs(logs, str(tmp_path / "logs"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "logs" / "group=g").glob("part-*")))
+    assert text == "=== 01.log ===\nline 1\n=== 02.log ===\nline 2\n=== 03.log ===\nline 3\n"
+    assert files.combined_logs(logs).where("group = 'g'").first()["text"] + "\n" == text
+
+
 def test_catalog_scan_reads_no_content(spark, tmp_path):
     base = tmp_path / "Raw/2024/exp/Davis/pop/2024-05-01/drone/RGB"
     for name in ("Images/a.jpg", "Images/.hidden", "temp/b.jpg"):
