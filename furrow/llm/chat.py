@@ -2,9 +2,12 @@
 
 A template is any function from a list of (role, text) turns to a string.  It
 is called on successive prefixes of the turns; where two consecutive outputs
-begin to differ the next turn begins.  If that place lies before the end of an
-earlier turn, the template rewrites history, and the first such turn is
-reported.  The text of a turn inside its span is located by rendering the turn
+begin to differ the next turn begins.  A template that closes the dialogue takes
+its end mark back when another turn comes, and that mark may begin like the next
+header: what the output without turns and the last output end in alike, behind
+the last text, is that mark, and the next turn begins where it stood.  If a turn
+begins before the end of an earlier text, the template rewrites history, and the
+first such turn is reported.  The end mark stays with the last turn.  The text of a turn inside its span is located by rendering the turn
 twice more with two different private-use characters instead of its text: what
 both outputs share before and after is the turn's frame.
 
@@ -101,7 +104,9 @@ def _common(a: str, b: str) -> int:
 
 def render_incrementally(template: Template, turns: list[Turn]) -> Rendered:
     """Spans of every turn, from the outputs of successive prefixes alone."""
-    before, spans, texts, rewritten = template([]), [], [], None
+    empty = template([])
+    before, starts, sizes, texts, rewritten = empty, [], [len(empty)], [], None
+    closed, mark = False, len(empty)
     for k, (role, value) in enumerate(turns):
         output = template(turns[:k + 1])
         start = _common(before, output)
@@ -109,14 +114,20 @@ def render_incrementally(template: Template, turns: list[Turn]) -> Rendered:
         changed = [i for i, (_, end) in enumerate(texts) if end > start]
         if changed and (rewritten is None or changed[0] < rewritten):
             rewritten = changed[0]
-        if spans and spans[-1][1] > start:
-            spans[-1] = (spans[-1][0], max(start, spans[-1][0]))
+        closed |= start < len(before) and not changed
         one, two = (template([*turns[:k], (role, probe)]) for probe in _PROBES)
         head = _common(one, two)
         tail = min(_common(one[::-1], two[::-1]), len(one) - head)
-        spans.append((start, len(output)))
+        starts.append(start)
+        sizes.append(len(output))
         texts.append((min(head, len(output)), max(head, len(output) - tail)))
+        # of the end mark no more than all outputs have behind their last text
+        mark = min(mark, _common(empty[::-1], output[::-1]), len(output) - texts[-1][1])
         before = output
+    if closed:
+        starts = [min(start, size - mark) for start, size in zip(starts, sizes)]
+    spans = [(start, max(start, min([size, *starts[k + 1:k + 2]])))
+             for k, (start, size) in enumerate(zip(starts, sizes[1:]))]
     return Rendered(before, spans, texts, rewritten)
 
 

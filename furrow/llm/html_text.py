@@ -5,19 +5,18 @@ tags LT.  Its density is C / T weighed down by the share of links,
 
     C/T * log(C/LC * T/LT) to the base ln(C/(C - LC) * LC + LC_b/C_b * C + e)
 
-with LC_b and C_b of the body, and its density sum adds up its children's
-densities.  The element with the largest density marks a path to the body; the
-least density on that path is the threshold.  Of the elements that reach it,
-the one with the largest density sum is the main subtree.
+with LC_b and C_b of the body.  Blocks are the nodes that compete: the density sum
+of a block adds up the densities of the blocks right below it, where elements
+inside a line only count as tags.  The densest block marks a path to the body; the
+least density on that path is the threshold.  Of the blocks that reach it, the one
+with the largest density sum is the main subtree.
 
 Elements that are never article text (scripts, menus, forms, sidebars, adverts,
 notices, reader comments, ...) are left out before counting, by element, role
 and the words of class and id.  Such a word may also stand on a wrapper of the
 whole page (has-sidebar, header-and-content), so an element named by one alone
 stays if it holds the page's article, or most of the text around it while
-little lies outside all named elements; its densities then decide.  If the subtree lies within the only article or
-main element, or that lies within the subtree, the element itself is taken, so
-short paragraphs and headings stay.
+little lies outside all named elements; its densities then decide.
 
 The text of the subtree is taken whole: character references decoded, white
 space of a block turned into one space, blocks joined by one space in page
@@ -25,7 +24,7 @@ order.  Elements inside a line don't break words.
 
 Pages are dealt by Spark; each is parsed alone, in one pass of a tolerant
 scanner that closes elements the way browsers do for paragraphs, list items and
-cells.
+cells.  The time grows with the length of the page, however deep it nests.
 
 Defined cases: null or empty html and pages without text give an empty text;
 unclosed and crossing elements end with their parent; an unclosed comment or
@@ -71,6 +70,7 @@ CLOSED_BY = {
 }
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",),
          "td": ("table",), "th": ("table",), "option": ("select",)}
+PARAGRAPH_SCOPE = ("td", "th", "button", "caption", "table")
 ENDS_PARAGRAPH = BLOCK - frozenset("br button caption td th tr tbody thead tfoot option html body head title".split())
 
 _MARK = re.compile(
@@ -96,15 +96,10 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _is_left_out(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in LEFT_OUT:
+def _is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in LEFT_OUT or tag == "header" and not in_article:
+        # a page's header goes, an article's own holds its title
         return True
-    if tag == "header":  # a page's header goes, an article's own holds its title
-        above: Node | None = parent
-        while above is not None and above.tag not in ("article", "main"):
-            above = above.parent
-        if above is None:
-            return True
     if not attributes or tag in ("html", "body"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -158,75 +153,86 @@ def _leave_out_named(root: Node) -> None:
             node.left_out = True
 
 
+class _Open:
+    """The elements that are open while a page is scanned, by tag; every step is constant but for what it closes."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("html", None, False)
+        self.depth = 0
+        self.by_tag: dict[str, list[tuple[int, Node]]] = {"html": [(0, self.root)]}
+        self.blocks = [0]  # depths of open blocks
+
+    def nearest(self, tags) -> int:
+        """Depth of the innermost open element with one of the tags, or -1."""
+        return max((self.by_tag[t][-1][0] for t in tags if self.by_tag.get(t)), default=-1)
+
+    def close_to(self, depth: int) -> None:
+        """Closes the element at ``depth`` and all inside it; the root stays."""
+        while self.depth >= max(depth, 1):
+            self.by_tag[self.node.tag].pop()
+            if self.node.tag in BLOCK:
+                self.blocks.pop()
+            self.node, self.depth = self.node.parent, self.depth - 1
+
+    def end(self, tag: str) -> None:
+        depth = self.nearest((tag,))
+        # an end tag of a line element doesn't reach out of its block
+        if depth < 0 or tag not in BLOCK and self.blocks[-1] > depth:
+            if tag == "br":
+                self.node.parts.append(Node("br", self.node, False))
+            return
+        self.close_to(depth)
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag == "html" and self.depth == 0:
+            return
+        for ends, within in ([(("p",), PARAGRAPH_SCOPE)] if tag in ENDS_PARAGRAPH else []) + (
+                [(CLOSED_BY[tag], SCOPE[tag])] if tag in CLOSED_BY else []):
+            depth = self.nearest(ends)
+            if depth > self.nearest(within):
+                self.close_to(depth)
+        child = Node(tag, self.node, _is_left_out(tag, attributes, self.nearest(("article", "main")) >= 0))
+        child.named = not child.left_out and _is_named(tag, attributes)
+        self.node.parts.append(child)
+        if tag not in VOID:
+            self.node, self.depth = child, self.depth + 1
+            self.by_tag.setdefault(tag, []).append((self.depth, child))
+            if tag in BLOCK:
+                self.blocks.append(self.depth)
+
+
 def parse(page: str) -> Node:
     """Tree of the page; elements that are left out keep their place but no content."""
-    root = node = Node("html", None, False)
+    scan = _Open()
     at, size = 0, len(page)
     while at < size:
         found = _MARK.search(page, at)
         if found is None:
-            node.parts.append(page[at:])
+            scan.node.parts.append(page[at:])
             break
         if found.start() > at:
-            node.parts.append(page[at:found.start()])
+            scan.node.parts.append(page[at:found.start()])
         at = found.end()
         mark = found[0]
         if mark == "<!--" or mark == "<![CDATA[":
             end = page.find("-->" if mark == "<!--" else "]]>", at)
             if mark == "<![CDATA[":
-                node.parts.append(html.escape(page[at:end if end >= 0 else size], quote=False))
+                scan.node.parts.append(html.escape(page[at:end if end >= 0 else size], quote=False))
             at = end + 3 if end >= 0 else size
         elif mark in ("<!", "<?"):
             end = page.find(">", at)
             at = end + 1 if end >= 0 else size
         elif found[1] is not None:
-            node = _close(node, found[1].lower())
+            scan.end(found[1].lower())
         else:
             tag, attributes = found[2].lower(), found[3]
-            node = _open(node, tag, attributes)
+            scan.start(tag, attributes)
             if tag in RAW and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\b", re.I).search(page, at)
-                node.parts.append(page[at:end.start() if end else size])
+                scan.node.parts.append(page[at:end.start() if end else size])
                 at = end.start() if end else size
-    _leave_out_named(root)
-    return root
-
-
-def _close(node: Node, tag: str) -> Node:
-    above: Node | None = node
-    while above is not None and above.tag != tag:
-        # an end tag of a line element doesn't reach out of its block
-        if tag not in BLOCK and above.tag in BLOCK:
-            return node
-        above = above.parent
-    if above is None:
-        if tag == "br":
-            node.parts.append(Node("br", node, False))
-        return node
-    return above.parent or above
-
-
-def _open(node: Node, tag: str, attributes: str) -> Node:
-    if tag in ENDS_PARAGRAPH:
-        above: Node | None = node
-        while above is not None and above.tag not in ("td", "th", "button", "caption", "table"):
-            if above.tag == "p":
-                node = above.parent or above
-                break
-            above = above.parent
-    if tag in CLOSED_BY:
-        above = node
-        while above is not None and above.tag not in SCOPE[tag]:
-            if above.tag in CLOSED_BY[tag]:
-                node = above.parent or above
-                break
-            above = above.parent
-    if tag in ("html", "body") and node.tag == "html" and tag == "html":
-        return node
-    child = Node(tag, node, _is_left_out(tag, attributes, node))
-    child.named = not child.left_out and _is_named(tag, attributes)
-    node.parts.append(child)
-    return node if tag in VOID or attributes.endswith("/") and tag in VOID else child
+    _leave_out_named(scan.root)
+    return scan.root
 
 
 def _measure(root: Node) -> list[Node]:
@@ -269,38 +275,28 @@ def _density(node: Node, body: Node) -> float:
 
 
 def main_subtree(root: Node) -> Node:
-    """The element that holds the main text."""
+    """The block with the largest sum of densities among those that reach the threshold."""
     order = _measure(root)
     body = next((n for n in order if n.tag == "body"), root)
+    below = {id(body)}
+    for node in reversed(order):  # parents before children
+        if node.parent is not None and id(node.parent) in below:
+            below.add(id(node))
     for node in order:
         node.density = _density(node, body)
-        node.total = sum(p.density for p in node.parts if not isinstance(p, str) and not p.left_out)
-        own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
-        node.total += own
-    inside = [n for n in order if _within(n, body)]
-    if not inside:
+        # an element inside a line hands on what it holds
+        node.total = sum(p.density if p.tag in BLOCK else p.total
+                         for p in node.parts if not isinstance(p, str) and not p.left_out)
+    blocks = [n for n in order if id(n) in below and (n is body or n.tag in BLOCK)]
+    if not blocks:
         return body
-    densest = max(inside, key=lambda n: n.density)
-    threshold, above = densest.density, densest
+    above = max(blocks, key=lambda n: n.density)
+    threshold = above.density
     while above is not body and above.parent is not None:
         above = above.parent
-        threshold = min(threshold, above.density)
-    chosen = max((n for n in inside if n.density >= threshold), key=lambda n: n.total)
-    holders = [n for n in inside if n.tag in ("article", "main") and n.chars and not any(
-        _within(n, other) for other in inside if other is not n and other.tag == n.tag == "article")]
-    articles = [n for n in holders if n.tag == "article"] or holders
-    if len(articles) == 1 and (_within(chosen, articles[0]) or _within(articles[0], chosen)):
-        return articles[0]
-    return chosen
-
-
-def _within(node: Node, other: Node) -> bool:
-    above: Node | None = node
-    while above is not None:
-        if above is other:
-            return True
-        above = above.parent
-    return False
+        if above is body or above.tag in BLOCK:
+            threshold = min(threshold, above.density)
+    return max((n for n in blocks if n.density >= threshold), key=lambda n: n.total)
 
 
 def text_of(node: Node) -> str:

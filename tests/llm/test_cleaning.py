@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -273,3 +275,71 @@ def test_odd_pages(spark):
     got = {r["page_id"]: r["text"] for r in html_text.main_text(table).collect()}
     assert [got[i] for i in (0, 1, 3, 4, 5, 6, 7)] == ["", "", "", "", "just text", "deep", "deep"]
     assert html_text.main_text(table.where("false")).collect() == []
+
+
+def test_the_main_subtree_has_the_largest_density_sum():
+    rnd = random.Random(12)
+
+    def tree(depth):
+        kind = rnd.choice(["div", "p", "section", "div"]) if depth else "body"
+        parts = []
+        for _ in range(rnd.randrange(1, 5)):
+            pick = rnd.random()
+            if pick < 0.5 and depth < 4 and kind != "p":
+                parts.append(tree(depth + 1))
+            elif pick < 0.8:
+                parts.append("w" * rnd.randrange(1, 120))
+            else:
+                parts.append(("a" if rnd.random() < 0.5 else "b", ["l" * rnd.randrange(1, 30)]))
+        return kind, parts
+
+    def render(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(render, node[1]))}</{node[0]}>"
+
+    def counts(node, linked=False):
+        """Characters, tags, linked characters and linked tags."""
+        if isinstance(node, str):
+            return [len(node), 0, len(node) * linked, 0]
+        out = [0, 0, 0, 0]
+        for part in node[1]:
+            own = counts(part, linked or node[0] == "a")
+            if not isinstance(part, str):
+                own[1] += 1
+                own[3] += part[0] == "a"
+            out = [x + y for x, y in zip(out, own)]
+        return out
+
+    line = ("a", "b")
+    for _ in range(150):
+        root = tree(0)
+        whole = counts(root)
+
+        def density(node):
+            c, t, lc, lt = counts(node)
+            if not c:
+                return 0.0
+            t, lt, most = max(t, 1), max(lt, 1), max(c - lc, 1)
+            base = math.log(c / most * lc + whole[2] / max(whole[0], 1) * c + math.e)
+            inside = max(c / max(lc, 1) * t / lt, 1.0)
+            return c / t * math.log(inside) / max(math.log(base), 1e-9) if base > 1 + 1e-9 else c / t * math.log(inside + 1)
+
+        def blocks(node, path):
+            yield node, [*path, node]
+            for part in node[1]:
+                if not isinstance(part, str) and part[0] not in line:
+                    yield from blocks(part, [*path, node])
+
+        every = list(blocks(root, []))
+        _, path = max(every, key=lambda b: density(b[0]))
+        threshold = min(map(density, path))
+        total = lambda n: sum(density(p) for p in n[1] if not isinstance(p, str) and p[0] not in line)
+        best = max(total(n) for n, _ in every if density(n) >= threshold)
+        chosen = html_text.main_subtree(html_text.parse(f"<html>{render(root)}</html>"))
+        assert chosen.total == pytest.approx(best) and chosen.density >= threshold - 1e-9
+
+
+def test_deep_pages_take_time_in_proportion():
+    started = time.perf_counter()
+    assert html_text.extract("<div>" * 100_000 + "deep") == "deep"
+    assert html_text.extract("<i>x" * 30_000 + "</b>" * 30_000) == "x" * 30_000
+    assert time.perf_counter() - started < 30

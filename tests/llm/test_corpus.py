@@ -50,6 +50,21 @@ def test_templates_that_rewrite_history():
     assert [done.output[a:b] for a, b in done.texts] == ["one", "two", "three", "four"]
 
 
+@pytest.mark.parametrize("head,foot", [("<{}>", "<end>"), ("[{}] ", "[us"), ("{}: ", "\n"), ("<{}>", "</s>")])
+@pytest.mark.parametrize("preamble", ["", "<s>", "<use"])
+def test_spans_of_closed_templates(head, foot, preamble):
+    def closed(given):
+        return preamble + "".join(head.format(r) + x + "\n" for r, x in given) + foot
+
+    turns = [("user", "hi<"), ("assistant", "<yo"), ("user", ""), ("user", "<end"), ("assistant", "bye")]
+    done = chat.render_incrementally(closed, turns)
+    assert done.rewritten is None
+    parts = [done.output[a:b] for a, b in done.spans]
+    want = [head.format(r) + x + "\n" for r, x in turns]
+    assert parts == [*want[:-1], want[-1] + foot]
+    assert [done.output[a:b] for a, b in done.texts] == [x for _, x in turns]
+
+
 def test_context_carries_over_pieces(spark):
     def counted(given):
         return "".join(f"[{'same' if i and given[i - 1][0] == r else 'new'} {r}]{x}" for i, (r, x) in enumerate(given))
