@@ -206,16 +206,14 @@ def nearest_within(
     # curvature, so only rows whose chord comes that close to the least can be nearest
     spare = 1 + (radius_m * SEMI_MAJOR / SEMI_MINOR**2) ** 2 / 6
     least = F.min("_line").over(Window.partitionBy(*ids))
-    ranked = pairs.withColumn("_least", least).where(
+    close = pairs.withColumn("_least", least).where(
         F.col("_line") <= F.col("_least") * spare + 1e-6).withColumn("_m", geodesic_m(*ends))
-    best = (
-        ranked.where(F.col("_m") <= radius_m)
-        .groupBy(*ids)
-        .agg(F.min_by(F.struct(*renamed.columns), F.struct(
-            "_m", *[f"{prefix}{o}" for o in order])).alias("_best"))
-    )
-    found = left.join(best, list(ids)).select(*left.columns, "_best.*")
-    return found.withColumn(f"{prefix}distance", geodesic_m(*ends))
+    # the distance travels with its row: a geodesic is worked out once for each pair
+    best = close.groupBy(*ids).agg(F.min_by(
+        F.struct(*renamed.columns, F.col("_m").alias(f"{prefix}distance")),
+        F.struct("_m", *[f"{prefix}{o}" for o in order])).alias("_best")
+    ).where(F.col(f"_best.{prefix}distance") <= radius_m)
+    return left.join(best, list(ids)).select(*left.columns, "_best.*")
 
 
 def select_gcp_images(
