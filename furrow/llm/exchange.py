@@ -1,6 +1,7 @@
 """Questions from chunks of documents to buckets of fingerprints, and the answers back.
 
-Documents are dealt into chunks of a few MB by a hash of the row.  A chunk asks
+Documents are dealt into chunks of a few MB by a hash of the row; rows equal in
+id and text are numbered first, so they spread over the chunks too.  A chunk asks
 about each distinct fingerprint once, whatever the number of its copies, so a
 passage that a third of all documents share reaches its bucket once per chunk.
 Fingerprints go as sorted 32-bit remainders in one blob for each bucket; the
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.text import U64, pack_sorted, planes
+from furrow.plans.session import cut_lineage
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
+COPIES = 4096  # equal rows that one task writes out at a time
 
 ASK = "bucket long, chunk long, keys binary, extra binary"
 ANSWER = "chunk long, bucket long, answer binary"
@@ -45,11 +48,33 @@ def deal(docs: DataFrame) -> Deal:
     return Deal(16 + total // CHUNK_BYTES, max(4, math.ceil(math.log2(total / BUCKET_BYTES + 1))))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``copy``, a number that tells rows equal in doc_id and text apart.
+
+    Rows that stand alone pass through.  Equal ones are counted, sent on in lots
+    of ``COPIES`` and written out again there, so the number depends on the rows
+    alone and stays the same when a task runs again.
+    """
+    marked = rows.withColumn("print", F.xxhash64("doc_id", "text"))
+    often = cut_lineage(
+        marked.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
+    alone = marked.join(often, "print", "left_anti").select(
+        "doc_id", "text", F.lit(0).cast("long").alias("copy"))
+    lots = marked.join(often, "print", "left_semi").groupBy("doc_id", "text").agg(
+        F.count("*").alias("n")).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))
+    ).repartition("doc_id", "text", "first")
+    return alone.union(lots.select("doc_id", "text", F.explode(F.sequence(
+        "first", F.least(F.col("n"), F.col("first") + COPIES) - 1)).alias("copy")))
+
+
 def in_chunks(docs: DataFrame, sizes: Deal) -> DataFrame:
     """doc_id, text and chunk; every pass takes these rows, so their exchange is shared."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(sizes.chunks)))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return numbered(rows).select(
+        "doc_id", "text",
+        F.pmod(F.xxhash64("doc_id", "text", "copy"), F.lit(sizes.chunks)).alias("chunk"))
 
 
 def questions(

@@ -17,8 +17,9 @@ are replaced by a class mark, or removed from a share of ``remove`` on.
 
 Counts are aggregates over all documents.  Contexts travel for entities met in
 enough contexts, n(t) is counted for the terms that could qualify; a fixed
-bitmap keeps other words at home and decides nothing.  The qualifying terms go
-back to the texts in shards of bounded size, each one scan without a shuffle.
+bitmap keeps other words at home and decides nothing.  Up to ``listed`` qualifying
+terms go to the texts as a list, without a shuffle.  More stay in their table: the
+words that pass the bitmap meet them in a join, and the driver holds none of them.
 
 Defined cases: null text counts as empty; repeated rows get equal results; long
 runs of characters take linear time; an empty table gives an empty result;
@@ -46,7 +47,7 @@ SUPPORT = 3
 BITS = 6.0
 GENERALISE = 0.5
 REMOVE = 0.9
-SHARD = 1 << 17
+LISTED = 1 << 17
 _FILTER_BITS = 20
 _TABLE = text.byte_table(71)
 
@@ -160,6 +161,27 @@ def _contexts(table: pa.Table, reach: int) -> list[tuple[int, int, list[int]]]:
     return out
 
 
+def _bitmap(terms: DataFrame):
+    """Broadcast marks of 2**_FILTER_BITS slots, set where a term falls; None without terms.
+
+    The size is the same whatever the number of terms.
+    """
+    slot = F.pmod(F.shiftrightunsigned("term", 64 - _FILTER_BITS), F.lit(1 << _FILTER_BITS))
+    words = terms.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).collect()
+    if not words:
+        return None
+    field = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+    for r in words:
+        field[r["word"]] = r["bits"]
+    return terms.sparkSession.sparkContext.broadcast(
+        np.unpackbits(field.view(np.uint8), bitorder="little").view(bool))
+
+
+def _marked(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    return bitmap[(prints >> U64(64 - _FILTER_BITS)).astype(np.int64)]
+
+
 def disclosing_terms(
     docs: DataFrame, reach: int = REACH, support: int = SUPPORT, bits: float = BITS,
     generalise: float = GENERALISE,
@@ -185,22 +207,14 @@ def disclosing_terms(
         contexts.join(often, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
         .groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"))
         .where(F.col("n_both") >= support))
-    slot = F.pmod(F.shiftrightunsigned("term", 64 - _FILTER_BITS), F.lit(1 << _FILTER_BITS))
-    words = together.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).collect()
-    if not words:  # no entity has a recurring term
+    shipped = _bitmap(together)
+    if shipped is None:  # no entity has a recurring term
         return together.select("term", F.lit(0.0).alias("share")).limit(0)
-    # at most 2**_FILTER_BITS bits, whatever the number of terms
-    field = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    for r in words:
-        field[r["word"]] = r["bits"]
-    shipped = docs.sparkSession.sparkContext.broadcast(
-        np.unpackbits(field.view(np.uint8), bitorder="little").view(bool))
 
     def count(batches):
         for table in text.slices(batches):
             *_, prints, doc = _term_words(table["text"])
-            near = shipped.value[(prints >> U64(64 - _FILTER_BITS)).astype(np.int64)]
+            near = _marked(shipped.value, prints)
             pairs = np.unique(np.stack([prints[near], doc[near].astype(U64)]), axis=1)
             term, n = np.unique(pairs[0], return_counts=True)
             yield pa.record_batch({"term": pa.array(term.view(np.int64)), "n": pa.array(n)})
@@ -214,107 +228,84 @@ def disclosing_terms(
         (told >= bits) & (share >= generalise)).groupBy("term").agg(F.max(share).alias("share")))
 
 
-def _shards(terms: DataFrame, shard: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The terms by ascending fingerprint and their shares, in pieces of about ``shard``."""
-    n = terms.count()
-    parts = max(1, -(-n // shard))
-    out = []
-    for k in range(parts):
-        got = terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect() if n else []
-        names = np.array([r["term"] for r in got], np.int64).view(U64)
-        order = np.argsort(names)
-        out.append((names[order], np.array([r["share"] for r in got], np.float64)[order]))
-    return out
-
-
-def _term_spans(column, names: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-    """Row to (start, end, index of the term) of the listed terms."""
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    if not len(names):
-        return out
+def _places(column, chosen) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, starts, ends and fingerprints of the words whose fingerprints are chosen."""
     data, offsets, starts, ends, prints, doc = _term_words(column)
-    at = np.minimum(np.searchsorted(names, prints), len(names) - 1)
-    hits = np.flatnonzero(names[at] == prints)
+    hits = np.flatnonzero(chosen(prints)) if len(prints) else np.zeros(0, np.int64)
     rows, cuts = np.unique(doc[hits], return_index=True)
     for i, own in zip(rows.tolist(), np.split(hits, cuts[1:])):
         places = _code_points(data, offsets[i], np.concatenate([starts[own], ends[own]]))
-        out[i] = list(zip(places[:len(own)].tolist(), places[len(own):].tolist(), at[own].tolist()))
-    return out
+        yield i, places[:len(own)], places[len(own):], prints[own]
+
 
+def _with_terms(docs: DataFrame, terms: DataFrame, listed: int):
+    """Rows with their text, and a function from a table of them to row: (start, end, share) of its terms."""
+    if terms.count() <= listed:
+        found = terms.toPandas()
+        names = found["term"].to_numpy(np.int64).view(U64)
+        order = np.argsort(names)
+        names, shares = names[order], found["share"].to_numpy(np.float64)[order]
 
-def find_personal_data(docs: DataFrame, shard: int = SHARD, **thresholds) -> DataFrame:
+        def known(prints: np.ndarray) -> np.ndarray:
+            return names[np.minimum(np.searchsorted(names, prints), len(names) - 1)] == prints
+
+        def look_up(table: pa.Table) -> dict[int, list[tuple[int, int, float]]]:
+            if not len(names):
+                return {}
+            return {i: list(zip(a.tolist(), b.tolist(), shares[np.searchsorted(names, own)].tolist()))
+                    for i, a, b, own in _places(table["text"], known)}
+
+        return docs, look_up
+    shipped = _bitmap(terms)
+    # terms of a text are those of its digest, so equal texts are looked through but kept once
+    rows = docs.select(F.md5("text").alias("of"), "text").where("text IS NOT NULL")
+
+    def candidates(batches):
+        for table in text.slices(batches):
+            for i, a, b, own in _places(table["text"], lambda prints: _marked(shipped.value, prints)):
+                yield pa.record_batch({
+                    "of": pa.array([table["of"][i].as_py()] * len(own), pa.string()), "a": pa.array(a, pa.int64()),
+                    "b": pa.array(b, pa.int64()), "term": pa.array(own.view(np.int64))})
+
+    spans = rows.mapInArrow(candidates, "of string, a long, b long, term long").join(terms, "term")
+    name = "terms"
+    while name in docs.columns:
+        name += "_"
+    marks = spans.groupBy("of").agg(F.collect_set(F.struct("a", "b", "share")).alias(name))
+    joined = docs.join(marks, F.md5(docs["text"]) == marks["of"], "left").drop(marks["of"])
+
+    def read(table: pa.Table) -> dict[int, list[tuple[int, int, float]]]:
+        return {i: sorted((s["a"], s["b"], s["share"]) for s in own)
+                for i, own in enumerate(table[name].to_pylist()) if own}
+
+    return joined, read
+
+
+def find_personal_data(docs: DataFrame, listed: int = LISTED, **thresholds) -> DataFrame:
     """Per document the counts of base spans, their digest and all spans.
 
     Takes doc_id and text.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = _shards(disclosing_terms(docs, **thresholds), shard)
-    schema = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
-              "base_sha256 string, spans string, n_term long")
-
-    def scan(names: np.ndarray):
-        def run(batches):
-            for table in text.slices(batches):
-                terms = _term_spans(table["text"], names)
-                base = [base_spans(v or "") for v in table["text"].to_pylist()]
-                extra = [[(a, b, 4) for a, b, _ in terms.get(i, ())] for i in range(len(base))]
-                counts = np.array([[sum(s[2] == k for s in own) for k in range(4)] for own in base],
-                                  np.int64).reshape(len(base), 4)
-                yield pa.record_batch({
-                    "doc_id": table["doc_id"].combine_chunks(),
-                    **{f"n_{KINDS[k]}": pa.array(counts[:, k]) for k in range(4)},
-                    "base_sha256": pa.array([hashlib.sha256(describe(s).encode()).hexdigest()
-                                             for s in base], pa.string()),
-                    "spans": pa.array([describe(s + x) for s, x in zip(base, extra)], pa.string()),
-                    "n_term": pa.array([len(x) for x in extra], pa.int64())})
-
-        return run
-
-    if len(pieces) == 1:
-        return keyed.mapInArrow(scan(pieces[0][0]), schema)
-    # more terms than one task should hold: a scan for each shard, put together by row
-    key = F.xxhash64("doc_id", "text")
-    keyed = keyed.withColumn("row", key)
-
-    def more(names: np.ndarray):
-        def run(batches):
-            for table in text.slices(batches):
-                terms = _term_spans(table["text"], names)
-                found = [(table["row"][i].as_py(), a, b) for i, own in terms.items()
-                         for a, b, _ in own]
-                yield pa.record_batch({"row": pa.array([f[0] for f in found], pa.int64()),
-                                       "a": pa.array([f[1] for f in found], pa.int64()),
-                                       "b": pa.array([f[2] for f in found], pa.int64())})
-
-        return run
-
-    spans = None
-    for names, _ in pieces:
-        own = keyed.mapInArrow(more(names), "row long, a long, b long")
-        spans = own if spans is None else spans.union(own)
-    marks = spans.distinct().groupBy("row").agg(
-        F.collect_list(F.concat_ws(":", F.lit("term"), "a", "b")).alias("terms"))
-    base = keyed.mapInArrow(_with_row(scan(np.zeros(0, U64))), f"{schema}, row long")
-    every = F.concat(F.filter(F.split("spans", ","), lambda s: s != ""),
-                     F.coalesce("terms", F.array().cast("array<string>")))
-    place = F.transform(every, lambda s: F.struct(
-        F.split(s, ":")[1].cast("long").alias("a"),
-        F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.split(s, ":")[0]).alias("k"),
-        F.split(s, ":")[2].cast("long").alias("b"), s.alias("s")))
-    return base.join(marks, "row", "left").withColumn(
-        "n_term", F.coalesce(F.size("terms").cast("long"), F.lit(0).cast("long"))).withColumn(
-        "spans", F.array_join(F.array_sort(place)["s"], ",")).select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
-
-
-def _with_row(run):
-    """The same scan, with the row's key behind."""
-    def wrapped(batches):
+    rows, terms_of = _with_terms(keyed, disclosing_terms(docs, **thresholds), listed)
+
+    def run(batches):
         for table in text.slices(batches):
-            for out in run(table.to_batches()):
-                yield out.append_column("row", table["row"].combine_chunks().slice(0, out.num_rows))
+            terms = terms_of(table)
+            base = [base_spans(v or "") for v in table["text"].to_pylist()]
+            extra = [[(a, b, 4) for a, b, _ in terms.get(i, ())] for i in range(len(base))]
+            counts = np.array([[sum(s[2] == k for s in own) for k in range(4)] for own in base],
+                              np.int64).reshape(len(base), 4)
+            yield pa.record_batch({
+                "doc_id": table["doc_id"].combine_chunks(),
+                **{f"n_{KINDS[k]}": pa.array(counts[:, k]) for k in range(4)},
+                "base_sha256": pa.array([hashlib.sha256(describe(s).encode()).hexdigest()
+                                         for s in base], pa.string()),
+                "spans": pa.array([describe(s + x) for s, x in zip(base, extra)], pa.string()),
+                "n_term": pa.array([len(x) for x in extra], pa.int64())})
 
-    return wrapped
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
+                                "base_sha256 string, spans string, n_term long")
 
 
 def replace(value: str, spans: list[tuple[int, int, str]]) -> str:
@@ -328,31 +319,31 @@ def replace(value: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts) + value[at:]
 
 
-def sanitise(docs: DataFrame, shard: int = SHARD, remove: float = REMOVE, **thresholds) -> DataFrame:
+def sanitise(docs: DataFrame, listed: int = LISTED, remove: float = REMOVE, **thresholds) -> DataFrame:
     """The same rows and columns with personal data masked and disclosing terms generalised or removed.
 
     ``n_chars`` follows the text where the column exists; a null text stays null.
     """
-    for number, (names, shares) in enumerate(_shards(disclosing_terms(docs, **thresholds), shard)):
-
-        def run(batches, names=names, shares=shares, number=number):
-            for table in text.slices(batches):
-                terms = _term_spans(table["text"], names)
-                out = []
-                for i, value in enumerate(table["text"].to_pylist()):
-                    if value is not None:
-                        # base spans first: a mark holds no personal data, so later shards see none
-                        spans = [(a, b, f"[{KINDS[k].upper()}]") for a, b, k in base_spans(value)]
-                        spans += [(a, b, "" if shares[t] >= remove else "[TERM]")
-                                  for a, b, t in terms.get(i, ())]
-                        value = replace(value, spans) if spans else value
-                    out.append(value)
-                place = table.schema.get_field_index("text")
-                done = table.set_column(place, "text", pa.array(out, table.schema.field(place).type))
-                yield from done.to_batches()
-
-        docs = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        docs = docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs
+    rows, terms_of = _with_terms(docs, disclosing_terms(docs, **thresholds), listed)
+
+    def run(batches):
+        for table in text.slices(batches):
+            terms = terms_of(table)
+            out = []
+            for i, value in enumerate(table["text"].to_pylist()):
+                if value is not None:
+                    spans = [(a, b, f"[{KINDS[k].upper()}]") for a, b, k in base_spans(value)]
+                    spans += [(a, b, "" if share >= remove else "[TERM]")
+                              for a, b, share in terms.get(i, ())]
+                    value = replace(value, spans) if spans else value
+                out.append(value)
+            place = table.schema.get_field_index("text")
+            done = table.set_column(place, "text", pa.array(out, table.schema.field(place).type))
+            yield from done.select(names).to_batches()
+
+    names, schema = docs.columns, docs.schema
+    cleaned = rows.mapInArrow(run, schema)
+    if "n_chars" in names:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(
+            schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned

@@ -42,23 +42,36 @@ def test_long_runs_take_linear_time():
     assert base_spans("a" * 300_000 + " " + "1" * 300_000 + "." * 300_000 + "@" * 1000) == []
 
 
-@pytest.mark.parametrize("shard", [pii.SHARD, 1])
-def test_terms_that_disclose(documents, shard):
+@pytest.mark.parametrize("listed", [pii.LISTED, 0])
+def test_terms_that_disclose(documents, listed):
     hints = "aaaa bbbb cccc dddd eeee ffff gggg hhhh".split()
     rows = [(i, f"é hello Zaphod {hints[i]} contact zed@mail.org or call {'xyz'[i % 3] * 3} now") for i in range(8)]
     rows += [(100 + i, f"hello contact or call now text {'abcdefghij'[i % 10] * 6}") for i in range(900)]
     rows += [(2000, None), (2001, ""), (8, rows[1][1])]
-    got = {r["doc_id"]: r for r in find_personal_data(documents(rows), shard=shard).collect()}
+    got = {r["doc_id"]: r for r in find_personal_data(documents(rows), listed=listed).collect()}
     assert len(got) == len(rows)
     assert got[0]["spans"].split(",")[:2] == ["term:8:14", "email:28:40"]
     assert (got[0]["n_email"], got[2000]["spans"], got[2000]["n_email"]) == (1, "", 0)
     assert all(got[100 + i]["spans"] == "" for i in range(900))
-    clean = {r["doc_id"]: r for r in sanitise(documents(rows), shard=shard).collect()}
+    clean = {r["doc_id"]: r for r in sanitise(documents(rows), listed=listed).collect()}
     assert "Zaphod" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"]
     assert clean[2000]["text"] is None and clean[150]["text"] == dict(rows)[150]
     assert clean[0]["n_chars"] == len(clean[0]["text"]) and set(clean[0].asDict()) >= {"chunk", "kind"}
 
 
+def test_many_terms_are_found_without_a_list(documents):
+    # 40 people, each told by two words of their own; names clash with the operator's column
+    rows = [(40 * n + i, f"{'pqrs'[n] * 5} {chr(97 + i // 6)}{'xyzuvw'[i % 6] * 4} met {'kl'[i % 2] * 3}"
+                         f"{chr(97 + i // 6)}{chr(97 + i % 6)}q and p{i}@mail.org {'abcd'[n] * 4}")
+            for n in range(4) for i in range(40)]
+    rows += [(1000 + i, f"nothing here but {'abcdefghij'[i % 10] * 6}") for i in range(900)] + [rows[3]] * 30
+    table = documents(rows).withColumnRenamed("chunk", "terms").withColumnRenamed("bucket", "of")
+    for run in (find_personal_data, sanitise):
+        one, many = ([tuple(r) for r in run(table, listed=n).collect()] for n in (pii.LISTED, 3))
+        assert len(one) == len(rows) and sorted(one, key=str) == sorted(many, key=str)
+    assert pii.disclosing_terms(table).count() > 30
+
+
 def test_copies_of_a_passage_count_once(documents):
     rows = [(i, "call Zaphod at zed@mail.org today") for i in range(50)] + [(99 + i, f"filler {i}") for i in range(500)]
     got = find_personal_data(documents(rows)).collect()

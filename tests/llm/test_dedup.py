@@ -178,6 +178,27 @@ def test_empty_tables(documents):
     assert ngram_join.THRESHOLD == 75
 
 
+def test_equal_rows_spread_over_chunks(documents, monkeypatch):
+    monkeypatch.setattr(exchange, "COPIES", 64)
+    rows = [(None, "the same notice for everyone")] * 1000 + [(7, None)] * 9 + [(i, f"text {i}") for i in range(1991)]
+    dealt = exchange.in_chunks(documents(rows), exchange.Deal(64, 4)).toPandas()
+    sizes = dealt.groupby("chunk").size()
+    assert len(dealt) == 3000 and len(sizes) == 64 and sizes.max() < 100
+    got = dealt.fillna({"doc_id": -1, "text": "none"}).groupby(["doc_id", "text"]).size()
+    assert got[(-1, "the same notice for everyone")] == 1000 and got[(7, "none")] == 9
+
+
+def test_a_third_of_equal_rows_without_an_id(documents, corpus):
+    notice = " ".join(f"word{i % 7}{i}" for i in range(60))
+    rows = corpus + [(None, notice)] * 45 + [(300, f"before {notice} after")]
+    got = remove_repeated_bytes(documents(rows)).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == bytes_by_hand(rows, 200)
+    got = [tuple(r)[:5] for r in remove_repeated_windows(documents(rows)).collect()]
+    assert sorted(got, key=str) == windows_by_hand(rows, 50)
+    got = near_duplicates(documents(rows)).where("doc_id IS NULL OR doc_id = 300").collect()
+    assert len(got) == 47 and {r["component_id"] for r in got if r["n_shingles"] == 56} == {300}
+
+
 def thue_morse(length, letters="ab"):
     return "".join(letters[bin(i).count("1") % 2] for i in range(length))
 
