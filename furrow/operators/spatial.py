@@ -22,6 +22,9 @@ from furrow.plans.skew import keep_first
 # Metres per degree of latitude at its smallest, rounded down.
 METRES_PER_DEGREE = 110_500.0
 
+# Halvings of the widest cell among crowded positions.
+FINER = 6
+
 
 def _cell(value: Column, level: Column, base: float) -> Column:
     return F.floor(value / (F.lit(base) * F.pow(F.lit(2.0), level)))
@@ -156,6 +159,17 @@ def max_overlap_join(
         *images.columns, *[F.col("_poly")[c].alias(c) for c in [*props, "overlap"]])
 
 
+def _in_space(df: DataFrame, lat: str, lon: str, side: str) -> DataFrame:
+    """Rows with a position, in metres from the earth's centre: ``_{side}x``, ``_{side}y``, ``_{side}z``."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    up, along = F.radians(lat), F.radians(lon)
+    bend = F.lit(SEMI_MAJOR) / F.sqrt(1 - e2 * F.sin(up) * F.sin(up))
+    place = {"x": bend * F.cos(up) * F.cos(along), "y": bend * F.cos(up) * F.sin(along),
+             "z": bend * (1 - e2) * F.sin(up)}
+    return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns(
+        {f"_{side}{c}": v for c, v in place.items()})
+
+
 def _near_pairs(
     left: DataFrame, right: DataFrame, radius_m: float, l_lat: str, l_lon: str, r_lat: str, r_lon: str,
 ) -> DataFrame:
@@ -165,26 +179,17 @@ def _near_pairs(
     special: cells are cubes as wide as the radius, and right rows also lie in
     the 26 around theirs.  The straight line is never longer than the geodesic.
     """
-    e2 = FLATTENING * (2 - FLATTENING)
-
-    def placed(df: DataFrame, lat: str, lon: str, side: str) -> DataFrame:
-        up, along = F.radians(lat), F.radians(lon)
-        bend = F.lit(SEMI_MAJOR) / F.sqrt(1 - e2 * F.sin(up) * F.sin(up))
-        place = {"x": bend * F.cos(up) * F.cos(along), "y": bend * F.cos(up) * F.sin(along),
-                 "z": bend * (1 - e2) * F.sin(up)}
-        return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns(
-            {f"_{side}{c}": v for c, v in place.items()})
-
     axes = ("x", "y", "z")
     cell = lambda c: F.floor(F.col(c) / radius_m)
-    spots = placed(right, r_lat, r_lon, "r")
+    spots = _in_space(right, r_lat, r_lon, "r")
     for c in axes:
         spots = spots.withColumn(f"_c{c}", F.explode(F.sequence(cell(f"_r{c}") - 1, cell(f"_r{c}") + 1)))
-    rows = placed(left, l_lat, l_lon, "l").withColumns({f"_c{c}": cell(f"_l{c}") for c in axes})
+    rows = _in_space(left, l_lat, l_lon, "l").withColumns({f"_c{c}": cell(f"_l{c}") for c in axes})
     gaps = [F.col(f"_l{c}") - F.col(f"_r{c}") for c in axes]
     # positions in metres carry rounding of about 1e-9
     line = F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2])
-    return rows.join(spots, [f"_c{c}" for c in axes]).withColumn("_line", line).where(
+    # Spark's size estimate does not see the copies, so it must not broadcast them
+    return rows.join(spots.hint("merge"), [f"_c{c}" for c in axes]).withColumn("_line", line).where(
         F.col("_line") <= radius_m + 1e-6).drop(*[f"_{side}{c}" for side in "clr" for c in axes])
 
 
@@ -240,10 +245,10 @@ def match_borders(
     """Plot borders with the images nearest to their start and end.
 
     Nearest in degrees, as positions are stored; accepted when both ends lie
-    within ``max_m`` metres.  Images within ``max_m`` are found in space, at any
-    latitude; the nearest of these in degrees counts unless some image beyond
-    ``max_m`` is nearer still, which is looked up on grid cells as wide as that
-    distance.  ``image_order`` becomes ``start_{}`` and ``end_{}``.
+    within ``max_m`` metres.  Some image near each end bounds how far the nearest
+    one can be, at any latitude; that one is looked up on grid cells as wide as the
+    bound, so the pairs compared don't grow with the density of images.
+    ``image_order`` becomes ``start_{}`` and ``end_{}``.
     """
     spots = keep_first(images.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
                        .select("lat", "lon", image_order), ["lat", "lon"], [image_order])
@@ -251,28 +256,58 @@ def match_borders(
         F.struct(F.lit(end).alias("end"), F.col(f"{end}_lat").alias("e_lat"),
                  F.col(f"{end}_lon").alias("e_lon")) for end in ("start", "end")])).alias("_e")
     ).select("plot_index", "_e.*")
+    who = ["plot_index", "end", "e_lat", "e_lon"]
     degrees = (F.pow(F.col("lat") - F.col("e_lat"), F.lit(2))
                + F.pow(F.col("lon") - F.col("e_lon"), F.lit(2)))
-    near = _near_pairs(ends, spots, max_m, "e_lat", "e_lon", "lat", "lon").where(
-        geodesic_m(F.col("e_lat"), F.col("e_lon"), F.col("lat"), F.col("lon"), 4) <= max_m)
+    bounds = cut_lineage(_some_near(ends, spots, max_m, who, degrees))
+    # cells as wide as the bound or up to twice as wide; rounding of a degree is about 1e-14
+    reach = F.sqrt("_d") * (1 + 1e-9) + 1e-12
     base = max_m / METRES_PER_DEGREE
-    best = cut_lineage(near.withColumn("_rank", F.struct(degrees.alias("d"), F.col(image_order).alias("o"))).groupBy(
-        "plot_index", "end", "e_lat", "e_lon").agg(F.min("_rank").alias("_best")).withColumn(
-        "_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sqrt("_best.d"), F.lit(base)) / base)).cast("int"))))
-    cell = lambda c: _cell(F.col(c), F.col("_level"), base)
-    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    asked = best.withColumn("_cy", around("e_lat")).withColumn("_cx", around("e_lon"))
-    placed = spots.withColumn("_level", F.explode(_levels(best))).withColumn(
-        "_cy", cell("lat")).withColumn("_cx", cell("lon"))
-    nearer = asked.join(placed, ["_level", "_cy", "_cx"]).where(
-        F.struct(degrees.alias("d"), F.col(image_order).alias("o")) < F.col("_best"))
-    close = best.join(nearer.select("plot_index", "end").distinct(), ["plot_index", "end"], "left_anti")
+    bounds = bounds.withColumn("_reach", reach).withColumn(
+        "_level", F.greatest(F.lit(-FINER), F.ceil(F.log2(F.col("_reach") / base)).cast("int")))
+    cell = lambda c: _cell(c, F.col("_level"), base)
+    around = lambda c: F.explode(F.sequence(cell(F.col(c) - F.col("_reach")), cell(F.col(c) + F.col("_reach"))))
+    asked = bounds.withColumn("_cy", around("e_lat")).withColumn("_cx", around("e_lon"))
+    placed = spots.withColumn("_level", F.explode(_levels(bounds))).withColumn(
+        "_cy", cell(F.col("lat"))).withColumn("_cx", cell(F.col("lon")))
+    rank = F.struct(degrees.alias("d"), F.col(image_order).alias("o"), "lat", "lon")
+    # neither side's size estimate sees its copies, so neither may be broadcast
+    best = asked.join(placed.hint("merge"), ["_level", "_cy", "_cx"]).where(degrees <= F.col("_d")).groupBy(
+        *who).agg(F.min(rank).alias("_best"))
+    close = best.where(geodesic_m(
+        F.col("e_lat"), F.col("e_lon"), F.col("_best.lat"), F.col("_best.lon"), 4) <= max_m)
     pick = lambda end: F.max(F.when(F.col("end") == end, F.col("_best.o")))
     both = close.groupBy("plot_index").agg(
         pick("start").alias(f"start_{image_order}"), pick("end").alias(f"end_{image_order}"))
     return borders.join(both.na.drop(), "plot_index")
 
 
+def _some_near(
+    ends: DataFrame, spots: DataFrame, max_m: float, who: Sequence[str], degrees: Column,
+) -> DataFrame:
+    """``who`` and ``_d``, the least of ``degrees`` to some spots near it; all ends within ``max_m`` of a spot are told.
+
+    One spot stands for each cube, on levels from ``max_m`` wide down to as many
+    halvings as ``FINER``; an end asks the cubes it lies in.  Where its widest
+    cube is empty, it looks around among spots a quarter as far apart.
+    """
+    axes = ("x", "y", "z")
+    width = F.lit(max_m) / F.pow(F.lit(2.0), F.col("_k"))
+    placed = lambda df, lat, lon: _in_space(df, lat, lon, "s").withColumn(
+        "_k", F.explode(F.sequence(F.lit(0), F.lit(FINER)))).withColumns(
+        {f"_c{c}": F.floor(F.col(f"_s{c}") / width) for c in axes}).drop(*[f"_s{c}" for c in axes])
+    cube = ["_k", *[f"_c{c}" for c in axes]]
+    stand = cut_lineage(placed(spots, "lat", "lon").groupBy(*cube).agg(
+        F.min(F.struct("lat", "lon")).alias("_p")).select(*cube, "_p.*"))
+    inside = cut_lineage(placed(ends, "e_lat", "e_lon").join(stand.hint("merge"), cube).groupBy(*who).agg(
+        F.min(degrees).alias("_d")))
+    # the diagonal of a quarter cube is shorter than half a cube
+    rest = ends.where(F.col("e_lat").isNotNull() & F.col("e_lon").isNotNull()).join(inside, list(who), "left_anti")
+    around = _near_pairs(rest, stand.where("_k = 2").select("lat", "lon"), 1.5 * max_m,
+                         "e_lat", "e_lon", "lat", "lon").groupBy(*who).agg(F.min(degrees).alias("_d"))
+    return inside.unionByName(around)
+
+
 def associate_plots(
     centers: DataFrame, boundaries: DataFrame, seen: str = "seen", ordinal: str = "ordinal",
     base: float = 1e-4,

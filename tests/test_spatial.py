@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.operators.intervals import assign_intervals, interval_join
 from furrow.operators.spatial import (
-    associate_plots, box_pairs, match_borders, max_overlap_join, nearest_pixel, nearest_within, pip_first,
+    _near_pairs, associate_plots, box_pairs, match_borders, max_overlap_join, nearest_pixel, nearest_within, pip_first,
     pip_join, select_gcp_images)
 from furrow.plans.greedy import serial_choice
 
@@ -162,3 +162,29 @@ def test_an_image_beyond_reach_that_is_nearer_in_degrees_wins(spark):
     schema = "plot_index int, start_lat double, start_lon double, end_lat double, end_lon double"
     assert match_borders(spark.createDataFrame(border, schema), images.where("row = 0"), "row").count() == 1
     assert match_borders(spark.createDataFrame(border, schema), images, "row").count() == 0
+
+
+def test_borders_among_crowded_images(spark):
+    # 1,600 images in half a metre, one alone, and ends at all distances from them
+    images = [(i, 38.53 + i // 40 * 1e-7, -121.76 + i % 40 * 1.3e-7) for i in range(1600)] + [(1600, 38.531, -121.76)]
+    ends = [(k, 38.53 + k % 9 * 0.71e-6 - 1e-6, -121.76 + k % 7 * 1.17e-6 - 1.5e-6, 38.531 + k % 4 * 9e-7, -121.76) for k in range(60)]
+    border = "plot_index int, start_lat double, start_lon double, end_lat double, end_lon double"
+    out = match_borders(spark.createDataFrame(ends, border), spark.createDataFrame(images, "row int, lat double, lon double"), "row")
+
+    def nearest(lat, lon):
+        d, row, i_lat, i_lon = min(((a - lat) ** 2 + (b - lon) ** 2, r, a, b) for r, a, b in images)
+        metres = math.hypot((i_lat - lat) * 110_995, (i_lon - lon) * 111_320 * math.cos(math.radians(lat)))
+        return row if metres <= 0.25 else None
+
+    want = {k: (nearest(a, b), nearest(c, d)) for k, a, b, c, d in ends}
+    want = {k: v for k, v in want.items() if None not in v}
+    assert {r["plot_index"]: (r["start_row"], r["end_row"]) for r in out.collect()} == want and len(want) > 5
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    # copies on cells must not be broadcast: their number is not in the size estimate
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [_" in line]
+
+
+def test_copies_on_cells_are_not_broadcast(spark):
+    points = spark.createDataFrame([(1, 38.53, -121.76)], "id int, lat double, lon double")
+    near = _near_pairs(points, points.toDF("r", "r_lat", "r_lon"), 0.25, "lat", "lon", "r_lat", "r_lon")
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 1
