@@ -36,13 +36,17 @@ def _field(df: DataFrame, name: str) -> Column:
     return q(name) if name in df.columns else F.lit(None).cast("double")
 
 
-def telemetry_gps(msgs: DataFrame) -> DataFrame:
-    """GPS messages; a position of exactly 0 is missing, the instance defaults to 0."""
+def telemetry_gps(msgs: DataFrame, missing: float = 0.0) -> DataFrame:
+    """GPS messages; a position of exactly ``missing`` is none, the instance defaults to 0.
+
+    The flight controller writes 0 for a position it does not have; a recorder
+    that marks it otherwise keeps positions of 0.
+    """
     cols = []
     for field, name in GPS_FIELDS.items():
         value = _field(msgs, field)
         if name in ("lat", "lon", "alt"):
-            value = F.when(value != 0, value)
+            value = F.when(value != missing, value)
         if name == "gps_instance" and field not in msgs.columns:
             value = F.lit(0)
         cols.append(value.alias(name))

@@ -1,9 +1,11 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+import __spark_entry__ as entry
 from furrow.operators import plots as P
 from furrow.operators import registry as R
 from furrow.operators.spatial import max_overlap_join, pip_join
@@ -192,6 +194,28 @@ def test_gps_rows_conform(spark, collect):
     assert collect(out.select("stamp", "rel_pos_valid", "accuracy_north", "accuracy_east")) == [(3, 0.0, 1.5, None), (5, 1.0, None, None)]
 
 
+def _with_oracle(tmp_path, spark, name, events):
+    """Rows of a query on events (event_id, ts, user_id, event_type, value) and those of its SQL."""
+    queries, sql = entry.queries()[name], entry.oracle_sql()[name]
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE events AS SELECT * FROM (VALUES {events}) t(event_id, ts, user_id, event_type, value)")
+    con.sql(f"COPY (SELECT event_id::BIGINT AS event_id, ts::TIMESTAMP AS ts, user_id::BIGINT AS user_id, event_type, "
+            f"value::DOUBLE AS value FROM events) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE OR REPLACE TABLE events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = queries(spark, str(tmp_path))
+    key = lambda row: tuple((v is not None, v) for v in row)
+    return (sorted(map(tuple, got.collect()), key=key),
+            sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall(), key=key))
+
+
+def test_telemetry_keeps_a_measured_zero(spark, tmp_path, collect):
+    got, want = _with_oracle(tmp_path, spark, "telemetry_messages",
+                             "(1, '2024-01-01', 1, 'a', 0.0), (2, '2024-01-01', 4, 'a', 0.0), (3, '2024-01-01', 5, 'b', 7.25)")
+    assert got == want and len(got) == 3
+    raw = spark.createDataFrame([(1, 0.0), (2, 3.5)], "timestamp long, Lat double")
+    assert collect(sensors.telemetry_gps(raw).select("lat"), "lat") == [(None,), (3.5,)]
+
+
 def test_progress_jobs_batch_equals_stream(spark, tmp_path, collect):
     lines = spark.createDataFrame([
         ("j", 1, "Running dataset stage"), ("j", 2, "Copied RGB.tif ok"), ("j", 3, "noise"), ("k", 1, "nothing"),
