@@ -71,10 +71,12 @@ def telemetry_rfnd(msgs: DataFrame) -> DataFrame:
     return msgs.select("timestamp", F.col("Dist").alias("distance"))
 
 
-def conform_gps(rows: DataFrame, kind: str) -> DataFrame:
+def conform_gps(rows: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
     """GPS rows with the topic's columns: booleans 1/0, other text null, one row per stamp.
 
     Missing columns become null.  The stamp is a whole number of microseconds.
+    With ``by``, columns that come along in front, stamps are told apart by them,
+    too: receivers or recordings may share one.
     """
 
     def number(name: str) -> Column:
@@ -88,8 +90,8 @@ def conform_gps(rows: DataFrame, kind: str) -> DataFrame:
             for c in GPS_COLUMNS[kind]]
     rest = [c for c in GPS_COLUMNS[kind] if c != "stamp"]
     # the smallest row of equal stamps: independent of the order files are read in
-    return rows.select(*cols).groupBy("stamp").agg(F.min(F.struct(*rest)).alias("_r")).select(
-        "stamp", "_r.*").orderBy("stamp")
+    return rows.select(*by, *cols).groupBy(*by, "stamp").agg(F.min(F.struct(*rest)).alias("_r")).select(
+        *by, "stamp", "_r.*").orderBy("stamp", *by)
 
 
 def camera_timestamps(events: DataFrame, topics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

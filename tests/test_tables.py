@@ -208,6 +208,13 @@ def _with_oracle(tmp_path, spark, name, events):
             sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall(), key=key))
 
 
+def test_events_of_one_stamp_stay_apart(spark, tmp_path):
+    got, want = _with_oracle(tmp_path, spark, "gps_topic_conformed",
+                             "(1, '2024-01-01 00:00:01', 2, 'a', 1.5), (2, '2024-01-01 00:00:01', 2, 'a', 2.5), "
+                             "(3, '2024-01-01 00:00:01', 2, 'a', 2.5), (4, '2024-01-01 00:00:02', 3, 'b', 0.5)")
+    assert got == want and len(got) == 4
+
+
 def test_telemetry_keeps_a_measured_zero(spark, tmp_path, collect):
     got, want = _with_oracle(tmp_path, spark, "telemetry_messages",
                              "(1, '2024-01-01', 1, 'a', 0.0), (2, '2024-01-01', 4, 'a', 0.0), (3, '2024-01-01', 5, 'b', 7.25)")
