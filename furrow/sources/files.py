@@ -122,6 +122,9 @@ ALIASES = {
     "Label": ["Label", "accession"],
 }
 
+# features of a written file
+FEATURES = 10_000
+
 # coordinates stay text until the geometry's type tells their depth
 _FEATURE = ("struct<type:string,properties:map<string,string>,"
             "geometry:struct<type:string,coordinates:string>>")
@@ -165,11 +168,14 @@ def parse_features(lines: DataFrame) -> DataFrame:
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     """Boundaries from FeatureCollection files of any layout, with their file order ``ordinal``.
 
-    A file is one document and is read by one task; ``read_feature_lines`` splits
-    files that have a feature per line.
+    A file is one document in UTF-8 and is read by one task; ``read_feature_lines``
+    splits files that have a feature per line.
     """
-    whole = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
-    return whole.select(F.posexplode("features").alias("ordinal", "_f")).select(
+    # a reader of JSON files goes back to the file for every text that is an array
+    text = F.ltrim(F.col("value"), F.lit("\ufeff"))
+    whole = spark.read.text(path, wholetext=True).select(
+        F.from_json(text, f"struct<features:array<{_FEATURE}>>").alias("_d"))
+    return whole.select(F.posexplode("_d.features").alias("ordinal", "_f")).select(
         "ordinal", *_boundary(F.col("_f")))
 
 
@@ -200,28 +206,38 @@ def feature_lines(boundaries: DataFrame) -> DataFrame:
         F.lit(',"geometry":{"type":'), kind, F.lit("}}")).alias("value"))
 
 
-def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of a part file as one document: a head, features with commas between, a foot."""
+def _framed(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.RecordBatch]:
+    """Lines as documents of up to ``features``: a head, features with commas between, a foot."""
     lines = lambda column: pa.RecordBatch.from_arrays([column], ["value"])
-    yield lines(pa.array(['{"type":"FeatureCollection","features":[']))
-    held = None
+    head, foot = '{"type":"FeatureCollection","features":[', "]}"
+    yield lines(pa.array([head]))
+    held, count = None, 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
         column = batch.column(0).cast(pa.string())
-        if held is not None:
-            yield lines(pa.array([held + ","]))
-        held = column[-1].as_py()
-        yield lines(pc.binary_join_element_wise(column[:-1], ",", ""))
-    yield lines(pa.array([held, "]}"] if held is not None else ["]}"]))
-
-
-def write_boundaries(boundaries: DataFrame, path: str) -> None:
+        while len(column):
+            if count == features:
+                yield lines(pa.array([held, foot, head]))
+                held, count = None, 0
+            part = column[:features - count]
+            column = column[len(part):]
+            count += len(part)
+            if held is not None:
+                yield lines(pa.array([held + ","]))
+            held = part[-1].as_py()
+            yield lines(pc.binary_join_element_wise(part[:-1], ",", ""))
+    yield lines(pa.array([held, foot] if held is not None else [foot]))
+
+
+def write_boundaries(boundaries: DataFrame, path: str, features: int = FEATURES) -> None:
     """Boundaries as files that are a FeatureCollection each, one feature per line.
 
-    ``read_boundaries`` and ``read_feature_lines`` read them back.
+    A file holds up to ``features`` of them, as ``read_boundaries`` reads it as one
+    document; that and ``read_feature_lines`` read them back.
     """
-    feature_lines(boundaries).mapInArrow(_framed, "value string").write.mode("overwrite").text(path)
+    # a document is its features, a head and a foot, and fills a file
+    feature_lines(boundaries).mapInArrow(
+        lambda batches: _framed(batches, features), "value string").write.mode("overwrite").option(
+        "maxRecordsPerFile", features + 2).text(path)
 
 
 # --- ground control points

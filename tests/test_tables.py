@@ -194,6 +194,20 @@ def test_gps_rows_conform(spark, collect):
     assert collect(out.select("stamp", "rel_pos_valid", "accuracy_north", "accuracy_east")) == [(3, 0.0, 1.5, None), (5, 1.0, None, None)]
 
 
+def test_written_boundary_files_hold_a_bounded_number(spark, tmp_path, collect):
+    path = str(tmp_path / "b")
+    square = "array(struct(0D AS x, 0D AS y), struct(1D AS x, 0D AS y), struct(1D AS x, 1D AS y), struct(0D AS x, 0D AS y)) AS ring"
+    rows = spark.range(0, 8, 1, 1).selectExpr("map('id', string(id)) AS props", square)
+    files.write_boundaries(rows, path, features=3)
+    found = [json.loads(p.read_text()) for p in sorted((tmp_path / "b").glob("part-*"))]
+    assert [len(d["features"]) for d in found] == [3, 3, 2]
+    for read in (files.read_boundaries, files.read_feature_lines):
+        back = read(spark, path).selectExpr("props['id'] AS id", "ring")
+        assert collect(back, "id") == collect(rows.selectExpr("props['id'] AS id", "ring"), "id")
+    (tmp_path / "one.json").write_text("\ufeff" + json.dumps(found[1], indent=1), encoding="utf-8")
+    assert files.read_boundaries(spark, str(tmp_path / "one.json")).count() == 3
+
+
 def _with_oracle(tmp_path, spark, name, events):
     """Rows of a query on events (event_id, ts, user_id, event_type, value) and those of its SQL."""
     queries, sql = entry.queries()[name], entry.oracle_sql()[name]
