@@ -22,6 +22,9 @@ from furrow.plans.skew import keep_first
 # Metres per degree of latitude at its smallest, rounded down.
 METRES_PER_DEGREE = 110_500.0
 
+# Rows of a grid cell that meet the other side's in one piece.
+CROWD = 20_000
+
 # Halvings of the widest cell among crowded positions.
 FINER = 6
 
@@ -61,6 +64,25 @@ def _levels(levelled: DataFrame) -> Column:
     return levelled.select(F.collect_set("_level")).scalar()
 
 
+def _cell_join(many: DataFrame, cells: DataFrame, on: Sequence[str], crowd: int = CROWD) -> DataFrame:
+    """Equi-join on cells, of which the crowded ones of ``many`` are dealt into slices of about ``crowd`` rows.
+
+    A slice meets copies of its cell's rows in ``cells``.  ``cells`` is never
+    broadcast: it holds copies that Spark's size estimate does not see.
+    """
+    counted = many.groupBy(*on).agg(F.ceil(F.count("*") / crowd).cast("int").alias("_slices")).where("_slices > 1")
+    # at most one row for each ``crowd`` rows of ``many``
+    crowded = F.broadcast(cut_lineage(counted))
+    slices = F.coalesce("_slices", F.lit(1))
+    # by the row itself, so that a task run again deals the same; maps can't be hashed
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in many.schema.fields if "map<" not in f.dataType.simpleString()])
+    dealt = many.join(crowded, list(on), "left").withColumn(
+        "_slice", F.pmod(row, slices).cast("int")).drop("_slices")
+    copied = cells.join(crowded, list(on), "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
+    return dealt.join(copied.hint("merge"), [*on, "_slice"]).drop("_slice")
+
+
 def pip_join(
     points: DataFrame, polys: DataFrame, x: str = "lon", y: str = "lat", ring: str = "ring",
     base: float = 1e-4,
@@ -72,12 +94,13 @@ def pip_join(
     ``base`` is the cell width of the finest grid level, in the units of the
     coordinates; about the size of the smaller polygons is best.
     """
-    levelled = _levelled(polys, ring, base)
+    # the polygons are asked for their levels first, so their source is read once
+    levelled = cut_lineage(_levelled(polys, ring, base).drop("_edges")).withColumn("_edges", _shape(polys, ring)[1])
     cells = _gridded(levelled, base)
     placed = points.withColumn("_level", F.explode(_levels(levelled)))
     placed = placed.withColumn("_cx", _cell(F.col(x), F.col("_level"), base)).withColumn(
         "_cy", _cell(F.col(y), F.col("_level"), base))
-    near = placed.join(cells, ["_level", "_cx", "_cy"])
+    near = _cell_join(placed, cells, ["_level", "_cx", "_cy"])
     inside = near.where(
         F.col(x).between(F.col("_box.x0"), F.col("_box.x1"))
         & F.col(y).between(F.col("_box.y0"), F.col("_box.y1"))
@@ -128,7 +151,7 @@ def box_pairs(
     lp, rp = place(ls, left_box, "_ll", used(rs, "_rl")), place(rs, right_box, "_rl", used(ls, "_ll"))
     lx0, ly0, lx1, ly1 = (F.col(c) for c in left_box)
     rx0, ry0, rx1, ry1 = (F.col(c) for c in right_box)
-    return lp.join(rp, [*on, "_level", "_cx", "_cy"]).where(
+    return _cell_join(lp, rp, [*on, "_level", "_cx", "_cy"]).where(
         (F.col("_level") == F.greatest("_ll", "_rl"))
         & (F.col("_cx") == _cell(F.greatest(lx0, rx0), F.col("_level"), base))
         & (F.col("_cy") == _cell(F.greatest(ly0, ry0), F.col("_level"), base))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.operators.intervals import assign_intervals, interval_join
 from furrow.operators.spatial import (
-    _near_pairs, associate_plots, box_pairs, match_borders, max_overlap_join, nearest_pixel, nearest_within, pip_first,
+    _cell_join, _near_pairs, associate_plots, box_pairs, match_borders, max_overlap_join, nearest_pixel, nearest_within, pip_first,
     pip_join, select_gcp_images)
 from furrow.plans.greedy import serial_choice
 
@@ -188,3 +188,24 @@ def test_copies_on_cells_are_not_broadcast(spark):
     points = spark.createDataFrame([(1, 38.53, -121.76)], "id int, lat double, lon double")
     near = _near_pairs(points, points.toDF("r", "r_lat", "r_lon"), 0.25, "lat", "lon", "r_lat", "r_lon")
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 1
+
+
+def test_crowded_cells_are_dealt_into_slices(spark):
+    many = spark.range(1000).selectExpr("id", "CASE WHEN id < 900 THEN 7 ELSE id % 5 END AS cell")
+    cells = spark.createDataFrame([(7, "a"), (7, "b"), (1, "c"), (9, "d")], "cell long, name string")
+    got = _cell_join(many, cells, ["cell"], crowd=100)
+    assert got.columns == ["cell", "id", "name"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(cells, "cell").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan and "strategy=merge" in plan
+
+
+def test_polygons_on_cells_are_not_broadcast(spark):
+    polys = spark.createDataFrame([(0, "p", "a", box(0, 0, 2, 2))], POLYS)
+    points = spark.createDataFrame([(1, 1.0, 1.0)], "id int, lon double, lat double")
+    boxes = points.selectExpr("id", "lon AS x0", "lat AS y0", "lon + 1 AS x1", "lat + 1 AS y1")
+    for out in (pip_join(points, polys, base=1.0),
+                box_pairs(boxes, boxes.toDF("r", "a", "b", "c", "d"), ["x0", "y0", "x1", "y1"], ["a", "b", "c", "d"], base=1.0)):
+        # only the list of crowded cells may be
+        joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+        assert out.count() == 1 and len([j for j in joins if "SortMergeJoin" in j and "_slice" in j]) == 1
