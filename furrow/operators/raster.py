@@ -24,6 +24,9 @@ RASTER = "raster_id"
 # side of the blocks that numbers of a raster are handed out by
 BLOCK = 256
 
+# plots whose edges a task projects
+PLOTS = 5_000
+
 # Depth below the camera that still counts as canopy, the floor, and
 # the area of a pixel.
 CANOPY_BELOW, FLOOR, PIXEL_AREA = -60, -170, 0.00667
@@ -85,9 +88,12 @@ def plot_windows(
         F.struct(along(b["x0"], b["x1"], t).alias("lon"), b["y1"].alias("lat")),
         F.struct(b["x0"].alias("lon"), along(b["y0"], b["y1"], t).alias("lat")),
         F.struct(b["x1"].alias("lon"), along(b["y0"], b["y1"], t).alias("lat")))))
-    # one row per edge point keeps the projection in generated code
-    points = boxed.select(*on, "plot", "accession", F.explode(edge).alias("_e")).join(
+    met = boxed.select(*on, "plot", "accession", "_b").join(
         rasters.select(*on, RASTER, "epsg", "geotransform"), list(on))
+    # the work lies in the projection, so tasks are cut by plots, however small their files are
+    dealt = met.repartition(max(1, -(-met.count() // PLOTS)))
+    # one row per edge point keeps the projection in generated code
+    points = dealt.withColumn("_e", F.explode(edge)).drop("_b")
     metres = points.withColumn("_m", to_utm(F.col("_e.lon"), F.col("_e.lat"), F.col("epsg")))
     bounds = metres.groupBy(*on, "plot", "accession", RASTER, "geotransform").agg(
         F.min("_m.x").alias("x0"), F.max("_m.x").alias("x1"), F.min("_m.y").alias("y0"),

@@ -198,3 +198,14 @@ def test_a_missing_neighbour_gives_null(spark):
     src = table(spark, {1: np.arange(16).reshape(4, 4)}).where("NOT (row = 0 AND col = 0)")
     out = {(r["row"], r["col"]): r["v"] for r in R.resample(src, table(spark, {1: np.zeros((2, 2), int)}, "z"), ["v"]).collect()}
     assert out == {(0, 0): None, (0, 1): 5, (1, 0): 11, (1, 1): 13}
+
+
+def test_plot_windows_are_cut_by_plots(spark, monkeypatch):
+    ring = "array(struct(-121.76D AS x, 38.53D AS y), struct(-121.75D AS x, 38.53D AS y), struct(-121.75D AS x, 38.54D AS y), struct(-121.76D AS x, 38.53D AS y)) AS ring"
+    areas = spark.range(0, 6, 1, 1).selectExpr("'f' AS field", "string(id) AS plot", "'a' AS accession", ring)
+    rasters = spark.range(1).selectExpr("'f' AS field", "'r' AS raster_id", "32610 AS epsg", "array(6e5D, 1D, 0D, 43e5D, 0D, -1D) AS geotransform")
+    whole = sorted(map(tuple, R.plot_windows(areas, rasters, ["field"]).collect()))
+    monkeypatch.setattr(R, "PLOTS", 2)
+    cut = R.plot_windows(areas, rasters, ["field"])
+    assert sorted(map(tuple, cut.collect())) == whole and len(whole) == 6
+    assert "Repartition 3, true" in cut._jdf.queryExecution().optimizedPlan().toString()
