@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -107,9 +106,10 @@ def export_name(plot: Column, accession: Column, plot_index: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def _decompose(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
+# on Arrow text, so a batch of long texts never stands as Python objects
+@F.arrow_udf(StringType())
+def _decompose(text: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(text, "NFKD")
 
 
 def clean_path(path: Column) -> Column:

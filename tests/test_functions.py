@@ -2,6 +2,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from furrow.functions import boxes, clock, geo, pixels, text
 
@@ -149,3 +150,11 @@ def test_boxes_outside_usable_rows(spark):
     high, low, good = one(spark, box(100, 511, 5, 5), box(100, 1530, 5, 7), box(90, 512, 2591, 1024))
     assert high is None and low is None
     assert good["e1"] == 0.0 and good["e2"] == pytest.approx(1.0)
+
+
+def test_paths_are_decomposed_as_arrow_text(spark):
+    rows = spark.createDataFrame([(1, " Caf\u00e9/\ufb01eld \u00bd "), (2, None), (3, "a\u4e2db"), (4, "")], "k int, p string")
+    out = rows.select("k", text.clean_path(F.col("p")).alias("p"))
+    assert [r["p"] for r in out.orderBy("k").collect()] == ["Cafe/field 12", None, "ab", ""]
+    # texts as Python objects took more than twice the memory
+    assert text._decompose.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
