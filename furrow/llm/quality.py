@@ -108,7 +108,8 @@ def _telling(
     doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, grades: int, bits: int,
 ) -> np.ndarray:
     """Slots in enough documents, whose grades differ from the sample's by chi square."""
-    seen = np.stack([np.bincount(slot[grade[doc] == g], minlength=1 << bits)
+    own = grade.astype(np.min_scalar_type(grades))[doc]
+    seen = np.stack([np.bincount(slot[own == g], minlength=1 << bits)
                      for g in range(grades)]).astype(np.float64)
     total = seen.sum(axis=0)
     expected = np.bincount(grade, minlength=grades)[:, None] / len(grade) * total
@@ -128,8 +129,9 @@ def fit(
     """
     n = len(grade)
     known = _telling(doc, slot, grade, grades, bits)[slot]
-    doc, slot, value = doc[known], slot[known], value[known].astype(np.float64)
-    cuts = np.searchsorted(doc, np.arange(n + 1))
+    cuts = np.searchsorted(doc[known], np.arange(n + 1))
+    slot, value = slot[known], value[known]
+    del doc, known
     weights, seen = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
     share = np.cumsum(np.bincount(grade, minlength=grades))[:-1] + 0.5
     start = np.log(share / (n + 1 - share))
@@ -143,7 +145,7 @@ def fit(
             spans = [np.arange(cuts[i], cuts[i + 1]) for i in rows]
             at = np.concatenate(spans)
             own = np.repeat(np.arange(len(rows)), [len(s) for s in spans])
-            x, s = value[at], slot[at]
+            x, s = value[at].astype(np.float64), slot[at]
             score = np.bincount(own, weights=weights[s] * x, minlength=len(rows))
             level = np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))])
             bound = np.concatenate([[-60.0], level, [60.0]])
@@ -205,6 +207,9 @@ def graded_sample(
     slot, value = (np.concatenate([np.zeros(0, kind), *[
         np.frombuffer(raw.as_buffer(), kind) for raw in got[name]]])
         for name, kind in (("slots", np.int32), ("counts", np.float16)))
+    # the driver goes on to other work: what it gathered is given back
+    del got
+    pa.default_memory_pool().release_unused()
     return doc, slot, value, grade
 
 
