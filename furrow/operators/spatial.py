@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from furrow.functions.geo import (
     FLATTENING, SEMI_MAJOR, SEMI_MINOR, geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges,
     rings_bounds, rings_edges, world_to_pixel)
-from furrow.plans.greedy import serial_choice
+from furrow.plans.greedy import queue_choice
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first
 
@@ -339,19 +339,31 @@ def associate_plots(
 
     Plots choose in the order they were first seen (``seen``, then plot_index);
     each takes the first boundary by ``ordinal`` that contains its centre and
-    whose key is still free.  The choice is settled tile by tile
-    (``plans.greedy``), so neither long chains of overlapping boundaries nor a
-    key with very many plots cost further jobs or fill a task.
+    whose key is still free.  Boundaries of one shape are met once, and plots in
+    the same shapes share a list of their boundaries (``plans.greedy``), so
+    plots and boundaries on top of each other are not listed as pairs.
     """
+    number = lambda df, name: cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
     key = F.concat_ws("_", F.coalesce(F.col("plot").cast("string"), F.lit("None")),
                       F.coalesce(F.col("accession").cast("string"), F.lit("None")))
-    hits = pip_join(centers.select("plot_index", seen, "lon", "lat"), boundaries, base=base)
-    offers = hits.withColumn("boundary_key", key).groupBy("plot_index", "boundary_key", "lon", "lat").agg(
-        F.min(seen).alias(seen), F.min_by(F.struct("plot", "accession", ordinal), ordinal).alias("b")).select(
-        "plot_index", "boundary_key", "lon", "lat", seen, "b.*")
-    taken = serial_choice(offers, "plot_index", "boundary_key",
-                          [seen, "plot_index", ordinal, "boundary_key"], ["lon", "lat"])
-    return taken.select("plot_index", "boundary_key", "plot", "accession")
+    named = cut_lineage(boundaries.select("plot", "accession", ordinal, "ring").withColumn("boundary_key", key))
+    shapes = number(named.select("ring").distinct(), "_shape")
+    keys = number(named.select("boundary_key").distinct(), "what")
+    spots = centers.groupBy("plot_index", "lon", "lat").agg(F.min(seen).alias(seen))
+    inside = pip_join(spots, shapes, base=base).groupBy("plot_index", seen).agg(
+        F.sort_array(F.collect_set("_shape")).alias("_shapes"))
+    inside = cut_lineage(inside)
+    plots = number(inside.select("plot_index").distinct(), "who")
+    zones = number(inside.select("_shapes").distinct(), "zone")
+    turns = cut_lineage(inside.join(plots, "plot_index").join(zones, "_shapes").drop("_shapes"))
+    first = lambda df, by: df.groupBy(by, "boundary_key", "what").agg(F.min_by(
+        F.struct("plot", "accession", ordinal), ordinal).alias("b")).select(by, "boundary_key", "what", "b.*")
+    of_shape = first(named.join(shapes, "ring").join(keys, "boundary_key"), "_shape")
+    lists = cut_lineage(first(zones.select("zone", F.explode("_shapes").alias("_shape")).join(
+        of_shape, "_shape"), "zone"))
+    taken = queue_choice(turns, lists, [seen, "plot_index"], [ordinal, "boundary_key"])
+    return taken.join(plots, "who").join(lists, ["zone", "what"]).select(
+        "plot_index", "boundary_key", "plot", "accession")
 
 
 def nearest_pixel(

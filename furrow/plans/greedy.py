@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.plans.graph import components
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import carry, ordinal
 
 # edges a tile may hold
 TILE = 200_000
 
+# turns a task serves in a round, and the length of a list for each turn on it
+TURNS = 50_000
+AHEAD = 16
+
 SOLVED = "node long, kept boolean, other long, same boolean"
 _SOLVED = pa.schema([("node", pa.int64()), ("kept", pa.bool_()), ("other", pa.int64()),
                      ("same", pa.bool_())])
@@ -157,3 +164,89 @@ def serial_choice(
     lost = resolved(told, near, tile).where("NOT kept AND node % 3 = 2").select(
         F.expr("node div 3").alias("_n"))
     return placed.join(lost, "_n", "left_anti").drop("_n")
+
+
+SERVED = "_group long, _at long, who long, zone long, what long"
+_SERVED = pa.schema([(c, pa.int64()) for c in ("_group", "_at", "who", "zone", "what")])
+
+
+def serve(turns: pa.Table, lists: pa.Table) -> pa.Table:
+    """The turns of one part in order, each with the first of its zone's list that is free, or null.
+
+    A list only gets shorter from its head, so a zone needs no more than a place
+    in it.  Stops at a turn that finds the end of a list marked as ``cut``.
+    """
+    lists = lists.sort_by([("zone", "ascending"), ("_k", "ascending")])
+    zones, starts = np.unique(lists["zone"].to_numpy(), return_index=True)
+    what, cut = lists["what"].to_numpy(), lists["cut"].to_numpy(zero_copy_only=False)
+    ends = np.append(starts[1:], len(what))
+    place = {z: [a, b] for z, a, b in zip(zones.tolist(), starts.tolist(), ends.tolist())}
+    turns = turns.sort_by("_at")
+    taken, served, found = set(), set(), []
+    for who, zone, out in zip(*[turns[c].to_pylist() for c in ("who", "zone", "out")]):
+        spot = place.get(zone)
+        if out or who in served or spot is None:
+            found.append(None)
+            continue
+        at, end = spot
+        while at < end and (first := int(what[at])) in taken:
+            at += 1
+        spot[0] = at
+        if at < end:
+            taken.add(first)
+            served.add(who)
+            found.append(first)
+        elif cut[end - 1]:
+            break
+        else:
+            found.append(None)
+    done = turns.slice(0, len(found))
+    return pa.table([*[done[c] for c in _SERVED.names[:-1]], pa.array(found, pa.int64())], schema=_SERVED)
+
+
+def queue_choice(
+    turns: DataFrame, lists: DataFrame, turn: Sequence[str], order: Sequence[str],
+    batch: int = TURNS, ahead: int = AHEAD,
+) -> DataFrame:
+    """(who, zone, what) taken one after the other, each side once.
+
+    ``turns`` (who, zone) come in the order ``turn``; each takes the first
+    ``what`` of its zone's list that is free, in ``order``.  Numbers are longs,
+    and a ``what`` stands once in a list.  Turns of one zone share its list, so
+    the rows are turns and lists, not every offer to every turn.
+
+    Zones that share a ``what`` or a ``who`` are served together, others side by
+    side.  A round serves at most ``batch`` turns of a part, with as much of the
+    lists as these are likely to use; it ends early at a turn that needs more,
+    so neither long lists nor a large connected set have to fit into a task.
+    """
+    links = lambda df, by: df.join(df.groupBy(by).agg(F.min("zone").alias("b")), by).where("zone <> b").select(
+        F.col("zone").alias("a"), "b").distinct()
+    lists = cut_lineage(lists.select("zone", "what", *order))
+    rooted = components(links(lists, "what").union(links(turns, "who")))
+    size = F.greatest(F.lit(1), F.ceil(turns.select(F.count("*")).scalar() / batch))
+    part = F.pmod(F.xxhash64(F.coalesce("root", "zone")), size).cast("long")
+    queued = turns.join(rooted.withColumnRenamed("node", "zone"), "zone", "left").withColumn("_group", part)
+    queued = cut_lineage(ordinal(queued.drop("root"), ["_group", *turn], ["_group"], "_at").select(
+        "_group", "_at", "who", "zone", F.lit(False).alias("out")))
+    taken = []
+    while True:
+        first = queued.groupBy("_group").agg(F.min("_at").alias("_first"))
+        now = cut_lineage(queued.join(first, "_group").where(F.col("_at") < F.col("_first") + batch).drop("_first"))
+        asked = now.groupBy("_group", "zone").agg((F.count("*") * ahead + 4 * ahead).alias("_most"))
+        ranked = ordinal(lists.join(asked, "zone"), ["zone", *order], ["zone"], "_k")
+        heads = ranked.where(F.col("_k") <= F.col("_most")).withColumn("cut", F.col("_k") == F.col("_most"))
+        # the row at the limit only tells that there are more
+        heads = heads.select("_group", "zone", "_k", "what", "cut")
+        served = cut_lineage(now.groupBy("_group").cogroup(heads.groupBy("_group")).applyInArrow(serve, SERVED))
+        got = served.where("what IS NOT NULL")
+        taken.append(got.select("who", "zone", "what"))
+        settled = served.groupBy("_group").agg(F.max("_at").alias("_last"))
+        left = queued.join(settled, "_group").where(F.col("_at") > F.col("_last")).drop("_last")
+        if left.isEmpty():
+            break
+        queued = cut_lineage(left.join(got.select("who", F.lit(True).alias("_new")), "who", "left").select(
+            "_group", "_at", "who", "zone", F.coalesce("_new", "out").alias("out")))
+        lists = cut_lineage(lists.join(got.select("what"), "what", "left_anti").join(
+            queued.select("zone").distinct(), "zone", "left_semi"))
+    return reduce(DataFrame.union, taken)

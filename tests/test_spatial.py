@@ -8,7 +8,8 @@ from furrow.operators.intervals import assign_intervals, interval_join
 from furrow.operators.spatial import (
     _cell_join, _near_pairs, associate_plots, box_pairs, match_borders, max_overlap_join, nearest_pixel, nearest_within, pip_first,
     pip_join, select_gcp_images)
-from furrow.plans.greedy import serial_choice
+from furrow.plans.greedy import queue_choice, serial_choice
+from furrow.plans.session import cut_lineage
 
 POLYS = "ordinal int, plot string, accession string, ring array<struct<x:double,y:double>>"
 
@@ -209,3 +210,38 @@ def test_polygons_on_cells_are_not_broadcast(spark):
         # only the list of crowded cells may be
         joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
         assert out.count() == 1 and len([j for j in joins if "SortMergeJoin" in j and "_slice" in j]) == 1
+
+
+@pytest.mark.parametrize("batch, ahead", [(60, 1), (1000, 16)])
+def test_queues_equal_sequential_choice(spark, batch, ahead):
+    rng = random.Random(11)
+    # zones 0 to 5 share what they offer, 6 to 8 don't; some come twice; zone 9 has no list
+    turns = [(rng.randrange(150), rng.randrange(10), n) for n in range(200)]
+    lists = [(z, w, o) for z in range(6) for o, w in enumerate(rng.sample(range(90), 80))]
+    lists += [(z, 100 * z + o, o) for z in range(6, 9) for o in range(9)]
+    got = queue_choice(spark.createDataFrame(turns, "who long, zone long, n int"),
+                       spark.createDataFrame(lists, "zone long, what long, o int"), ["n"], ["o"], batch, ahead)
+    want, served, free = set(), set(), set()
+    for who, zone, _ in turns:
+        for _, what in sorted((o, w) for z, w, o in lists if z == zone):
+            if who not in served and what not in free:
+                served.add(who)
+                free.add(what)
+                want.add((who, zone, what))
+    assert {tuple(r) for r in got.select("who", "zone", "what").collect()} == want
+
+
+def test_plots_and_boundaries_on_top_of_each_other_are_not_listed(spark):
+    # 1,500 centres in 4,000 equal boxes are six million pairs, over 700 MB; a list of the boxes stays small
+    n, m = 1500, 4000
+    centers = spark.range(n).selectExpr("cast(id as int) plot_index", "double(id) seen", "id / 1e4 lon", "0.5 lat")
+    polys = spark.range(m).selectExpr(
+        "cast(id as int) ordinal", "concat('p', id) plot", "string(null) accession",
+        "array(named_struct('x', -1d, 'y', 0d), named_struct('x', 1d, 'y', 0d), named_struct('x', 1d, 'y', 1d), "
+        "named_struct('x', -1d, 'y', 1d), named_struct('x', -1d, 'y', 0d)) ring")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("furrow.operators.spatial.cut_lineage", lambda df: (out := cut_lineage(df), seen.append(out.count()))[0])
+        got = {r["plot_index"]: r["boundary_key"] for r in associate_plots(centers, polys, base=1.0).collect()}
+    assert got == {i: f"p{i}_None" for i in range(n)}
+    assert max(seen) <= m
