@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from furrow.plans.skew import ordinal
 
 # boxes of a cell, best first, that are settled in one round
 HEAD = 256
+# boxes of a group that a task settles alone, and of the groups it looks at together
+SMALL = 1024
+TOGETHER = 8192
 CORNERS = ["_x1", "_y1", "_x2", "_y2"]
 CELL = ["_by", "_lx", "_ly", "_cx", "_cy"]
 
@@ -54,8 +58,8 @@ def place(boxes: DataFrame, threshold: float) -> DataFrame:
     """Boxes on the grid cells in which any box that overlaps them enough stands, too.
 
     Boxes that suppress each other have similar extents and nearby centres.  Each
-    box goes on the level of its own extent and on the next one (``_ux``, ``_uy``),
-    and there on the one or two cells its middle part touches, in x and y.
+    box goes on the level of its own extent and, if it is close to it, on the next
+    one (``_ux``, ``_uy``), and there on the one or two cells its middle part touches, in x and y.
     """
     base = _base(threshold)
 
@@ -64,14 +68,16 @@ def place(boxes: DataFrame, threshold: float) -> DataFrame:
             v = {c: batch.column(i + 2).to_numpy() for i, c in enumerate(CORNERS)}
             spots = []
             for low, high in (("_x1", "_x2"), ("_y1", "_y2")):
-                level = np.floor(np.log(v[high] - v[low]) / math.log(base))
+                extent = v[high] - v[low]
+                level = np.floor(np.log(extent) / math.log(base))
                 first, last = _middle(v[low], v[high], threshold)
                 spots.append([])
                 for up in (0, 1):
                     cell = np.power(base, level + up + 1)
                     a, b = np.floor(first / cell), np.floor(last / cell)
-                    spots[-1].append((up, level + up, a, np.ones(len(a), bool)))
-                    spots[-1].append((up, level + up, b, a != b))
+                    here = np.ones(len(a), bool)
+                    spots[-1].append((up, level + up, a, here))
+                    spots[-1].append((up, level + up, b, here & (a != b)))
             for ux, lx, cx, on_x in spots[0]:
                 for uy, ly, cy, on_y in spots[1]:
                     own = np.flatnonzero(on_x & on_y)
@@ -159,7 +165,9 @@ def conflicts(boxes: DataFrame, threshold: float, head: int = HEAD) -> DataFrame
         for rows in _heads(batches, head):
             yield _pairs(*rows, threshold, head)
 
-    return place(boxes, threshold).repartition(*CELL).sortWithinPartitions(*CELL, "_r").mapInArrow(run, FOUND)
+    # the hash in front: the sort compares one number for most pairs of rows instead of texts with a common beginning
+    placed = place(boxes, threshold).withColumn("_cell", F.xxhash64(*CELL))
+    return placed.repartition("_cell").sortWithinPartitions("_cell", *CELL, "_r").drop("_cell").mapInArrow(run, FOUND)
 
 
 def _suppressed(boxes: DataFrame, winners: DataFrame, threshold: float) -> DataFrame:
@@ -171,9 +179,80 @@ def _suppressed(boxes: DataFrame, winners: DataFrame, threshold: float) -> DataF
         (w > 0) & (h > 0) & (w * h / union >= threshold)).select("_r").distinct()
 
 
+def _stay(group: np.ndarray, v: dict[str, np.ndarray], threshold: float) -> np.ndarray:
+    """Which boxes stay, of whole groups with the better box first."""
+    n = len(group)
+    stay = np.ones(n, bool)
+    solid = np.logical_and.reduce([np.isfinite(v[c]) for c in CORNERS])
+    with np.errstate(invalid="ignore"):
+        solid &= (v["_x2"] > v["_x1"]) & (v["_y2"] > v["_y1"])
+    own = np.flatnonzero(solid)
+    # along x, a box meets those that begin before it ends
+    own = own[np.lexsort((v["_x1"][own], group[own]))]
+    group, v = group[own], {c: v[c][own] for c in CORNERS}
+    first, second = [], []
+    live = np.arange(len(own))
+    for k in range(1, len(own)):
+        live = live[:np.searchsorted(live, len(own) - k)]
+        live = live[(group[live] == group[live + k]) & (v["_x1"][live + k] < v["_x2"][live])]
+        if not len(live):
+            break
+        i, j = live, live + k
+        near = np.minimum(v["_y2"][i], v["_y2"][j]) > np.maximum(v["_y1"][i], v["_y1"][j])
+        i, j = i[near], j[near]
+        w, h, union = _overlap({c: v[c][i] for c in CORNERS}, {c: v[c][j] for c in CORNERS},
+                               np.minimum, np.maximum)
+        meet = (w > 0) & (h > 0)
+        good = meet & (w * h / np.where(meet, union, 1) >= threshold)
+        first.append(own[i[good]])
+        second.append(own[j[good]])
+    if not first:
+        return stay
+    a, b = np.concatenate(first), np.concatenate(second)
+    better, worse = np.minimum(a, b), np.maximum(a, b)
+    # boxes that no open one is better than stay, and what they overlap goes
+    while len(better):
+        waits = np.zeros(n, bool)
+        waits[worse] = True
+        wins = ~waits[better]
+        stay[worse[wins]] = False
+        going = ~wins & stay[better] & stay[worse]
+        better, worse = better[going], worse[going]
+    return stay
+
+
+def _small(rows: DataFrame, schema, order: Sequence[str], threshold: float) -> DataFrame:
+    """What stays of groups of a bounded size: each is settled in one piece."""
+    names = schema.names
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TOGETHER):
+                table = pa.Table.from_batches([*held, batch.slice(lo, TOGETHER)])
+                by = table["_by"].combine_chunks()
+                new = np.flatnonzero(np.append(True, pc.not_equal(by[1:], by[:-1]).to_numpy(zero_copy_only=False)))
+                yield from settled(table.slice(0, new[-1]), new[:-1])
+                held = table.slice(new[-1]).to_batches()
+        if held:
+            yield from settled(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    def settled(table: pa.Table, starts: np.ndarray):
+        if table.num_rows:
+            group = np.zeros(table.num_rows, np.int64)
+            group[starts] = 1
+            corners = {c: table[c].to_numpy() for c in CORNERS}
+            yield from table.filter(pa.array(_stay(np.cumsum(group), corners, threshold))).select(names).to_batches()
+
+    # equal in score and ids: fixed by the row itself; maps can't be hashed
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in schema.fields if "map<" not in f.dataType.simpleString()])
+    return rows.withColumns({"_group": F.xxhash64("_by"), "_row": row}).repartition("_group").sortWithinPartitions(
+        "_group", "_by", *order, "_row").drop("_group", "_row", "_score").mapInArrow(run, schema)
+
+
 def nms(
     df: DataFrame, by: Sequence[str], box: Sequence[Column], score: str, ids: Sequence[str],
-    threshold: float = 0.5, offset: float = 0.0, head: int = HEAD, tile: int = TILE,
+    threshold: float = 0.5, offset: float = 0.0, head: int = HEAD, tile: int = TILE, small: int = SMALL,
 ) -> DataFrame:
     """Greedy suppression per group: best score first, overlap >= threshold goes.
 
@@ -183,7 +262,8 @@ def nms(
     group like any other.  A box with a corner that is null, NaN or infinite, or
     without an extent, suppresses nothing and stays.
 
-    All sizes take one way.  A round looks at the boxes of a group in the order
+    Groups of at most ``small`` boxes are settled in one piece, many to a task.
+    Larger ones are cut along the ground: a round looks at the boxes of a group in the order
     of rank, up to the one at which some cell would hold more than ``head`` of
     them, so a crowded place lists no more than that many boxes against each
     other; what these conflict in is settled tile by tile (``plans.greedy``), and
@@ -198,6 +278,19 @@ def nms(
     rows = df.select("*", *[c.cast("double").alias(n) for c, n in zip(corners, CORNERS)],
                      (-F.col(score)).alias("_score"),
                      F.to_json(F.struct(F.lit(0).alias("_"), *by)).alias("_by"))
+    sizes = cut_lineage(rows.groupBy("_by").agg(F.count("*").alias("_n")))
+    crowds = sizes.where(F.col("_n") > small).select("_by")
+    if crowds.isEmpty():
+        return _small(rows, df.schema, ["_score", *ids], threshold)
+    if sizes.where(F.col("_n") <= small).isEmpty():
+        return _large(rows, ids, threshold, head, tile).select(*df.columns)
+    apart = _small(rows.join(crowds, "_by", "left_anti").select(*rows.columns), df.schema, ["_score", *ids], threshold)
+    rest = rows.join(crowds, "_by", "left_semi").select(*rows.columns)
+    return apart.union(_large(rest, ids, threshold, head, tile).select(*df.columns))
+
+
+def _large(rows: DataFrame, ids: Sequence[str], threshold: float, head: int, tile: int) -> DataFrame:
+    """What stays of groups of any size."""
     ranked = ordinal(rows, ["_score", *ids, "_by"], name="_r")
     limit = sys.float_info.max
     solid = reduce(lambda a, b: a & b, [F.col(c).between(-limit, limit) for c in CORNERS]) & (
@@ -222,4 +315,4 @@ def nms(
         out = cut_lineage(_suppressed(later, won, threshold))
         lost.append(out)
         waiting = cut_lineage(later.join(out, "_r", "left_anti"))
-    return ranked.join(reduce(DataFrame.union, lost), "_r", "left_anti").select(*df.columns)
+    return ranked.join(reduce(DataFrame.union, lost), "_r", "left_anti")

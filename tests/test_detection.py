@@ -178,3 +178,28 @@ def test_statements_of_tiles_are_the_greedy_choice():
             assert (value is None) or value == kept[node]
             if value is None:
                 assert not kept[node] or kept[other] != same
+
+
+@pytest.mark.parametrize("small", [0, 45, 1024])
+@pytest.mark.parametrize("threshold,head,tile", [(0.5, 256, 1000), (0.3, 6, 20), (0.05, 30, 300), (0.8, 4, 50)])
+def test_groups_of_all_sizes_are_greedy(spark, threshold, head, tile, small):
+    rng = random.Random(5)
+    # extents on both sides of the levels' borders
+    wide = [(i, rng.randrange(20) / 20, x := rng.uniform(0, 80), y := rng.uniform(0, 80), x + rng.choice([0.9, 1.1, 15, 16, 17, 30, 250, 260]),
+             y + rng.choice([0.95, 1, 14, 16, 18, 255, 256, 257])) for i in range(200)]
+    groups = {"a": make(60, 8), "b": make(40, 9, 12), "c": wide, "d": make(1, 3)}
+    data = spark.createDataFrame([(*map(float, b[1:]), b[0], g) for g, boxes in groups.items() for b in boxes],
+                                 "score double, x1 double, y1 double, x2 double, y2 double, id int, g string")
+    out = D.nms(data, ["g"], corners(), "score", ["id"], threshold, head=head, tile=tile, small=small).collect()
+    got = {g: {r["id"] for r in out if r["g"] == g} for g in groups}
+    assert got == {g: greedy(b, threshold) for g, b in groups.items()} and len(out) == sum(map(len, got.values()))
+
+
+def test_small_groups_are_settled_without_cells(spark, monkeypatch):
+    from furrow.operators import suppression
+
+    monkeypatch.setattr(suppression, "place", None)
+    boxes = make(500, 12)
+    data = frame(spark, boxes).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(40))))
+    out = D.nms(data, ["g"], corners(), "score", ["id"], 0.4).groupBy("g").agg(F.collect_set("id").alias("ids")).collect()
+    assert len(out) == 41 and all(set(r["ids"]) == greedy(boxes, 0.4) for r in out)
