@@ -50,8 +50,11 @@ def _middle(low: np.ndarray, high: np.ndarray, threshold: float) -> tuple[np.nda
 
 
 def _base(threshold: float) -> float:
-    """Ratio of cell widths, no smaller than the ratio of extents that can overlap enough."""
-    return max(2.0, 1 / threshold)
+    """Ratio of cell widths, no smaller than the ratio of extents that can overlap enough.
+
+    Wide levels put few boxes on two of them, and wide cells few boxes on two cells.
+    """
+    return max(16.0, 1 / threshold)
 
 
 def place(boxes: DataFrame, threshold: float) -> DataFrame:
@@ -70,12 +73,13 @@ def place(boxes: DataFrame, threshold: float) -> DataFrame:
             for low, high in (("_x1", "_x2"), ("_y1", "_y2")):
                 extent = v[high] - v[low]
                 level = np.floor(np.log(extent) / math.log(base))
+                close = extent * ((1 + 1e-6) / threshold) >= np.power(base, level + 1)
                 first, last = _middle(v[low], v[high], threshold)
                 spots.append([])
                 for up in (0, 1):
                     cell = np.power(base, level + up + 1)
                     a, b = np.floor(first / cell), np.floor(last / cell)
-                    here = np.ones(len(a), bool)
+                    here = close if up else np.ones(len(a), bool)
                     spots[-1].append((up, level + up, a, here))
                     spots[-1].append((up, level + up, b, here & (a != b)))
             for ux, lx, cx, on_x in spots[0]:

@@ -203,3 +203,11 @@ def test_small_groups_are_settled_without_cells(spark, monkeypatch):
     data = frame(spark, boxes).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(40))))
     out = D.nms(data, ["g"], corners(), "score", ["id"], 0.4).groupBy("g").agg(F.collect_set("id").alias("ids")).collect()
     assert len(out) == 41 and all(set(r["ids"]) == greedy(boxes, 0.4) for r in out)
+
+
+def test_large_groups_fill_few_cells(spark):
+    from furrow.operators import suppression
+
+    rows = spark.range(2000).selectExpr("'g' AS _by", "id AS _r", "id * 7D AS _x1", "0D AS _y1", "id * 7D + 21 + id % 50 AS _x2", "21D + id % 50 AS _y2")
+    # six to seven rows for each box when levels were a factor of two apart
+    assert suppression.place(rows, 0.5).count() < 2 * 2000
