@@ -281,8 +281,9 @@ def _cluster_links(clustered: DataFrame, percent: int, block: int) -> DataFrame:
         "blocks", F.ceil(F.col("members") / block).cast("long")).withColumn(
         "block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     columns = ["class", "n_shingles", "tokens"]
-    inside = dealt.select("cluster", "block", *columns).groupBy("cluster", "block").applyInArrow(
-        join, _LINKS)
+    # the join on the cluster leaves a large one in one task, so its blocks are dealt anew
+    inside = dealt.select("cluster", "block", *columns).repartition("cluster", "block").groupBy(
+        "cluster", "block").applyInArrow(join, _LINKS)
     large = dealt.where("blocks > 1")
     if large.isEmpty():
         return inside

@@ -176,7 +176,7 @@ def unpack_sorted(raw: bytes, dtype) -> np.ndarray:
     return np.cumsum(from_planes(raw, dtype), dtype=dtype)
 
 
-def slices(batches, column: str = "text", most: int = 4 << 20):
+def slices(batches, column: str = "text", most: int = 1 << 20):
     """Tables of at most ``most`` bytes of text each, or of one row; nothing is left out."""
     for batch in batches:
         _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))

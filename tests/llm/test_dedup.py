@@ -213,3 +213,24 @@ def test_long_words_that_agree_under_polynomials_stay_apart(documents, length):
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(rows)).collect()}
     # the first two share 45 of 47 shingles of five words
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
+
+
+def test_blocks_of_a_cluster_are_dealt_by_block(spark):
+    from furrow.llm import ngram_join
+
+    clustered = spark.range(9).selectExpr(
+        "cast(string(id) as binary) AS class", "1L AS n_shingles", "cast('12345678' as binary) AS tokens", "cast(string(id div 100) as binary) AS cluster")
+    links = ngram_join._cluster_links(clustered, 75, 100)
+    assert links.select("a").union(links.select("b")).distinct().count() == 9
+    assert "RepartitionByExpression [cluster" in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_go_in_slices_of_a_megabyte():
+    import pyarrow as pa
+
+    from furrow.llm import text
+
+    batch = pa.record_batch({"text": pa.array(["x" * 300_000] * 10 + ["y" * 3_000_000])})
+    tables = list(text.slices([batch]))
+    assert pa.concat_tables(tables).combine_chunks().to_batches()[0].equals(batch)
+    assert [t.num_rows for t in tables] == [3, 3, 3, 1, 1]
