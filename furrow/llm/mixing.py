@@ -107,7 +107,8 @@ def leaf_budgets(
 
     ``budget`` is an aggregate over the leaves, for instance a share of all tokens.
     """
-    leaves = leaves.withColumn("capacity", F.col("tokens") * epochs)
+    # one row a leaf; a plan over all levels at once is planned again after each of its shuffles
+    leaves = cut_lineage(leaves.withColumn("capacity", F.col("tokens") * epochs))
     whole = leaves.agg(budget.cast("long")).first()[0] or 0
     given = None
     for depth, level in enumerate(LEVELS):
@@ -116,8 +117,8 @@ def leaf_budgets(
         # the root holds the whole budget; below, a node's budget is what it was dealt
         nodes = nodes.withColumn("budget", F.lit(whole)) if given is None else nodes.join(given, keys)
         nodes = nodes.withColumn("weight", _weight(level, weights.get(level, {}), default))
-        given = deal_among_siblings(nodes, keys, level, "_given").select(
-            *keys, level, F.col("_given").alias("budget"))
+        given = cut_lineage(deal_among_siblings(nodes, keys, level, "_given").select(
+            *keys, level, F.col("_given").alias("budget")))
     return leaves.join(given, list(LEVELS)).drop("capacity")
 
 

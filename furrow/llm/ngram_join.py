@@ -276,42 +276,45 @@ def _cluster_links(clustered: DataFrame, percent: int, block: int) -> DataFrame:
     def join(table: pa.Table) -> pa.Table:
         return _tree_links(table, percent)
 
-    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("members"))
-    dealt = clustered.join(sizes, "cluster").withColumn(
-        "blocks", F.ceil(F.col("members") / block).cast("long")).withColumn(
-        "block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    members = clustered.select("class", "cluster")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
+    # only names are joined on the cluster, which leaves a large one in one task; their sets follow by class
+    placed = cut_lineage(members.join(sizes, "cluster").select(
+        "class", "cluster", F.ceil(F.col("members") / block).cast("long").alias("blocks")).withColumn(
+        "block", F.pmod(F.xxhash64("class"), F.col("blocks"))))
     columns = ["class", "n_shingles", "tokens"]
-    # the join on the cluster leaves a large one in one task, so its blocks are dealt anew
-    inside = dealt.select("cluster", "block", *columns).repartition("cluster", "block").groupBy(
+    sets = clustered.select(*columns)
+    inside = sets.join(placed, "class").repartition("cluster", "block").groupBy(
         "cluster", "block").applyInArrow(join, _LINKS)
-    large = dealt.where("blocks > 1")
-    if large.isEmpty():
+    several = placed.where("blocks > 1")
+    if several.isEmpty():
         return inside
-    inside, large = cut_lineage(inside), cut_lineage(large)
+    inside, large = cut_lineage(inside), cut_lineage(sets.join(several, "class"))
 
-    def grouped(links: DataFrame) -> DataFrame:
-        named = components(links).select(F.col("node").alias("class"), F.col("root").alias("linked"))
-        return large.join(named, "class", "left").withColumn(
+    def grouped(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links as stars, which the next call goes on from, and the large clusters by star."""
+        stars = components(links).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        named = stars.select(F.col("a").alias("class"), F.col("b").alias("linked"))
+        return stars, large.join(named, "class", "left").withColumn(
             "linked", F.coalesce("linked", "class"))
 
     # one representative of each linked group, again in blocks
-    first = grouped(inside)
+    stars, first = grouped(inside)
     heads = first.where(F.col("class") == F.col("linked"))
     bound = heads.groupBy("cluster").agg(
         F.ceil(F.count("*") / block).cast("long").alias("parts"))
     across = cut_lineage(heads.join(bound, "cluster").withColumn(
         "part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts"))).select(
         "cluster", "part", *columns).groupBy("cluster", "part").applyInArrow(join, _LINKS))
-    links = inside.union(across)
     # what is still apart: every pair of blocks of a cluster that holds several groups
-    second = grouped(links)
-    several = second.groupBy("cluster").agg(
+    stars, second = grouped(stars.union(across))
+    apart = second.groupBy("cluster").agg(
         F.min("linked").alias("lo"), F.max("linked").alias("hi")).where("lo <> hi").select("cluster")
-    rest = second.join(several, "cluster").withColumn("other", F.explode(
+    rest = second.join(apart, "cluster").withColumn("other", F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
         "linked", *columns).where("lo <> hi")
-    return links.union(rest.groupBy("cluster", "lo", "hi").applyInArrow(join, _LINKS))
+    return stars.union(rest.groupBy("cluster", "lo", "hi").applyInArrow(join, _LINKS))
 
 
 def near_duplicates(
@@ -345,7 +348,7 @@ def near_duplicates(
     edges = entries.join(least, "token").select(F.col("class").alias("a"), "b").where("a <> b")
     clusters = components(edges)
     named = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster"))
-    named = named.union(named.select(F.col("cluster").alias("class"), "cluster").distinct())
+    named = cut_lineage(named.union(named.select(F.col("cluster").alias("class"), "cluster").distinct()))
     clustered = classes.drop("prefix").join(named, "class")
     linked = components(_cluster_links(clustered, percent, block)).select(
         F.col("node").alias("class"), F.col("root"))

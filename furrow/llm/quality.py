@@ -207,9 +207,8 @@ def graded_sample(
     slot, value = (np.concatenate([np.zeros(0, kind), *[
         np.frombuffer(raw.as_buffer(), kind) for raw in got[name]]])
         for name, kind in (("slots", np.int32), ("counts", np.float16)))
-    # the driver goes on to other work: what it gathered is given back
     del got
-    pa.default_memory_pool().release_unused()
+    text.give_back()
     return doc, slot, value, grade
 
 
@@ -221,7 +220,11 @@ def train(
     doc, slot, value, grade = graded_sample(docs, graded, sample, bits, part)
     if len(np.unique(grade)) < 2:
         return OrdinalModel(np.zeros(1 << bits), np.full(grades - 1, -40.0), bits)
-    return fit(doc, slot, value, grade, grades, bits)
+    model = fit(doc, slot, value, grade, grades, bits)
+    # the driver goes on to other work: what it gathered is given back
+    del doc, slot, value, grade
+    text.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:

@@ -8,6 +8,8 @@ by a bijective mixer.  They depend on the words alone, never on the batch.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system; the C library (glibc) and Arrow's pool keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_table(seed: int) -> np.ndarray:
     """A 64-bit value for each byte."""
     return mix(np.arange(1, 257, dtype=U64) + U64(seed * _MULTIPLIER % (1 << 64)))

@@ -14,11 +14,11 @@ def _downward(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Ties every larger neighbour of a node to the smallest one around it."""
-    around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return around.where("b > a").join(least, "a").select(F.col("b").alias("a"),
-                                                         F.col("least").alias("b"))
+    """Ties every larger neighbour of a node to the smallest one around it; edges run downward."""
+    upward = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    least = edges.unionByName(upward).groupBy("a").agg(
+        F.least(F.min("b"), F.col("a")).alias("least"))
+    return upward.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _only_stars(edges: DataFrame) -> bool:
     """Every node hangs under one node which hangs under none."""
-    twice = edges.groupBy("a").count().where("count > 1").select("a")
-    chained = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
-    return twice.union(chained).isEmpty()
+    hangs, holds = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = edges.select(F.col("a").alias("node"), hangs.alias("hangs"), holds.alias("holds")).union(
+        edges.select(F.col("b").alias("node"), holds.alias("hangs"), hangs.alias("holds")))
+    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where(
+        "hangs + holds > 1 AND hangs > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,5 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = cut_lineage(_downward(edges.where("a IS NOT NULL AND b IS NOT NULL")))
     while not _only_stars(edges):
-        edges = cut_lineage(_downward(_small_star(_downward(_large_star(edges)))))
+        # the large star makes one row of each edge, already downward; repeats go at the end of the round
+        edges = cut_lineage(_downward(_small_star(_large_star(edges))))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -168,6 +168,41 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {**{i: 0 for i in range(1, 51)}, **{100 + i: 100 for i in range(1, 30)}, 201: 200}
 
 
+@pytest.mark.parametrize("pairs, most", [([(1, 2)], 8), ([(1, 2), (2, 3)], 32)])
+def test_components_run_few_stages(spark, pairs, most):
+    sc, group = spark.sparkContext, f"components-of-{len(pairs)}"
+    edges = spark.createDataFrame(pairs, "a long, b long").localCheckpoint()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sc.setJobGroup(group, group)
+    try:
+        got = components(edges).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in got) == [(b, 1) for _, b in pairs]
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    assert 0 < len({s for j in jobs for s in j.stageIds}) <= most
+
+
+def test_freed_memory_goes_back():
+    import gc
+    from pathlib import Path
+
+    from furrow.llm import text
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    many = [np.ones(1 << 13) for _ in range(2000)]  # 64 KB each, too small for a mapping of their own
+    last = np.ones(1 << 13)
+    before = resident()
+    del many
+    gc.collect()
+    text.give_back()
+    assert before - resident() > 100e6 and len(last)
+
+
 def test_empty_tables(documents):
     empty = documents([(1, "a")]).where("false")
     for run in (remove_repeated_windows, remove_repeated_bytes, near_duplicates):
