@@ -73,7 +73,8 @@ class _Sets:
             values = np.concatenate([values, text.mix(np.array(whole, U64)
                                                       + counts[short].astype(U64))])
             doc = np.concatenate([doc, short])
-        order = np.lexsort((doc, values))
+        # equal values keep the order they come in, so those of one document lie together
+        order = text.ascending(values)
         values, doc = values[order], doc[order]
         new = np.ones(len(values), bool)
         new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
@@ -94,11 +95,16 @@ def _frequency_class(table: pa.Table) -> pa.Table:
     """A byte for each shingle's document frequency: 1 if it stands in one document only."""
     keys = [text.unpack_sorted(raw, np.uint32) for raw in table["keys"].to_pylist()]
     counts = np.concatenate([text.from_planes(raw, np.uint16) for raw in table["extra"].to_pylist()])
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    frequency = np.bincount(inverse, weights=counts)
+    asked = np.concatenate(keys)
+    order = text.ascending(asked.astype(U64) << U64(32))
+    new = np.ones(len(asked), bool)
+    new[1:] = asked[order[1:]] != asked[order[:-1]]
+    first = np.flatnonzero(new)
+    frequency = np.add.reduceat(counts[order], first, dtype=np.int64)
     level = np.where(frequency < 128, frequency, 100 + 4 * np.log2(np.maximum(frequency, 1)))
-    return exchange.answers(table, [len(k) for k in keys],
-                            np.minimum(level, 255).astype(np.uint8)[inverse])
+    found = np.empty(len(asked), np.uint8)
+    found[order] = np.repeat(np.minimum(level, 255).astype(np.uint8), np.diff(first, append=len(asked)))
+    return exchange.answers(table, [len(k) for k in keys], found)
 
 
 def _signatures(sets: _Sets, n: int) -> np.ndarray:
@@ -118,7 +124,9 @@ def _ordered_sets(table: pa.Table, answers: pa.Table, size: int, bits: int, perc
     open_doc = (n > 0) & (100 * np.bincount(sets.doc[shared], minlength=len(n)) >= percent * n)
     keep = shared & open_doc[sets.doc]
     doc, value, rank = sets.doc[keep], sets.values[keep], level[keep]
-    order = np.lexsort((value, rank, doc))
+    # values ascend already; of documents and ranks up to 16 bits the order is found by counting
+    order = np.argsort(rank, kind="stable")
+    order = order[np.argsort(doc[order].astype(np.min_scalar_type(len(n))), kind="stable")]
     doc, value = doc[order], value[order]
     cuts = np.searchsorted(doc, np.arange(len(n) + 1))
     signature = _signatures(sets, len(n))
@@ -172,8 +180,10 @@ class PrefixTree:
         """Root of the group that holds the whole subtree, or -2."""
         return self.find(node.group) if node.group >= 0 else node.group
 
-    def add(self, tokens: list[int], size: int, apart: int | None = None) -> None:
-        """Links the set with those in the tree, then inserts it.
+    def add(
+        self, tokens: list[int], size: int, apart: int | None = None, probe: bool = True, insert: bool = True,
+    ) -> None:
+        """Links the set with those in the tree, then inserts it; either may be left out.
 
         ``apart`` is the number of a set it is known to be linked with.
         """
@@ -182,8 +192,10 @@ class PrefixTree:
         self.size.append(size)
         if apart is not None:
             self.parent[number] = self.find(apart)
-        self._probe(frozenset(tokens), size, number)
-        self._insert(tokens, size, number)
+        if probe:
+            self._probe(frozenset(tokens), size, number)
+        if insert:
+            self._insert(tokens, size, number)
 
     def _probe(self, own: frozenset[int], size: int, number: int) -> None:
         percent = self.percent
@@ -250,17 +262,24 @@ class PrefixTree:
 
 
 def _tree_links(table: pa.Table, percent: int) -> pa.Table:
-    """Spanning links of one group of classes; ``linked`` names a group that is already known."""
+    """Spanning links of one group of classes; ``linked`` names a group that is already known.
+
+    With ``home``, the classes come from two blocks that are joined already: those
+    at home go into the tree, the others only ask it.
+    """
     names, sizes = table["class"].to_pylist(), table["n_shingles"].to_pylist()
     known = table["linked"].to_pylist() if "linked" in table.column_names else [None] * len(names)
-    order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
+    across = "home" in table.column_names
+    home = table["home"].to_pylist() if across else [True] * len(names)
+    order = sorted(range(len(names)), key=lambda i: (not home[i], sizes[i], names[i]))
     sets = {}
     for i in order:
         sets[i] = np.frombuffer(table["tokens"][i].as_buffer(), np.int64).tolist()
     tree, seen, numbers = PrefixTree(percent), {}, []
     for i in order:
         group = known[i]
-        tree.add(sets[i], sizes[i], seen.get(group) if group is not None else None)
+        tree.add(sets[i], sizes[i], seen.get(group) if group is not None else None,
+                 probe=not (across and home[i]), insert=home[i])
         if group is not None:
             seen.setdefault(group, len(numbers))
         numbers.append(names[i])
@@ -313,7 +332,7 @@ def _cluster_links(clustered: DataFrame, percent: int, block: int) -> DataFrame:
     rest = second.join(apart, "cluster").withColumn("other", F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-        "linked", *columns).where("lo <> hi")
+        "linked", (F.col("block") < F.col("other")).alias("home"), *columns).where("lo <> hi")
     return stars.union(rest.groupBy("cluster", "lo", "hi").applyInArrow(join, _LINKS))
 
 

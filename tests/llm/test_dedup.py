@@ -269,3 +269,38 @@ def test_texts_go_in_slices_of_a_megabyte():
     tables = list(text.slices([batch]))
     assert pa.concat_tables(tables).combine_chunks().to_batches()[0].equals(batch)
     assert [t.num_rows for t in tables] == [3, 3, 3, 1, 1]
+
+
+def test_order_of_values_that_share_their_leading_bits():
+    from furrow.llm import text
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 1000, 5000):
+        wide = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        for values in (wide, wide >> np.uint64(50), wide >> np.uint64(60) << np.uint64(60),
+                       np.repeat(wide, 2)[:n] + rng.integers(0, 3, n).astype(np.uint64)):
+            assert (text.ascending(values) == np.argsort(values, kind="stable")).all()
+
+
+def test_blocks_that_are_joined_meet_across_only(monkeypatch):
+    """Of two blocks joined before, the sets of one ask the tree of the other, and nothing is asked twice."""
+    import pyarrow as pa
+
+    from furrow.llm import ngram_join
+
+    asked = []
+    probe = PrefixTree._probe
+    monkeypatch.setattr(PrefixTree, "_probe", lambda self, own, size, number: (
+        asked.append(number), probe(self, own, size, number)))
+    sets = [np.arange(40), np.arange(100, 140), np.arange(2, 42), np.arange(200, 240), np.arange(4, 44)]
+    names = [b"a", b"b", b"c", b"d", b"e"]
+    got = ngram_join._tree_links(pa.table({
+        "class": pa.array(names), "n_shingles": pa.array([40] * 5),
+        "tokens": pa.array([s.astype(np.int64).tobytes() for s in sets]),
+        "linked": pa.array([b"a", b"b", b"c", b"d", b"c"]), "home": pa.array([True, True, False, False, False]),
+    }), 75)
+    assert len(asked) == 3
+    linked = {n: n for n in names}
+    for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist()):
+        linked = {n: linked[b] if r == linked[a] else r for n, r in linked.items()}
+    assert linked[b"a"] == linked[b"c"] == linked[b"e"] and len(set(linked.values())) == 3
