@@ -226,12 +226,14 @@ def links(values: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("the keys reach three differing bits")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    # up to 36 keys come from a value: Spark's size estimate does not see them, so no side may be broadcast
+    met = lambda left, right: left.join(right.hint("merge"), "key").where((F.col("a") < F.col("b")) & near)
     a, b = F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")
     same = _keyed(values, equal_segment_keys)
-    equal = same.select("key", a).join(same.select("key", b), "key").where((F.col("a") < F.col("b")) & near)
+    equal = met(same.select("key", a), same.select("key", b))
     narrow = _keyed(values, lambda v: one_each_keys(v, False)).select("key", a)
     wide = _keyed(values, lambda v: one_each_keys(v, True)).select("key", b)
-    each = narrow.join(wide, "key").where((F.col("a") < F.col("b")) & near)
+    each = met(narrow, wide)
     return equal.union(each).select("a", "b").distinct()
 
 

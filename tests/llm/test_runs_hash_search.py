@@ -140,6 +140,13 @@ def test_links_of_every_pattern_of_differing_bits(spark):
     assert {tuple(r) for r in got} == want and len(want) > 200
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    """A value has up to 36 keys, which Spark's size estimate of the values does not see."""
+    values = spark.range(8).selectExpr("id << 20 AS fingerprint")
+    plan = simhash.links(values)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def test_near_duplicates_by_simhash(documents, corpus):
     rnd = random.Random(7)
     base = [f"word{rnd.randrange(900)}" for _ in range(1500)]
