@@ -9,13 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from furrow.functions.geo import (
     FLATTENING, SEMI_MAJOR, SEMI_MINOR, geodesic_m, overlap_area, point_inside, ring_bounds, ring_edges,
     rings_bounds, rings_edges, world_to_pixel)
 from furrow.plans.greedy import queue_choice
+from furrow.plans.nearest import Tree
 from furrow.plans.session import cut_lineage
 from furrow.plans.skew import keep_first
 
@@ -28,6 +33,14 @@ CROWD = 20_000
 # Halvings of the widest cell among crowded positions.
 FINER = 6
 
+# Tiles of border ends: degrees of latitude they go to, width in reaches of an end, ends and spots
+# of a tile that are settled in one piece, rows of a table of tiles.
+POLEWARD = 89.0
+HALO = 4
+TILE_ENDS = 1 << 18
+CROWDED_TILE = 1 << 18
+TABLE_ROWS = 1 << 16
+
 
 def _cell(value: Column, level: Column, base: float) -> Column:
     return F.floor(value / (F.lit(base) * F.pow(F.lit(2.0), level)))
@@ -268,21 +281,147 @@ def match_borders(
     """Plot borders with the images nearest to their start and end.
 
     Nearest in degrees, as positions are stored; accepted when both ends lie
-    within ``max_m`` metres.  Some image near each end bounds how far the nearest
-    one can be, at any latitude; that one is looked up on grid cells as wide as the
-    bound, so the pairs compared don't grow with the density of images.
+    within ``max_m`` metres.  An end travels once, to the tile it lies in, and an
+    image to the tiles within reach of it (``_in_tiles``).  Ends near a pole, next
+    to the date line or among very crowded images are few; they are looked up on
+    cells (``_on_cells``), whose copies would fill the disk if all ends had them.
     ``image_order`` becomes ``start_{}`` and ``end_{}``.
     """
-    spots = keep_first(images.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-                       .select("lat", "lon", image_order), ["lat", "lon"], [image_order])
-    ends = borders.select("plot_index", F.explode(F.array(*[
-        F.struct(F.lit(end).alias("end"), F.col(f"{end}_lat").alias("e_lat"),
-                 F.col(f"{end}_lon").alias("e_lon")) for end in ("start", "end")])).alias("_e")
-    ).select("plot_index", "_e.*")
-    who = ["plot_index", "end", "e_lat", "e_lon"]
+    finite = lambda c: F.abs(c) < float("inf")  # neither null nor NaN
+    spots = cut_lineage(keep_first(images.where(finite("lat") & finite("lon"))
+                                   .select("lat", "lon", image_order), ["lat", "lon"], [image_order]))
+    ends = borders.where("plot_index IS NOT NULL").select("plot_index", F.explode(F.array(*[
+        F.struct(F.lit(end == "start").alias("start"), F.col(f"{end}_lat").cast("double").alias("e_lat"),
+                 F.col(f"{end}_lon").cast("double").alias("e_lon")) for end in ("start", "end")])).alias("_e")
+    ).select("plot_index", "_e.*").where(finite("e_lat") & finite("e_lon"))
+    plain, odd = _split_ends(ends, spots, max_m)
+    best = _in_tiles(plain, spots, image_order, max_m)
+    if not odd.isEmpty():
+        best = best.unionByName(_on_cells(odd, spots, image_order, max_m))
+    close = best.where(geodesic_m(F.col("e_lat"), F.col("e_lon"), F.col("lat"), F.col("lon"), 4) <= max_m)
+    pick = lambda start: F.max(F.when(F.col("start") == start, F.col(image_order)))
+    both = close.groupBy("plot_index").agg(
+        pick(True).alias(f"start_{image_order}"), pick(False).alias(f"end_{image_order}"))
+    return borders.join(both.na.drop(), "plot_index")
+
+
+def _reach(lat: Column, max_m: float) -> Column:
+    """Degrees within which all positions within ``max_m`` of one at ``lat`` are stored, up to POLEWARD."""
+    up = max_m / METRES_PER_DEGREE
+    # a way of that length does not come nearer to the pole than this parallel
+    wide = up / F.cos(F.radians(F.abs(lat) + up))
+    return F.sqrt(wide * wide + up * up) * (1 + 1e-9) + 1e-12
+
+
+def _tile_level(lat: Column, max_m: float) -> Column:
+    return F.ceil(F.log2(_reach(lat, max_m) * HALO / (max_m / METRES_PER_DEGREE))).cast("int")
+
+
+def _tile(value: Column, max_m: float) -> Column:
+    return _cell(value, F.col("_level"), max_m / METRES_PER_DEGREE)
+
+
+def _spot_levels(spots: DataFrame, max_m: float) -> DataFrame:
+    """Spots on the levels of all ends that may reach them: mostly one, two next to where the level changes."""
+    up = max_m / METRES_PER_DEGREE
+    # an end up to POLEWARD reaches less than 60 times as far as ``up``
+    level = lambda lat: _tile_level(F.least(F.greatest(lat, F.lit(0.0)), F.lit(POLEWARD - up)), max_m)
+    lat = F.abs("lat")
+    return spots.withColumn("_level", F.explode(F.sequence(level(lat - 60 * up), level(lat + 60 * up))))
+
+
+def _split_ends(ends: DataFrame, spots: DataFrame, max_m: float) -> tuple[DataFrame, DataFrame]:
+    """Ends with ``_level``, ``_cy``, ``_cx`` that tiles can settle, and the others.
+
+    Others lie near a pole, so that positions next to them may be stored a long way off, or where
+    a spot may be next to them a whole turn of longitude off, or in or next to a tile of over
+    CROWDED_TILE spots.
+    """
+    up = max_m / METRES_PER_DEGREE
+    lon, reach = F.col("e_lon"), _reach(F.col("e_lat"), max_m)
+    low, high = (spots.select(f("lon")).scalar() for f in (F.min, F.max))
+    plain = (F.abs("e_lat") <= POLEWARD - up) & (lon + 360 > high + reach) & (lon - 360 < low - reach)
+    plain = F.coalesce(plain, F.lit(False))
+    tiles = ["_level", "_cy", "_cx"]
+    counted = _spot_levels(spots, max_m).withColumn("_cy", _tile(F.col("lat"), max_m)).withColumn(
+        "_cx", _tile(F.col("lon"), max_m)).groupBy(*tiles).count().where(F.col("count") > CROWDED_TILE)
+    crowded = cut_lineage(counted.drop("count"))
+    placed = ends.where(plain).withColumn("_level", _tile_level(F.col("e_lat"), max_m)).withColumn(
+        "_cy", _tile(F.col("e_lat"), max_m)).withColumn("_cx", _tile(lon, max_m))
+    if crowded.isEmpty():
+        return placed, ends.where(~plain)
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    # at most nine rows for each CROWDED_TILE spots
+    crowded = F.broadcast(crowded.withColumn("_cy", around("_cy")).withColumn("_cx", around("_cx")).distinct())
+    odd = ends.where(~plain).unionByName(placed.join(crowded, tiles, "left_semi").drop(*tiles))
+    return placed.join(crowded, tiles, "left_anti"), odd
+
+
+def _in_tiles(ends: DataFrame, spots: DataFrame, image_order: str, max_m: float) -> DataFrame:
+    """Ends with the spot nearest in degrees, if it lies within their reach.
+
+    Tiles are ``HALO`` times as wide as the reach of the ends on their level, and a
+    spot also goes to those within that reach, so a tile holds every spot that an end
+    in it asks for.  Many tiles share a task's table, one of over ``TILE_ENDS`` ends
+    has several; whatever else is in a table is a spot like any other.
+    """
+    tiles = ["_level", "_cy", "_cx"]
+    counted = ends.groupBy(*tiles).agg(F.ceil(F.count("*") / TILE_ENDS).cast("int").alias("_slices")).where("_slices > 1")
+    # at most one row for each TILE_ENDS ends
+    crowded = cut_lineage(counted)
+    several = not crowded.isEmpty()
+    sliced = lambda df: df.join(F.broadcast(crowded), tiles, "left") if several else df.withColumn("_slices", F.lit(1))
+    slices = F.coalesce("_slices", F.lit(1))
+    rows = ends.select("plot_index").count() + spots.count()
+    table = F.pmod(F.xxhash64(*tiles, "_slice"), F.lit(1 + rows // TABLE_ROWS)).alias("_table")
+    asked = sliced(ends).withColumn(
+        "_slice", F.pmod(F.xxhash64("plot_index", "start", "e_lat", "e_lon"), slices).cast("int")).select(
+        table, "plot_index", "start", "e_lat", "e_lon")
+    halo = max_m / METRES_PER_DEGREE * F.pow(F.lit(2.0), F.col("_level")) / HALO
+    around = lambda c: F.explode(F.sequence(_tile(F.col(c) - halo, max_m), _tile(F.col(c) + halo, max_m)))
+    placed = sliced(_spot_levels(spots, max_m).withColumn("_cy", around("lat")).withColumn(
+        "_cx", around("lon"))).withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).select(
+        table, "lat", "lon", image_order)
+    schema = StructType([*(ends.schema[c] for c in ("plot_index", "start", "e_lat", "e_lon")),
+                         *(spots.schema[c] for c in ("lat", "lon", image_order))])
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _nearest_spots(left, right, image_order, max_m)
+
+    return asked.groupBy("_table").cogroup(placed.groupBy("_table")).applyInArrow(settle, schema)
+
+
+def _nearest_spots(ends: pa.Table, spots: pa.Table, image_order: str, max_m: float) -> pa.Table:
+    """Ends with their nearest spot, the first by ``image_order`` (null first) of equally near ones."""
+    numbers = lambda table, name: table[name].to_numpy().astype(float)
+    if not (ends.num_rows and spots.num_rows):
+        spots = spots.slice(0, 0)
+        ends, found = ends.slice(0, 0), np.zeros(0, int)
+    else:
+        first = pc.rank(spots[image_order].combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy()
+        spots = spots.take(np.lexsort((numbers(spots, "lon"), numbers(spots, "lat"), first)))
+        lat, lon = numbers(ends, "e_lat"), numbers(ends, "e_lon")
+        up = max_m / METRES_PER_DEGREE
+        reach = np.hypot(up, up / np.cos(np.radians(np.abs(lat) + up))) * (1 + 1e-9) + 1e-12
+        found = Tree(numbers(spots, "lat"), numbers(spots, "lon")).nearest(lat, lon, reach * reach)
+        ends, found = ends.filter(pa.array(found >= 0)), found[found >= 0]
+    spots = spots.take(found)
+    return pa.table({**{c: ends[c] for c in ("plot_index", "start", "e_lat", "e_lon")},
+                     **{c: spots[c] for c in ("lat", "lon", image_order)}})
+
+
+def _on_cells(ends: DataFrame, spots: DataFrame, image_order: str, max_m: float) -> DataFrame:
+    """Ends with the spot nearest in degrees, at any latitude and among any crowd.
+
+    Some spot near each end bounds how far the nearest one can be; that one is
+    looked up on grid cells as wide as the bound, so the pairs compared don't grow
+    with the density of images.
+    """
+    who = ["plot_index", "start", "e_lat", "e_lon"]
     degrees = (F.pow(F.col("lat") - F.col("e_lat"), F.lit(2))
                + F.pow(F.col("lon") - F.col("e_lon"), F.lit(2)))
-    bounds = cut_lineage(_some_near(ends, spots, max_m, who, degrees))
+    ends = cut_lineage(ends)
+    bounds = cut_lineage(_some_near(ends, _near_any(spots, ends, max_m), max_m, who, degrees))
     # cells as wide as the bound or up to twice as wide; rounding of a degree is about 1e-14
     reach = F.sqrt("_d") * (1 + 1e-9) + 1e-12
     base = max_m / METRES_PER_DEGREE
@@ -297,12 +436,20 @@ def match_borders(
     # neither side's size estimate sees its copies, so neither may be broadcast
     best = asked.join(placed.hint("merge"), ["_level", "_cy", "_cx"]).where(degrees <= F.col("_d")).groupBy(
         *who).agg(F.min(rank).alias("_best"))
-    close = best.where(geodesic_m(
-        F.col("e_lat"), F.col("e_lon"), F.col("_best.lat"), F.col("_best.lon"), 4) <= max_m)
-    pick = lambda end: F.max(F.when(F.col("end") == end, F.col("_best.o")))
-    both = close.groupBy("plot_index").agg(
-        pick("start").alias(f"start_{image_order}"), pick("end").alias(f"end_{image_order}"))
-    return borders.join(both.na.drop(), "plot_index")
+    return best.select(*who, "_best.lat", "_best.lon", F.col("_best.o").alias(image_order))
+
+
+def _near_any(spots: DataFrame, ends: DataFrame, max_m: float) -> DataFrame:
+    """Spots that lie in or next to a cube of some end; cubes are twice as wide as ``max_m``."""
+    axes = ("x", "y", "z")
+    cube = lambda df, lat, lon: _in_space(df, lat, lon, "s").withColumns(
+        {f"_c{c}": F.floor(F.col(f"_s{c}") / (2 * max_m)) for c in axes}).drop(*[f"_s{c}" for c in axes])
+    asked = cube(ends, "e_lat", "e_lon").select(*[f"_c{c}" for c in axes]).distinct()
+    for c in axes:
+        asked = asked.withColumn(f"_c{c}", F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)))
+    # the size estimate does not see the copies, so they must not be broadcast
+    return cut_lineage(cube(spots, "lat", "lon").join(
+        asked.distinct().hint("merge"), [f"_c{c}" for c in axes], "left_semi").select(*spots.columns))
 
 
 def _some_near(

@@ -245,3 +245,65 @@ def test_plots_and_boundaries_on_top_of_each_other_are_not_listed(spark):
         got = {r["plot_index"]: r["boundary_key"] for r in associate_plots(centers, polys, base=1.0).collect()}
     assert got == {i: f"p{i}_None" for i in range(n)}
     assert max(seen) <= m
+
+
+BORDER = "plot_index int, start_lat double, start_lon double, end_lat double, end_lon double"
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_border_ends_travel_once(spark, monkeypatch, few):
+    """Ends go to one tile each, in slices where it is full; among crowded images they are looked up on cells."""
+    from furrow.operators import spatial
+
+    if few:
+        for name, value in (("TILE_ENDS", 20), ("CROWDED_TILE", 60), ("TABLE_ROWS", 16)):
+            monkeypatch.setattr(spatial, name, value)
+    # across tiles, a level and a line of equal distances; 100 images stand close together
+    rng = random.Random(8)
+    spot = lambda wide: (38.53 + rng.randrange(40) * wide, -121.76 + rng.randrange(40) * wide)
+    images = [(i, *spot(1e-6)) for i in range(300)] + [(300 + i, *spot(1e-8)) for i in range(100)] + [(400, None, 1.0), (401, math.nan, 1.0)]
+    borders = [(k, *spot(1.1e-6), *spot(1e-6 / 2)) for k in range(200)] + [(k, *spot(1e-6), *spot(1e-6)) for k in range(3)]
+    borders += [(None, *spot(1e-6), *spot(1e-6)), (900, math.nan, 1.0, None, 1.0)]
+    out = match_borders(spark.createDataFrame(borders, BORDER), spark.createDataFrame(images, "row int, lat double, lon double"), "row", 0.12)
+
+    def nearest(lat, lon):
+        d, row, i_lat, i_lon = min(((a - lat) ** 2 + (b - lon) ** 2, r, a, b) for r, a, b in images[:400])
+        metres = math.hypot((i_lat - lat) * 110_995, (i_lon - lon) * 111_320 * math.cos(math.radians(lat)))
+        return row if metres <= 0.12 else None
+
+    want = {}
+    for k, *place in borders[:203]:
+        for side, row in enumerate((nearest(*place[:2]), nearest(*place[2:]))):
+            want.setdefault(k, [-1, -1])[side] = max(want.get(k, [-1, -1])[side], -1 if row is None else row)
+    want = {k: tuple(v) for k, v in want.items() if -1 not in v}
+    got = [(r["plot_index"], (r["start_row"], r["end_row"])) for r in out.collect()]
+    assert dict(got) == want and len(want) > 20 and len(got) == sum(b[0] in want for b in borders)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and ("SortMergeJoin [_level" in plan) == few
+
+
+def test_borders_across_the_date_line(spark):
+    border = spark.createDataFrame([(1, 0.0, 179.9999999, 0.0, -179.9999999)], BORDER)
+    images = spark.createDataFrame([(0, 0.0, -179.9999995), (1, 0.0, -179.9)], "row int, lat double, lon double")
+    # nearest in degrees, as stored: the first image unless another is stored closer
+    assert [(r["start_row"], r["end_row"]) for r in match_borders(border, images.where("row = 0"), "row").collect()] == [(0, 0)]
+    assert match_borders(border, images, "row").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["plane", "lattice", "line", "heap"])
+def test_nearest_of_many_places(kind):
+    import numpy as np
+
+    from furrow.plans.nearest import Tree
+
+    rng = np.random.default_rng(5)
+    for n in (1, 8, 9, 700):
+        x, y, px, py = rng.random(n), rng.random(n), rng.random(500) * 1.4 - 0.2, rng.random(500) * 1.4 - 0.2
+        if kind == "lattice":
+            x, y, px, py = (np.round(v * 8) for v in (x, y, px, py))
+        elif kind == "line":
+            y[:] = 0.3
+        elif kind == "heap":
+            x, y = x**9, y**9
+        d = (x[None] - px[:, None]) ** 2 + (y[None] - py[:, None]) ** 2
+        assert (Tree(x, y).nearest(px, py, np.full(500, 0.05)) == np.where(d.min(1) <= 0.05, d.argmin(1), -1)).all()
