@@ -62,8 +62,7 @@ class _Sets:
         data, offsets = text.text_bytes(table["text"])
         data = text.LOWER[data]
         starts, ends, first = text.word_spans(data, offsets)
-        codes, distinct = text.word_codes(data, starts, ends)
-        words = text.hashed(distinct, _SEED)[codes]
+        words = text.word_hashes(data, starts, ends, _SEED)
         at, doc = text.window_starts(first, size)
         values = text.rolling(words, size)[at] if len(at) else np.zeros(0, U64)
         counts = np.diff(first)

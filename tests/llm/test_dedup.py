@@ -304,3 +304,22 @@ def test_blocks_that_are_joined_meet_across_only(monkeypatch):
     for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist()):
         linked = {n: linked[b] if r == linked[a] else r for n, r in linked.items()}
     assert linked[b"a"] == linked[b"c"] == linked[b"e"] and len(set(linked.values())) == 3
+
+
+def test_words_are_hashed_by_their_bytes_alone():
+    from furrow.llm import text
+
+    rng = np.random.default_rng(2)
+    # words of 1 to 40 bytes, with zero bytes and beginnings in common, each twice and between other neighbours
+    words = [b"ab"[:k % 3] + bytes(rng.integers(0, 3, k).tolist()) or b"x" for k in range(40) for _ in range(50)]
+    words = [words[i] for i in (*range(len(words)), *rng.permutation(len(words)))]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    sizes = np.array([len(w) for w in words])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    got = text.word_hashes(data, starts, starts + sizes, 21)
+    by_word = {}
+    for word, value in zip(words, got.tolist()):
+        assert by_word.setdefault(word, value) == value
+    assert len(set(by_word.values())) == len(by_word) > 1000
+    assert text.word_hashes(data[:0], starts[:0], starts[:0], 21).tolist() == []
+    assert (text.word_hashes(data, starts, starts + sizes, 22) != got).all()
